@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from learngraph.llm import packing, shared, token_store
+from learngraph.llm import packing, sharding, shared, token_store
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -26,8 +27,15 @@ def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_documents(spark, path)
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shuffle_into_shards(_table(spark, sf_dir, "documents"), shards=8)
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return placed.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op4_token_shards)}
+    return {f.__name__: f for f in (op1_packing, op4_token_shards, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
