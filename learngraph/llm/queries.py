@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from learngraph.llm import language_id, packing, sharding, shared, token_store
+from learngraph.llm import language_id, packing, quality, sharding, shared, token_store
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -43,6 +43,17 @@ def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_documents(spark, path)
 
 
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
+    """Fitted on about 8,000 labelled rows at most, none of them held out."""
+    return quality.fit(docs, labels.where(_remainder(3) != 1), max_rows=8000)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = quality.score(docs, quality_model(docs, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_passages", "top_passage")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shuffle_into_shards(_table(spark, sf_dir, "documents"), shards=8)
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
@@ -51,7 +62,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_language_id, op4_token_shards, op10_sharding)}
+    return {f.__name__: f for f in (op1_packing, op3_language_id, op4_token_shards, op9_quality, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
