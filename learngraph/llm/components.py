@@ -1,0 +1,40 @@
+"""Connected components by alternating large and small stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from learngraph.llm.shared import written
+
+
+def _towards_least(pairs: DataFrame) -> DataFrame:
+    """(u, v, m): each pair with m, the least of u and all its v. The least is pre-aggregated, so a hub costs one row a task."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return pairs.join(least, "u")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, root: for every node of an edge (columns a and b of one orderable type) the least node it reaches.
+
+    Edges may repeat, run either way or join a node to itself. A round rewires edges towards the
+    least neighbours (rows in proportion to the edges, never to pairs of a component); rounds go on
+    until nothing changes, at most about the squared logarithm of the nodes. Each round is written to the shared
+    folder, so lineage stays short and a lost executor costs a task.
+    """
+    ends = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    alone = ends.where(F.col("a") == F.col("b")).select(F.col("a").alias("node"), F.col("a").alias("root"))
+    held = written(ends.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    state = None
+    while True:
+        both = held.unionByName(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = _towards_least(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
+        small = _towards_least(large)
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
+        held = written(small.where(F.col("u") != F.col("v")).distinct(), "edges")
+        now = tuple(held.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == state:
+            break
+        state = now
+    roots = held.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return held.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots).unionByName(alone).groupBy("node").agg(F.min("root").alias("root"))

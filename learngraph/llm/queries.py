@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from learngraph.llm import html_text, language_id, packing, quality, sharding, shared, token_store
+from learngraph.llm import html_text, language_id, near_duplicates, packing, quality, sharding, shared, token_store
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -21,6 +21,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), BYTE_BPE, end_id=1, size=2048)
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.link(_table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def _remainder(divisor: int) -> Column:
     """crc32 of the doc_id as text, by ``divisor``; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % divisor
@@ -66,7 +70,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_language_id, op4_token_shards, op5_html_extraction, op9_quality, op10_sharding)}
+    return {f.__name__: f for f in (op1_packing, op2_minhash_dedup, op3_language_id, op4_token_shards, op5_html_extraction, op9_quality, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
