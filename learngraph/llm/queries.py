@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from learngraph.llm import html_text, language_id, near_duplicates, packing, quality, sharding, shared, token_store
+from learngraph.llm import embedding_duplicates, html_text, language_id, near_duplicates, nearest, packing, quality, sharding, shared, token_store
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -51,6 +51,14 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates.link(_table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
     """Fitted on about 8,000 labelled rows at most, none of them held out."""
     return quality.fit(docs, labels.where(_remainder(3) != 1), max_rows=8000)
@@ -70,7 +78,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_minhash_dedup, op3_language_id, op4_token_shards, op5_html_extraction, op9_quality, op10_sharding)}
+    return {f.__name__: f for f in (op1_packing, op2_minhash_dedup, op3_language_id, op4_token_shards, op5_html_extraction, op6_embedding_dedup, op7_nearest_neighbours, op9_quality, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
