@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from learngraph.llm import embedding_duplicates, html_text, language_id, near_duplicates, nearest, packing, quality, sharding, shared, token_store
+from learngraph.llm import embedding_duplicates, html_text, language_id, near_duplicates, nearest, packing, quality, sentencepiece_codec, sharding, shared, token_store
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -64,6 +66,10 @@ def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
     return quality.fit(docs, labels.where(_remainder(3) != 1), max_rows=8000)
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(_table(spark, sf_dir, "documents"), PIECE_BPE, with_ids=False)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = quality.score(docs, quality_model(docs, _table(spark, sf_dir, "labels")))
@@ -78,7 +84,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_minhash_dedup, op3_language_id, op4_token_shards, op5_html_extraction, op6_embedding_dedup, op7_nearest_neighbours, op9_quality, op10_sharding)}
+    return {f.__name__: f for f in (op1_packing, op2_minhash_dedup, op3_language_id, op4_token_shards, op5_html_extraction, op6_embedding_dedup, op7_nearest_neighbours, op8_sentencepiece, op9_quality, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
