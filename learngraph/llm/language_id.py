@@ -11,14 +11,14 @@ Null texts and texts without a letter get ``und`` and score 0; so does everythin
 row to learn from. Texts of any length count in full. Ties go to the language first in name.
 """
 
-from __future__ import annotations
-
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from learngraph.llm.unicode_tables import SCRIPTS, code_points, letters, lower, scripts
 
@@ -201,3 +201,26 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(langs, pa.string()), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets), inner)], names=["doc_id", "lang_pred", "score", "spans"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, SCHEMA)
+
+
+def verdict(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
+    """A struct column beside the rows' own: lang_pred, score, and foreign, the share of letters of scripts that no learned language uses."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("foreign", DoubleType())])
+
+    @F.pandas_udf(schema)
+    def judge(texts: pd.Series) -> pd.DataFrame:
+        held, parts = shared.value, []
+        all_texts = [t or "" for t in texts]
+        used = held.allowed.any(1)
+        for a, b in _blocks(all_texts):
+            langs, score, _ = label(held, all_texts[a:b])
+            flat, begins = code_points(all_texts[a:b])
+            at = np.flatnonzero(letters()[flat])
+            owner = np.searchsorted(begins, at, side="right") - 1
+            total = np.bincount(owner, minlength=b - a)
+            out = np.bincount(owner, weights=~used[scripts()[flat[at]]], minlength=b - a)
+            parts.append(pd.DataFrame({"lang_pred": langs, "score": score, "foreign": out / np.maximum(total, 1)}))
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"lang_pred": pd.Series([], dtype=str), "score": pd.Series([], dtype=float), "foreign": pd.Series([], dtype=float)})
+
+    return judge(F.col(text_col).cast("string"))

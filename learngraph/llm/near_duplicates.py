@@ -20,8 +20,6 @@ Null and empty texts, and texts without words, have the empty set: they link wit
 with one id but other texts are separate texts of that id; null ids are the largest of a component.
 """
 
-from __future__ import annotations
-
 import math
 
 import numpy as np
@@ -29,7 +27,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import BinaryType, LongType
+from pyspark.sql.window import Window
 
 from learngraph.llm.components import components
 from learngraph.llm.shared import written
@@ -199,7 +198,7 @@ def _across(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def link(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row.
+    """doc_id, n_shingles, component_id, kept, digest and root (the component's name, null for the empty set) of every row.
 
     Linked are texts with 100 * |intersection| >= percent * |union| of their sets of ``words``-word
     shingles; component_id is the least id reachable, itself included; kept is doc_id = component_id.
@@ -220,7 +219,36 @@ def link(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "d
     roots = components(links.unionByName(more))
     own = classes.select("digest", "doc_id").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     least = own.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = own.join(least, "root").select("digest", "component_id")
+    named = own.join(least, "root").select("digest", "root", "component_id")
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "digest", "root")
+
+
+def deduplicate(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, of which one of each component stays: the one of least id.
+
+    Rows without shingles stay. Ids that are null or stand on several rows don't tell a row, so those rows
+    are met again with their sets' digests; of rows alike in id and set any one stays.
+    """
+    linked = link(docs, words=words, percent=percent, id_col=id_col, text_col=text_col)
+    found = written(linked.select("doc_id", "n_shingles", "kept", "digest", "root"), "linked")
+    several = written(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id"), "several")
+    key = F.col(id_col).cast("long")
+    plain = found.where("kept AND doc_id IS NOT NULL").select("doc_id").join(several, "doc_id", "left_anti").withColumnRenamed("doc_id", "__id")
+    once = docs.join(plain, key == F.col("__id"), "left_semi")
+    if several.isEmpty():
+        return once
+
+    @F.pandas_udf(BinaryType())
+    def named(texts: pd.Series) -> pd.Series:
+        return pd.Series([digest(s) if len(s) else None for s in shingle_sets(list(texts), words)], dtype=object)
+
+    again = docs.join(several.withColumnRenamed("doc_id", "__id"), key.eqNullSafe(F.col("__id")), "left_semi")
+    again = again.withColumns({"__id": key, "__digest": named(F.col(text_col).cast("string")), "__n": F.monotonically_increasing_id()})
+    roots = found.where("kept AND n_shingles > 0").select(F.col("digest").alias("__digest"), F.col("doc_id").alias("__own"), F.col("root").alias("__root")).distinct()
+    full = again.join(roots.withColumnRenamed("__digest", "__of"), (F.col("__digest") == F.col("__of")) & F.col("__id").eqNullSafe(F.col("__own")))
+    first = Window.partitionBy("__root").orderBy("__digest", "__n")
+    one = full.withColumn("__rank", F.row_number().over(first)).where("__rank = 1")
+    bare = again.where("__digest IS NULL")
+    return once.unionByName(one.select(docs.columns)).unionByName(bare.select(docs.columns))

@@ -12,14 +12,14 @@ Null and empty texts are a bag of one empty passage. Labels that are null, or re
 document, count once at most (the larger label); with no label of one kind the score is the rate.
 """
 
-from __future__ import annotations
-
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from learngraph.llm.unicode_tables import TOP, code_points, letters, lower
 
@@ -234,3 +234,14 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(counts, pa.int64()), pa.array(top, pa.int64())], names=["doc_id", "score", "n_passages", "top_passage"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, score double, n_passages long, top_passage long")
+
+
+def verdict(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
+    """The score as a column beside the rows' own."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf(DoubleType())
+    def judge(texts: pd.Series) -> pd.Series:
+        return pd.Series(score_texts(shared.value, list(texts))[0])
+
+    return judge(F.col(text_col).cast("string"))

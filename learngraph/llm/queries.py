@@ -24,7 +24,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.link(_table(spark, sf_dir, "documents"), words=4, percent=80)
+    return near_duplicates.link(_table(spark, sf_dir, "documents"), words=4, percent=80).drop("digest", "root")
 
 
 def _remainder(divisor: int) -> Column:
