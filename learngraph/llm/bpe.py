@@ -115,13 +115,12 @@ class BpeEncoder:
                 values[k] = learned[flat[k]]
         ids = np.frombuffer(b"".join(values), self.dtype)
         ends = np.flatnonzero(ids == self.next)
-        out: list[np.ndarray | None] = np.split(ids, ends)
+        if len(ends) != len(texts) - 1:  # a text holds the mark between texts
+            return self._whole(texts)
+        out = np.split(ids, ends)
         for k in range(1, len(out)):
             out[k] = out[k][1:]
-        rest = set(range(len(texts))) if len(out) != len(texts) else set()
-        unsafe = np.flatnonzero(ids == self.unsafe_id)
-        if len(unsafe):
-            rest |= set(np.searchsorted(ends, unsafe).tolist())
+        rest = set(np.searchsorted(ends, np.flatnonzero(ids == self.unsafe_id)).tolist())
         # The first chunk of a text has no space before it.
         heads = [t[: t.find(" ")] if " " in t else t for t in texts]
         for k, (head, own) in enumerate(zip(heads, self._whole(heads), strict=True)):
@@ -134,7 +133,6 @@ class BpeEncoder:
                 out[k] = np.concatenate([own, out[k][len(spaced) // ids.itemsize :]])
         if rest:
             at = sorted(rest)
-            out = out if len(out) == len(texts) else [None] * len(texts)
             for k, own in zip(at, self._whole([texts[k] for k in at]), strict=True):
                 out[k] = own
         return out

@@ -38,7 +38,7 @@ _NEAR, _FAR = 0.8216, 0.4859  # chances that one projection agrees at cosine 0.9
 
 
 def parameters(n: int) -> tuple[int, int]:
-    """Tables and projections for n classes: 32 and 12 up to about 50,000."""
+    """Tables and projections for n classes: 33 and 12 up to about 50,000."""
     projections = max(12, math.ceil(math.log(max(n, 2) / 9) / -math.log(_FAR)))
     tables = max(32, math.ceil(math.log(0.04) / math.log1p(-(_NEAR**projections))))
     return tables, projections

@@ -34,14 +34,15 @@ SENTENCE_GRID, INSIDE_GRID = 32, 256
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def candidates(ids: np.ndarray, ends: np.ndarray, ends_sentence: np.ndarray) -> tuple[list[int], list[int]]:
+def candidates(ids: np.ndarray, ends: np.ndarray, ends_sentence: np.ndarray, size: int) -> tuple[list[int], list[int]]:
     """Places where the stream may be cut, and the penalty of each.
 
     Every end of a document, the last end of a sentence in each cell of SENTENCE_GRID tokens, and
-    every INSIDE_GRID-th place, so no two neighbours are further apart than that.
+    every INSIDE_GRID-th place (of smaller windows, every ``size``-th), so a window reaches the next one.
     """
     penalty = np.full(len(ids) + 1, -1, np.int32)
-    penalty[INSIDE_GRID::INSIDE_GRID] = INSIDE_PENALTY
+    grid = min(INSIDE_GRID, size)
+    penalty[grid::grid] = INSIDE_PENALTY
     stops = np.flatnonzero(ends_sentence[ids]) + 1
     if len(stops):
         cell = stops // SENTENCE_GRID
@@ -98,7 +99,7 @@ class _Packer:
             return []
         ids = np.concatenate([d[2] for d in self.docs])
         ends = np.cumsum([len(d[2]) for d in self.docs])
-        cuts = best_cuts(*candidates(ids, ends, self.ends_sentence), self.size, final)
+        cuts = best_cuts(*candidates(ids, ends, self.ends_sentence, self.size), self.size, final)
         if not final:
             cuts = cuts[:-8]
         out, docs, k, begin = [], self.docs, 0, 0
