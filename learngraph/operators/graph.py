@@ -37,3 +37,147 @@ def degree_centrality(vertex: DataFrame, edges: DataFrame) -> DataFrame:
     n = vertex.agg(F.count(F.lit(1)).alias("_n"))
     share: Column = F.when(F.col("_n") > 1, F.col("degree") / (F.col("_n") - 1)).otherwise(F.lit(1.0))
     return degrees(vertex, edges).crossJoin(F.broadcast(n)).select("concept", "degree", share.alias("centrality"))
+
+
+def graph_summary(vertex: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes, edges, density and average degree; zeros where they would divide by nothing."""
+    n, m = vertex.agg(F.count(F.lit(1)).alias("n")), edges.agg(F.count(F.lit(1)).alias("m"))
+    both = n.crossJoin(F.broadcast(m))  # one row beside one row
+    density = F.when(F.col("n") > 1, 2 * F.col("m") / (F.col("n") * (F.col("n") - 1))).otherwise(0.0)
+    return both.select(F.col("n").alias("nodes"), F.col("m").alias("edges"), density.alias("density"), F.when(F.col("n") > 0, 2 * F.col("m") / F.col("n")).otherwise(0.0).alias("avg_degree"))
+
+
+def heavy_edges(edges: DataFrame, least: int = 3) -> DataFrame:
+    return edges.where(F.col("weight") >= least)
+
+
+def without_isolated(vertex: DataFrame, edges: DataFrame) -> DataFrame:
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("concept")).distinct()
+    return vertex.join(ends, "concept", "left_semi")
+
+
+def anchors(objects: DataFrame, centrality: DataFrame, id_col: str = "id") -> DataFrame:
+    """id, anchor and its centrality: the keyword of highest centrality (0 if unknown; of ties the least keyword) of objects with (id, keyword) rows."""
+    known = objects.where("keyword IS NOT NULL").join(centrality.select(F.col("concept").alias("keyword"), "centrality"), "keyword", "left")
+    known = known.withColumn("centrality", F.coalesce("centrality", F.lit(0.0)))
+    best = known.groupBy(id_col).agg(F.min(F.struct((-F.col("centrality")).alias("c"), F.col("keyword").alias("k"))).alias("best"))
+    return best.select(id_col, F.col("best.k").alias("anchor"), (-F.col("best.c")).alias("centrality"))
+
+
+def shared_keywords(objects: DataFrame, id_col: str = "id") -> DataFrame:
+    """(a, b, shared) of ordered pairs of objects with a keyword in common.
+
+    An inverted index: ids meet at their keyword, so the cost is the sum of squared keyword frequencies, not
+    of the objects'. Skewed keywords are split by the adaptive join.
+    """
+    index = objects.where("keyword IS NOT NULL").select(id_col, "keyword").distinct()
+    x, y = index.select(F.col(id_col).alias("a"), "keyword"), index.select(F.col(id_col).alias("b"), "keyword")
+    return x.join(y, "keyword").where("a != b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def layered_edges(objects: DataFrame, keywords: DataFrame, cosine, least_cosine: float = 0.6) -> DataFrame:
+    """Candidate prerequisite edges src -> dst between objects (id, layer, centrality, vector).
+
+    Across layers, from the lower, for two shared keywords; inside a layer, from the higher centrality, for one
+    and a cosine of ``least_cosine``. (layer up, centrality down) rises along every edge, so
+    with unique ids there is no cycle. Vectors are fetched only for pairs inside a layer.
+    """
+    brief = objects.select("id", "layer", "centrality")
+    pairs = shared_keywords(keywords).join(brief.select(F.col("id").alias("a"), F.col("layer").alias("la"), F.col("centrality").alias("ca")), "a")
+    pairs = pairs.join(brief.select(F.col("id").alias("b"), F.col("layer").alias("lb"), F.col("centrality").alias("cb")), "b")
+    across = pairs.where("la < lb AND shared >= 2").select("a", "b")
+    inside = pairs.where("la = lb AND ca > cb").select("a", "b")
+    inside = inside.join(objects.select(F.col("id").alias("a"), F.col("vector").alias("va")), "a").join(objects.select(F.col("id").alias("b"), F.col("vector").alias("vb")), "b")
+    inside = inside.where(cosine(F.col("va"), F.col("vb")) >= least_cosine).select("a", "b")
+    return across.unionByName(inside).select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+
+
+def band_edges(pairs: DataFrame, objects: DataFrame, factor: float = 1.2) -> DataFrame:
+    """src -> dst of similar pairs (a, b) whose anchors (non-empty) differ in centrality by ``factor``, from the higher."""
+    brief = objects.where("anchor IS NOT NULL AND anchor != ''").select("id", "centrality")
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    known = both.join(brief.select(F.col("id").alias("a"), F.col("centrality").alias("ca")), "a").join(brief.select(F.col("id").alias("b"), F.col("centrality").alias("cb")), "b")
+    return known.where(F.col("ca") > factor * F.col("cb")).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+def prerequisites(objects: DataFrame, edges: DataFrame) -> DataFrame:
+    """id and its sorted prerequisite_ids, empty for none."""
+    before = edges.groupBy(F.col("dst").alias("id")).agg(F.array_sort(F.collect_set("src")).alias("prerequisite_ids"))
+    kind = before.schema["prerequisite_ids"].dataType
+    return objects.select("id").join(before, "id", "left").select("id", F.coalesce("prerequisite_ids", F.array().cast(kind)).alias("prerequisite_ids"))
+
+
+def defines_edges(objects: DataFrame, keywords: DataFrame) -> DataFrame:
+    """src -> dst where dst has the concept that src defines among its keywords."""
+    defining = objects.where("defines IS NOT NULL AND defines != ''").select(F.col("id").alias("src"), F.col("defines").alias("keyword"))
+    return defining.join(keywords.select(F.col("id").alias("dst"), "keyword").distinct(), "keyword").where("src != dst").select("src", "dst").distinct()
+
+
+def in_out_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, in_degree, out_degree of every node; is_root (nothing before it), is_start (a root with something after it), is_isolated."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(F.col("dst").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")))).alias("e"))
+    sums = ends.groupBy("e.id").agg(F.sum("e.i").alias("i"), F.sum("e.o").alias("o"))
+    known = nodes.select("id").join(sums, "id", "left").select("id", F.coalesce("i", F.lit(0)).alias("in_degree"), F.coalesce("o", F.lit(0)).alias("out_degree"))
+    root = F.col("in_degree") == 0
+    return known.withColumns({"is_root": root, "is_start": root & (F.col("out_degree") > 0), "is_isolated": root & (F.col("out_degree") == 0)})
+
+
+def components(vertex: DataFrame, edges: DataFrame) -> DataFrame:
+    """concept and component, the least concept it reaches.
+
+    Labels fall to the least label of the neighbours and are then followed one step further each round, so rounds
+    grow with the logarithm of the longest shortest path; each is written to the shared folder.
+    """
+    from learngraph.operators.vectors import _written
+
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    both = _written(both.distinct(), "edges")
+    labels = _written(vertex.select("concept", F.col("concept").alias("label")), "labels")
+    while True:
+        near = both.join(labels, both["dst"] == labels["concept"]).groupBy("src").agg(F.min("label").alias("least"))
+        step = labels.join(near, labels["concept"] == near["src"], "left").select("concept", "label", F.least("label", F.coalesce("least", "label")).alias("next"))
+        follow = step.select(F.col("concept").alias("next"), F.col("next").alias("far"))
+        jumped = _written(step.join(follow, "next", "left").select("concept", F.col("label").alias("old"), F.least("next", F.coalesce("far", "next")).alias("label")), "labels")
+        if jumped.where("old != label").isEmpty():
+            return jumped.select("concept", F.col("label").alias("component"))
+        labels = jumped.select("concept", "label")
+
+
+def topological_levels(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, bool]:
+    """(id, level), the edges of the longest path to each node, and whether the graph has no cycle.
+
+    Rounds peel off the nodes without open predecessors; what is never peeled lies on or behind a cycle.
+    """
+    from learngraph.operators.vectors import _written
+
+    open_nodes = _written(nodes.select("id").distinct(), "nodes")
+    open_edges = _written(edges.select("src", "dst").distinct(), "edges")
+    done, level = None, 0
+    while True:
+        free = open_nodes.join(open_edges.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("level", F.lit(level))
+        free = _written(free, "level")
+        if free.isEmpty():
+            break
+        done = free if done is None else done.unionByName(free)
+        open_nodes = _written(open_nodes.join(free, "id", "left_anti"), "nodes")
+        open_edges = _written(open_edges.join(free.select(F.col("id").alias("src")), "src", "left_anti"), "edges")
+        level += 1
+    acyclic = open_nodes.isEmpty()
+    return (done if done is not None else open_nodes.withColumn("level", F.lit(0))), acyclic
+
+
+def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id and depth: the longest, over all roots that reach it, of the shortest paths from a root; null for nodes that none reaches."""
+    from learngraph.operators.vectors import _written
+
+    roots = nodes.select("id").distinct().join(edges.select(F.col("dst").alias("id")), "id", "left_anti")
+    front = _written(roots.select("id", F.col("id").alias("root"), F.lit(0).alias("dist")), "front")
+    seen, step = front, 0
+    while True:
+        step += 1
+        ahead = front.join(edges.select(F.col("src").alias("id"), "dst"), "id").select(F.col("dst").alias("id"), "root").distinct()
+        front = _written(ahead.join(seen.select("id", "root"), ["id", "root"], "left_anti").withColumn("dist", F.lit(step)), "front")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return nodes.select("id").distinct().join(seen.groupBy("id").agg(F.max("dist").alias("depth")), "id", "left")

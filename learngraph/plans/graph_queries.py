@@ -1,13 +1,15 @@
-"""Concept graph queries: unit = order, concept = part, over all line items."""
+"""Graph queries: concepts are parts that share orders; learning objects are orders, their keywords the parts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from learngraph.operators import graph
+from learngraph.operators import graph, vectors
 from learngraph.tables import table
 
+COSINE = 0.3  # of two orders' vectors inside a layer: the embeddings hold few pairs above
+
 
 def incidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
@@ -17,21 +19,124 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cooccurrence_edges(incidence(spark, sf_dir), "l_orderkey", "l_partkey")
 
 
+def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.vertices(incidence(spark, sf_dir), "l_partkey")
+
+
 def centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = graph.degree_centrality(graph.vertices(incidence(spark, sf_dir), "l_partkey"), edges(spark, sf_dir))
+    found = graph.degree_centrality(vertices(spark, sf_dir), edges(spark, sf_dir))
     return found.select("concept", "degree", F.round("centrality", 6).alias("centrality"))
 
 
+def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = graph.graph_summary(vertices(spark, sf_dir), edges(spark, sf_dir))
+    return found.select("nodes", "edges", F.round("density", 6).alias("density"), F.round("avg_degree", 6).alias("avg_degree"))
+
+
+def heavy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.heavy_edges(edges(spark, sf_dir), 2)
+
+
+def not_isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.without_isolated(vertices(spark, sf_dir), heavy(spark, sf_dir))
+
+
+def degree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five concepts of highest degree, ties by concept."""
+    return graph.degrees(vertices(spark, sf_dir), edges(spark, sf_dir)).orderBy(F.desc("degree"), "concept").limit(5)
+
+
+def _keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incidence(spark, sf_dir).select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("keyword"))
+
+
+def anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = graph.anchors(_keywords(spark, sf_dir), graph.degree_centrality(vertices(spark, sf_dir), edges(spark, sf_dir)))
+    return found.select("id", "anchor", F.round("centrality", 6).alias("centrality"))
+
+
+def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders: layer by priority, centrality of their anchor and a vector of the embeddings."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.substring("o_orderpriority", 1, 1).cast("int").alias("layer"))
+    count = table(spark, sf_dir, "embeddings").agg((F.max("vec_id") + 1).alias("n"))
+    placed = orders.crossJoin(F.broadcast(count)).withColumn("vec_id", F.col("id") % F.col("n")).drop("n")  # one row
+    known = placed.join(anchor(spark, sf_dir), "id").join(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector")), "vec_id")
+    return known.select("id", "layer", "centrality", "vector")
+
+
+def layered_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.layered_edges(objects(spark, sf_dir), _keywords(spark, sf_dir), vectors.cosine, COSINE)
+
+
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+
+
+def prerequisites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = graph.prerequisites(nodes(spark, sf_dir), layered_edges(spark, sf_dir))
+    return found.select("id", F.array_join(F.col("prerequisite_ids").cast("array<string>"), ",").alias("prerequisite_ids"))
+
+
+def in_out_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.in_out_degrees(nodes(spark, sf_dir), layered_edges(spark, sf_dir))
+
+
+def edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes, candidate edges, roots by either definition and isolated nodes."""
+    d = in_out_degrees(spark, sf_dir)
+    return d.agg(F.count(F.lit(1)).alias("nodes"), F.sum("out_degree").cast("long").alias("edges"), F.count_if("is_root").alias("roots"), F.count_if("is_start").alias("starts"), F.count_if("is_isolated").alias("isolated"))
+
+
+def _layered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors._written(layered_edges(spark, sf_dir), "layered")
+
+
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.components(nodes(spark, sf_dir).withColumnRenamed("id", "concept"), _layered(spark, sf_dir))
+
+
+def longest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels, acyclic = graph.topological_levels(nodes(spark, sf_dir), _layered(spark, sf_dir))
+    return levels.agg(F.max("level").cast("long").alias("longest_path")).withColumn("is_dag", F.lit(acyclic))
+
+
+def depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.depths(nodes(spark, sf_dir), _layered(spark, sf_dir)).withColumn("depth", F.col("depth").cast("long"))
+
+
 EDGES_SQL = """
 inc AS (SELECT DISTINCT l_orderkey u, l_partkey c FROM lineitem WHERE l_orderkey IS NOT NULL AND l_partkey IS NOT NULL),
 edges AS (SELECT a.c AS src, b.c AS dst, count(*)::BIGINT AS weight FROM inc a JOIN inc b ON a.u = b.u AND a.c < b.c GROUP BY 1, 2),
 vertices AS (SELECT DISTINCT c AS concept FROM inc),
-deg AS (SELECT v.concept, (SELECT 0)::BIGINT + coalesce(d.n, 0)::BIGINT AS degree FROM vertices v
-        LEFT JOIN (SELECT concept, count(*) n FROM (SELECT src AS concept FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1) d USING (concept))
+deg AS (SELECT v.concept, coalesce(d.n, 0)::BIGINT AS degree FROM vertices v LEFT JOIN (SELECT concept, count(*) n FROM (SELECT src AS concept FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1) d USING (concept)),
+cen AS (SELECT concept, degree, degree / ((SELECT count(*) FROM vertices) - 1)::DOUBLE AS centrality FROM deg),
+anc AS (SELECT u AS id, c AS anchor, round(centrality, 6) AS centrality FROM (SELECT u, c, centrality, row_number() OVER (PARTITION BY u ORDER BY centrality DESC, c) k FROM inc JOIN cen ON inc.c = cen.concept) WHERE k = 1)
+"""
+LAYERED_SQL = f"""{EDGES_SQL},
+obj AS (SELECT o_orderkey AS id, substr(o_orderpriority, 1, 1)::INTEGER AS layer, a.centrality, e.embedding::DOUBLE[] AS vector FROM orders JOIN anc a ON a.id = o_orderkey JOIN embeddings e ON e.vec_id = o_orderkey % (SELECT max(vec_id) + 1 FROM embeddings)),
+shr AS (SELECT x.u AS a, y.u AS b, count(*) AS shared FROM inc x JOIN inc y ON x.c = y.c AND x.u <> y.u GROUP BY 1, 2),
+prs AS (SELECT s.a, s.b, s.shared, x.layer la, y.layer lb, x.centrality ca, y.centrality cb FROM shr s JOIN obj x ON x.id = s.a JOIN obj y ON y.id = s.b),
+lay AS (SELECT a AS src, b AS dst FROM prs WHERE la < lb AND shared >= 2 UNION SELECT a, b FROM prs JOIN obj x ON x.id = a JOIN obj y ON y.id = b WHERE la = lb AND ca > cb AND list_cosine_similarity(x.vector, y.vector) >= {COSINE}),
+io AS (SELECT o_orderkey AS id, (SELECT count(*) FROM lay WHERE dst = o_orderkey)::BIGINT AS in_degree, (SELECT count(*) FROM lay WHERE src = o_orderkey)::BIGINT AS out_degree FROM orders)
 """
 
-QUERIES = {"concept_graph_edges": edges, "concept_graph_centrality": centrality}
+QUERIES = {
+    "concept_graph_edges": edges, "concept_graph_centrality": centrality, "concept_graph_stats": summary, "edge_weight_at_least": heavy, "without_isolated": not_isolated, "degree_topk": degree_topk,
+    "anchor": anchor, "layered_edges": layered_edges, "prerequisites": prerequisites, "in_out_degrees": in_out_degrees, "edge_counts": edge_counts, "components": components, "longest_path": longest_path, "depths": depths,
+}
+_DEG = "in_degree = 0 AS is_root, in_degree = 0 AND out_degree > 0 AS is_start, in_degree = 0 AND out_degree = 0 AS is_isolated"
 ORACLES = {
     "concept_graph_edges": f"WITH {EDGES_SQL} SELECT src, dst, weight FROM edges",
-    "concept_graph_centrality": f"WITH {EDGES_SQL} SELECT concept, degree, round(degree / ((SELECT count(*) FROM vertices) - 1)::DOUBLE, 6) AS centrality FROM deg",
+    "concept_graph_centrality": f"WITH {EDGES_SQL} SELECT concept, degree, round(centrality, 6) AS centrality FROM cen",
+    "concept_graph_stats": f"WITH {EDGES_SQL}, s AS (SELECT (SELECT count(*) FROM vertices) AS n, (SELECT count(*) FROM edges) AS m) SELECT n AS nodes, m AS edges, round(2 * m / (n * (n - 1))::DOUBLE, 6) AS density, round(2 * m / n::DOUBLE, 6) AS avg_degree FROM s",
+    "edge_weight_at_least": f"WITH {EDGES_SQL} SELECT src, dst, weight FROM edges WHERE weight >= 2",
+    "without_isolated": f"WITH {EDGES_SQL} SELECT DISTINCT concept FROM (SELECT src AS concept FROM edges WHERE weight >= 2 UNION ALL SELECT dst FROM edges WHERE weight >= 2)",
+    "degree_topk": f"WITH {EDGES_SQL} SELECT concept, degree FROM deg ORDER BY degree DESC, concept LIMIT 5",
+    "anchor": f"WITH {EDGES_SQL} SELECT id, anchor, centrality FROM anc",
+    "layered_edges": f"WITH {LAYERED_SQL} SELECT src, dst FROM lay",
+    "prerequisites": f"WITH {LAYERED_SQL} SELECT o_orderkey AS id, coalesce(string_agg(src::VARCHAR, ',' ORDER BY src), '') AS prerequisite_ids FROM orders LEFT JOIN lay ON dst = o_orderkey GROUP BY 1",
+    "in_out_degrees": f"WITH {LAYERED_SQL} SELECT id, in_degree, out_degree, {_DEG} FROM io",
+    "edge_counts": f"WITH {LAYERED_SQL} SELECT count(*)::BIGINT AS nodes, sum(out_degree)::BIGINT AS edges, count(*) FILTER (WHERE in_degree = 0)::BIGINT AS roots, count(*) FILTER (WHERE in_degree = 0 AND out_degree > 0)::BIGINT AS starts, count(*) FILTER (WHERE in_degree = 0 AND out_degree = 0)::BIGINT AS isolated FROM io",
+    "longest_path": f"WITH RECURSIVE {LAYERED_SQL}, lp(id, len) AS (SELECT o_orderkey, 0 FROM orders UNION SELECT dst, len + 1 FROM lp JOIN lay ON src = lp.id) SELECT max(len)::BIGINT AS longest_path, TRUE AS is_dag FROM lp",
+    "depths": f"WITH RECURSIVE {LAYERED_SQL}, bf(id, root, dist) AS (SELECT id, id, 0 FROM io WHERE in_degree = 0 UNION SELECT dst, root, dist + 1 FROM bf JOIN lay ON src = bf.id), sp AS (SELECT id, root, min(dist) AS dist FROM bf GROUP BY 1, 2) SELECT o_orderkey AS id, max(dist)::BIGINT AS depth FROM orders LEFT JOIN sp ON sp.id = o_orderkey GROUP BY 1",
 }
