@@ -23,6 +23,14 @@ OUTSIDE = [
 CODE = r"`|(?:^|[^\p{L}\p{N}_])(?:def|class|import) (?:$|[\p{L}\p{N}_])|<-\s|(?:^|[^\p{L}\p{N}_])print\("
 
 
+_BLANK = " \t\n\r\f\v"
+
+
+def strip(c: Column) -> Column:
+    """Without white space at either end."""
+    return F.btrim(c, F.lit(_BLANK))
+
+
 def truthy(c: Column) -> Column:
     """Neither null nor the empty text."""
     return F.coalesce(F.length(c) > 0, F.lit(False))
@@ -97,7 +105,7 @@ def question_and_answer(question: Column, answer: Column) -> Column:
 
 def with_provenance(hint: Column, source: Column, page: Column) -> Column:
     """The hint without its last dots, then its source and page, as far as they are known."""
-    bare = F.regexp_replace(F.coalesce(hint, F.lit("")), r"\.+$", "")
+    bare = F.regexp_replace(F.coalesce(hint, F.lit("")), r"\.+\z", "")
     paged = truthy(page.cast("string")) & (page != 0)
     return (
         F.when(truthy(source) & F.coalesce(paged, F.lit(False)), F.concat(bare, F.lit(". [Source: "), source, F.lit(", p. "), page.cast("string"), F.lit("]")))
@@ -109,19 +117,19 @@ def with_provenance(hint: Column, source: Column, page: Column) -> Column:
 def hint_text(hint: Column) -> Column:
     """What stands before the source of a hint."""
     hint = F.coalesce(hint, F.lit(""))
-    before = F.regexp_replace(F.trim(F.element_at(F.split(hint, r"\[Source:"), 1)), r"\.+$", "")
-    return F.when(F.contains(hint, F.lit("[Source:")), before).otherwise(F.trim(hint))
+    before = F.regexp_replace(strip(F.element_at(F.split(hint, r"\[Source:"), 1)), r"\.+\z", "")
+    return F.when(F.contains(hint, F.lit("[Source:")), before).otherwise(strip(hint))
 
 
 def hint_source(hint: Column) -> Column:
     """The source of a hint without its page; null if it has none."""
     hint = F.coalesce(hint, F.lit(""))
-    after = F.concat(F.lit("[Source:"), F.trim(F.element_at(F.split(hint, r"\[Source:"), 2)))
-    return F.when(F.contains(hint, F.lit("[Source:")), F.trim(F.regexp_replace(after, r",\s*p\.\s*\d+", "")))
+    after = F.concat(F.lit("[Source:"), strip(F.element_at(F.split(hint, r"\[Source:"), 2)))
+    return F.when(F.contains(hint, F.lit("[Source:")), strip(F.regexp_replace(after, r",\s*p\.\s*\d+", "")))
 
 
 def source_prefix(title: Column) -> Column:
-    return F.trim(F.substring_index(F.coalesce(title, F.lit("")), " - ", 1))
+    return strip(F.substring_index(F.coalesce(title, F.lit("")), " - ", 1))
 
 
 def model_short_name(model: Column) -> Column:
@@ -147,7 +155,7 @@ def html_paragraph(text: Column) -> Column:
 
 def strip_fences(text: Column) -> Column:
     """A model's answer without the code fence around it."""
-    bare = F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"\A```(?:json)?\s*", "")
+    bare = F.regexp_replace(strip(F.coalesce(text, F.lit(""))), r"\A```(?:json)?\s*", "")
     return F.regexp_replace(bare, r"\s*```\z", "")
 
 

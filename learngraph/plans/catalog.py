@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from learngraph.plans import graph_queries, quality_queries, text_queries, vector_queries
+from learngraph.plans import generation_queries, graph_queries, quality_queries, text_queries, vector_queries
 
-MODULES = (text_queries, quality_queries, graph_queries, vector_queries)
+MODULES = (text_queries, quality_queries, graph_queries, vector_queries, generation_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
