@@ -2,7 +2,7 @@
 
 Two collections of ``SIDE`` keys are made, each key of ``TIE`` minima. Table (i, j) is keyed by the
 i-th key of the first and the j-th of the second collection, so 2 * SIDE * TIE minima serve
-SIDE^2 tables; at similarity 0.8 a pair shares no table with probability below 1e-4. Second keys are
+SIDE^2 tables; at similarity 0.8 a pair shares no table with probability 6e-4, at 0.9 below 1e-6. Second keys are
 expanded only where a first key is shared, which leaves out texts like no other.
 
 Texts of equal shingle sets are one class, named by a 128-bit digest, and only classes are
@@ -34,8 +34,10 @@ from learngraph.llm.components import components
 from learngraph.llm.shared import written
 from learngraph.llm.shingles import digest, minima, mix, shingle_sets
 
-SIDE, TIE = 10, 2
+SIDE, TIE = 8, 2
 COUNTERS = 1 << 20  # of the rare-first order
+BITS = 512  # of a set's bitmap
+_MAPS = [f"m{k}" for k in range(BITS // 64)]
 SIGNATURES = "doc_id long, n_shingles long, digest binary, first array<long>, second array<long>"
 
 
@@ -90,7 +92,10 @@ def _wanted_bitmap(ids: DataFrame, n: int) -> tuple[np.ndarray, int]:
 
 
 def _sets(docs: DataFrame, classes: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """digest, size, items (the set's hashes, 8 bytes each, rising) of the classes, which must have a least id of theirs."""
+    """digest, size, bitmap and items (the set's hashes, 8 bytes each, rising) of the classes, which must have a least id of theirs.
+
+    Rows that the id's bitmap hits falsely are there too; they meet no pair.
+    """
     bitmap, bits = _wanted_bitmap(classes.select(F.col("doc_id").alias("id")), classes.count())
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
@@ -102,12 +107,26 @@ def _sets(docs: DataFrame, classes: DataFrame, words: int, id_col: str, text_col
             if len(hit):
                 for texts, _ in _rows(batch.take(pa.array(hit))):
                     sets = [s for s in shingle_sets(texts, words) if len(s)]
-                    yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["digest", "size", "items"])
+                    on = np.zeros((len(sets), BITS), bool)
+                    for k, x in enumerate(sets):
+                        on[k, (x & np.uint64(BITS - 1)).astype(np.int64)] = True
+                    maps = np.packbits(on, axis=1, bitorder="little").view(np.int64)
+                    columns = [pa.array([digest(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(m) for m in maps.T.copy()), pa.array([x.tobytes() for x in sets], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["digest", "size", *_MAPS, "items"])
 
     key = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << bits))
-    made = docs.select(F.col(text_col).cast("string"), key).mapInArrow(run, "digest binary, size long, items binary")
-    found = made.join(classes.select("digest"), "digest", "left_semi")
-    return written(found.dropDuplicates(["digest"]), "shingle-sets")
+    made = docs.select(F.col(text_col).cast("string"), key).mapInArrow(run, f"digest binary, size long, {', '.join(f'{m} long' for m in _MAPS)}, items binary")
+    found = written(made, "shingle-sets")
+    if found.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return found
+    return written(found.dropDuplicates(["digest"]), "shingle-sets")  # an id stands on several rows
+
+
+def _may_share(x: str, y: str, nx: str, ny: str, percent: int) -> str:
+    """SQL: sizes and bitmaps leave room for the similarity. A bit of x that y lacks stands for an item that y lacks."""
+    lacks = lambda a, b: " + ".join(f"bit_count({a}{m} & ~{b}{m})" for m in _MAPS)
+    need = f"{percent} * ({nx} + {ny})"
+    return f"100 * least({nx}, {ny}) >= {percent} * greatest({nx}, {ny}) AND {100 + percent} * ({nx} - ({lacks(x, y)})) >= {need} AND {100 + percent} * ({ny} - ({lacks(y, x)})) >= {need}"
 
 
 @F.pandas_udf(LongType())
@@ -125,10 +144,10 @@ def _common(left: pd.Series, right: pd.Series) -> pd.Series:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) whose sets are similar enough."""
-    sizes = sets.select("digest", "size")
-    near = pairs.join(sizes.select(F.col("digest").alias("a"), F.col("size").alias("na")), "a").join(sizes.select(F.col("digest").alias("b"), F.col("size").alias("nb")), "b")
-    near = near.where(F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)"))
+    """The (a, b) whose sets are similar enough. Sets are fetched only where sizes and bitmaps leave it open."""
+    brief = lambda side: sets.select(F.col("digest").alias(side), F.col("size").alias(f"n{side}"), *[F.col(m).alias(f"{side}_{m}") for m in _MAPS])
+    near = pairs.join(brief("a"), "a").join(brief("b"), "b").where(F.expr(_may_share("a_", "b_", "na", "nb", percent))).select("a", "b", "na", "nb")
+    near = written(near, "candidates")
     full = near.join(sets.select(F.col("digest").alias("b"), F.col("items").alias("y")), "b").join(sets.select(F.col("digest").alias("a"), F.col("items").alias("x")), "a")
     counted = full.select("a", "b", "na", "nb", _common("x", "y").alias("c"))
     return written(counted.where(F.expr(f"100 * c >= {percent} * (na + nb - c)")).select("a", "b"), "links")
@@ -158,7 +177,7 @@ def _counters(sets: DataFrame) -> np.ndarray:
 
 
 def _across(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all pairs of different ``root`` that the size, prefix and position filters can't rule out.
+    """(a, b): all pairs of different ``root`` that the size, prefix, position and bitmap filters can't rule out.
 
     Items stand in one order for all sets: rare counters first. For similarity t, a smaller set x
     and a larger set y share at least t / (1 + t) * (|x| + |y|) items, so the first items of x
@@ -188,11 +207,11 @@ def _across(sets: DataFrame, percent: int) -> DataFrame:
 
     prefixes = sets.select("digest", "root", "items").mapInArrow(run, "item long, digest binary, root binary, place long, indexed boolean, size long")
     mixed = prefixes.groupBy("item").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("item")
-    held = prefixes.join(mixed, "item")
+    held = prefixes.join(mixed, "item").join(sets.select("digest", *_MAPS), "digest")
     x, y = held.where("indexed").alias("x"), held.alias("y")
     fits = F.expr(
         "x.item = y.item AND x.root != y.root AND (x.size < y.size OR (x.size = y.size AND x.digest < y.digest))"
-        f" AND 100 * x.size >= {percent} * y.size AND (100 + {percent}) * least(x.size - x.place, y.size - y.place) >= {percent} * (x.size + y.size)"
+        f" AND {100 + percent} * least(x.size - x.place, y.size - y.place) >= {percent} * (x.size + y.size) AND {_may_share('x.', 'y.', 'x.size', 'y.size', percent)}"
     )
     return x.join(y, fits).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct()
 
