@@ -166,7 +166,7 @@ def tidy_json(text: Column) -> Column:
 
 def repair_escapes(text: Column) -> Column:
     """Backslashes that begin no JSON escape are doubled."""
-    return F.regexp_replace(text, r'\\(?!["\\/bfnrtu])', r"\\\\\\\\")
+    return F.regexp_replace(text, r'\\(?!["\\/bfnrtu])', r"\\\\")
 
 
 def file_name(path: Column) -> Column:
