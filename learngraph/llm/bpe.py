@@ -24,7 +24,7 @@ _ENCODERS: dict[tuple[str, int], BpeEncoder] = {}
 class BpeEncoder:
     """ids of texts as arrays of ``dtype``; a null text has the ids of the empty text."""
 
-    def __init__(self, path: str, memo: int = 1_000_000) -> None:
+    def __init__(self, path: str, memo: int = 1_600_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -138,7 +138,7 @@ class BpeEncoder:
         return out
 
 
-def encoder(path: str, memo: int = 1_000_000) -> BpeEncoder:
+def encoder(path: str, memo: int = 1_600_000) -> BpeEncoder:
     """One encoder a worker process, kept between tasks."""
     if (path, memo) not in _ENCODERS:
         _ENCODERS[path, memo] = BpeEncoder(path, memo)
