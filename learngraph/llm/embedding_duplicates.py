@@ -139,7 +139,11 @@ def link(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embed
             if held:
                 yield pa.Table.from_batches(held)
 
-        out: list[tuple[list, list, list]] = [([], [], [])]
+        def rows(out):
+            digests, counts, roots = zip(*out, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(roots, pa.binary())], names=["digest", "links", "root"])
+
+        out: list[tuple[bytes, int, bytes]] = []
         for g in groups():
             if g.num_rows < 2:
                 continue
@@ -162,14 +166,12 @@ def link(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embed
                     i, j = find(i), find(j)
                     if i != j:
                         root[max(i, j)] = min(i, j)
-                for i in np.unique(pairs).tolist():
-                    out[0][0].append(digests[i])
-                    out[0][1].append(int(links[i]))
-                    out[0][2].append(digests[find(i)])
-                if len(out[0][0]) > 10_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(out[0][0], pa.binary()), pa.array(out[0][1], pa.int64()), pa.array(out[0][2], pa.binary())], names=["digest", "links", "root"])
-                    out[0] = ([], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(out[0][0], pa.binary()), pa.array(out[0][1], pa.int64()), pa.array(out[0][2], pa.binary())], names=["digest", "links", "root"])
+                out += [(digests[i], int(links[i]), digests[find(i)]) for i in np.unique(pairs).tolist()]
+                if len(out) > 10_000:
+                    yield rows(out)
+                    out = []
+        if out:
+            yield rows(out)
 
     found = written(full.mapInArrow(compare, "digest binary, links long, root binary"), "vector-links")
     links = found.groupBy("digest").agg(F.sum("links").alias("links"))
