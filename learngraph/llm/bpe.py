@@ -75,31 +75,31 @@ class BpeEncoder:
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
         """The ids of each chunk with a space before it; the mark of an unsafe text where it can't be taken alone.
 
-        Letters and the punctuation after them are separate pre-tokens, so such a chunk is its word and its tail.
+        Letters and the punctuation after them are separate pre-tokens, so a known word gives those of its forms with a tail.
         """
         found: dict[str, bytes] = {}
-        apart: list[tuple[str, str, str]] = []
-        words: set[str] = set()
+        todo: list[str] = []
+        known, tails = self.memo.get, self.tails
         for c in chunks:
             w = c.rstrip(_TAIL)
             if w.isalpha():
-                apart.append((c, w, c[len(w) :]))
-                words.add(w)
+                ids = known(w) if len(w) < len(c) else None
+                if ids is None:
+                    todo.append(c)
+                    continue
+                t = c[len(w) :]
+                if t not in tails:
+                    tails[t] = self._whole([t])[0].tobytes()
+                found[c] = ids + tails[t]
             elif not c or ("\n" in c and (c[0] == "\n" or c[-1] == "\n")) or _SPACE.search(c.replace("\n", "")) or "\0" in c:
                 found[c] = self.unsafe
             else:
-                apart.append((c, c, ""))
-                words.add(c)
-        memo, tails = self.memo, self.tails
-        known = {w: memo[w] for w in words if w in memo}
-        known |= self._words([w for w in words if w not in known])
-        for t in {t for _, _, t in apart}.difference(tails):
-            tails[t] = self._whole([t])[0].tobytes() if t else b""
-        found.update([(c, known[w] + tails[t]) for c, w, t in apart])
+                todo.append(c)
+        found.update(self._words(todo))
         if len(tails) > 100_000:
             self.tails = {}
-        if room := max(0, self.memo_size - len(memo)):
-            memo.update([(c, found[c]) for c in chunks if len(c) <= 64][:room])
+        if room := max(0, self.memo_size - len(self.memo)):
+            self.memo.update([(c, v) for c, v in found.items() if len(c) <= 64][:room])
         return found
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -108,6 +108,7 @@ class BpeEncoder:
             return self._whole(texts)
         flat = f" {_NEXT} ".join(texts).split(" ")
         values = list(map(self.memo.get, flat))
+        learned: dict[str, bytes] = {}
         if None in values:
             at = [k for k, v in enumerate(values) if v is None]
             learned = self._learn({flat[k] for k in at})
@@ -126,7 +127,7 @@ class BpeEncoder:
         for k, (head, own) in enumerate(zip(heads, self._whole(heads), strict=True)):
             if k in rest:
                 continue
-            spaced = self.memo.get(head) or self._learn({head})[head] if head else self.unsafe
+            spaced = learned.get(head) or self.memo[head] if head else self.unsafe
             if spaced == self.unsafe:
                 rest.add(k)
             else:

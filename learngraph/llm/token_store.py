@@ -26,7 +26,7 @@ SHARD_SCHEMA = "part int, shard int, n_docs long, n_tokens long, payload binary"
 DOC_SCHEMA = "part int, shard int, doc_id long, shard_start long, n_tokens long, ids_crc32 long"
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, shard_tokens: int = 1 << 19) -> None:
+def write_shards(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, shard_tokens: int = 1 << 18) -> None:
     """Encode every text, append ``end_id`` to each document and write the shards to ``path``."""
 
     def run(batches):

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import struct
-import zlib
 
 import numpy as np
+import zstandard
 
 MAGIC = b"WVM1"
 _HEAD = struct.Struct("<4sBQQ")  # magic, planes, tokens, documents
@@ -42,8 +42,8 @@ class WaveletMatrix:
             bit = np.unpackbits(self.planes[level], count=self.n).view(np.bool_)
             z = self.zeros[level]
             w = np.empty_like(v)
-            w[~bit] = v[:z]
-            w[bit] = v[z:] | v.dtype.type(1 << (bits - 1 - level))
+            w[np.flatnonzero(~bit)] = v[:z]
+            w[np.flatnonzero(bit)] = v[z:] | v.dtype.type(1 << (bits - 1 - level))
             v = w
         return v
 
@@ -108,7 +108,7 @@ class WaveletMatrix:
         return at
 
     def to_bytes(self, starts: np.ndarray, doc_ids: np.ndarray, known: np.ndarray) -> bytes:
-        """The blob: head, document table (starts, ids, which ids aren't null), planes; each part deflated only where that helps."""
+        """The blob: head, document table (starts, ids, which ids aren't null), planes; each part compressed only where that helps."""
         out = [_HEAD.pack(MAGIC, len(self.planes), self.n, len(doc_ids))]
         table = [starts.astype("<u8").tobytes(), doc_ids.astype("<i8").tobytes(), np.packbits(known.astype(bool)).tobytes()]
         table.append(np.array(self.zeros, "<u8").tobytes())
@@ -129,7 +129,7 @@ class WaveletMatrix:
             at += 17
             raw = blob[at : at + size]
             at += size
-            parts.append(zlib.decompress(raw) if small else raw)
+            parts.append(zstandard.decompress(raw, max_output_size=whole) if small else raw)
             if len(parts[-1]) != whole:
                 raise ValueError("truncated shard")
         starts, ids = np.frombuffer(parts[0], "<u8"), np.frombuffer(parts[1], "<i8")
@@ -139,8 +139,9 @@ class WaveletMatrix:
 
 
 def _squeezed(raw: bytes) -> bytes:
-    """Deflated if a sample of 4 KB shrinks by a quarter, else as it is."""
-    if len(zlib.compress(raw[:4096], 1)) > 0.75 * min(len(raw), 4096):
+    """Compressed if a sample of 4 KB shrinks by a tenth, else as it is."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    if len(pack(raw[:4096])) > 0.9 * min(len(raw), 4096):
         return raw
-    small = zlib.compress(raw, 1)
+    small = pack(raw)
     return small if len(small) < len(raw) else raw
