@@ -179,3 +179,12 @@ def extension(path: Column) -> Column:
 
 def event_frame(stage: Column, line: Column) -> Column:
     return F.concat(F.lit("data: "), stage, F.lit("::"), line, F.lit("\n\n"))
+
+
+SECTION_BREAK = "\n\n--- SECTION BREAK ---\n\n"
+
+
+def joined_sections(order: str, content: str) -> Column:
+    """An aggregate: the contents of a group of sections in order, a break between them."""
+    packed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(F.col(content), F.lit("")).alias("c"))))
+    return F.array_join(F.transform(packed, lambda x: x["c"]), SECTION_BREAK)

@@ -51,6 +51,21 @@ def heavy_edges(edges: DataFrame, least: int = 3) -> DataFrame:
     return edges.where(F.col("weight") >= least)
 
 
+def drawing_sizes(vertex: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a picture of the graph shows: concept and node size (20 + 10 a degree); src, dst and width (0.2 + 1.5 of the heaviest edge)."""
+    nodes = degrees(vertex, edges).select("concept", (20 + 10 * F.col("degree")).alias("size"))
+    top = edges.agg(F.max("weight").alias("_top"))  # one row
+    widths = edges.crossJoin(F.broadcast(top)).select("src", "dst", (0.2 + 1.5 * F.col("weight") / F.col("_top")).alias("width"))
+    return nodes, widths
+
+
+def named_edges(edges: DataFrame, objects: DataFrame, id_col: str, name_col: str, default: str = "") -> DataFrame:
+    """Edges with the names of both ends; the default for ends that no object has."""
+    name = lambda side: objects.select(F.col(id_col).alias(side), F.col(name_col).alias(f"{side}_name"))
+    known = edges.join(name("src"), "src", "left").join(name("dst"), "dst", "left")
+    return known.withColumns({c: F.coalesce(c, F.lit(default)) for c in ("src_name", "dst_name")})
+
+
 def without_isolated(vertex: DataFrame, edges: DataFrame) -> DataFrame:
     ends = edges.select(F.explode(F.array("src", "dst")).alias("concept")).distinct()
     return vertex.join(ends, "concept", "left_semi")

@@ -46,6 +46,15 @@ def degree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.degrees(vertices(spark, sf_dir), edges(spark, sf_dir)).orderBy(F.desc("degree"), "concept").limit(5)
 
 
+def node_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.drawing_sizes(vertices(spark, sf_dir), edges(spark, sf_dir))[0]
+
+
+def edge_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = graph.drawing_sizes(vertices(spark, sf_dir), edges(spark, sf_dir))[1]
+    return found.select("src", "dst", F.round("width", 6).alias("width"))
+
+
 def _keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incidence(spark, sf_dir).select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("keyword"))
 
@@ -81,6 +90,17 @@ def in_out_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.in_out_degrees(nodes(spark, sf_dir), layered_edges(spark, sf_dir))
 
 
+def in_degree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five objects that most others come before, ties by id."""
+    return in_out_degrees(spark, sf_dir).select("id", "in_degree").orderBy(F.desc("in_degree"), "id").limit(5)
+
+
+def named_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate edges with the priorities of both orders; those of finished orders only, ``other`` for the rest."""
+    done = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+    return graph.named_edges(layered_edges(spark, sf_dir), done, "o_orderkey", "o_orderpriority", "other")
+
+
 def edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes, candidate edges, roots by either definition and isolated nodes."""
     d = in_out_degrees(spark, sf_dir)
@@ -122,6 +142,7 @@ io AS (SELECT o_orderkey AS id, (SELECT count(*) FROM lay WHERE dst = o_orderkey
 
 QUERIES = {
     "concept_graph_edges": edges, "concept_graph_centrality": centrality, "concept_graph_stats": summary, "edge_weight_at_least": heavy, "without_isolated": not_isolated, "degree_topk": degree_topk,
+    "node_sizes": node_sizes, "edge_widths": edge_widths, "in_degree_topk": in_degree_topk, "named_edges": named_edges,
     "anchor": anchor, "layered_edges": layered_edges, "prerequisites": prerequisites, "in_out_degrees": in_out_degrees, "edge_counts": edge_counts, "components": components, "longest_path": longest_path, "depths": depths,
 }
 _DEG = "in_degree = 0 AS is_root, in_degree = 0 AND out_degree > 0 AS is_start, in_degree = 0 AND out_degree = 0 AS is_isolated"
@@ -133,6 +154,10 @@ ORACLES = {
     "without_isolated": f"WITH {EDGES_SQL} SELECT DISTINCT concept FROM (SELECT src AS concept FROM edges WHERE weight >= 2 UNION ALL SELECT dst FROM edges WHERE weight >= 2)",
     "degree_topk": f"WITH {EDGES_SQL} SELECT concept, degree FROM deg ORDER BY degree DESC, concept LIMIT 5",
     "anchor": f"WITH {EDGES_SQL} SELECT id, anchor, centrality FROM anc",
+    "node_sizes": f"WITH {EDGES_SQL} SELECT concept, 20 + 10 * degree AS size FROM deg",
+    "edge_widths": f"WITH {EDGES_SQL} SELECT src, dst, round(0.2::DOUBLE + 1.5::DOUBLE * weight / (SELECT max(weight) FROM edges), 6) AS width FROM edges",
+    "in_degree_topk": f"WITH {LAYERED_SQL} SELECT id, in_degree FROM io ORDER BY in_degree DESC, id LIMIT 5",
+    "named_edges": f"WITH {LAYERED_SQL} SELECT src, dst, coalesce(x.o_orderpriority, 'other') AS src_name, coalesce(y.o_orderpriority, 'other') AS dst_name FROM lay LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') x ON x.o_orderkey = src LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') y ON y.o_orderkey = dst",
     "layered_edges": f"WITH {LAYERED_SQL} SELECT src, dst FROM lay",
     "prerequisites": f"WITH {LAYERED_SQL} SELECT o_orderkey AS id, coalesce(string_agg(src::VARCHAR, ',' ORDER BY src), '') AS prerequisite_ids FROM orders LEFT JOIN lay ON dst = o_orderkey GROUP BY 1",
     "in_out_degrees": f"WITH {LAYERED_SQL} SELECT id, in_degree, out_degree, {_DEG} FROM io",

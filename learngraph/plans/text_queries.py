@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from learngraph.functions import text as T
 from learngraph.plans.bindings import QA_SQL, UNITS_SQL, question_answers, units
 from learngraph.schemas import CHOICE_TYPES, LAYERS, STOPWORDS, UNIT_TYPES
-from learngraph.sources.sections import split_sections
+from learngraph.sources.sections import dispatch, split_sections
 from learngraph.tables import table
 
 _IN = lambda words: ", ".join(f"'{w}'" for w in words)
@@ -36,6 +36,29 @@ def token_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return question_answers(spark, sf_dir).select("conv_id", "turn", F.round(T.similarity(q, a), 6).alias("similarity"), T.are_similar(q, a).alias("are_similar"))
 
 
+def concept_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords in all and distinct, over all documents."""
+    each = table(spark, sf_dir, "documents").select(F.explode(T.keywords(F.col("text"))).alias("k"))
+    return each.agg(F.count(F.lit(1)).alias("concepts"), F.countDistinct("k").alias("distinct_concepts"))
+
+
+def joined_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of each conversation in order, as one text."""
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(T.joined_sections("turn", "text").alias("content"))
+
+
+def format_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Urls as file paths, with an extension by their number: what is read as what, and what is refused."""
+    ends = F.element_at(F.array(*[F.lit(x) for x in (".PDF", ".html", ".htm", ".pptx", ".ppt", ".txt", "")]), (F.col("page_id") % 7 + 1).cast("int"))
+    files = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("dir/page"), F.col("page_id").cast("string"), ends).alias("path"))
+    known, refused = dispatch(files)
+    return known.unionByName(refused, allowMissingColumns=True)
+
+
+def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", T.event_frame(F.col("event_type"), F.col("props")).alias("frame"))
+
+
 def type_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units(spark, sf_dir).groupBy(T.coerce_type(F.col("type")).alias("type")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -81,11 +104,15 @@ _FOUND = [f"nullif(regexp_extract(question, '(?i){_L}({p}){_R}', 1), '')" for p
 
 QUERIES = {
     "tokens": tokens, "keywords": keywords, "lexical_overlap": lexical_overlap, "token_similarity": token_similarity, "type_distribution": type_distribution,
-    "unit_projection": unit_projection, "hints": hints, "external_reference": external_reference, "defined_concepts": defined_concepts, "section_split": section_split,
+    "unit_projection": unit_projection, "hints": hints, "external_reference": external_reference, "defined_concepts": defined_concepts, "section_split": section_split, "concept_counts": concept_counts, "joined_sections": joined_sections, "format_dispatch": format_dispatch, "event_frames": event_frames,
 }
 ORACLES = {
     "tokens": f"WITH t AS (SELECT doc_id, {_TOK.format('text')} AS w FROM documents) SELECT doc_id, len(w)::BIGINT AS n_tokens, len(list_distinct(w))::BIGINT AS n_distinct, array_to_string(list_sort(list_distinct(w)), ' ') AS vocabulary FROM t",
     "keywords": f"SELECT doc_id, array_to_string(list_sort(list_filter(list_distinct({_TOK.format('text')}), lambda x: length(x) > 1 AND x NOT IN ({_IN(STOPWORDS)}))), ' ') AS keywords FROM documents",
+    "concept_counts": f"WITH k AS (SELECT unnest(list_filter(list_distinct({_TOK.format('text')}), lambda x: length(x) > 1 AND x NOT IN ({_IN(STOPWORDS)}))) AS k FROM documents) SELECT count(*)::BIGINT AS concepts, count(DISTINCT k)::BIGINT AS distinct_concepts FROM k",
+    "joined_sections": "SELECT conv_id, string_agg(coalesce(text, ''), chr(10) || chr(10) || '--- SECTION BREAK ---' || chr(10) || chr(10) ORDER BY turn, text) AS content FROM conversations GROUP BY 1",
+    "format_dispatch": "WITH f AS (SELECT page_id, ['.PDF', '.html', '.htm', '.pptx', '.ppt', '.txt', ''][page_id % 7 + 1] AS e FROM pages) SELECT page_id, 'dir/page' || page_id || e AS path, CASE lower(e) WHEN '.pdf' THEN 'pdf' WHEN '.html' THEN 'html' WHEN '.htm' THEN 'html' WHEN '.pptx' THEN 'pptx' WHEN '.ppt' THEN 'pptx' END AS format, CASE WHEN e IN ('.txt', '') THEN 'unsupported file format: ' || e END AS reason FROM f",
+    "event_frames": "SELECT event_id, 'data: ' || event_type || '::' || props || chr(10) || chr(10) AS frame FROM events",
     "lexical_overlap": f"WITH {QA_SQL}, t AS (SELECT conv_id, turn, list_distinct({_TOK.format('question')}) s, list_distinct({_TOK.format('answer')}) a FROM qa) SELECT conv_id, turn, CASE WHEN len(a) = 0 THEN 0.0::DOUBLE ELSE round(len(list_intersect(s, a))::DOUBLE / len(a), 6) END AS lexical_overlap FROM t",
     "token_similarity": f"WITH {QA_SQL}, t AS (SELECT conv_id, turn, {_BLANK.format('question')} s, {_BLANK.format('answer')} a FROM qa), v AS (SELECT conv_id, turn, CASE WHEN least(len(s), len(a)) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(s, a))::DOUBLE / least(len(s), len(a)) END AS x FROM t) SELECT conv_id, turn, round(x, 6) AS similarity, x > 0.6 AS are_similar FROM v",
     "type_distribution": f"WITH {UNITS_SQL} SELECT CASE WHEN type IN ({_IN(UNIT_TYPES)}) THEN type ELSE 'fact' END AS type, count(*)::BIGINT AS n FROM units GROUP BY 1",
