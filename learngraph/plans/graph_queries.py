@@ -162,6 +162,7 @@ ORACLES = {
     "prerequisites": f"WITH {LAYERED_SQL} SELECT o_orderkey AS id, coalesce(string_agg(src::VARCHAR, ',' ORDER BY src), '') AS prerequisite_ids FROM orders LEFT JOIN lay ON dst = o_orderkey GROUP BY 1",
     "in_out_degrees": f"WITH {LAYERED_SQL} SELECT id, in_degree, out_degree, {_DEG} FROM io",
     "edge_counts": f"WITH {LAYERED_SQL} SELECT count(*)::BIGINT AS nodes, sum(out_degree)::BIGINT AS edges, count(*) FILTER (WHERE in_degree = 0)::BIGINT AS roots, count(*) FILTER (WHERE in_degree = 0 AND out_degree > 0)::BIGINT AS starts, count(*) FILTER (WHERE in_degree = 0 AND out_degree = 0)::BIGINT AS isolated FROM io",
+    "components": f"WITH RECURSIVE {LAYERED_SQL}, und AS (SELECT src AS u, dst AS v FROM lay UNION SELECT dst, src FROM lay), cc(id, label) AS (SELECT o_orderkey, o_orderkey FROM orders UNION SELECT v, label FROM cc JOIN und ON u = cc.id WHERE label < v) SELECT id AS concept, min(label) AS component FROM cc GROUP BY 1",
     "longest_path": f"WITH RECURSIVE {LAYERED_SQL}, lp(id, len) AS (SELECT o_orderkey, 0 FROM orders UNION SELECT dst, len + 1 FROM lp JOIN lay ON src = lp.id) SELECT max(len)::BIGINT AS longest_path, TRUE AS is_dag FROM lp",
     "depths": f"WITH RECURSIVE {LAYERED_SQL}, bf(id, root, dist) AS (SELECT id, id, 0 FROM io WHERE in_degree = 0 UNION SELECT dst, root, dist + 1 FROM bf JOIN lay ON src = bf.id), sp AS (SELECT id, root, min(dist) AS dist FROM bf GROUP BY 1, 2) SELECT o_orderkey AS id, max(dist)::BIGINT AS depth FROM orders LEFT JOIN sp ON sp.id = o_orderkey GROUP BY 1",
 }

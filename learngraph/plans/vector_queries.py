@@ -87,6 +87,12 @@ ORACLES = {
     "semantic_dedup": f"""WITH RECURSIVE {_PAIR}, low AS (SELECT b AS id, list(a) AS below FROM prs WHERE cosine >= {DEDUP} GROUP BY 1), n AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS k, coalesce(below, []) AS below FROM embeddings LEFT JOIN low ON low.id = vec_id),
       g(k, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT g.k + 1, CASE WHEN len(list_intersect(g.kept, n.below)) = 0 THEN list_append(g.kept, n.id) ELSE g.kept END FROM g JOIN n ON n.k = g.k + 1)
       SELECT vec_id, label FROM embeddings WHERE vec_id IN (SELECT unnest(kept) FROM g WHERE k = (SELECT max(k) FROM n))""",
+    "merge_pairs": f"""WITH RECURSIVE {_PAIR}, up AS (SELECT a AS id, list(b ORDER BY b) AS above FROM prs WHERE cosine >= {DEDUP} GROUP BY 1), n AS (SELECT id, row_number() OVER (ORDER BY id) AS k, above FROM up),
+      g(k, gone, made) AS (SELECT 0::BIGINT, []::BIGINT[], []::BIGINT[][] UNION ALL SELECT g.k + 1,
+        CASE WHEN list_contains(gone, id) OR len(list_filter(above, lambda x: NOT list_contains(gone, x))) = 0 THEN gone ELSE list_concat(gone, [id, list_filter(above, lambda x: NOT list_contains(gone, x))[1]]) END,
+        CASE WHEN list_contains(gone, id) OR len(list_filter(above, lambda x: NOT list_contains(gone, x))) = 0 THEN made ELSE list_append(made, [id, list_filter(above, lambda x: NOT list_contains(gone, x))[1]]) END
+        FROM g JOIN n ON n.k = g.k + 1),
+      p AS (SELECT unnest(made) AS p FROM g WHERE k = (SELECT max(k) FROM n)) SELECT p[1] AS a, p[2] AS b FROM p""",
     "export_by_source": f"WITH {_EXPORT} SELECT coalesce(st, 'Unknown Source') AS title, (row_number() OVER (PARTITION BY coalesce(st, 'Unknown Source') ORDER BY doc_id) - 1)::BIGINT AS place, CASE WHEN prefix <> '' THEN '[' || prefix || '] ' ELSE '' END || 'Learning Object' AS name, CASE WHEN many THEN 'choice' ELSE 'open' END AS type, 90 AS time_to_handle, CASE WHEN many THEN 4 ELSE 1 END::BIGINT AS n_choices, 1::BIGINT AS n_correct, concat_ws('|', CASE WHEN ht <> '' THEN 'Hint=<p>' || ht || '</p>' END, 'Source=<p>' || hs || '</p>') AS hints FROM h",
     "export_totals": f"WITH {_EXPORT} SELECT count(DISTINCT coalesce(st, 'Unknown Source'))::BIGINT AS units, count(*)::BIGINT AS questions FROM h",
     "export_single": f"WITH {_EXPORT} SELECT 'All' AS title, count(*)::BIGINT AS questions, arg_min(question, doc_id) AS first FROM h",
