@@ -57,13 +57,15 @@ def five_numbers(df: DataFrame, group: str, value: str) -> DataFrame:
 def rater_pairs(ratings: DataFrame, item: str = "item", model: str = "model", score: str = "score") -> DataFrame:
     """m1 < m2, a, b and the number of items n with these two scores; items that either left unrated count for neither.
 
-    Raters of an item are few, so pairs are made inside an item's own array, after one shuffle on the item.
+    Equal ratings of an item by one rater are counted before items are put together, and pairs are made inside
+    an item's own array: an item rated very often still is one entry per rater and score.
     """
     known = ratings.where(F.col(score).isNotNull() & F.col(item).isNotNull())
-    per = known.groupBy(item).agg(F.array_sort(F.collect_list(F.struct(F.col(model).alias("m"), F.col(score).alias("s")))).alias("r"))
+    counted = known.groupBy(item, F.col(model).alias("m"), F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    per = counted.groupBy(item).agg(F.array_sort(F.collect_list(F.struct("m", "s", "n"))).alias("r"))
     first = per.select("r", F.posexplode("r").alias("i", "x"))
     both = first.select("x", F.explode(F.expr("slice(r, i + 2, size(r))")).alias("y")).where("x.m != y.m")
-    return both.groupBy(F.col("x.m").alias("m1"), F.col("y.m").alias("m2"), F.col("x.s").alias("a"), F.col("y.s").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return both.groupBy(F.col("x.m").alias("m1"), F.col("y.m").alias("m2"), F.col("x.s").alias("a"), F.col("y.s").alias("b")).agg(F.sum(F.expr("x.n * y.n")).alias("n"))
 
 
 def _marginals(pairs: DataFrame) -> DataFrame:
