@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from learngraph.llm.embedding_duplicates import _most_common_length
+from learngraph.llm.shared import written
 from learngraph.llm.vectors import matrix, unit
 
 COLUMNS = 16
@@ -131,7 +132,7 @@ def search(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vecto
                 asked = [r.tolist() if q else [] for r, q in zip(near, asks, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([r.tobytes() for r in x[part]], pa.binary()), pa.array([r[0] for r in lists], pa.int32()), pa.array(asked, pa.list_(pa.int32()))], names=["vec_id", "raw", "list", "probed"])
 
-    indexed = rows.mapInArrow(assign, "vec_id long, raw binary, list int, probed array<int>")
+    indexed = written(rows.mapInArrow(assign, "vec_id long, raw binary, list int, probed array<int>"), "lists")
     sizes = indexed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).select("list", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))  # a row a list
     data = indexed.join(F.broadcast(sizes), "list").select("list", F.pmod(F.xxhash64("vec_id"), "chunks").cast("int").alias("chunk"), F.lit(True).alias("stored"), "vec_id", "raw")
     asked = indexed.where(F.size("probed") > 0).select("vec_id", "raw", F.explode("probed").alias("list")).join(F.broadcast(sizes), "list")
