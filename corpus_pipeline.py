@@ -15,6 +15,7 @@ from learngraph.llm import language_id, near_duplicates, packing, quality, queri
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter go, and those of which most letters are of scripts that no learned language uses."""
+    shared.small_batches(spark)
     model = queries.language_model(docs)
     judged = docs.withColumn("__judged", language_id.verdict(docs, model))
     known = F.col("__judged.foreign") <= 0.5 if model.langs else F.lit(True)
@@ -24,6 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below one half go; where no classifier could be fitted, none do."""
+    shared.small_batches(spark)
     model = queries.quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     if model.weights is None:
         return docs
@@ -32,12 +34,14 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8) stays."""
+    shared.small_batches(spark)
     return near_duplicates.deduplicate(docs, words=5, percent=80)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 2,048 tokens."""
-    return packing.pack(docs, queries.BYTE_BPE, end_id=1, size=2048)
+    """The pieces of all documents in sequences of at most 2,048 tokens. Workers serve the other stages too, so they remember fewer chunks, and none after a task."""
+    shared.small_batches(spark)
+    return packing.pack(docs, queries.BYTE_BPE, end_id=1, size=2048, memo=250_000, keep=False)
 
 
 STAGES = [

@@ -146,6 +146,11 @@ def encoder(path: str, memo: int = 1_600_000) -> BpeEncoder:
     return _ENCODERS[path, memo]
 
 
+def forget() -> None:
+    """Drop this worker's encoders, where other work needs the memory more than the next task needs the memo."""
+    _ENCODERS.clear()
+
+
 def blocks(texts: list[str | None], chars: int = 2_000_000):
     """Slices of ``texts`` of about ``chars`` characters: (first, one past the last)."""
     first, held = 0, 0

@@ -20,12 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from learngraph.llm.shared import give_back
 from learngraph.llm.unicode_tables import SCRIPTS, code_points, letters, lower, scripts
 
 BUCKETS = 1 << 15
 MIN_SCRIPT = 0.01
 SCHEMA = "doc_id long, lang_pred string, score double, spans array<struct<first:long,end:long,lang:string>>"
-_CHARS = 1_500_000  # of a batch of texts worked on at once
+_CHARS = 1_000_000  # of a batch of texts worked on at once
 
 
 @dataclass
@@ -221,6 +222,7 @@ def verdict(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
             total = np.bincount(owner, minlength=b - a)
             out = np.bincount(owner, weights=~used[scripts()[flat[at]]], minlength=b - a)
             parts.append(pd.DataFrame({"lang_pred": langs, "score": score, "foreign": out / np.maximum(total, 1)}))
+        give_back()
         return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"lang_pred": pd.Series([], dtype=str), "score": pd.Series([], dtype=float), "foreign": pd.Series([], dtype=float)})
 
     return judge(F.col(text_col).cast("string"))

@@ -21,17 +21,18 @@ with one id but other texts are separate texts of that id; null ids are the larg
 """
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType
+from pyspark.sql.types import BinaryType, BooleanType, LongType
 from pyspark.sql.window import Window
 
 from learngraph.llm.components import components
-from learngraph.llm.shared import written
+from learngraph.llm.shared import give_back, written
 from learngraph.llm.shingles import digest, minima, mix, shingle_sets
 
 SIDE, TIE = 8, 2
@@ -65,6 +66,7 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
                 arrays = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(both[:, part]).ravel())) for part in (slice(0, SIDE), slice(SIDE, None))]
                 names = [digest(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), *arrays], names=["doc_id", "n_shingles", "digest", "first", "second"])
+        give_back()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, SIGNATURES)
 
@@ -91,6 +93,19 @@ def _wanted_bitmap(ids: DataFrame, n: int) -> tuple[np.ndarray, int]:
     return out, bits
 
 
+def _maybe_in(keys: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A test of a column against the keys by a bitmap of bounded size: never false for a key, seldom true for another."""
+    bitmap, bits = _wanted_bitmap(keys.select(F.col(column).alias("id")), keys.count())
+    shared = keys.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf(BooleanType())
+    def hit(places: pd.Series) -> pd.Series:
+        at = places.to_numpy()
+        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    return lambda c: hit(F.pmod(F.xxhash64(c), F.lit(1 << bits)))
+
+
 def _sets(docs: DataFrame, classes: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """digest, size, bitmap and items (the set's hashes, 8 bytes each, rising) of the classes, which must have a least id of theirs.
 
@@ -117,9 +132,9 @@ def _sets(docs: DataFrame, classes: DataFrame, words: int, id_col: str, text_col
     key = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << bits))
     made = docs.select(F.col(text_col).cast("string"), key).mapInArrow(run, f"digest binary, size long, {', '.join(f'{m} long' for m in _MAPS)}, items binary")
     found = written(made, "shingle-sets")
-    if found.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        return found
-    return written(found.dropDuplicates(["digest"]), "shingle-sets")  # an id stands on several rows
+    most = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    # A false hit can bring a class twice, which costs little; an id on very many rows is another matter.
+    return found if (most or 0) <= 4 else written(found.dropDuplicates(["digest"]), "shingle-sets")
 
 
 def _may_share(x: str, y: str, nx: str, ny: str, percent: int) -> str:
@@ -145,10 +160,13 @@ def _common(left: pd.Series, right: pd.Series) -> pd.Series:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (a, b) whose sets are similar enough. Sets are fetched only where sizes and bitmaps leave it open."""
-    brief = lambda side: sets.select(F.col("digest").alias(side), F.col("size").alias(f"n{side}"), *[F.col(m).alias(f"{side}_{m}") for m in _MAPS])
+    known = sets.select("digest", "size", *_MAPS).dropDuplicates(["digest"])
+    brief = lambda side: known.select(F.col("digest").alias(side), F.col("size").alias(f"n{side}"), *[F.col(m).alias(f"{side}_{m}") for m in _MAPS])
     near = pairs.join(brief("a"), "a").join(brief("b"), "b").where(F.expr(_may_share("a_", "b_", "na", "nb", percent))).select("a", "b", "na", "nb")
     near = written(near, "candidates")
-    full = near.join(sets.select(F.col("digest").alias("b"), F.col("items").alias("y")), "b").join(sets.select(F.col("digest").alias("a"), F.col("items").alias("x")), "a")
+    wanted = _maybe_in(near.select(F.explode(F.array("a", "b")).alias("digest")).distinct(), "digest")
+    few = sets.where(wanted(F.col("digest"))).select("digest", "items")
+    full = near.join(few.select(F.col("digest").alias("b"), F.col("items").alias("y")), "b").join(few.select(F.col("digest").alias("a"), F.col("items").alias("x")), "a")
     counted = full.select("a", "b", "na", "nb", _common("x", "y").alias("c"))
     return written(counted.where(F.expr(f"100 * c >= {percent} * (na + nb - c)")).select("a", "b"), "links")
 
@@ -207,7 +225,7 @@ def _across(sets: DataFrame, percent: int) -> DataFrame:
 
     prefixes = sets.select("digest", "root", "items").mapInArrow(run, "item long, digest binary, root binary, place long, indexed boolean, size long")
     mixed = prefixes.groupBy("item").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("item")
-    held = prefixes.join(mixed, "item").join(sets.select("digest", *_MAPS), "digest")
+    held = prefixes.join(mixed, "item").join(sets.select("digest", *_MAPS).dropDuplicates(["digest"]), "digest")
     x, y = held.where("indexed").alias("x"), held.alias("y")
     fits = F.expr(
         "x.item = y.item AND x.root != y.root AND (x.size < y.size OR (x.size = y.size AND x.digest < y.digest))"
@@ -234,7 +252,8 @@ def link(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "d
     named = buckets.where("n > 2").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     split = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
     open_ones = written(named.join(split, "bucket").select("digest", "root").distinct(), "open")
-    more = _confirmed(_across(sets.join(open_ones, "digest"), percent), sets, percent)
+    opened = sets.where(_maybe_in(open_ones, "digest")(F.col("digest"))).join(open_ones, "digest")
+    more = _confirmed(_across(opened, percent), sets, percent)
     roots = components(links.unionByName(more))
     own = classes.select("digest", "doc_id").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     least = own.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -254,8 +273,11 @@ def deduplicate(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: s
     found = written(linked.select("doc_id", "n_shingles", "kept", "digest", "root"), "linked")
     several = written(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id"), "several")
     key = F.col(id_col).cast("long")
-    plain = found.where("kept AND doc_id IS NOT NULL").select("doc_id").join(several, "doc_id", "left_anti").withColumnRenamed("doc_id", "__id")
-    once = docs.join(plain, key == F.col("__id"), "left_semi")
+    gone = found.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").unionByName(several.where("doc_id IS NOT NULL")).distinct()
+    gone = written(gone, "gone").withColumnRenamed("doc_id", "__id")
+    # Only rows that a bitmap of the ids to go hits are joined; the others, most of them, stay where they are.
+    maybe = _maybe_in(gone, "__id")(key)
+    once = docs.where(key.isNotNull() & ~maybe).unionByName(docs.where(key.isNotNull() & maybe).join(gone, key == F.col("__id"), "left_anti"))
     if several.isEmpty():
         return once
 

@@ -27,7 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from learngraph.llm.bpe import blocks, encoder
+from learngraph.llm.bpe import blocks, encoder, forget
+from learngraph.llm.shared import give_back
 
 # Of a window's size: penalties of a cut at a sentence's end and inside one, and how densely either kind of place is offered.
 SENTENCE_PENALTY, INSIDE_PENALTY = 1 / 256, 1 / 32
@@ -124,15 +125,16 @@ class _Packer:
         return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, size: int = 2048, block: int = 1 << 18) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, size: int = 2048, block: int = 1 << 18, memo: int = 1_600_000, keep: bool = True) -> DataFrame:
     """One row per piece: the document's tokens [start, start + length) stand at ``offset`` of ``sequence_id``.
 
     A document is its ids and then ``end_id``. ids_crc32 is of the piece's ids as little-endian
-    unsigned 32-bit integers.
+    unsigned 32-bit integers. ``memo`` bounds the chunks a worker remembers, about 220 bytes each; it forgets them
+    after each task unless ``keep``.
     """
 
     def run(batches):
-        enc = encoder(tokenizer_path)
+        enc = encoder(tokenizer_path, memo)
         packer = _Packer(TaskContext.get().partitionId() << 36, size, enc.ends_sentence, max(block, 64 * size))
 
         def rows(final):
@@ -148,5 +150,9 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
                     if packer.held >= packer.block:
                         yield rows(False)
         yield rows(True)
+        if not keep:
+            del enc
+            forget()
+        give_back()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, SCHEMA)

@@ -21,13 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from learngraph.llm.shared import give_back
 from learngraph.llm.unicode_tables import TOP, code_points, letters, lower
 
 PASSAGE_WORDS = 100
 MAX_PASSAGES = 64
 CLASSES = 16
 N_FEATURES = CLASSES * CLASSES + 6
-_CHARS = 1_000_000
+_CHARS = 500_000
 _PUNCTUATION = ".,!?%&#*$|"  # each a class of its own
 
 
@@ -242,6 +243,8 @@ def verdict(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
 
     @F.pandas_udf(DoubleType())
     def judge(texts: pd.Series) -> pd.Series:
-        return pd.Series(score_texts(shared.value, list(texts))[0])
+        out = pd.Series(score_texts(shared.value, list(texts))[0])
+        give_back()
+        return out
 
     return judge(F.col(text_col).cast("string"))

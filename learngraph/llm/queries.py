@@ -16,6 +16,7 @@ PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    shared.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -14,7 +14,7 @@ import hashlib
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_CHUNK = 4_000_000  # bytes worked on at once
+_CHUNK = 1_000_000  # bytes worked on at once
 
 
 def mix(x: np.ndarray) -> np.ndarray:
