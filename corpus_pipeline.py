@@ -14,11 +14,11 @@ from learngraph.llm import language_id, near_duplicates, packing, quality, queri
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go, and those of which most letters are of scripts that no learned language uses."""
+    """Documents without a letter go, and those of which most letters are of scripts that no learned language uses, and those whose trigrams are far less likely, even in the best language of each word, than those of the learned rows."""
     shared.small_batches(spark)
-    model = queries.language_model(docs)
+    model = queries.language_model(docs, calibrated=True)
     judged = docs.withColumn("__judged", language_id.verdict(docs, model))
-    known = F.col("__judged.foreign") <= 0.5 if model.langs else F.lit(True)
+    known = (F.col("__judged.foreign") <= 0.5) & ~F.col("__judged.strange") if model.langs else F.lit(True)
     has_letters = F.col("__judged.lang_pred") != "und" if model.langs else F.lit(True)
     return judged.where(has_letters & known).select(docs.columns)
 

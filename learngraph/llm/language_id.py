@@ -7,6 +7,10 @@ did). Viterbi over the words of a text with a penalty for each change of languag
 the prediction is the language of most letters. All steps run over whole Arrow batches: texts as
 code-point arrays, and Viterbi over the k-th words of all texts at once.
 
+A calibrated fit also learns how far texts of its languages fall below the log probability
+expected of them: half of the learned rows are judged by the table of the other half. ``verdict``
+then tells texts that fall well below nearly all of them, whatever their script.
+
 Null texts and texts without a letter get ``und`` and score 0; so does everything if there is no
 row to learn from. Texts of any length count in full. Ties go to the language first in name.
 """
@@ -18,13 +22,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from learngraph.llm.shared import give_back
+from learngraph.llm.shared import give_back, written
 from learngraph.llm.unicode_tables import SCRIPTS, code_points, letters, lower, scripts
 
 BUCKETS = 1 << 15
 MIN_SCRIPT = 0.01
+LOWEST, MARGIN = 0.001, 1.5  # a text is of no learned language where it stands this much below the lowest thousandth of the learned rows
 SCHEMA = "doc_id long, lang_pred string, score double, spans array<struct<first:long,end:long,lang:string>>"
 _CHARS = 1_000_000  # of a batch of texts worked on at once
 
@@ -34,6 +39,10 @@ class Model:
     langs: list[str]
     table: np.ndarray  # BUCKETS x langs: log probabilities of trigrams
     allowed: np.ndarray  # scripts x langs
+    average: np.ndarray | None = None  # langs: log probability of their learned trigrams
+    between: float = 1.0  # spread of texts' mean excess (see ``_label``), and of one trigram's
+    within: float = 1.0
+    floor: float = -np.inf  # least standing of a text in a learned language
 
 
 def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -73,10 +82,11 @@ def _blocks(texts: list[str]):
         yield a, len(texts)
 
 
-def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", key: Column, rows_per_language: int = 1500) -> Model:
+def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", key: Column, rows_per_language: int = 1500, calibrated: bool = False) -> Model:
     """Learn from about ``rows_per_language`` rows of each language, drawn by the hash of ``key``.
 
-    What comes to the driver is a count per language and bucket, whatever the input.
+    What comes to the driver is a count per language and bucket, whatever the input, and three figures of each
+    drawn row if ``calibrated``.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
@@ -85,12 +95,16 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", key:
     share = F.lit(0.0)
     for lang, n in sizes.items():
         share = F.when(F.col(lang_col) == lang, min(1.0, rows_per_language / n)).otherwise(share)
-    drawn = known.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < share * (1 << 20)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    drawn = known.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < share * (1 << 20))
+    half = F.pmod(F.xxhash64(key, F.lit(1)), F.lit(2)).cast("int") if calibrated else F.lit(0)
+    drawn = drawn.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), half.alias("half"))
+    if calibrated:
+        drawn = written(drawn, "language-sample")  # read twice
 
     def count(batches):
-        sums: dict[str, np.ndarray] = {}
+        sums: dict[tuple[str, int], np.ndarray] = {}
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            langs, texts = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)), batch.column(1).to_pylist()
             for lang in set(langs):
                 own = [t for g, t in zip(langs, texts, strict=True) if g == lang]
                 total = sums.setdefault(lang, np.zeros(BUCKETS + len(SCRIPTS), np.int64))
@@ -98,18 +112,54 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", key:
                     total[:BUCKETS] += np.bincount(_trigrams(own[a:b])[0], minlength=BUCKETS)
                     flat, _ = code_points(own[a:b])
                     total[BUCKETS:] += np.bincount(scripts()[flat[letters()[flat]]], minlength=len(SCRIPTS))
-        for lang, total in sums.items():
+        for (lang, part), total in sums.items():
             at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(total[at])], names=["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array([part] * len(at), pa.int32()), pa.array(at), pa.array(total[at])], names=["lang", "half", "bucket", "n"])
+
+    counts = drawn.mapInArrow(count, "lang string, half int, bucket long, n long").groupBy("lang", "half", "bucket").agg(F.sum("n").alias("n")).collect()
+    model = _learned(counts)
+    if calibrated and counts:
+        _calibrate(model, drawn, [_learned([r for r in counts if r["half"] != part]) for part in (0, 1)])
+    return model
 
-    counts = drawn.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
+
+def _learned(counts: list) -> Model:
+    """The model of counts by language, half and bucket."""
     langs = sorted({r["lang"] for r in counts})
     seen = np.zeros((BUCKETS + len(SCRIPTS), len(langs)))
     for r in counts:
-        seen[r["bucket"], langs.index(r["lang"])] = r["n"]
+        seen[r["bucket"], langs.index(r["lang"])] += r["n"]
     grams, used = seen[:BUCKETS], seen[BUCKETS:]
     table = np.log((grams + 0.05) / (grams.sum(0) + 0.05 * BUCKETS))
-    return Model(langs, table.astype(np.float32), used >= MIN_SCRIPT * np.maximum(1, used.sum(0)))
+    return Model(langs, table.astype(np.float32), used >= MIN_SCRIPT * np.maximum(1, used.sum(0)), (grams * table).sum(0) / np.maximum(1, grams.sum(0)))
+
+
+def _calibrate(model: Model, drawn: DataFrame, judges: list[Model]) -> None:
+    """Set the model's spreads and floor from the learned rows, each judged by the model of the half it isn't in."""
+    shared = drawn.sparkSession.sparkContext.broadcast(judges)
+
+    def weigh(batches):
+        for batch in batches:
+            texts, halves = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for part in (0, 1):
+                own = [t for t, h in zip(texts, halves, strict=True) if h == part]
+                for a, b in _blocks(own):
+                    n, total, square = _label(shared.value[part], own[a:b])[3]
+                    yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(total), pa.array(square)], names=["n", "total", "square"])
+
+    rows = drawn.mapInArrow(weigh, "n double, total double, square double").where("n > 0").collect()
+    if not rows:
+        return
+    n, total, square = np.array(rows, float).T
+    model.within = float(np.sqrt(max(1e-6, square.sum() / n.sum())))
+    model.between = float(max(1e-3, 1.4826 * np.median(np.abs(total / n))))
+    model.floor = MARGIN * min(-3.0, float(np.quantile(standing(model, n, total), LOWEST)))
+
+
+def standing(model: Model, n: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Mean excess of texts of ``n`` trigrams in spreads to be expected at that length; 0 without trigrams."""
+    n = np.maximum(n, 1)
+    return total / n / np.sqrt(model.between**2 + model.within**2 / n)
 
 
 def viterbi(scores: np.ndarray, texts: np.ndarray, n_texts: int, penalty: float) -> np.ndarray:
@@ -155,18 +205,29 @@ def label(model: Model, texts: list[str | None], penalty: float = 10.0, temperat
     The score is the share of the letters in words of that language, times the probability that
     the summed scores, at this temperature, give it.
     """
+    return _label(model, texts, penalty, temperature)[:3]
+
+
+def _label(model: Model, texts: list[str | None], penalty: float = 10.0, temperature: float = 3.0):
+    """``label``, and each text's trigrams, their excess and the sum of its words' squared excess.
+
+    A word's excess is its log probability in the language it was given, less what that language's
+    trigrams have on average.
+    """
     texts = [t or "" for t in texts]
     n, k = len(texts), len(model.langs)
     bucket, at, first, end, begins = _trigrams(texts)
     none = np.zeros(0, np.int64)
     if not k or not len(at):
-        return ["und"] * n, np.zeros(n), [(none, none, none)] * n
-    scores = np.add.reduceat(model.table[bucket], at, axis=0)
+        return ["und"] * n, np.zeros(n), [(none, none, none)] * n, np.zeros((3, n))
+    scores = sums = np.add.reduceat(model.table[bucket], at, axis=0)
     allowed = model.allowed[scripts()[code_points(texts)[0][first]]]
     scores = np.where(allowed | ~allowed.any(1, keepdims=True), scores, scores - np.float32(1e6))
     owner = np.searchsorted(begins, first, side="right") - 1
     best = viterbi(scores, owner, n, penalty)
     size = end - first
+    excess = sums[np.arange(len(best)), best] - (size + 1) * (0 if model.average is None else model.average[best])
+    fits = np.stack([np.bincount(owner, weights=w, minlength=n) for w in (size + 1, excess, excess**2)])
     held = np.bincount(owner * k + best, weights=size, minlength=n * k).reshape(n, k)
     total = held.sum(1)
     pick = held.argmax(1)
@@ -178,7 +239,7 @@ def label(model: Model, texts: list[str | None], penalty: float = 10.0, temperat
     run_end = np.append(run[1:], len(best)) - 1
     edge = np.searchsorted(owner[run], np.arange(n + 1))
     spans = [(first[run[a:b]] - begins[i], end[run_end[a:b]] - begins[i], best[run[a:b]]) for i, (a, b) in enumerate(zip(edge, edge[1:], strict=False))]
-    return [model.langs[p] if t else "und" for p, t in zip(pick, total, strict=True)], score, spans
+    return [model.langs[p] if t else "und" for p, t in zip(pick, total, strict=True)], score, spans, fits
 
 
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", spans: bool = True) -> DataFrame:
@@ -205,9 +266,9 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
 
 def verdict(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
-    """A struct column beside the rows' own: lang_pred, score, and foreign, the share of letters of scripts that no learned language uses."""
+    """A struct column beside the rows' own: lang_pred, score, foreign (the share of letters of scripts that no learned language uses) and strange (less like the learned languages than nearly all learned rows)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("foreign", DoubleType())])
+    schema = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("foreign", DoubleType()), StructField("strange", BooleanType())])
 
     @F.pandas_udf(schema)
     def judge(texts: pd.Series) -> pd.DataFrame:
@@ -215,14 +276,14 @@ def verdict(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
         all_texts = [t or "" for t in texts]
         used = held.allowed.any(1)
         for a, b in _blocks(all_texts):
-            langs, score, _ = label(held, all_texts[a:b])
+            langs, score, _, fits = _label(held, all_texts[a:b])
             flat, begins = code_points(all_texts[a:b])
             at = np.flatnonzero(letters()[flat])
             owner = np.searchsorted(begins, at, side="right") - 1
             total = np.bincount(owner, minlength=b - a)
             out = np.bincount(owner, weights=~used[scripts()[flat[at]]], minlength=b - a)
-            parts.append(pd.DataFrame({"lang_pred": langs, "score": score, "foreign": out / np.maximum(total, 1)}))
+            parts.append(pd.DataFrame({"lang_pred": langs, "score": score, "foreign": out / np.maximum(total, 1), "strange": standing(held, fits[0], fits[1]) < held.floor}))
         give_back()
-        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"lang_pred": pd.Series([], dtype=str), "score": pd.Series([], dtype=float), "foreign": pd.Series([], dtype=float)})
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"lang_pred": pd.Series([], dtype=str), "score": pd.Series([], dtype=float), "foreign": pd.Series([], dtype=float), "strange": pd.Series([], dtype=bool)})
 
     return judge(F.col(text_col).cast("string"))

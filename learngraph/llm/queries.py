@@ -33,9 +33,9 @@ def _remainder(divisor: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % divisor
 
 
-def language_model(docs: DataFrame) -> language_id.Model:
+def language_model(docs: DataFrame, *, calibrated: bool = False) -> language_id.Model:
     """Fitted on about 1,500 rows of each language, none of them held out."""
-    return language_id.fit(docs.where(_remainder(5) != 0), key=F.col("doc_id"), rows_per_language=1500)
+    return language_id.fit(docs.where(_remainder(5) != 0), key=F.col("doc_id"), rows_per_language=1500, calibrated=calibrated)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -276,3 +276,26 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept[0] == {r[0] for r in rows} - {202, 203, 204}
     assert kept[1] == set(range(40)) | {200, 201} and kept[2] == set(range(40))
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(range(40))
+
+
+WORDS = {
+    "en": "the and of that with this from there which would about their after water people house little never again between small river because another through morning",
+    "de": "der und die das nicht ist mit einer auch werden zwischen kleine haus wasser menschen immer wieder durch nach morgen fluss weil andere niemals darüber",
+}
+FOREIGN = {
+    "fi": "tämä on suomenkielinen teksti jota malli ei ole koskaan nähnyt aikaisemmin missään muodossa eikä sen kieltä ole opittu yhdestäkään rivistä",
+    "tr": "bu modelin daha önce hiç görmediği türkçe bir metindir ve uzun kelimeler içerir böylece hiçbir satırdan öğrenilmiş olamaz",
+    "salad": "xqzt vrplk wwqj zzkrt bnmtq plkjh qqwx zxcvb mnbvq kjhgf xzqpw vvbtr qwpzk jjxqv",
+}
+
+
+def test_language_stage_drops_unlearned_languages_of_a_learned_script(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(3)
+    draw = lambda g, n: " ".join(rng.choice(WORDS[g].split(), n))
+    rows = [(i, draw(g, int(rng.integers(3, 60))), g) for i, g in enumerate(["en", "de"] * 100)]
+    plain = [(1000, draw("en", 40)), (1001, draw("de", 40)), (1002, draw("en", 30) + " " + draw("de", 30)), (1003, "water"), (1004, draw("en", 5000))]
+    strange = [(2000 + i, t * k) for i, (t, k) in enumerate((t + " ", k) for t in FOREIGN.values() for k in (1, 20))]
+    docs = spark.createDataFrame([*rows, *((i, t, None) for i, t in plain + strange)], "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()} == {r[0] for r in rows} | {i for i, _ in plain}
