@@ -7,7 +7,8 @@ of text (links counted against it) is summed over sliding windows of ``WINDOW``
 sum surges over the threshold the main text begins, where it dives to nothing it ends, and the
 stretches between are kept. A surge or dive inside an article or main element is carried out to
 the edges of that element; outside of any, a stretch takes in the heading before it and the
-lines without links beside it. So no line of the article is lost for being short.
+lines without links beside it. So no line of the article is lost for being short. Stretches outside
+of such elements go where those inside hold more text, as an article does and a teaser doesn't.
 
 Null and empty pages give an empty text. Character references are decoded once; white space in a
 block becomes one space; blocks are joined by one line feed. Pages of any length are taken whole;
@@ -175,16 +176,16 @@ def spans(found: list[tuple[str, int, bool, int]]) -> list[tuple[int, int]]:
     for a, b in inside:
         keep[a:b] = True
     owner = np.array([c for _, _, _, c in found])
+    outside = owner < 0
+    if weight[keep & ~outside].sum() > weight[keep & outside].sum():
+        keep &= ~outside  # an article that holds most of the text: what is outside of it isn't the article
     for c in set(owner[keep].tolist()) - {-1}:
         keep |= owner == c
-    if (owner[keep] >= 0).any():
-        keep &= owner >= 0  # an article: text outside of it isn't the article
-    else:
-        plain = [linked == 0 for _, linked, _, _ in found]
-        for k in range(1, n):
-            keep[k] |= keep[k - 1] and plain[k]
-        for k in range(n - 2, -1, -1):
-            keep[k] |= keep[k + 1] and (plain[k] or found[k][2])
+    plain = [linked == 0 for _, linked, _, _ in found]
+    for k in range(1, n):
+        keep[k] |= outside[k - 1] and outside[k] and keep[k - 1] and plain[k]
+    for k in range(n - 2, -1, -1):
+        keep[k] |= outside[k + 1] and outside[k] and keep[k + 1] and (plain[k] or found[k][2])
     edge = np.flatnonzero(np.diff(np.concatenate([[0], keep.astype(np.int8), [0]])))
     return [(int(a), int(b)) for a, b in zip(edge[::2], edge[1::2], strict=True)]
 

@@ -223,3 +223,13 @@ def test_unigram_models_are_rebuilt(tmp_path):
     tokenizer = sentencepiece_codec.build(spec)
     for text in ("ab", "a b", "abb ab", "b", ""):
         assert tokenizer.encode(text).ids == original.encode(text)
+
+
+def test_a_teaser_in_an_article_leaves_the_story_in_divs():
+    story = [f"Paragraph {i} of the story that the page is about, told in plain divs and at some length for its readers." for i in range(6)]
+    teaser = "Read next: another piece, told in some ninety characters, that this page only points at today."
+    divs = "".join(f"<div>{p}</div>" for p in story)
+    for page in (f"<div>{divs}</div><ul><li><a href=x>more</a></ul><article>{teaser}</article>", f"<article>{teaser}</article><hr><ul><li><a href=x>more</a></ul><div>{divs}</div>"):
+        assert [t for t in html_text.main_text(page).split("\n") if t in story] == story
+    article = "<article>" + "".join(f"<p>{p}</p>" for p in story) + "<p>End.</p></article>"
+    assert html_text.main_text(f"<div>{teaser}</div>{article}<div>{teaser}</div>") == "\n".join([*story, "End."])
