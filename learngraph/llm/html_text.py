@@ -2,7 +2,9 @@
 
 Markup is stripped to lines (one per block of text: paragraphs, headings, list items, cells and
 so on); scripts, styles, forms and the regions that markup itself names as menus, headers,
-footers, sidebars, notices, adverts or reader comments give none. On the lines left, the amount
+footers, sidebars, notices, adverts or reader comments give none; inside an article or main
+element, words that its own sections bear too (``AMBIGUOUS``) count only for blocks of which links
+are a third or lines are short. On the lines left, the amount
 of text (links counted against it) is summed over sliding windows of ``WINDOW`` lines: where the
 sum surges over the threshold the main text begins, where it dives to nothing it ends, and the
 stretches between are kept. A surge or dive inside an article or main element is carried out to
@@ -44,6 +46,12 @@ BOILERPLATE = {
     "navbar", "navigation", "newsletter", "notice", "notification", "pagination", "pager", "popup", "promo", "promoted", "promotion", "recommended", "related", "reply",
     "replies", "respond", "search", "share", "sharing", "sidebar", "sidebars", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "widget", "widgets",
 }
+# Of them, words that sections of an article bear too: inside of one they drop a block only if it doesn't read like text.
+AMBIGUOUS = {
+    "banner", "complementary", "consent", "copyright", "discussion", "menu", "notice", "notification", "promotion", "recommended", "related",
+    "respond", "search", "share", "sharing", "skip", "social", "subscription",
+}
+DENSE = 25  # characters outside of links in a line of text, on average
 _PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
 
 
@@ -54,33 +62,46 @@ def _names(attributes: str) -> set[str]:
     return found
 
 
+def _sparse(chars: int, linked: int, n: int) -> bool:
+    """Whether ``n`` lines are mostly links or too short for text."""
+    return 3 * linked >= chars or chars - linked < DENSE * n
+
+
 def lines(page: str) -> list[tuple[str, int, bool, int]]:
     """(text, characters inside links, is a heading, number of its article or main element or -1) of every block, in page order."""
     out: list[tuple[str, int, bool, int]] = []
-    text: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # element, dropped from here on, container
-    linked = containers = 0
+    text: list[tuple[str, int, int]] = []  # piece, characters inside links, doubtful inline element or 0
+    stack: list[tuple[str, bool, int, int, int]] = []  # element, dropped from here on, container, doubtful block, doubtful inline element
+    above = [0]  # doubtful block around each doubtful block, from 1 on
+    marks: list[int] = []  # doubtful block of each line
+    containers = inlines = 0
     link_depth, dropped, container = 0, False, -1
     at, size = 0, len(page)
     lowered = None
 
     def flush():
-        nonlocal linked
         if text:
-            joined = _SPACE.sub(" ", html.unescape("".join(text))).strip()
+            kept = text
+            if any(t[2] for t in text):  # inline elements of doubtful name stay in a line that is text without them, or if they are text themselves
+                plain = [t for t in text if not t[2]]
+                if _sparse(sum(len(t[0].strip()) for t in plain), sum(t[1] for t in plain), 1):
+                    parts: dict[int, list[tuple[str, int, int]]] = {}
+                    for t in text:
+                        parts.setdefault(t[2], []).append(t)
+                    gone = {k for k, own in parts.items() if k and _sparse(sum(len(t[0].strip()) for t in own), sum(t[1] for t in own), 1)}
+                    kept = [t for t in text if t[2] not in gone]
+            joined = _SPACE.sub(" ", html.unescape("".join(t[0] for t in kept))).strip()
             if joined:
-                out.append((joined, linked, bool(stack) and any(s[0] in HEADINGS for s in stack[-3:]), container))
+                out.append((joined, sum(t[1] for t in kept), bool(stack) and any(s[0] in HEADINGS for s in stack[-3:]), container))
+                marks.append(stack[-1][3] if stack else 0)
             text.clear()
-        linked = 0
 
     while at < size:
         m = _TOKEN.search(page, at)
         end = m.start() if m else size
         if end > at and not dropped:
             piece = page[at:end]
-            text.append(piece)
-            if link_depth:
-                linked += len(piece.strip())
+            text.append((piece, len(piece.strip()) if link_depth else 0, stack[-1][4] if stack else 0))
         if not m:
             break
         at = m.end()
@@ -111,7 +132,7 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
             if name in BLOCKS:
                 flush()
             elif not dropped:
-                text.append(" ")
+                text.append((" ", 0, 0))
         if name in VOID:
             continue
         if name == "a":
@@ -136,11 +157,20 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
                 del stack[first:]
                 dropped, container = (stack[-1][1], stack[-1][2]) if stack else (False, -1)
         own = dropped
+        block, inline = stack[-1][3:] if stack else (0, 0)
         if not own:
             inside = any(s[0] in ("article", "main") for s in stack)
             own = name in DROPPED and not (name == "header" and inside)
             if not own and m[3] and name not in ("html", "body", "article", "main"):
-                own = bool(_names(m[3]) & (BOILERPLATE - {"header"} if inside else BOILERPLATE)) or bool(_HIDDEN.search(m[3]))
+                named = _names(m[3]) & (BOILERPLATE - {"header"} if inside else BOILERPLATE)
+                own = bool(named - AMBIGUOUS if inside else named) or bool(_HIDDEN.search(m[3]))
+                if named and not own:
+                    if name in BLOCKS:
+                        above.append(block)
+                        block = len(above) - 1
+                    else:
+                        inlines += 1
+                        inline = inlines
             if own:
                 flush()
         if name in ("article", "main"):
@@ -148,10 +178,22 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
             container = containers
         if m[3].endswith("/"):
             continue
-        stack.append((name, own, container))
+        stack.append((name, own, container, block, inline))
         dropped = own
     flush()
-    return out
+    if len(above) == 1:
+        return out
+    held = [[0, 0, 0] for _ in above]  # characters, of them inside links, lines
+    for (t, inside_links, _, _), mark in zip(out, marks, strict=True):
+        held[mark] = [held[mark][0] + len(t), held[mark][1] + inside_links, held[mark][2] + 1]
+    sparse = [False] * len(above)
+    for k in range(len(above) - 1, 0, -1):  # inner ones first; what stays of them counts for the outer ones
+        sparse[k] = _sparse(*held[k])
+        if not sparse[k] and above[k]:
+            held[above[k]] = [a + b for a, b in zip(held[above[k]], held[k], strict=True)]
+    for k in range(1, len(above)):
+        sparse[k] |= sparse[above[k]]
+    return [line for line, mark in zip(out, marks, strict=True) if not sparse[mark]]
 
 
 def spans(found: list[tuple[str, int, bool, int]]) -> list[tuple[int, int]]:

@@ -233,3 +233,13 @@ def test_a_teaser_in_an_article_leaves_the_story_in_divs():
         assert [t for t in html_text.main_text(page).split("\n") if t in story] == story
     article = "<article>" + "".join(f"<p>{p}</p>" for p in story) + "<p>End.</p></article>"
     assert html_text.main_text(f"<div>{teaser}</div>{article}<div>{teaser}</div>") == "\n".join([*story, "End."])
+
+
+def test_ambiguous_names_inside_an_article_need_sparse_text():
+    p = "A paragraph that belongs to the article as much as any other of its sections does."
+    for names in ('id="discussion"', 'class="related-work"', 'class="social-policy"', 'class="search-results"', 'class="notice-period"'):
+        assert html_text.main_text(f"<article><p>{p}</p><section {names}><h2>Head</h2><p>{p}</p><div class=share><a href=x>Share</a> it</div></section></article>") == f"{p}\nHead\n{p}"
+    for sparse in ("<div class='related'><a href=x>Another piece that has a rather long title to it</a></div>", "<ul class='social'><li>Like<li>Share</ul>", "<div><span class=share>Share</span> <span class=share>Send</span></div>", f"<div class='comments'><p>{p}</p></div>", f"<aside>{p}</aside>"):
+        assert html_text.main_text(f"<article><p>{p}</p>{sparse}<p>{p}</p></article>") == f"{p}\n{p}"
+    assert html_text.main_text(f"<article><p>{p} The <span class='search-hit'>word</span> found.</p></article>") == f"{p} The word found."
+    assert html_text.main_text(f"<p>{p}</p><div class='related'><p>{p}</p></div>") == p
