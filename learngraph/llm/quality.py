@@ -170,15 +170,18 @@ def _blocks(texts: list[str | None]):
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 8000) -> Model:
-    """Learn from about ``max_rows`` labelled documents at most, drawn by the hash of their id."""
+    """Learn from about ``max_rows`` labelled documents at most, half of each label, drawn by the hash of their id.
+
+    A label of no more than half of ``max_rows`` documents is taken whole; the intercept is set back to the true rate.
+    """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.max(label_col) > 0).cast("int").alias("_y"))
     sizes = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = sum(sizes.values())
     mean, scale = np.zeros(N_FEATURES, np.float32), np.ones(N_FEATURES, np.float32)
     if len(sizes) < 2:
         return Model(float(sizes.get(1, 0) > 0) if n else 0.5, None, mean, scale)
-    share = min(1.0, max_rows / n)
-    drawn = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < share * (1 << 20))
+    share = {label: min(1.0, max_rows / 2 / held) for label, held in sizes.items()}
+    drawn = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < F.when(F.col("_y") == 1, share[1]).otherwise(share[0]) * (1 << 30))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(drawn), "_id")  # about max_rows ids and labels
 
     def run(batches):
@@ -204,7 +207,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     mean, scale = x.mean(0), x.std(0) + np.float32(0.05)
     y = np.array([r["y"] for r in bags], np.float32)
     del bags, parts
-    return Model(float(y.mean()), train((x - mean) / scale, owner, y), mean, scale)
+    weights = train((x - mean) / scale, owner, y)
+    weights["d"] = np.float32(weights["d"] + np.log(share[0] / share[1]))  # the sample's odds are share[1] / share[0] times the true ones
+    return Model(sizes[1] / n, weights, mean, scale)
 
 
 def score_texts(model: Model, texts: list[str | None]) -> tuple[np.ndarray, list[np.ndarray]]:

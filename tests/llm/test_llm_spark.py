@@ -299,3 +299,14 @@ def test_language_stage_drops_unlearned_languages_of_a_learned_script(spark):
     strange = [(2000 + i, t * k) for i, (t, k) in enumerate((t + " ", k) for t in FOREIGN.values() for k in (1, 20))]
     docs = spark.createDataFrame([*rows, *((i, t, None) for i, t in plain + strange)], "doc_id long, text string, lang string")
     assert {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()} == {r[0] for r in rows} | {i for i, _ in plain}
+
+
+def test_quality_keeps_a_rare_label_in_full(spark):
+    rows = [(i, ("LOUD!! WORDS!! ALL!! " if i in (77, 333) else "a calm line of words, as one writes.\n") * (3 + i % 5)) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i not in (77, 333))) for i in range(600)], "doc_id long, quality int")
+    model = quality.fit(df, labels, max_rows=40)
+    got = {r["doc_id"]: r["score"] for r in quality.score(df, model).collect()}
+    assert model.weights is not None and model.rate == 598 / 600
+    assert max(got[77], got[333]) < min(s for i, s in got.items() if i not in (77, 333))
+    assert np.mean([s for i, s in got.items() if i not in (77, 333)]) > 0.98
