@@ -6,8 +6,8 @@ words; an encoder h = relu(W x + b) and gated attention a = softmax(w . (tanh(V
 give the document's representation sum(a h), and a logistic unit on it the score. Only the
 document's label is learned from: which passages matter is what the attention finds.
 
-Fitting takes a bounded sample of labelled rows (``max_rows``, at most ``MAX_PASSAGES`` passages
-of each, both parameters of fitting alone); scoring takes every passage of every whole text.
+Fitting takes a bounded sample of labelled rows (``max_rows``, and fewer where their passages
+would exceed ``MAX_PASSAGES``), each with all of its passages; scoring takes every whole text too.
 Null and empty texts are a bag of one empty passage. Labels that are null, or repeat for a
 document, count once at most (the larger label); with no label of one kind the score is the rate.
 """
@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
+from pyspark.sql.window import Window
 
 from learngraph.llm.shared import give_back
 from learngraph.llm.unicode_tables import TOP, code_points, letters, lower
 
 PASSAGE_WORDS = 100
-MAX_PASSAGES = 64
+MAX_PASSAGES = 1 << 18  # of all rows fitted on, about 130 MB: half of each label, whole rows, the last of them going beyond
 CLASSES = 16
 N_FEATURES = CLASSES * CLASSES + 6
 _CHARS = 500_000
@@ -190,17 +191,20 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             for a, b in _blocks(texts):
                 x, owner = passages([t or "" for t in texts[a:b]])
                 edge = np.searchsorted(owner, np.arange(b - a + 1))
-                keep = []
-                for i in range(b - a):
-                    at = np.arange(edge[i], edge[i + 1])
-                    if len(at) > MAX_PASSAGES:
-                        at = np.sort(np.random.default_rng(abs(int(ids[a + i]))).choice(at, MAX_PASSAGES, replace=False))
-                    keep.append(x[at].astype(np.float16).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([int(i) for i in ids[a:b]], pa.int64()), pa.array(ys[a:b], pa.int32()), pa.array(keep, pa.binary())], names=["id", "y", "x"])
-
-    bags = sorted(rows.select("_id", "_text", "_y").mapInArrow(run, "id long, y int, x binary").collect(), key=lambda r: (r["id"], r["x"]))
-    if not bags or len({r["y"] for r in bags}) < 2:
+                keep = [x[edge[i] : edge[i + 1]].astype(np.float16).tobytes() for i in range(b - a)]
+                yield pa.RecordBatch.from_arrays([pa.array([int(i) for i in ids[a:b]], pa.int64()), pa.array(ys[a:b], pa.int32()), pa.array(np.diff(edge), pa.int64()), pa.array(keep, pa.binary())], names=["id", "y", "n", "x"])
+
+    found = rows.select("_id", "_text", "_y").mapInArrow(run, "id long, y int, n long, x binary")
+    before = Window.partitionBy("y").orderBy(F.xxhash64("id", F.lit(1)), "id", "x").rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    found = found.withColumn("fits", F.col("before") < MAX_PASSAGES // 2)
+    bags = sorted(found.select("id", "y", "fits", F.when(F.col("fits"), F.col("x")).alias("x")).collect(), key=lambda r: (r["id"], r["x"] or b""))
+    seen = [sum(r["y"] == label for r in bags) for label in (0, 1)]
+    bags = [r for r in bags if r["fits"]]
+    if min(seen) == 0:
         return Model(sizes.get(1, 0) / n, None, mean, scale)
+    for label in (0, 1):  # rows that did not fit lower the share their label was drawn at
+        share[label] *= sum(r["y"] == label for r in bags) / seen[label]
     parts = [np.frombuffer(r["x"], np.float16).reshape(-1, N_FEATURES) for r in bags]
     x = np.concatenate(parts).astype(np.float32)
     owner = np.repeat(np.arange(len(bags)), [len(p) for p in parts])

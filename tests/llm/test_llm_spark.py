@@ -310,3 +310,18 @@ def test_quality_keeps_a_rare_label_in_full(spark):
     assert model.weights is not None and model.rate == 598 / 600
     assert max(got[77], got[333]) < min(s for i, s in got.items() if i not in (77, 333))
     assert np.mean([s for i, s in got.items() if i not in (77, 333)]) > 0.98
+
+
+def test_quality_learns_from_all_passages_of_whole_rows(spark, monkeypatch):
+    rows = [(i, ("a calm line of words, as one writes.\n" if i % 2 else "LOUD!! WORDS!! ALL!! ") * (3000 if i < 2 else 10)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    taken, train = [], quality.train
+    monkeypatch.setattr(quality, "train", lambda x, owner, y: taken.append((np.bincount(owner), y)) or train(x, owner, y))
+    quality.fit(df, labels)
+    whole = [len(quality.passages([t])[0]) for _, t in rows]
+    assert max(whole) > 64 and taken[0][0].tolist() == whole
+    monkeypatch.setattr(quality, "MAX_PASSAGES", 20)
+    assert quality.fit(df, labels).weights is not None
+    sizes, y = taken[1]
+    assert 1 <= sum(y == 0) <= 10 and 1 <= sum(y == 1) <= 10 and set(sizes.tolist()) <= set(whole)
