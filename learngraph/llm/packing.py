@@ -30,25 +30,22 @@ from pyspark.sql import functions as F
 from learngraph.llm.bpe import blocks, encoder, forget
 from learngraph.llm.shared import give_back
 
-# Of a window's size: penalties of a cut at a sentence's end and inside one, and how densely either kind of place is offered.
+# Of a window's size: penalties of a cut at a sentence's end and inside one, and how densely places inside one are offered.
 SENTENCE_PENALTY, INSIDE_PENALTY = 1 / 256, 1 / 32
-SENTENCE_GRID, INSIDE_GRID = 1 / 64, 1 / 8
+INSIDE_GRID = 1 / 8
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def candidates(ids: np.ndarray, ends: np.ndarray, ends_sentence: np.ndarray, size: int) -> tuple[list[int], list[int]]:
     """Places where the stream may be cut, and the penalty of each.
 
-    Every end of a document, the last end of a sentence in each cell of a 64th of a window, and places an
-    eighth of a window apart, so a window always reaches the next ones.
+    Every end of a document, every end of a sentence, and places an eighth of a window apart, so a window
+    always reaches the next ones.
     """
-    cell_size, step = max(1, int(size * SENTENCE_GRID)), max(1, int(size * INSIDE_GRID))
+    step = max(1, int(size * INSIDE_GRID))
     penalty = np.full(len(ids) + 1, -1, np.int32)
     penalty[step::step] = max(2, round(size * INSIDE_PENALTY))
-    stops = np.flatnonzero(ends_sentence[ids]) + 1
-    if len(stops):
-        cell = stops // cell_size
-        penalty[stops[np.append(cell[1:] != cell[:-1], True)]] = max(1, round(size * SENTENCE_PENALTY))
+    penalty[np.flatnonzero(ends_sentence[ids]) + 1] = max(1, round(size * SENTENCE_PENALTY))
     penalty[ends] = 0
     penalty[0] = 0
     penalty[len(ids)] = max(0, penalty[len(ids)])

@@ -243,3 +243,14 @@ def test_ambiguous_names_inside_an_article_need_sparse_text():
         assert html_text.main_text(f"<article><p>{p}</p>{sparse}<p>{p}</p></article>") == f"{p}\n{p}"
     assert html_text.main_text(f"<article><p>{p} The <span class='search-hit'>word</span> found.</p></article>") == f"{p} The word found."
     assert html_text.main_text(f"<p>{p}</p><div class='related'><p>{p}</p></div>") == p
+
+
+def test_every_sentence_end_is_a_candidate():
+    rng = np.random.default_rng(4)
+    ends_sentence = np.arange(100) % 10 == 0
+    ids = rng.integers(0, 100, 9000).astype(np.uint16)
+    at, penalty = packing.candidates(ids, np.array([4000, 9000]), ends_sentence, 2048)
+    stops = (np.flatnonzero(ends_sentence[ids]) + 1).tolist()
+    assert set(at) == {0, 4000, 9000, *stops, *range(256, 9001, 256)}
+    cost = dict(zip(at, penalty, strict=True))
+    assert {cost[k] for k in set(stops) - {4000, 9000}} == {8} and cost[4000] == cost[9000] == 0
