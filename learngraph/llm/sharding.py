@@ -31,18 +31,33 @@ from learngraph.llm.shared import written
 CHUNK_ROWS = 1 << 16
 BLOCK_UNIT = 4096  # blocks a shard: the root of the table's rows over this
 _LIMIT = 1_000_000_000  # of the library's exact draw
+_SINGLY = 16  # draws made one by one beyond it
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    """Good ones among ``draws`` without replacement; beyond 10^9 by its normal limit (relative error under 1e-4), still within what is possible."""
+    """Good ones among ``draws`` without replacement, exactly at any size.
+
+    Beyond the library's limit each one is taken with probability draws / (good + bad): given how many were taken,
+    the good ones among them are a hypergeometric draw. Those missing or too many, about the root of the draws, are
+    drawn likewise from the rest or from the taken ones.
+    """
     if draws == 0 or good == 0:
         return 0
+    if bad == 0:
+        return draws
     if good + bad < _LIMIT:
         return int(rng.hypergeometric(good, bad, draws))
-    n = good + bad
-    p = good / n
-    sd = math.sqrt(draws * p * (1 - p) * (n - draws) / max(1, n - 1))
-    return int(min(good, draws, max(0, draws - bad, round(rng.normal(draws * p, sd)))))
+    if draws <= _SINGLY:
+        taken = 0
+        for k in range(draws):
+            taken += int(rng.integers(good + bad - k)) < good - taken
+        return taken
+    share = draws / (good + bad)
+    g, b = int(rng.binomial(good, share)), int(rng.binomial(bad, share))
+    missing = draws - g - b
+    if missing >= 0:
+        return g + hypergeometric(rng, good - g, bad - b, missing)
+    return g - hypergeometric(rng, g, b, -missing)
 
 
 def split_counts(rng: np.random.Generator, room: np.ndarray, draws: int) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 import html
 import itertools
+import math
 import zlib
 
 import numpy as np
@@ -254,3 +255,21 @@ def test_every_sentence_end_is_a_candidate():
     assert set(at) == {0, 4000, 9000, *stops, *range(256, 9001, 256)}
     cost = dict(zip(at, penalty, strict=True))
     assert {cost[k] for k in set(stops) - {4000, 9000}} == {8} and cost[4000] == cost[9000] == 0
+
+
+@pytest.mark.parametrize("good, bad, draws", [(5, 10**10, 10**9), (3 * 10**9, 4, 10**9), (10**10, 10**10, 7), (10**10, 5, 10**10 + 2)])
+def test_counts_of_large_draws_are_exact(good, bad, draws):
+    rng = np.random.default_rng(6)
+    got = np.array([sharding.hypergeometric(rng, good, bad, draws) for _ in range(4000)])
+    small, p = (good, draws / (good + bad)) if good < 10 else (bad, draws / (good + bad)) if bad < 10 else (draws, good / (good + bad))
+    rare = draws - got if bad < 10 else got
+    want = np.array([math.comb(small, k) * p**k * (1 - p) ** (small - k) for k in range(small + 1)])  # binomial: the rest is so large
+    assert rare.min() >= 0 and rare.max() <= small and np.abs(np.bincount(rare, minlength=small + 1) / 4000 - want).max() < 0.03
+
+
+def test_counts_beyond_the_limit_follow_the_law(monkeypatch):
+    monkeypatch.setattr(sharding, "_LIMIT", 0)
+    rng = np.random.default_rng(7)
+    got = np.bincount([sharding.hypergeometric(rng, 9, 40, 30) for _ in range(8000)], minlength=10)
+    want = np.array([math.comb(9, k) * math.comb(40, 30 - k) / math.comb(49, 30) for k in range(10)])
+    assert np.abs(got / 8000 - want).max() < 0.02
