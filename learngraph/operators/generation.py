@@ -19,7 +19,7 @@ from learngraph.functions import text as T
 from learngraph.functions.responses import response_rows
 from learngraph.operators import quality
 from learngraph.operators.export import DEFAULTS, shuffled_options
-from learngraph.operators.vectors import _written
+from learngraph.shared import written
 from learngraph.sources.connectors import call
 
 ITEMS = "ITEMS:\n"
@@ -79,8 +79,8 @@ def ask(items: DataFrame, task: Task, client: Callable[[], Callable], payload: l
     Fields of the items that the answer has too are replaced. Raw answers are written before they
     are parsed, so no task that is run again asks again.
     """
-    dealt = _written(quality.batches(items, task.size, order), "dealt")
-    raw = _written(call(prompts(dealt, task, payload, model), client, temperature=task.temperature, replay=replay), "raw")
+    dealt = written(quality.batches(items, task.size, order), "dealt")
+    raw = written(call(prompts(dealt, task, payload, model), client, temperature=task.temperature, replay=replay), "raw")
     found = answers(raw, task)
     if task.whole:
         sizes = dealt.groupBy("batch").agg(F.count(F.lit(1)).alias("wanted"))
@@ -145,13 +145,13 @@ def evaluate_missing(objects: DataFrame, models: list[str], client, evaluations:
     """Evaluations with those of further rounds for objects that some model left out."""
     done = evaluations
     for _ in range(rounds):
-        missing = _written(quality.missing_evaluations(objects, models, done), "missing")
+        missing = written(quality.missing_evaluations(objects, models, done), "missing")
         if missing.isEmpty():
             break
         for model in models:
             todo = objects.join(missing.where(F.col("model") == model).select(F.col("lo_id").alias("id")), "id", "left_semi")
             done = done.unionByName(evaluate(todo, [model], client, **how))
-        done = _written(done, "evaluations")
+        done = written(done, "evaluations")
     return done
 
 
@@ -164,27 +164,27 @@ def filter_and_regenerate(objects: DataFrame, units: DataFrame, models: list[str
     unit, or no answer; such objects are kept as they are). Choices are made again for regenerated objects.
     ``accumulate`` judges by all attempts' scores instead of the last's.
     """
-    held = _written(objects.drop("evaluated", "regen_status").withColumns({"evaluated": F.lit(False), "regen_status": F.lit(None).cast("string")}), "objects")
-    sources = _written(quality.last_by_key(units, ["statement"], "seq"), "units")
+    held = written(objects.drop("evaluated", "regen_status").withColumns({"evaluated": F.lit(False), "regen_status": F.lit(None).cast("string")}), "objects")
+    sources = written(quality.last_by_key(units, ["statement"], "seq"), "units")
     todo, scores = held, None
     for attempt in range(attempts):
-        new = _written(evaluate(todo, models, client, attempt=attempt), "evaluations")
+        new = written(evaluate(todo, models, client, attempt=attempt), "evaluations")
         scores = new if scores is None else scores.unionByName(new)
         judged = quality.consensus(quality.latest(scores, accumulate), faithfulness, hint_quality)
         bad = quality.failing(judged).select(F.col("lo_id").alias("id"))
         leaning = held.where(T.outside_reference(F.col("question")).isNotNull()).select("id")
-        failed = _written(bad.unionByName(leaning).distinct(), "failed")
+        failed = written(bad.unionByName(leaning).distinct(), "failed")
         held = held.withColumn("evaluated", F.lit(True))
         if failed.isEmpty():
             break
         losers = held.join(failed, "id", "left_semi")
         matched = losers.select(F.col("source_statement").alias("statement")).distinct()
         again = generate_objects(sources.join(matched, "statement", "left_semi"), client)
-        again = _written(add_choices(again, client), "again").withColumns({"evaluated": F.lit(False), "regen_status": F.lit("regenerated")})
+        again = written(add_choices(again, client), "again").withColumns({"evaluated": F.lit(False), "regen_status": F.lit("regenerated")})
         kept = held.join(failed, "id", "left_anti")
         unmatched = losers.join(again.select("id"), "id", "left_anti").withColumn("regen_status", F.lit("unmatched"))
         fresh = again.join(failed, "id", "left_semi")
-        held = _written(kept.unionByName(unmatched, allowMissingColumns=True).unionByName(fresh, allowMissingColumns=True).select(held.columns), "objects")
+        held = written(kept.unionByName(unmatched, allowMissingColumns=True).unionByName(fresh, allowMissingColumns=True).select(held.columns), "objects")
         todo = quality.to_evaluate_again(held, fresh, "id")
     return held, scores
 
@@ -205,13 +205,13 @@ def merge_similar(units: DataFrame, embed: Callable[[DataFrame], DataFrame], cli
     """Units after passes of pairing (in order, each unit once a pass) and merging, until no pair is left."""
     from learngraph.operators.vectors import greedy_matching, similar_pairs
 
-    held = _written(units.select("seq", "type", "statement", "concepts", "source_title", "source_page"), "units")
+    held = written(units.select("seq", "type", "statement", "concepts", "source_title", "source_page"), "units")
     for _ in range(passes):
         pairs = greedy_matching(similar_pairs(embed(held).select("seq", "vector"), threshold, id_col="seq", vector_col="vector"))
         if pairs.isEmpty():
             break
         gone = pairs.select(F.explode(F.array("a", "b")).alias("seq"))
-        held = _written(held.join(gone, "seq", "left_anti").unionByName(merge_units(pairs, held, client)), "units")
+        held = written(held.join(gone, "seq", "left_anti").unionByName(merge_units(pairs, held, client)), "units")
     return held
 
 

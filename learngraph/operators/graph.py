@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from learngraph.operators import components as stars
+from learngraph.shared import written
+
 
 def cooccurrence_edges(incidence: DataFrame, unit: str, concept: str) -> DataFrame:
     """Undirected edges (src < dst) weighted by the number of units that hold both concepts.
@@ -138,24 +141,9 @@ def in_out_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def components(vertex: DataFrame, edges: DataFrame) -> DataFrame:
-    """concept and component, the least concept it reaches.
-
-    Labels fall to the least label of the neighbours and are then followed one step further each round, so rounds
-    grow with the logarithm of the longest shortest path; each is written to the shared folder.
-    """
-    from learngraph.operators.vectors import _written
-
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    both = _written(both.distinct(), "edges")
-    labels = _written(vertex.select("concept", F.col("concept").alias("label")), "labels")
-    while True:
-        near = both.join(labels, both["dst"] == labels["concept"]).groupBy("src").agg(F.min("label").alias("least"))
-        step = labels.join(near, labels["concept"] == near["src"], "left").select("concept", "label", F.least("label", F.coalesce("least", "label")).alias("next"))
-        follow = step.select(F.col("concept").alias("next"), F.col("next").alias("far"))
-        jumped = _written(step.join(follow, "next", "left").select("concept", F.col("label").alias("old"), F.least("next", F.coalesce("far", "next")).alias("label")), "labels")
-        if jumped.where("old != label").isEmpty():
-            return jumped.select("concept", F.col("label").alias("component"))
-        labels = jumped.select("concept", "label")
+    """concept and component, the least concept it reaches (its own where it has no edge)."""
+    roots = stars.components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))).withColumnRenamed("node", "concept")
+    return vertex.select("concept").join(roots, "concept", "left").select("concept", F.coalesce("root", "concept").alias("component"))
 
 
 def topological_levels(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, bool]:
@@ -163,19 +151,17 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, b
 
     Rounds peel off the nodes without open predecessors; what is never peeled lies on or behind a cycle.
     """
-    from learngraph.operators.vectors import _written
-
-    open_nodes = _written(nodes.select("id").distinct(), "nodes")
-    open_edges = _written(edges.select("src", "dst").distinct(), "edges")
+    open_nodes = written(nodes.select("id").distinct(), "nodes")
+    open_edges = written(edges.select("src", "dst").distinct(), "edges")
     done, level = None, 0
     while True:
         free = open_nodes.join(open_edges.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("level", F.lit(level))
-        free = _written(free, "level")
+        free = written(free, "level")
         if free.isEmpty():
             break
         done = free if done is None else done.unionByName(free)
-        open_nodes = _written(open_nodes.join(free, "id", "left_anti"), "nodes")
-        open_edges = _written(open_edges.join(free.select(F.col("id").alias("src")), "src", "left_anti"), "edges")
+        open_nodes = written(open_nodes.join(free, "id", "left_anti"), "nodes")
+        open_edges = written(open_edges.join(free.select(F.col("id").alias("src")), "src", "left_anti"), "edges")
         level += 1
     acyclic = open_nodes.isEmpty()
     return (done if done is not None else open_nodes.withColumn("level", F.lit(0))), acyclic
@@ -183,15 +169,13 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, b
 
 def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id and depth: the longest, over all roots that reach it, of the shortest paths from a root; null for nodes that none reaches."""
-    from learngraph.operators.vectors import _written
-
     roots = nodes.select("id").distinct().join(edges.select(F.col("dst").alias("id")), "id", "left_anti")
-    front = _written(roots.select("id", F.col("id").alias("root"), F.lit(0).alias("dist")), "front")
+    front = written(roots.select("id", F.col("id").alias("root"), F.lit(0).alias("dist")), "front")
     seen, step = front, 0
     while True:
         step += 1
         ahead = front.join(edges.select(F.col("src").alias("id"), "dst"), "id").select(F.col("dst").alias("id"), "root").distinct()
-        front = _written(ahead.join(seen.select("id", "root"), ["id", "root"], "left_anti").withColumn("dist", F.lit(step)), "front")
+        front = written(ahead.join(seen.select("id", "root"), ["id", "root"], "left_anti").withColumn("dist", F.lit(step)), "front")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)

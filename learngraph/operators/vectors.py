@@ -3,28 +3,15 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 1024
-
+from learngraph.shared import written
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """A table in the folder of spark.checkpoint.dir, which driver and executors share; set to a temporary one only where unset."""
-    spark: SparkSession = df.sparkSession
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="shared-")
-        sc.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+BLOCK = 1024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -79,15 +66,15 @@ def greedy_keep(ids: DataFrame, pairs: DataFrame, id_col: str = "vec_id") -> Dat
     In rounds over the pairs whose ends are both open: an id that is no pair's larger end is kept, and
     its larger neighbours are dropped with their pairs. The least open id settles in every round.
     """
-    open_ = _written(pairs.select("a", "b").distinct(), "open")
+    open_ = written(pairs.select("a", "b").distinct(), "open")
     dropped = None
     while True:
         kept = open_.select("a").distinct().join(open_.select(F.col("b").alias("a")), "a", "left_anti")
-        new = _written(open_.join(kept, "a", "left_semi").select("b").distinct(), "dropped")
+        new = written(open_.join(kept, "a", "left_semi").select("b").distinct(), "dropped")
         if new.isEmpty():
             break
         dropped = new if dropped is None else dropped.unionByName(new)
-        open_ = _written(open_.join(new, "b", "left_anti").join(new.withColumnRenamed("b", "a"), "a", "left_anti"), "open")
+        open_ = written(open_.join(new, "b", "left_anti").join(new.withColumnRenamed("b", "a"), "a", "left_anti"), "open")
     return ids if dropped is None else ids.join(dropped.withColumnRenamed("b", id_col), id_col, "left_anti")
 
 
@@ -96,13 +83,13 @@ def greedy_matching(pairs: DataFrame) -> DataFrame:
 
     In rounds: a pair that comes first among those of either end is taken, and the pairs of its ends go.
     """
-    open_ = _written(pairs.select("a", "b").distinct(), "open")
+    open_ = written(pairs.select("a", "b").distinct(), "open")
     taken = None
     while not open_.isEmpty():
         ends = open_.select(F.col("a").alias("id"), "a", "b").unionByName(open_.select(F.col("b").alias("id"), "a", "b"))
         first = ends.groupBy("id").agg(F.min(F.struct("a", "b")).alias("f")).select("id", "f.a", "f.b")
         now = first.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("a", "b")
-        taken = _written(now if taken is None else taken.unionByName(now), "taken")
+        taken = written(now if taken is None else taken.unionByName(now), "taken")
         gone = taken.select(F.col("a").alias("id")).unionByName(taken.select(F.col("b").alias("id")))
-        open_ = _written(open_.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti"), "open")
+        open_ = written(open_.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti"), "open")
     return taken if taken is not None else open_

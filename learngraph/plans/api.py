@@ -11,6 +11,7 @@ from learngraph.functions import statistics as S
 from learngraph.functions import text as T
 from learngraph.operators import export, generation, graph, vectors
 from learngraph.operators.concepts import normalize
+from learngraph.shared import written
 from learngraph.sources import connectors, documents, tables
 from learngraph.sources.sections import dispatch
 
@@ -21,8 +22,8 @@ def extract_units(files: DataFrame, client, *, threshold: float = 0.82) -> tuple
     """Units of files (path, content), their counts (types, raw and normalised concepts), and the files refused."""
     known, refused = dispatch(files)
     sections = documents.scan(known).withColumn("seq", F.xxhash64("id", "seq"))
-    raw = vectors._written(generation.extract_units(sections, client), "units").withColumn("seq", F.xxhash64("seq", "statement"))
-    clean = vectors._written(raw.dropDuplicates(["seq"]), "units")
+    raw = written(generation.extract_units(sections, client), "units").withColumn("seq", F.xxhash64("seq", "statement"))
+    clean = written(raw.dropDuplicates(["seq"]), "units")
     pairs = vectors.similar_pairs(connectors.embed(clean, "statement"), threshold, id_col="seq", vector_col="vector")
     units = normalize(vectors.greedy_keep(clean, pairs, "seq"))
     each = lambda c: units.select(F.explode(c).alias("c")).agg(F.countDistinct("c").alias("n")).select(F.lit(c).alias("what"), "n")
@@ -41,16 +42,16 @@ def evaluate(objects: DataFrame, units: DataFrame, models: list[str], client, **
 def build_graph(units: DataFrame, objects: DataFrame, client: Callable | None = None, *, least_cosine: float = 0.6) -> dict[str, DataFrame]:
     """The concept graph, objects with anchor and prerequisites, and the verified edges (all candidates without a client)."""
     incidence = units.select(F.monotonically_increasing_id().alias("unit"), F.explode("normalized_concepts").alias("concept")).where("concept != ''")
-    incidence = vectors._written(incidence, "incidence")
+    incidence = written(incidence, "incidence")
     vertex, edges = graph.vertices(incidence, "concept"), graph.cooccurrence_edges(incidence, "unit", "concept")
-    objects = vectors._written(objects.dropDuplicates(["id"]).drop("anchor", "prerequisite_ids"), "objects")
+    objects = written(objects.dropDuplicates(["id"]).drop("anchor", "prerequisite_ids"), "objects")
     keywords = objects.select("id", F.explode("keywords").alias("keyword"))
     anchors = graph.anchors(keywords, graph.degree_centrality(vertex, edges))
     known = connectors.embed(objects.select("id", T.layer(F.col("type")).alias("layer"), T.question_and_answer(F.col("question"), F.col("answer")).alias("text")), "text")
     placed = known.join(anchors, "id", "left").withColumn("centrality", F.coalesce("centrality", F.lit(0.0)))
-    candidates = vectors._written(graph.layered_edges(placed, keywords, vectors.cosine, least_cosine), "candidates")
+    candidates = written(graph.layered_edges(placed, keywords, vectors.cosine, least_cosine), "candidates")
     verified = generation.verify_edges(candidates, objects, client).select("src", "dst") if client else candidates
-    verified = vectors._written(verified.where("src != dst"), "verified")
+    verified = written(verified.where("src != dst"), "verified")
     _, acyclic = graph.topological_levels(objects.select("id"), verified)
     if not acyclic:
         raise ValueError("the prerequisite graph has a cycle")

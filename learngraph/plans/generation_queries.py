@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from learngraph.functions import text as T
 from learngraph.operators import generation as G
 from learngraph.operators import graph
-from learngraph.operators.vectors import _written
 from learngraph.plans.bindings import question_answers, units
 from learngraph.plans.graph_queries import ORACLES as GRAPH_SQL
 from learngraph.plans.graph_queries import layered_edges
+from learngraph.shared import written
 from learngraph.streaming import incremental
 from learngraph.tables import table
 
@@ -47,7 +47,7 @@ def stub_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stub_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("question"), F.col("o_orderstatus").alias("answer"))
-    edges = _written(layered_edges(spark, sf_dir), "layered").select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
+    edges = written(layered_edges(spark, sf_dir), "layered").select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
     return G.verify_edges(edges, orders, G.stub_client)
 
 

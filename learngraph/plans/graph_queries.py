@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from learngraph.operators import graph, vectors
+from learngraph.shared import written
 from learngraph.tables import table
 
 COSINE = 0.3  # of two orders' vectors inside a layer: the embeddings hold few pairs above
@@ -108,7 +109,7 @@ def edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _layered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors._written(layered_edges(spark, sf_dir), "layered")
+    return written(layered_edges(spark, sf_dir), "layered")
 
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from learngraph.functions import responses
 from learngraph.functions import statistics as S
-from learngraph.operators import export, generation, graph, quality, vectors
+from learngraph.operators import components, export, generation, graph, quality, vectors
 from learngraph.operators.concepts import lemma, normalize, normalize_concept
 from learngraph.plans import api
 
@@ -276,3 +276,10 @@ def test_service_functions(spark):
     assert api.export_units(objects, generation.stub_client).count() == 1 and api.export_units(objects, generation.stub_client, title="T").first()["title"] == "T"
     old, new = spark.createDataFrame([("a", 1, "o")], "id string, seq int, x string"), spark.createDataFrame([("a", 0), ("b", 2)], "id string, seq int")
     assert rows(api.add_sources(old, new), "id", "x") == [("a", "o"), ("b", None)] and api.add_sources(old, new, distinct=False).count() == 3
+
+
+def test_components(spark):
+    edges = [(1, 2), (2, 3), (3, 4), (5, 5), (8, 7), (7, 9), (9, 8), (4, 20), (20, 19)] + [(100 + i, 101 + i) for i in range(40)] + [(300, 301 + i) for i in range(40)]
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {1: 1, 2: 1, 3: 1, 4: 1, 19: 1, 20: 1, 5: 5, 7: 7, 8: 7, 9: 7} | {100 + i: 100 for i in range(41)} | {300 + i: 300 for i in range(41)}
+    assert got == want and components.components(spark.createDataFrame([], "a long, b long")).count() == 0
