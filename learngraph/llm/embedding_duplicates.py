@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from learngraph.llm.components import components
 from learngraph.llm.shared import written
 from learngraph.llm.shingles import mix
 from learngraph.llm.vectors import matrix, unit
+from learngraph.operators.components import components
 
 WIDTH = 2.0
 BLOCK = 1024

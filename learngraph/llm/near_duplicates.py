@@ -6,11 +6,14 @@ SIDE^2 tables; at similarity 0.8 a pair shares no table with probability 6e-4, a
 expanded only where a first key is shared, which leaves out texts like no other.
 
 Texts of equal shingle sets are one class, named by a 128-bit digest, and only classes are
-compared. In each table's buckets every class is compared to the least one of its bucket: rows in
+compared. Buckets of the same classes count once. In each bucket every class is compared to the least one: rows in
 proportion to the bucket's size. Components of confirmed links follow. Buckets whose classes
-then lie in more than one component may hide links that miss the least class; their classes
-go through an exact set-similarity join (size, prefix and position filters over rare-first order),
-between components only. Nothing is capped: a bucket of any size is met in full.
+then lie in more than one component may hide links that miss the least class. Their pairs across
+components are met inside tasks, in blocks, by sizes and set bitmaps that rule out no link; what leaves a
+block is one row a class, first its most promising partner (confirmed, most groups are whole after
+that), then, where components still face each other, its group of classes that bitmaps leave open. Such a
+group's full sets are compared exactly, again in blocks, and what leaves a block is a forest of links.
+So no pairs of a group are ever rows, nothing is capped and a bucket or group of any size is met in full.
 
 The full sets of classes in some bucket are made again from the texts, in a scan that passes over
 other documents by a bitmap of hashed ids of bounded size (a false hit costs time alone), and
@@ -31,12 +34,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, LongType
 from pyspark.sql.window import Window
 
-from learngraph.llm.components import components
 from learngraph.llm.shared import give_back, written
 from learngraph.llm.shingles import digest, minima, mix, shingle_sets
+from learngraph.operators.components import components, labels
 
 SIDE, TIE = 8, 2
-COUNTERS = 1 << 20  # of the rare-first order
+BLOCK, BLOCK_ITEMS = 512, 400_000  # classes, and items of their sets, of one side of a block at most on average
+PAIRS = 200_000  # looked at at once
 BITS = 512  # of a set's bitmap
 _MAPS = [f"m{k}" for k in range(BITS // 64)]
 SIGNATURES = "doc_id long, n_shingles long, digest binary, first array<long>, second array<long>"
@@ -72,14 +76,18 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """bucket, digest: classes that share a table's key with another class."""
+    """bucket, digest, least, n: classes that share a table's key with another class; of buckets of the same classes, one.
+
+    What is joined by key is written first, so adaptive execution can split the join where one key has many rows.
+    """
     first = classes.select("digest", F.posexplode("first").alias("i", "key"))
-    shared = first.groupBy("i", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    shared = written(first.groupBy("i", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("i", "key"), "shared-keys")
     active = first.join(shared, ["i", "key"]).join(classes.select("digest", "second"), "digest")
     tables = active.select("digest", "i", "key", F.posexplode("second").alias("j", "other"))
     rows = tables.select(F.xxhash64("i", "key", "j", "other").alias("bucket"), "digest")
-    held = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("least")).where("n > 1")
-    return rows.join(held, "bucket")
+    held = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("least"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("y")).where("n > 1")
+    once = written(held.groupBy("n", "least", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "least", "n"), "bucket-names")
+    return rows.join(once, "bucket")
 
 
 def _wanted_bitmap(ids: DataFrame, n: int) -> tuple[np.ndarray, int]:
@@ -137,6 +145,11 @@ def _sets(docs: DataFrame, classes: DataFrame, words: int, id_col: str, text_col
     return found if (most or 0) <= 4 else written(found.dropDuplicates(["digest"]), "shingle-sets")
 
 
+def _few(sets: DataFrame, digests: DataFrame, column: str = "digest") -> DataFrame:
+    """digest, items of the sets that may be among the digests: the others are not shuffled."""
+    return sets.where(_maybe_in(digests, column)(F.col("digest"))).select("digest", "items")
+
+
 def _may_share(x: str, y: str, nx: str, ny: str, percent: int) -> str:
     """SQL: sizes and bitmaps leave room for the similarity. A bit of x that y lacks stands for an item that y lacks."""
     lacks = lambda a, b: " + ".join(f"bit_count({a}{m} & ~{b}{m})" for m in _MAPS)
@@ -144,94 +157,174 @@ def _may_share(x: str, y: str, nx: str, ny: str, percent: int) -> str:
     return f"100 * least({nx}, {ny}) >= {percent} * greatest({nx}, {ny}) AND {100 + percent} * ({nx} - ({lacks(x, y)})) >= {need} AND {100 + percent} * ({ny} - ({lacks(y, x)})) >= {need}"
 
 
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two rising arrays of distinct hashes."""
+    if len(y) < len(x):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int(np.count_nonzero(y[at] == x))
+
+
 @F.pandas_udf(LongType())
 def _common(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Size of the intersection of two rising arrays of distinct hashes."""
-    out = []
-    for a, b in zip(left, right, strict=True):
-        x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-        if len(y) < len(x):
-            x, y = y, x
-        at = np.searchsorted(y, x)
-        at[at == len(y)] = 0
-        out.append(int(np.count_nonzero(y[at] == x)))
-    return pd.Series(out)
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    return pd.Series([_shared(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(left, right, strict=True)], dtype="int64")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, brief: DataFrame, percent: int) -> DataFrame:
     """The (a, b) whose sets are similar enough. Sets are fetched only where sizes and bitmaps leave it open."""
-    known = sets.select("digest", "size", *_MAPS).dropDuplicates(["digest"])
-    brief = lambda side: known.select(F.col("digest").alias(side), F.col("size").alias(f"n{side}"), *[F.col(m).alias(f"{side}_{m}") for m in _MAPS])
-    near = pairs.join(brief("a"), "a").join(brief("b"), "b").where(F.expr(_may_share("a_", "b_", "na", "nb", percent))).select("a", "b", "na", "nb")
+    side = lambda name: brief.select(F.col("digest").alias(name), F.col("size").alias(f"n{name}"), *[F.col(m).alias(f"{name}_{m}") for m in _MAPS])
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(F.expr(_may_share("a_", "b_", "na", "nb", percent))).select("a", "b", "na", "nb")
     near = written(near, "candidates")
-    wanted = _maybe_in(near.select(F.explode(F.array("a", "b")).alias("digest")).distinct(), "digest")
-    few = sets.where(wanted(F.col("digest"))).select("digest", "items")
+    few = _few(sets, near.select(F.explode(F.array("a", "b")).alias("digest")).distinct())
     full = near.join(few.select(F.col("digest").alias("b"), F.col("items").alias("y")), "b").join(few.select(F.col("digest").alias("a"), F.col("items").alias("x")), "a")
     counted = full.select("a", "b", "na", "nb", _common("x", "y").alias("c"))
     return written(counted.where(F.expr(f"100 * c >= {percent} * (na + nb - c)")).select("a", "b"), "links")
 
 
-def _counters(sets: DataFrame) -> np.ndarray:
-    """How many items fall on each of COUNTERS hashed counters."""
-    slice_size = 1 << 14
+def _dealt(rows: DataFrame, group: str) -> DataFrame:
+    """The rows of groups with more than one root, with the ``block`` in which each is met and its ``part`` there.
 
-    def count(batches):
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                np.add.at(total, (np.frombuffer(x, np.uint64) >> np.uint64(44)).astype(np.int64), 1)
-        for k in range(COUNTERS // slice_size):
-            part = total[k * slice_size : (k + 1) * slice_size]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([part.tobytes()], pa.binary())], names=["part", "n"])
-
-    def add(key, frame):
-        return pd.DataFrame({"part": [key[0]], "n": [np.sum([np.frombuffer(x, np.int64) for x in frame["n"]], axis=0).tobytes()]})
-
-    out = np.zeros(COUNTERS, np.int64)
-    for r in sets.select("items").mapInArrow(count, "part long, n binary").groupBy("part").applyInPandas(add, "part long, n binary").collect():
-        out[r["part"] * slice_size : (r["part"] + 1) * slice_size] = np.frombuffer(bytes(r["n"]), np.int64)
-    return out
-
-
-def _across(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all pairs of different ``root`` that the size, prefix, position and bitmap filters can't rule out.
-
-    Items stand in one order for all sets: rare counters first. For similarity t, a smaller set x
-    and a larger set y share at least t / (1 + t) * (|x| + |y|) items, so the first items of x
-    (its index prefix, for partners no smaller) and of y (its probe prefix) share one, whose
-    places leave room for the rest.
+    ``rows`` have group, digest, root, main (the root is that of the group's least class) and size. Where a
+    group is more than a block, both its main and its other classes are dealt in chunks, and each pair of chunks is a block
+    but for pairs of main chunks, which have one root. In a block of several parts only pairs across parts are open.
     """
-    counters = sets.sparkSession.sparkContext.broadcast(_counters(sets))
+    other = F.col("main").cast("int") == 0
+    sums = [F.count_if(other).alias("others"), F.count_if("main").alias("mains"), F.sum(F.when(other, F.col("size")).otherwise(0)).alias("other_items"), F.sum(F.when(other, 0).otherwise(F.col("size"))).alias("main_items")]
+    sizes = rows.groupBy(group).agg(*sums).where("others > 0")
+    chunks = lambda n, items: F.expr(f"cast(greatest(ceil({n} / {BLOCK}), ceil({items} / {BLOCK_ITEMS})) as int)")
+    sizes = sizes.select(group, chunks("others", "other_items").alias("o"), chunks("mains", "main_items").alias("m"), F.expr(f"others + mains <= {BLOCK} AND other_items + main_items <= {BLOCK_ITEMS}").alias("whole"))
+    held = rows.join(written(sizes, "block-sizes"), group).withColumn("chunk", F.pmod(F.xxhash64("digest"), F.when(F.col("main"), F.col("m")).otherwise(F.col("o"))).cast("int"))
+    places = F.expr("""CASE WHEN whole THEN array(struct(0 AS kind, 0 AS x, 0 AS y))
+        WHEN main THEN transform(sequence(0, o - 1), k -> struct(2 AS kind, chunk AS x, k AS y))
+        ELSE concat(transform(sequence(0, o - 1), k -> struct(1 AS kind, least(chunk, k) AS x, greatest(chunk, k) AS y)), transform(slice(sequence(0, m), 1, m), k -> struct(2 AS kind, k AS x, chunk AS y))) END""")
+    part = F.expr("CASE WHEN whole THEN 0 WHEN at.kind = 1 THEN chunk + 1 ELSE -cast(main as int) END")
+    met = held.withColumn("at", F.explode(places))
+    return met.withColumns({"block": F.xxhash64(group, "at.kind", "at.x", "at.y"), "part": part, "name": F.xxhash64("root")})
+
+
+def _whole_blocks(batches, rows: int = 4000, size: int = 16 << 20):
+    """Tables of whole blocks, several where they are small; batches come sorted by block, their first column."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) < rows and sum(b.get_total_buffer_size() for b in held) < size:
+            continue
+        at = held[-1].column(0).to_numpy()
+        ends = np.flatnonzero(at[1:] != at[:-1])
+        last = int(ends[-1]) + 1 if len(ends) else 0
+        if not last and (len(held) == 1 or held[-2].column(0)[held[-2].num_rows - 1].as_py() == int(at[0])):
+            continue  # one block since the last yield
+        yield pa.Table.from_batches([*held[:-1], held[-1].slice(0, last)])
+        held = [held[-1].slice(last)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _open_pairs(block: np.ndarray, part: np.ndarray, name: np.ndarray, size: np.ndarray, maps: np.ndarray, percent: int):
+    """(i, j, shared) with i < j, some at a time: pairs of a block, of different roots, that sizes and bitmaps leave open; shared is the most items that both can hold."""
+    edge = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]])
+    end = np.repeat(edge[1:], np.diff(edge))
+    several = np.repeat(np.maximum.reduceat(part, edge[:-1]) != np.minimum.reduceat(part, edge[:-1]), np.diff(edge))
+    after = end - np.arange(len(block)) - 1
+    a = 0
+    while a < len(block):
+        b = max(a + 1, int(np.searchsorted(np.cumsum(after[a:]), PAIRS, side="right")) + a)
+        i = np.repeat(np.arange(a, b), after[a:b])
+        j = np.arange(len(i)) - np.repeat(np.cumsum(after[a:b]) - after[a:b], after[a:b]) + i + 1
+        a = b
+        open_ones = (name[i] != name[j]) & (~several[i] | (part[i] != part[j])) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
+        i, j = i[open_ones], j[open_ones]
+        lacks_i = np.zeros(len(i), np.int64)  # bits of j that i lacks stand for items that i lacks
+        lacks_j = np.zeros(len(i), np.int64)
+        for m in maps:
+            x, y = m[i], m[j]
+            lacks_j += np.bitwise_count(x & ~y)
+            lacks_i += np.bitwise_count(y & ~x)
+        shared = np.minimum(size[i] - lacks_j, size[j] - lacks_i)
+        fits = (100 + percent) * shared >= percent * (size[i] + size[j])
+        yield i[fits], j[fits], shared[fits]
+
+
+def _partners(rows: DataFrame, brief: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """(a, b), one row a class and block at most. ``nearest``: an open pair, the one that may share most; else b stands for all that open pairs lead to in the block."""
+    columns = ["digest", "part", "name", "size", *_MAPS]
 
     def run(batches):
-        held = counters.value
-        for batch in batches:
-            names, roots, items, which, place, size = [], [], [], [], [], []
-            for name, root, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                x = np.frombuffer(raw, np.uint64)
-                n = len(x)
-                probe = n - -(-percent * n // 100) + 1
-                index = n - -(-2 * percent * n // (100 + percent)) + 1
-                x = x[np.lexsort((x, held[(x >> np.uint64(44)).astype(np.int64)]))][:probe]
-                names += [name] * len(x)
-                roots += [root] * len(x)
-                items.append(x.view(np.int64))
-                place.append(np.arange(len(x)))
-                which.append(np.arange(len(x)) < index)
-                size += [n] * len(x)
-            if names:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(items)), pa.array(names, pa.binary()), pa.array(roots, pa.binary()), pa.array(np.concatenate(place)), pa.array(np.concatenate(which)), pa.array(size, pa.int64())], names=["item", "digest", "root", "place", "indexed", "size"])
-
-    prefixes = sets.select("digest", "root", "items").mapInArrow(run, "item long, digest binary, root binary, place long, indexed boolean, size long")
-    mixed = prefixes.groupBy("item").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("item")
-    held = prefixes.join(mixed, "item").join(sets.select("digest", *_MAPS).dropDuplicates(["digest"]), "digest")
-    x, y = held.where("indexed").alias("x"), held.alias("y")
-    fits = F.expr(
-        "x.item = y.item AND x.root != y.root AND (x.size < y.size OR (x.size = y.size AND x.digest < y.digest))"
-        f" AND {100 + percent} * least(x.size - x.place, y.size - y.place) >= {percent} * (x.size + y.size) AND {_may_share('x.', 'y.', 'x.size', 'y.size', percent)}"
-    )
-    return x.join(y, fits).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct()
+        for table in _whole_blocks(batches):
+            block, part, name, size = (table.column(c).to_numpy() for c in ("block", "part", "name", "size"))
+            maps = [table.column(m).to_numpy().view(np.uint64) for m in _MAPS]
+            digests = table.column("digest").combine_chunks()
+            label, best, most = np.arange(len(block)), np.full(len(block), -1), np.zeros(len(block))
+            for i, j, shared in _open_pairs(block, part, name, size, maps, percent):
+                if nearest:
+                    close = shared / (size[i] + size[j] - shared)
+                    x, y, z = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([close, close])
+                    order = np.lexsort((y, -z, x))
+                    x, y, z = x[order], y[order], z[order]
+                    top = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+                    top = top[z[top] > most[x[top]]]
+                    best[x[top]], most[x[top]] = y[top], z[top]
+                elif len(i):
+                    joined = labels(len(block), np.concatenate([i, np.arange(len(block))]), np.concatenate([j, label]))
+                    label = joined
+            to = best if nearest else np.where(label == np.arange(len(block)), -1, label)
+            at = np.flatnonzero(to >= 0)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([digests.take(pa.array(at)), digests.take(pa.array(to[at]))], names=["a", "b"])
+
+    met = _dealt(rows.join(brief, "digest"), "bucket").select("block", *columns)
+    found = met.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _exactly(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a forest of the links across roots in each block of the groups in ``rows`` (group, digest, root, main, size)."""
+
+    def run(batches):
+        for table in _whole_blocks(batches, rows=500):
+            block, part, name = (table.column(c).to_numpy() for c in ("block", "part", "name"))
+            digests = table.column("digest").to_pylist()
+            items = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
+            size = np.array([len(x) for x in items])
+            on = np.zeros((len(items), BITS), bool)
+            for k, x in enumerate(items):
+                on[k, (x & np.uint64(BITS - 1)).astype(np.int64)] = True
+            maps = list(np.packbits(on, axis=1, bitorder="little").view(np.uint64).T.copy())
+            root = list(range(len(block)))
+
+            def find(i):
+                while root[i] != i:
+                    root[i] = root[root[i]]
+                    i = root[i]
+                return i
+
+            first: dict[tuple[int, int], int] = {}
+            for k, key in enumerate(zip(block.tolist(), name.tolist(), strict=True)):
+                root[k] = first.setdefault(key, k)
+            a, b = [], []
+            for left, right, _ in _open_pairs(block, part, name, size, maps, percent):
+                for i, j in zip(left.tolist(), right.tolist(), strict=True):
+                    x, y = find(i), find(j)
+                    if x != y and _shared(items[i], items[j]) * (100 + percent) >= percent * (len(items[i]) + len(items[j])):
+                        root[max(x, y)] = min(x, y)
+                        a.append(digests[i])
+                        b.append(digests[j])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    met = _dealt(rows, "group").select("block", "digest", "part", "name")
+    full = met.join(_few(sets, rows.select("digest").distinct()), "digest").select("block", "part", "name", "digest", "items")
+    return full.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a binary, b binary").distinct()
+
+
+def _open(groups: DataFrame, roots: DataFrame, group: str) -> DataFrame:
+    """group, digest, root and main of the rows (group, digest, least): main where the root is that of the group's least class."""
+    named = groups.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    named = named.join(roots.select(F.col("node").alias("least"), F.col("root").alias("_main")), "least", "left")
+    return named.select(group, "digest", "root", (F.col("root") == F.coalesce("_main", "least")).alias("main"))
 
 
 def link(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,17 +339,26 @@ def link(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "d
     buckets = written(_buckets(classes), "buckets")
     active = classes.select("digest", "doc_id").join(buckets.select("digest").distinct(), "digest", "left_semi")
     sets = _sets(docs, written(active, "active"), words, id_col, text_col)
+    brief = written(sets.drop("items").dropDuplicates(["digest"]), "set-bitmaps")
     stars = buckets.where(F.col("digest") != F.col("least")).select(F.col("least").alias("a"), F.col("digest").alias("b")).distinct()
-    links = _confirmed(stars, sets, percent)
+    links = _confirmed(stars, sets, brief, percent)
     roots = components(links)
-    named = buckets.where("n > 2").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    split = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
-    open_ones = written(named.join(split, "bucket").select("digest", "root").distinct(), "open")
-    opened = sets.where(_maybe_in(open_ones, "digest")(F.col("digest"))).join(open_ones, "digest")
-    more = _confirmed(_across(opened, percent), sets, percent)
-    roots = components(links.unionByName(more))
+    rest = buckets.where("n > 2").where(F.col("digest") != F.col("least"))  # the least class has met all
+    near = _partners(_open(rest, roots, "bucket"), brief, percent, nearest=True)
+    more = _confirmed(near, sets, brief, percent)
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        roots = components(links)
+    facing = written(_partners(_open(rest, roots, "bucket"), brief, percent, nearest=False), "facing")
+    if not facing.isEmpty():
+        groups = components(facing).select(F.col("root").alias("group"), F.col("node").alias("digest"), F.col("root").alias("least"))
+        met = _open(groups, roots, "group").join(brief.select("digest", "size"), "digest")
+        last = written(_exactly(met, sets, percent), "links")
+        if not last.isEmpty():
+            links = links.unionByName(last)
+            roots = components(links)
     own = classes.select("digest", "doc_id").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    least = own.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    least = written(own.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least-ids")  # of few rows beside one with many: a join that can be split
     named = own.join(least, "root").select("digest", "root", "component_id")
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

@@ -1,34 +1,15 @@
-"""Tables written in the folder that the driver and all executors share."""
+"""Bounds on what workers hold, and the library's tables in the shared folder."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
+from learngraph.shared import new_path, shared_folder, written
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder, set here, only where it is unset (tests)."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="shared-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: a cut of the lineage that outlives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["give_back", "new_path", "shared_folder", "small_batches", "written"]
 
 
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
