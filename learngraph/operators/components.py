@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -42,8 +44,8 @@ def _stars(table: pa.Table) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([named.take(pa.array(leaves)), named.take(pa.array(label[leaves]))], names=["u", "v"])
 
 
-def _contracted(pairs: DataFrame) -> DataFrame:
-    """(u, v): stars of the same components inside each task's pairs, ``EDGES`` of them at a time. Far fewer rounds are needed after it."""
+def _contracted(pairs: DataFrame, tasks: int) -> DataFrame:
+    """(u, v): stars of the same components inside each task's pairs, ``EDGES`` of them at a time. Far fewer rounds are needed after it, and none after a single task."""
 
     def run(batches):
         held, n = [], 0
@@ -56,7 +58,7 @@ def _contracted(pairs: DataFrame) -> DataFrame:
         if n:
             yield _stars(pa.Table.from_batches(held))
 
-    return pairs.select("u", "v").mapInArrow(run, pairs.select("u", "v").schema)
+    return pairs.select("u", "v").coalesce(tasks).mapInArrow(run, pairs.select("u", "v").schema)
 
 
 def _towards_least(pairs: DataFrame) -> DataFrame:
@@ -76,7 +78,8 @@ def components(edges: DataFrame) -> DataFrame:
     Edges may repeat, run either way or join a node to itself; edges with a null end are left out. A round rewires edges towards the
     least neighbours (rows in proportion to the edges, never to pairs of a component); rounds go on
     until nothing changes, at most about the squared logarithm of the nodes. Each round is written to the shared
-    folder, so lineage stays short and a lost executor costs a task.
+    folder, so lineage stays short and a lost executor costs a task. Tasks hold ``EDGES`` edges at most, and what fits in
+    one of them needs no round.
     """
 
     def state(pairs: DataFrame) -> tuple:
@@ -84,15 +87,16 @@ def components(edges: DataFrame) -> DataFrame:
 
     ends = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull())
     alone = ends.where(F.col("a") == F.col("b")).select(F.col("a").alias("node"), F.col("a").alias("root"))
-    pairs = ends.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    held = written(_contracted(pairs), "edges")
-    before = state(held)
+    pairs = ends.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    tasks = max(1, math.ceil(edges.count() / EDGES))
+    held = written(_contracted(pairs if tasks == 1 else pairs.distinct(), tasks), "edges")
+    before = state(held) if tasks > 1 else (0,)
     while before[0]:
         both = held.unionByName(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _towards_least(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
         small = _towards_least(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        held = written(_contracted(small.where(F.col("u") != F.col("v")).distinct()), "edges")
+        held = written(_contracted(small.where(F.col("u") != F.col("v")).distinct(), math.ceil(before[0] / EDGES)), "edges")
         now = state(held)
         if now == before:
             break
