@@ -342,13 +342,12 @@ def link(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "d
     brief = written(sets.drop("items").dropDuplicates(["digest"]), "set-bitmaps")
     stars = buckets.where(F.col("digest") != F.col("least")).select(F.col("least").alias("a"), F.col("digest").alias("b")).distinct()
     links = _confirmed(stars, sets, brief, percent)
-    roots = components(links)
     rest = buckets.where("n > 2").where(F.col("digest") != F.col("least"))  # the least class has met all
-    near = _partners(_open(rest, roots, "bucket"), brief, percent, nearest=True)
-    more = _confirmed(near, sets, brief, percent)
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        roots = components(links)
+    tied = links.select(F.col("a").alias("least"), F.col("b").alias("digest"), F.lit(True).alias("main"))
+    tied = rest.join(tied, ["least", "digest"], "left").withColumn("main", F.coalesce("main", F.lit(False)))
+    tied = tied.select("bucket", "digest", F.when(F.col("main"), F.col("least")).otherwise(F.col("digest")).alias("root"), "main")
+    links = links.unionByName(_confirmed(_partners(tied, brief, percent, nearest=True), sets, brief, percent))
+    roots = components(links)
     facing = written(_partners(_open(rest, roots, "bucket"), brief, percent, nearest=False), "facing")
     if not facing.isEmpty():
         groups = components(facing).select(F.col("root").alias("group"), F.col("node").alias("digest"), F.col("root").alias("least"))
