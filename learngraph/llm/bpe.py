@@ -151,7 +151,7 @@ def forget() -> None:
     _ENCODERS.clear()
 
 
-def blocks(texts: list[str | None], chars: int = 2_000_000):
+def blocks(texts: list[str | None], chars: int = 500_000):
     """Slices of ``texts`` of about ``chars`` characters: (first, one past the last)."""
     first, held = 0, 0
     for k, t in enumerate(texts):

@@ -11,8 +11,9 @@ A calibrated fit also learns how far texts of its languages fall below the log p
 expected of them: half of the learned rows are judged by the table of the other half. ``verdict``
 then tells texts that fall well below nearly all of them, whatever their script.
 
-Null texts and texts without a letter get ``und`` and score 0; so does everything if there is no
-row to learn from. Texts of any length count in full. Ties go to the language first in name.
+Null texts and texts without a letter (combining marks alone are none) get ``und`` and score 0; so does everything if there is no
+row to learn from. Texts of any length count in full. Ties go to the language first in name. Repeated rows
+are judged alike, empty tables give no row, and other columns, whatever their names, play no part.
 """
 
 from dataclasses import dataclass
@@ -25,13 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from learngraph.llm.shared import give_back, written
-from learngraph.llm.unicode_tables import SCRIPTS, code_points, letters, lower, scripts
+from learngraph.llm.unicode_tables import SCRIPTS, code_points, letters, lower, proper_letters, scripts
 
 BUCKETS = 1 << 15
 MIN_SCRIPT = 0.01
 LOWEST, MARGIN = 0.001, 1.5  # a text is of no learned language where it stands this much below the lowest thousandth of the learned rows
 SCHEMA = "doc_id long, lang_pred string, score double, spans array<struct<first:long,end:long,lang:string>>"
-_CHARS = 1_000_000  # of a batch of texts worked on at once
+_CHARS, _PART = 1_000_000, 200_000  # of texts labelled at once, and of those whose trigrams are held at once
 
 
 @dataclass
@@ -71,11 +72,11 @@ def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return bucket[counted], index[first], first, end, begins
 
 
-def _blocks(texts: list[str]):
+def _blocks(texts: list[str], chars: int = _CHARS):
     a, held = 0, 0
     for k, t in enumerate(texts):
         held += len(t) + 1
-        if held >= _CHARS:
+        if held >= chars:
             yield a, k + 1
             a, held = k + 1, 0
     if a < len(texts):
@@ -114,7 +115,7 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", key:
                     total[BUCKETS:] += np.bincount(scripts()[flat[letters()[flat]]], minlength=len(SCRIPTS))
         for (lang, part), total in sums.items():
             at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array([part] * len(at), pa.int32()), pa.array(at), pa.array(total[at])], names=["lang", "half", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array([part] * len(at), pa.int32()), pa.array(at), pa.array(total[at])], names=["lang", "half", "bucket", "n"])
 
     counts = drawn.mapInArrow(count, "lang string, half int, bucket long, n long").groupBy("lang", "half", "bucket").agg(F.sum("n").alias("n")).collect()
     model = _learned(counts)
@@ -216,20 +217,25 @@ def _label(model: Model, texts: list[str | None], penalty: float = 10.0, tempera
     """
     texts = [t or "" for t in texts]
     n, k = len(texts), len(model.langs)
-    bucket, at, first, end, begins = _trigrams(texts)
-    none = np.zeros(0, np.int64)
-    if not k or not len(at):
+    none, words, bare = np.zeros(0, np.int64), [], np.ones(n, bool)
+    for a, b in _blocks(texts, _PART):
+        bucket, at, first, end, begins = _trigrams(texts[a:b])
+        if k and len(at):
+            points, _ = code_points(texts[a:b])
+            proper = np.concatenate([[0], np.cumsum(proper_letters()[points])])
+            bare[a:b] = proper[begins[1:]] == proper[begins[:-1]]
+            owner = np.searchsorted(begins, first, side="right") - 1
+            words.append((np.add.reduceat(model.table[bucket], at, axis=0), model.allowed[scripts()[points[first]]], owner + a, first - begins[owner], end - begins[owner]))
+    if not words:
         return ["und"] * n, np.zeros(n), [(none, none, none)] * n, np.zeros((3, n))
-    scores = sums = np.add.reduceat(model.table[bucket], at, axis=0)
-    allowed = model.allowed[scripts()[code_points(texts)[0][first]]]
-    scores = np.where(allowed | ~allowed.any(1, keepdims=True), scores, scores - np.float32(1e6))
-    owner = np.searchsorted(begins, first, side="right") - 1
+    sums, allowed, owner, first, end = (np.concatenate(x) for x in zip(*words, strict=True))
+    scores = np.where(allowed | ~allowed.any(1, keepdims=True), sums, sums - np.float32(1e6))
     best = viterbi(scores, owner, n, penalty)
     size = end - first
     excess = sums[np.arange(len(best)), best] - (size + 1) * (0 if model.average is None else model.average[best])
     fits = np.stack([np.bincount(owner, weights=w, minlength=n) for w in (size + 1, excess, excess**2)])
     held = np.bincount(owner * k + best, weights=size, minlength=n * k).reshape(n, k)
-    total = held.sum(1)
+    total = np.where(bare, 0, held.sum(1))
     pick = held.argmax(1)
     sums = np.stack([np.bincount(owner, weights=scores[:, j], minlength=n) for j in range(k)], 1) / temperature
     sure = 1 / np.exp(np.clip(sums - sums[np.arange(n), pick][:, None], -700, 700)).sum(1)
@@ -238,7 +244,8 @@ def _label(model: Model, texts: list[str | None], penalty: float = 10.0, tempera
     run = np.flatnonzero(change)
     run_end = np.append(run[1:], len(best)) - 1
     edge = np.searchsorted(owner[run], np.arange(n + 1))
-    spans = [(first[run[a:b]] - begins[i], end[run_end[a:b]] - begins[i], best[run[a:b]]) for i, (a, b) in enumerate(zip(edge, edge[1:], strict=False))]
+    edge = np.stack([edge[:-1], np.where(bare, edge[:-1], edge[1:])], 1)
+    spans = [(first[run[a:b]], end[run_end[a:b]], best[run[a:b]]) for a, b in edge.tolist()]
     return [model.langs[p] if t else "und" for p, t in zip(pick, total, strict=True)], score, spans, fits
 
 
@@ -287,3 +294,11 @@ def verdict(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
         return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"lang_pred": pd.Series([], dtype=str), "score": pd.Series([], dtype=float), "foreign": pd.Series([], dtype=float), "strange": pd.Series([], dtype=bool)})
 
     return judge(F.col(text_col).cast("string"))
+
+
+def belongs(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
+    """Whether a text is of the learned languages, for a filter on ``docs``: it has letters, most of scripts they use, and is not strange (see ``verdict``). True for all where nothing was learned."""
+    if not model.langs:
+        return F.lit(True)
+    judged = verdict(docs, model, text_col)
+    return (judged["lang_pred"] != "und") & (judged["foreign"] <= 0.5) & ~judged["strange"]

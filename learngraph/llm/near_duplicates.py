@@ -20,7 +20,8 @@ other documents by a bitmap of hashed ids of bounded size (a false hit costs tim
 are written to the shared folder.
 
 Null and empty texts, and texts without words, have the empty set: they link with nothing. Rows
-with one id but other texts are separate texts of that id; null ids are the largest of a component.
+with one id but other texts are separate texts of that id; null ids are the largest of a component. Empty tables
+give none, and other columns of any names are ignored by ``link`` and kept by ``deduplicate``.
 """
 
 import math
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, LongType
 from pyspark.sql.window import Window
 
-from learngraph.llm.shared import give_back, written
+from learngraph.llm.shared import give_back, unused, written
 from learngraph.llm.shingles import digest, minima, mix, shingle_sets
 from learngraph.operators.components import components, labels
 
@@ -375,10 +376,11 @@ def deduplicate(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: s
     several = written(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id"), "several")
     key = F.col(id_col).cast("long")
     gone = found.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").unionByName(several.where("doc_id IS NOT NULL")).distinct()
-    gone = written(gone, "gone").withColumnRenamed("doc_id", "__id")
+    own_id, name, place, of, least, root, rank = unused(docs.columns, "id", "digest", "place", "of", "least", "root", "rank")
+    gone = written(gone, "gone").withColumnRenamed("doc_id", own_id)
     # Only rows that a bitmap of the ids to go hits are joined; the others, most of them, stay where they are.
-    maybe = _maybe_in(gone, "__id")(key)
-    once = docs.where(key.isNotNull() & ~maybe).unionByName(docs.where(key.isNotNull() & maybe).join(gone, key == F.col("__id"), "left_anti"))
+    maybe = _maybe_in(gone, own_id)(key)
+    once = docs.where(key.isNotNull() & ~maybe).unionByName(docs.where(key.isNotNull() & maybe).join(gone, key == F.col(own_id), "left_anti"))
     if several.isEmpty():
         return once
 
@@ -386,11 +388,11 @@ def deduplicate(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: s
     def named(texts: pd.Series) -> pd.Series:
         return pd.Series([digest(s) if len(s) else None for s in shingle_sets(list(texts), words)], dtype=object)
 
-    again = docs.join(several.withColumnRenamed("doc_id", "__id"), key.eqNullSafe(F.col("__id")), "left_semi")
-    again = again.withColumns({"__id": key, "__digest": named(F.col(text_col).cast("string")), "__n": F.monotonically_increasing_id()})
-    roots = found.where("kept AND n_shingles > 0").select(F.col("digest").alias("__digest"), F.col("doc_id").alias("__own"), F.col("root").alias("__root")).distinct()
-    full = again.join(roots.withColumnRenamed("__digest", "__of"), (F.col("__digest") == F.col("__of")) & F.col("__id").eqNullSafe(F.col("__own")))
-    first = Window.partitionBy("__root").orderBy("__digest", "__n")
-    one = full.withColumn("__rank", F.row_number().over(first)).where("__rank = 1")
-    bare = again.where("__digest IS NULL")
+    again = docs.join(several.withColumnRenamed("doc_id", own_id), key.eqNullSafe(F.col(own_id)), "left_semi")
+    again = again.withColumns({own_id: key, name: named(F.col(text_col).cast("string")), place: F.monotonically_increasing_id()})
+    roots = found.where("kept AND n_shingles > 0").select(F.col("digest").alias(of), F.col("doc_id").alias(least), F.col("root").alias(root)).distinct()
+    full = again.join(roots, (F.col(name) == F.col(of)) & F.col(own_id).eqNullSafe(F.col(least)))
+    first = Window.partitionBy(root).orderBy(name, place)
+    one = full.withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1)
+    bare = again.where(F.col(name).isNull())
     return once.unionByName(one.select(docs.columns)).unionByName(bare.select(docs.columns))

@@ -29,7 +29,7 @@ PASSAGE_WORDS = 100
 MAX_PASSAGES = 1 << 18  # of all rows fitted on, about 130 MB: half of each label, whole rows, the last of them going beyond
 CLASSES = 16
 N_FEATURES = CLASSES * CLASSES + 6
-_CHARS = 500_000
+_CHARS = 200_000
 _PUNCTUATION = ".,!?%&#*$|"  # each a class of its own
 
 

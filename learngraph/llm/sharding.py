@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from learngraph.llm.shared import written
+from learngraph.llm.shared import unused, written
 
 CHUNK_ROWS = 1 << 16
 BLOCK_UNIT = 4096  # blocks a shard: the root of the table's rows over this
@@ -98,15 +98,15 @@ class CommunicationMatrix:
         return np.random.default_rng([self.seed, v]).permutation(np.repeat(np.arange(len(self.room)), self.row(v)))
 
 
-def _placed(df: DataFrame) -> DataFrame:
+def _placed(df: DataFrame, file: str, at: str) -> DataFrame:
     """Every row with its file and place there; rows that come from no Parquet file are written first."""
     try:
         meta = df.metadataColumn("_metadata")
-        return df.select("*", meta["file_path"].alias("__file"), meta["row_index"].alias("__at"))
+        return df.select("*", meta["file_path"].alias(file), meta["row_index"].alias(at))
     except AnalysisException:
         df = written(df, "to-shuffle")
         meta = df.metadataColumn("_metadata")
-        return df.select("*", meta["file_path"].alias("__file"), meta["row_index"].alias("__at"))
+        return df.select("*", meta["file_path"].alias(file), meta["row_index"].alias(at))
 
 
 def shuffle_into_shards(df: DataFrame, shards: int = 8, seed: int = 20240607) -> DataFrame:
@@ -115,10 +115,11 @@ def shuffle_into_shards(df: DataFrame, shards: int = 8, seed: int = 20240607) ->
     The driver holds the size of each chunk of 65,536 rows, nothing else.
     """
     spark = df.sparkSession
-    rows = _placed(df.drop("shard", "slot"))
-    chunk = F.expr(f"__at div {CHUNK_ROWS}")
-    found = rows.groupBy("__file", chunk.alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
-    chunks = sorted((r["__file"], r["c"], r["n"]) for r in found)
+    df = df.drop("shard", "slot")
+    file, at_, to = unused(df.columns, "file", "at", "to")
+    rows = _placed(df, file, at_)
+    found = rows.groupBy(F.col(file).alias("f"), F.expr(f"`{at_}` div {CHUNK_ROWS}").alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
+    chunks = sorted((r["f"], r["c"], r["n"]) for r in found)
     n = sum(r[2] for r in chunks)
     per = max(1, math.ceil(math.sqrt(n / BLOCK_UNIT)))
     sizes = [n // shards + (s < n % shards) for s in range(shards)]
@@ -145,10 +146,10 @@ def shuffle_into_shards(df: DataFrame, shards: int = 8, seed: int = 20240607) ->
                 key[own] = v * CHUNK_ROWS + inside
             yield pd.DataFrame({"block": block, "key": key})
 
-    moved = rows.withColumn("__to", place("__file", "__at")).withColumns({"__block": F.col("__to.block"), "__key": F.col("__to.key")})
-    order = Window.partitionBy("__block").orderBy(F.xxhash64(F.lit(seed), "__key"), "__key")
-    shard = F.expr(f"__block div {per}")
-    start = F.expr(f"(({n // shards} + if(__block div {per} < {n % shards}, 1, 0)) * (__block % {per})) div {per}")
+    moved = rows.withColumn(to, place(file, at_))
+    block, key = f"`{to}`.block", f"`{to}`.key"
+    order = Window.partitionBy(F.expr(block)).orderBy(F.xxhash64(F.lit(seed), F.expr(key)), F.expr(key))
+    shard = F.expr(f"{block} div {per}")
+    start = F.expr(f"(({n // shards} + if({block} div {per} < {n % shards}, 1, 0)) * ({block} % {per})) div {per}")
     slot = start + F.row_number().over(order) - 1
-    placed = moved.withColumns({"shard": shard.cast("int"), "slot": slot.cast("long")})
-    return placed.drop("__file", "__at", "__to", "__block", "__key")
+    return moved.withColumns({"shard": shard.cast("int"), "slot": slot.cast("long")}).drop(file, at_, to)

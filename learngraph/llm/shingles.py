@@ -14,7 +14,7 @@ import hashlib
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_CHUNK = 1_000_000  # bytes worked on at once
+_CHUNK = 1 << 18  # bytes worked on at once
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,12 +35,19 @@ def _byte_values() -> tuple[np.ndarray, np.ndarray]:
     return values, parts
 
 
-@functools.cache
+_HELD: list[tuple[np.ndarray, np.ndarray]] = []  # powers up to the largest number asked for yet, unless a single word is longer than any chunk
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n, at least, of the base and of its inverse."""
+    if _HELD and len(_HELD[0][0]) > n:
+        return _HELD[0]
     inverse = pow(_BASE, -1, 1 << 64)
     with np.errstate(over="ignore"):
         up = np.cumprod(np.array([1] + [_BASE] * n, np.uint64), dtype=np.uint64)
         down = np.cumprod(np.array([1] + [inverse] * n, np.uint64), dtype=np.uint64)
+    if n <= 4 * _CHUNK:
+        _HELD[:] = [(up, down)]
     return up, down
 
 

@@ -31,6 +31,14 @@ def letters() -> np.ndarray:
     return out
 
 
+@functools.cache
+def proper_letters() -> np.ndarray:
+    """True for letters alone."""
+    out = np.zeros(TOP, bool)
+    out[[c for c in np.flatnonzero(letters()).tolist() if unicodedata.category(chr(c))[0] == "L"]] = True
+    return out
+
+
 @functools.cache
 def lower() -> np.ndarray:
     """The lower-case form where it is one code point, else the code point itself."""

@@ -318,3 +318,24 @@ def test_quality_learns_from_all_passages_of_whole_rows(spark, monkeypatch):
     assert quality.fit(df, labels).weights is not None
     sizes, y = taken[1]
     assert 1 <= sum(y == 0) <= 10 and 1 <= sum(y == 1) <= 10 and set(sizes.tolist()) <= set(whole)
+
+
+def test_columns_of_any_name_travel_along(spark):
+    import corpus_pipeline
+
+    names = ["doc_id", "text", "lang", "file", "at", "to", "id", "digest", "root", "rank", "place", "__judged", "__score", "__id"]
+    rows = [(i, t, "en", *["x"] * 11) for i, t in enumerate(["the cat and the dog with that", "the cat and the dog with that", "a word of this", "12"] * 3)] + [(0, "another text of id zero", "en", *["x"] * 11), (None, None, None, *["y"] * 11)]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names))
+    placed = sharding.shuffle_into_shards(df, 2)
+    assert set(placed.columns) == {*names, "shard", "slot"} and placed.drop("shard", "slot").exceptAll(df).isEmpty() and placed.count() == len(rows)
+    kept = near_duplicates.deduplicate(df)
+    assert kept.columns == names and kept.exceptAll(df).isEmpty() and {r["text"] for r in kept.collect()} == {r[1] for r in rows}
+    judged = corpus_pipeline.identify_language(spark, df, "")
+    assert judged.columns == names and {(r["__judged"], r["__score"]) for r in judged.collect()} == {("x", "x")}
+
+
+def test_marks_alone_are_no_letters(spark):
+    rows = [(i, t, g) for i, (t, g) in enumerate([("el perro y la casa", "es"), ("the dog and the house", "en")] * 10)] + [(100, "́̂ 12", None), (101, "café y la casa", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language_id.identify(df, language_id.fit(df, key=F.col("doc_id"))).collect()}
+    assert (got[100]["lang_pred"], got[100]["score"], got[100]["spans"]) == ("und", 0, []) and got[101]["lang_pred"] == "es"
