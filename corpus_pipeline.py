@@ -1,14 +1,13 @@
 """A pipeline from raw documents to packed training sequences.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a
-DataFrame; all but the last return the columns of documents. Nulls, empty texts and
-empty tables are met as the stages' operators say.
+DataFrame; all but the last return the columns of documents, whatever others stand beside them. Nulls, empty texts,
+repeated rows and empty tables are met as the stages' operators say.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from learngraph.llm import language_id, near_duplicates, packing, quality, queries, shared
 
@@ -17,10 +16,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents without a letter go, and those of which most letters are of scripts that no learned language uses, and those whose trigrams are far less likely, even in the best language of each word, than those of the learned rows."""
     shared.small_batches(spark)
     model = queries.language_model(docs, calibrated=True)
-    judged = docs.withColumn("__judged", language_id.verdict(docs, model))
-    known = (F.col("__judged.foreign") <= 0.5) & ~F.col("__judged.strange") if model.langs else F.lit(True)
-    has_letters = F.col("__judged.lang_pred") != "und" if model.langs else F.lit(True)
-    return judged.where(has_letters & known).select(docs.columns)
+    return docs.where(language_id.belongs(docs, model))
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +25,7 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     model = queries.quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     if model.weights is None:
         return docs
-    return docs.withColumn("__score", quality.verdict(docs, model)).where(F.col("__score") >= 0.5).select(docs.columns)
+    return docs.where(quality.verdict(docs, model) >= 0.5)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
