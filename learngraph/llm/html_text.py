@@ -14,13 +14,15 @@ of such elements go where those inside hold more text, as an article does and a
 
 Null and empty pages give an empty text. Character references are decoded once; white space in a
 block becomes one space; blocks are joined by one line feed. Pages of any length are taken whole;
-unclosed and misnested tags are read as browsers do for the elements that matter here.
+unclosed and misnested tags are read as browsers do for the elements that matter here, in time that grows with the
+page's length alone. Repeated rows are read alike, empty tables give none, other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+_LOOSE = re.compile(r"<!--.*?(?:-->|$)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACE = re.compile(r"\s+")
 
 # Elements of HTML by what they mean here.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
-DROPPED = {"nav", "header", "footer", "aside", "form", "button", "select", "svg", "canvas", "object", "audio", "video", "menu", "dialog", "head", "fieldset", "map", "math"}
+DROPPED = {"nav", "header", "footer", "aside", "form", "button", "select", "svg", "canvas", "object", "audio", "video", "menu", "dialog", "head", "map"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-BLOCKS = {"address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"} | DROPPED
+BLOCKS = {"address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"} | DROPPED
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 # Words in class, id or role that name what isn't the article's own text.
 BOILERPLATE = {
@@ -51,6 +54,9 @@ AMBIGUOUS = {
     "banner", "complementary", "consent", "copyright", "discussion", "menu", "notice", "notification", "promotion", "recommended", "related",
     "respond", "search", "share", "sharing", "skip", "social", "subscription",
 }
+# Of the others, those that a page's outer wrapper bears too: where an article or main element opens inside of it, it is no boilerplate itself.
+WRAPPERS = {"ad", "ads", "banner", "breadcrumb", "breadcrumbs", "complementary", "cookie", "cookies", "header", "menu", "nav", "navbar", "search", "sidebar", "sidebars", "skip", "social", "widget", "widgets"}
+MODIFIERS = {"has", "is", "no", "not", "with", "without"}  # before a word in a name: it speaks of the page around
 DENSE = 25  # characters outside of links in a line of text, on average
 _PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
 
@@ -58,7 +64,10 @@ _PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
 def _names(attributes: str) -> set[str]:
     found = set()
     for m in _NAMES.finditer(attributes):
-        found.update(p.lower() for p in _PARTS.findall(m[1] or m[2] or m[3] or ""))
+        for name in (m[1] or m[2] or m[3] or "").split():
+            parts = [p.lower() for p in _PARTS.findall(name)]
+            if parts and parts[0] not in MODIFIERS:
+                found.update(parts)
     return found
 
 
@@ -71,7 +80,10 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
     """(text, characters inside links, is a heading, number of its article or main element or -1) of every block, in page order."""
     out: list[tuple[str, int, bool, int]] = []
     text: list[tuple[str, int, int]] = []  # piece, characters inside links, doubtful inline element or 0
-    stack: list[tuple[str, bool, int, int, int]] = []  # element, dropped from here on, container, doubtful block, doubtful inline element
+    stack: list[tuple[str, bool, int, int, int, bool]] = []  # element, dropped from here on, container, doubtful block, doubtful inline element, a wrapper may be
+    opened: Counter[str] = Counter()  # elements on the stack
+    last = page.rfind(">")
+    token = _TOKEN
     above = [0]  # doubtful block around each doubtful block, from 1 on
     marks: list[int] = []  # doubtful block of each line
     containers = inlines = 0
@@ -79,6 +91,24 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
     at, size = 0, len(page)
     lowered = None
 
+    def cut(k):
+        for x in stack[k:]:
+            opened[x[0]] -= 1
+        del stack[k:]
+
+    def tag(start):
+        """The next tag or comment from ``start`` on; quotes that never close are none from there on."""
+        nonlocal token
+        while (start := page.find("<", start)) >= 0 and (start < last or page.startswith("<!--", start)):
+            found = token.match(page, start)
+            if not found and token is _TOKEN and re.match("/?[a-zA-Z]", page[start + 1 : start + 3]):
+                token = _LOOSE
+                found = token.match(page, start)
+            if found:
+                return found
+            start += 1
+        return None
+
     def flush():
         if text:
             kept = text
@@ -97,7 +127,7 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
             text.clear()
 
     while at < size:
-        m = _TOKEN.search(page, at)
+        m = tag(at)
         end = m.start() if m else size
         if end > at and not dropped:
             piece = page[at:end]
@@ -110,14 +140,14 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
             continue
         name = name.lower()
         if m[1]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None) if opened[name] else None
             if name in BLOCKS:
                 flush()
             if name == "a" and link_depth:
                 link_depth -= 1
             if depth is None:
                 continue
-            del stack[depth:]
+            cut(depth)
             dropped, container = (stack[-1][1], stack[-1][2]) if stack else (False, -1)
             continue
         if name in RAW:
@@ -143,27 +173,32 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack:
             for k in range(len(stack) - 1, -1, -1):  # an open one ends where the next of its kind begins
                 if stack[k][0] == name:
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k][0] in BLOCKS and not (name == "p" and stack[k][0] in HEADINGS):
                     break
             dropped, container = (stack[-1][1], stack[-1][2]) if stack else (False, -1)
         if name == "body":
-            stack.clear()
+            cut(0)
             dropped, container = False, -1
         elif name in ("article", "main") and dropped:  # a menu or head that was never closed ends here
             first = next(k for k, x in enumerate(stack) if x[1])
             if stack[first][0] in ("nav", "menu", "head"):
-                del stack[first:]
+                cut(first)
                 dropped, container = (stack[-1][1], stack[-1][2]) if stack else (False, -1)
-        own = dropped
-        block, inline = stack[-1][3:] if stack else (0, 0)
+            elif all(x[5] for x in stack[first:]) and not _names(m[3]) & BOILERPLATE:
+                stack[first:] = [(x[0], False, *x[2:]) for x in stack[first:]]
+                dropped = False
+        own, wrapper = dropped, dropped and stack[-1][5]
+        block, inline = stack[-1][3:5] if stack else (0, 0)
         if not own:
-            inside = any(s[0] in ("article", "main") for s in stack)
+            inside = opened["article"] + opened["main"] > 0
             own = name in DROPPED and not (name == "header" and inside)
             if not own and m[3] and name not in ("html", "body", "article", "main"):
                 named = _names(m[3]) & (BOILERPLATE - {"header"} if inside else BOILERPLATE)
-                own = bool(named - AMBIGUOUS if inside else named) or bool(_HIDDEN.search(m[3]))
+                hidden = bool(_HIDDEN.search(m[3]))
+                own = bool(named - AMBIGUOUS if inside else named) or hidden
+                wrapper = own and not hidden and not inside and named <= WRAPPERS
                 if named and not own:
                     if name in BLOCKS:
                         above.append(block)
@@ -178,7 +213,8 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
             container = containers
         if m[3].endswith("/"):
             continue
-        stack.append((name, own, container, block, inline))
+        stack.append((name, own, container, block, inline, wrapper))
+        opened[name] += 1
         dropped = own
     flush()
     if len(above) == 1:
@@ -221,8 +257,7 @@ def spans(found: list[tuple[str, int, bool, int]]) -> list[tuple[int, int]]:
     outside = owner < 0
     if weight[keep & ~outside].sum() > weight[keep & outside].sum():
         keep &= ~outside  # an article that holds most of the text: what is outside of it isn't the article
-    for c in set(owner[keep].tolist()) - {-1}:
-        keep |= owner == c
+    keep |= ~outside & np.isin(owner, owner[keep & ~outside])
     plain = [linked == 0 for _, linked, _, _ in found]
     for k in range(1, n):
         keep[k] |= outside[k - 1] and outside[k] and keep[k - 1] and plain[k]

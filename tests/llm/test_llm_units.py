@@ -273,3 +273,41 @@ def test_counts_beyond_the_limit_follow_the_law(monkeypatch):
     got = np.bincount([sharding.hypergeometric(rng, 9, 40, 30) for _ in range(8000)], minlength=10)
     want = np.array([math.comb(9, k) * math.comb(40, 30 - k) / math.comb(49, 30) for k in range(10)])
     assert np.abs(got / 8000 - want).max() < 0.02
+
+
+LINE = "A long paragraph of the article's own words, with enough of them to count as text for the windows."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div class="layout has-sidebar"><p>{LINE}</p></div>',
+        f'<div class="layout has-sidebar"><main><p>{LINE}</p></main><div class="sidebar">x y</div></div>',
+        f'<div id="search-page"><article><p>{LINE}</p></article></div>',
+        f'<div class="no-ads"><article><p>{LINE}</p></article></div>',
+        f'<article><fieldset><p>{LINE}</p></fieldset></article>',
+        f'<div class="page"><p>{LINE}</p></div><div class="comments"><article class="comment"><p>{LINE}</p></article></div>',
+        f'<div class="page"><p>{LINE}</p></div><div class="sidebar"><p>{LINE}</p></div>',
+    ],
+)
+def test_wrappers_named_like_boilerplate_keep_their_article(page):
+    assert html_text.main_text(page) == LINE
+
+
+@pytest.mark.parametrize("part", ['<a "', "<div></x>", "<div>", "<!x", "<b", "<article>a", "</p>", "<p class='"])
+def test_malformed_pages_are_read_in_linear_time(part):
+    import time
+
+    began = time.process_time()
+    html_text.main_text(part * (400_000 // len(part)))
+    assert time.process_time() - began < 20
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.floats(-1, 1, width=32), min_size=32, max_size=32), min_size=6, max_size=40), st.integers(0, 5))
+def test_a_scan_under_a_true_bound_finds_what_a_scan_without_finds(rows, q):
+    x = np.array(rows) + 1e-3
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    far = np.sort(((u - u[q]) ** 2).sum(1)[np.arange(len(u)) != q])
+    found = [nearest.scan(x, np.arange(len(x)), x[q], q, 5, u, u[q], bound) for bound in (np.inf, far[4] + 1e-9)]
+    assert len(found[0]) == 5 and len(found[1]) <= 5 and {i for _, i in found[1]} <= {i for _, i in found[0]} | set(np.flatnonzero(np.abs(((u - u[q]) ** 2).sum(1) - far[4]) < 1e-6).tolist())
