@@ -3,8 +3,9 @@
 Lists come from spherical k-means over a bounded sample (``sample_rows``); every vector is
 assigned to its nearest centroid's list, rotated by one random orthogonal matrix and scanned in blocks
 of ``COLUMNS`` rotated columns. After d of D columns, the squared distance so far estimates the
-whole, (D / d) times as large; a candidate whose estimate exceeds the query's present fifth-best
-distance by more than the test's margin, (1 + EPSILON / sqrt(d))^2, is abandoned. What survives all columns
+whole, (D / d) times as large; a candidate whose estimate exceeds the query's present k-th best
+distance by more than the test's margin, (1 + EPSILON / sqrt(d))^2, is abandoned. That distance starts as the k-th best in
+the fitted sample, which holds in all lists, and falls as a list is scanned. What survives all columns
 is scored exactly, in double precision on the original vectors.
 
 How many lists a query probes is set on the fitted sample: the least number that holds
@@ -13,7 +14,8 @@ hash and each chunk is scanned apart, so no list is too long for a task.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components
 take no part, as queries or as candidates. Equal scores go to the smaller id; repeated ids are
-candidates of their own (a query's own rows, by id, are not). Fewer candidates than ``k`` are all returned.
+candidates of their own (a query's own rows, by id, are not). Fewer candidates than ``k`` are all returned. Empty
+tables give no row, other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -33,13 +35,19 @@ from learngraph.llm.vectors import matrix, unit
 COLUMNS = 16
 EPSILON = 2.5
 CHUNK = 4096
+SLICE = 256  # candidates tested against one bound
+
+
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The row of c nearest to each row of x, some rows at a time."""
+    return np.concatenate([(x[a : a + 1024] @ c.T).argmax(1) for a in range(0, len(x), 1024)])
 
 
 def _kmeans(x: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
     rng = np.random.default_rng(3)
     c = x[rng.choice(len(x), lists, replace=False)].copy()
     for _ in range(rounds):
-        own = (x @ c.T).argmax(1)
+        own = _nearest(x, c)
         sums = np.zeros_like(c)
         np.add.at(sums, own, x)
         full = np.bincount(own, minlength=lists) > 0
@@ -50,11 +58,14 @@ def _kmeans(x: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
 def _probes(x: np.ndarray, c: np.ndarray, k: int, recall: float) -> int:
     """Lists to probe so that of the sample's nearest k, ``recall`` are found; a few at least."""
     pick = np.random.default_rng(4).choice(len(x), min(len(x), 256), replace=False)
-    s = x[pick] @ x.T
-    s[np.arange(len(pick)), pick] = -2
-    top = np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, :k]
-    ranks = np.argsort(np.argsort(-(x[pick] @ c.T), axis=1), axis=1)
-    need = np.sort(np.take_along_axis(ranks, (x @ c.T).argmax(1)[top], 1).ravel()) + 1
+    own, need = _nearest(x, c), []
+    for i in pick.tolist():
+        s = x @ x[i]
+        s[i] = -2
+        top = np.argpartition(-s, min(k, len(s) - 1))[:k]
+        rank = np.argsort(np.argsort(-(c @ x[i])))
+        need += rank[own[top]].tolist()
+    need = np.sort(need) + 1
     return int(max(min(len(c), 10), need[min(len(need) - 1, math.ceil(recall * len(need)))]))
 
 
@@ -63,28 +74,32 @@ def cosines(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.minimum(1.0, np.maximum(-1.0, (unit(x) * unit(q[None])).sum(axis=1)))
 
 
-def scan(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_id: int, k: int, rotated: np.ndarray, q_rotated: np.ndarray) -> list[tuple[float, int]]:
-    """The best k of one chunk for one query, (score, id), by adaptive dimensions."""
+def scan(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_id: int, k: int, rotated: np.ndarray, q_rotated: np.ndarray, bound: float = np.inf) -> list[tuple[float, int]]:
+    """The best k of one chunk for one query, (score, id), by adaptive dimensions; ``bound``: a squared distance that k candidates, somewhere, don't exceed.
+
+    Candidates come ``SLICE`` at a time, and what a slice finds tightens the bound for the next ones.
+    """
     other = np.flatnonzero(ids != q_id)
     dim = x.shape[1]
-    seed = other[: 16 * k]
-    first = ((rotated[seed] - q_rotated) ** 2).sum(1)
-    bound = np.partition(first, k - 1)[k - 1] if len(first) >= k else np.inf
-    rest = other[len(seed) :]
-    partial = np.zeros(len(rest))
-    for d in range(0, dim, COLUMNS):
-        if not len(rest):
-            break
-        end = min(dim, d + COLUMNS)
-        partial += ((rotated[rest, d:end] - q_rotated[d:end]) ** 2).sum(1)
-        if end < dim:
-            alive = partial * (dim / end) <= bound * (1 + EPSILON / math.sqrt(end)) ** 2
-        else:
-            alive = partial <= bound * (1 + 1e-9) + 1e-12
-        rest, partial = rest[alive], partial[alive]
-        if len(rest) >= k and end == dim:
-            bound = min(bound, np.partition(partial, k - 1)[k - 1])
-    at = np.concatenate([seed, rest])
+    held, far = [np.zeros(0, np.int64)], np.zeros(0)
+    for a in range(0, len(other), SLICE):
+        rest = other[a : a + SLICE]
+        partial = np.zeros(len(rest))
+        for d in range(0, dim, COLUMNS):
+            end = min(dim, d + COLUMNS)
+            partial += ((rotated[rest, d:end] - q_rotated[d:end]) ** 2).sum(1)
+            if end < dim:
+                alive = partial * (dim / end) <= bound * (1 + EPSILON / math.sqrt(end)) ** 2
+            else:
+                alive = partial <= bound * (1 + 1e-9) + 1e-12
+            rest, partial = rest[alive], partial[alive]
+            if not len(rest):
+                break
+        held.append(rest)
+        far = np.concatenate([far, partial])
+        if len(far) >= k:
+            bound = min(bound, np.partition(far, k - 1)[k - 1])
+    at = np.concatenate(held)[far <= bound * (1 + 1e-9) + 1e-12]
     score = cosines(x[at], q)
     order = np.lexsort((ids[at], -score))[:k]
     return [(float(score[i]), int(ids[at[i]])) for i in order]
@@ -103,22 +118,24 @@ def search(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vecto
     def usable(batches):
         for batch in batches:
             x, good = matrix(batch.column(0), dim)
-            yield pa.RecordBatch.from_arrays([pa.array([x[good].tobytes()], pa.binary())], names=["raw"])
+            ids = batch.column(1).to_numpy(zero_copy_only=False)[good].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([x[good].tobytes()], pa.binary()), pa.array([ids.tobytes()], pa.binary())], names=["raw", "ids"])
 
-    drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < share * (1 << 20)).select("v").mapInArrow(usable, "raw binary")
-    sample = np.frombuffer(b"".join(bytes(r["raw"]) for r in drawn.collect()), np.float64)
+    drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < share * (1 << 20)).select("v", "vec_id").mapInArrow(usable, "raw binary, ids binary").collect()
+    sample = np.frombuffer(b"".join(bytes(r["raw"]) for r in drawn), np.float64)
+    sample_ids = np.frombuffer(b"".join(bytes(r["ids"]) for r in drawn), np.int64)
     sample = unit(sample.reshape(-1, dim)) if dim and len(sample) else np.zeros((0, max(1, dim)))
     if not len(sample):
         if n == 0 or not dim:
             return spark.createDataFrame([], schema)
-        sample = np.eye(dim)[:1]
+        sample, sample_ids = np.eye(dim)[:1], np.zeros(0, np.int64)
     centroids = _kmeans(sample, min(len(sample), math.ceil(math.sqrt(n))))
     probes = _probes(sample, centroids, k, recall) if len(sample) > k else len(centroids)
     rotation = np.linalg.qr(np.random.default_rng(9).normal(size=(dim, dim)))[0]
-    shared = spark.sparkContext.broadcast((centroids, rotation))
+    shared = spark.sparkContext.broadcast((centroids, rotation, sample if len(sample_ids) else sample[:0], sample_ids))
 
     def assign(batches):
-        c, _ = shared.value
+        c, _, known, known_ids = shared.value
         for batch in batches:
             x, good = matrix(batch.column(1), dim)
             at = np.flatnonzero(good)
@@ -127,26 +144,31 @@ def search(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vecto
                 s = unit(x[part]) @ c.T
                 asks = batch.column(2).to_numpy(zero_copy_only=False)[part]
                 ids = batch.column(0).to_numpy(zero_copy_only=False)[part]
+                bound = np.full(len(part), np.inf)
+                for j in np.flatnonzero(asks):
+                    cosine = (known @ unit(x[part[j]][None])[0])[known_ids != ids[j]]
+                    if len(cosine) >= k:
+                        bound[j] = 2 + 2 * np.partition(-cosine, k - 1)[k - 1] + 1e-9
                 near = np.argsort(-s, axis=1, kind="stable")[:, :probes]
                 lists = [[int(r[0])] for r in near]
                 asked = [r.tolist() if q else [] for r, q in zip(near, asks, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([r.tobytes() for r in x[part]], pa.binary()), pa.array([r[0] for r in lists], pa.int32()), pa.array(asked, pa.list_(pa.int32()))], names=["vec_id", "raw", "list", "probed"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([r.tobytes() for r in x[part]], pa.binary()), pa.array([r[0] for r in lists], pa.int32()), pa.array(asked, pa.list_(pa.int32())), pa.array(bound)], names=["vec_id", "raw", "list", "probed", "bound"])
 
-    indexed = written(rows.mapInArrow(assign, "vec_id long, raw binary, list int, probed array<int>"), "lists")
+    indexed = written(rows.mapInArrow(assign, "vec_id long, raw binary, list int, probed array<int>, bound double"), "lists")
     sizes = indexed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).select("list", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))  # a row a list
-    data = indexed.join(F.broadcast(sizes), "list").select("list", F.pmod(F.xxhash64("vec_id"), "chunks").cast("int").alias("chunk"), F.lit(True).alias("stored"), "vec_id", "raw")
-    asked = indexed.where(F.size("probed") > 0).select("vec_id", "raw", F.explode("probed").alias("list")).join(F.broadcast(sizes), "list")
-    asked = asked.select("list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("stored"), "vec_id", "raw")
+    data = indexed.join(F.broadcast(sizes), "list").select("list", F.pmod(F.xxhash64("vec_id"), "chunks").cast("int").alias("chunk"), F.lit(True).alias("stored"), "vec_id", "raw", "bound")
+    asked = indexed.where(F.size("probed") > 0).select("vec_id", "raw", "bound", F.explode("probed").alias("list")).join(F.broadcast(sizes), "list")
+    asked = asked.select("list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("stored"), "vec_id", "raw", "bound")
     dealt = data.unionByName(asked).repartition("list", "chunk").sortWithinPartitions("list", "chunk", F.desc("stored"), "vec_id")
 
     def scanned(batches):
-        _, r = shared.value
+        r = shared.value[1]
         key, x, ids, rotated, parts = None, None, None, None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
             lists, chunk = batch.column("list").to_numpy(), batch.column("chunk").to_numpy()
-            stored, names = batch.column("stored").to_numpy(zero_copy_only=False), batch.column("vec_id").to_numpy()
+            stored, names, bound = batch.column("stored").to_numpy(zero_copy_only=False), batch.column("vec_id").to_numpy(), batch.column("bound").to_numpy(zero_copy_only=False)
             raw = np.frombuffer(b"".join(batch.column("raw").to_pylist()), np.float64).reshape(-1, dim)
             edges = np.concatenate([[0], np.flatnonzero((lists[1:] != lists[:-1]) | (chunk[1:] != chunk[:-1]) | (stored[1:] != stored[:-1])) + 1, [len(lists)]])
             out = []
@@ -163,7 +185,7 @@ def search(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vecto
                     rotated = unit(x) @ r
                 turned = unit(raw[a:b]) @ r
                 for i in range(a, b):
-                    out += [(int(names[i]), v, s) for s, v in scan(x, ids, raw[i], int(names[i]), k, rotated, turned[i - a])]
+                    out += [(int(names[i]), v, s) for s, v in scan(x, ids, raw[i], int(names[i]), k, rotated, turned[i - a], bound[i])]
             if out:
                 q, v, s = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
