@@ -68,7 +68,7 @@ def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.encode(_table(spark, sf_dir, "documents"), PIECE_BPE, with_ids=False)
+    return sentencepiece_codec.encode(_table(spark, sf_dir, "documents"), PIECE_BPE)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,11 +8,12 @@ ranked by those scores; byte fallback either way. Batches are encoded by the lib
 In models whose pieces hold the mark only at their beginning, no piece runs over a space into the
 next word: the ids of a text with lone spaces only are those of its chunks. Each distinct chunk is
 encoded once a worker, and checked once: its ids against the sentencepiece library's, and its
-decoding against its normalised form. Any other text is encoded, checked and decoded whole. So every text's ids and decoding
-are checked in full.
+decoding against its normalised form. Any other text is encoded, checked and decoded whole. So parity and round trip of a
+text of lone spaces follow from those of all its chunks; those of other texts are checked on the whole text.
 
 Null and empty texts have no ids, decode to the empty text and count as in parity. A text that itself holds
-the metaspace mark decodes to a space there, as in the original, so its round trip is false.
+the metaspace mark decodes to a space there, as in the original, so its round trip is false. Repeated rows are coded
+alike, empty tables give no row, other columns are ignored.
 """
 
 from __future__ import annotations
