@@ -14,7 +14,7 @@ tables with it, to keep chance neighbours per bucket and these probabilities as
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components
 link with nothing and are components of their own. Repeated rows link to each other (equal ids
-still count as other rows). An empty table gives no row.
+still count as other rows). An empty table gives no row; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ document's label is learned from: which passages matter is what the attention fi
 Fitting takes a bounded sample of labelled rows (``max_rows``, and fewer where their passages
 would exceed ``MAX_PASSAGES``), each with all of its passages; scoring takes every whole text too.
 Null and empty texts are a bag of one empty passage. Labels that are null, or repeat for a
-document, count once at most (the larger label); with no label of one kind the score is the rate.
+document, count once at most (the larger label); with no label of one kind the score is the rate. Repeated rows score
+alike, empty tables give no row, other columns, whatever their names, play no part.
 """
 
 from dataclasses import dataclass
