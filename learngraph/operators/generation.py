@@ -38,6 +38,17 @@ class Task:
 
 EXTRACT = Task("extract", "From each section, list every self-sufficient statement worth learning, with its kind and the concepts it is about.", "type STRING, statement STRING, concepts ARRAY<STRING>", 3, 0.2, many=True)
 GENERATE = Task("generate", "For each unit write one question that can be answered without its source, the answer, and a hint that doesn't give it away.", "question STRING, answer STRING, expected_output STRING, hint STRING", 5, 0.3)
+# What to ask of a unit of each type.
+ASKS = {
+    "definition": "Ask what the term means or which term fits the description.",
+    "theorem": "Ask what follows, and under which conditions it holds.",
+    "rule": "Ask when the rule applies and what it demands.",
+    "constraint": "Ask what is not allowed or what limit there is, and why.",
+    "property": "Ask which property it is or what has it.",
+    "fact": "Ask for the fact itself, in words that leave one answer.",
+    "algorithm_step": "Ask what is done in this step and what comes of it; where the answer is code, give its output too.",
+    "example": "Ask what the example shows, without repeating it.",
+}
 DISTRACT = Task("distract", "For each question write three wrong answers that someone who half understood could give.", "distractors ARRAY<STRING>", 5, 0.4)
 VERIFY = Task("verify", "For each pair say whether knowing the first is needed for the second, and how sure you are (high, medium, low).", "is_prerequisite BOOLEAN, confidence STRING", 10, 0.0)
 EVALUATE = Task("evaluate", "Score each question from 1 to 5 for faithfulness to its source, clarity, and where present its hint and wrong answers; say yes or no whether it is atomic and self-contained.", "faithfulness INT, question_clarity INT, hint_quality INT, distractor_plausibility INT, atomic STRING, self_contained STRING", 8, 0.0)
@@ -85,22 +96,31 @@ def ask(items: DataFrame, task: Task, client: Callable[[], Callable], payload: l
     if task.whole:
         sizes = dealt.groupBy("batch").agg(F.count(F.lit(1)).alias("wanted"))
         found = found.join(sizes, "batch").where("n = wanted").drop("wanted")
-    found = found.drop("n", "place").withColumn("answered", F.lit(True))
+    found = (found.drop("n") if task.many else found.drop("n", "place")).withColumn("answered", F.lit(True))
     own = dealt.drop(*[c for c in found.columns if c not in ("batch", "pos")])
     joined = own.join(found, ["batch", "pos"], "inner" if task.many else "left").drop("batch", "pos")
     return joined.withColumn("answered", F.coalesce("answered", F.lit(False))), raw
 
 
-def extract_units(sections: DataFrame, client, **how) -> DataFrame:
-    """Atomic units of sections (seq, page, source, content), each with its own section's provenance and a known type."""
+def extract_units(sections: DataFrame, client, *, places: bool = False, **how) -> DataFrame:
+    """Atomic units of sections (seq, page, source, content), each with its own section's provenance and a known type; with their place in the answer, if asked for."""
     found, _ = ask(sections, EXTRACT, client, ["content"], **how)
     kept = found.where(T.truthy(F.col("statement")))
-    return kept.select("seq", T.coerce_type(F.col("type")).alias("type"), "statement", F.coalesce("concepts", F.array().cast("array<string>")).alias("concepts"), F.col("source").alias("source_title"), F.col("page").alias("source_page"))
+    return kept.select("seq", T.coerce_type(F.col("type")).alias("type"), "statement", F.coalesce("concepts", F.array().cast("array<string>")).alias("concepts"), F.col("source").alias("source_title"), F.col("page").alias("source_page"), *(["place"] if places else []))
 
 
-def generate_objects(units: DataFrame, client, **how) -> DataFrame:
+def generate_by_type(units: DataFrame, client, **how) -> DataFrame:
+    """``generate_objects`` with prompts of one type of unit each, which say what to ask of that type."""
+    out = None
+    for kind, asks in ASKS.items():
+        made = generate_objects(units.where(F.col("type") == kind), client, task=replace(GENERATE, asks=f"{GENERATE.asks} {asks}"), **how)
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+def generate_objects(units: DataFrame, client, *, task: Task = GENERATE, **how) -> DataFrame:
     """Learning objects of units (seq, type, statement, source_title, source_page): with id, keywords and provenance in the hint; only those that were answered."""
-    found, _ = ask(units, GENERATE, client, ["type", "statement"], **how)
+    found, _ = ask(units, task, client, ["type", "statement"], **how)
     made = found.where("answered").drop("answered")
     hint = T.with_provenance(F.col("hint"), F.col("source_title"), F.col("source_page"))
     return made.withColumns({"id": T.object_id(F.col("statement")), "source_statement": F.col("statement"), "keywords": T.keywords(T.question_and_answer(F.col("question"), F.col("answer"))), "hint": hint})

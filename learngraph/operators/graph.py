@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from learngraph.operators import components as stars
+from learngraph.operators.vectors import dot
 from learngraph.shared import written
 
 
@@ -82,32 +83,40 @@ def anchors(objects: DataFrame, centrality: DataFrame, id_col: str = "id") -> Da
     return best.select(id_col, F.col("best.k").alias("anchor"), (-F.col("best.c")).alias("centrality"))
 
 
-def shared_keywords(objects: DataFrame, id_col: str = "id") -> DataFrame:
-    """(a, b, shared) of ordered pairs of objects with a keyword in common.
-
-    An inverted index: ids meet at their keyword, so the cost is the sum of squared keyword frequencies, not
-    of the objects'. Skewed keywords are split by the adaptive join.
-    """
-    index = objects.where("keyword IS NOT NULL").select(id_col, "keyword").distinct()
-    x, y = index.select(F.col(id_col).alias("a"), "keyword"), index.select(F.col(id_col).alias("b"), "keyword")
-    return x.join(y, "keyword").where("a != b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-
-
-def layered_edges(objects: DataFrame, keywords: DataFrame, cosine, least_cosine: float = 0.6) -> DataFrame:
+def layered_edges(objects: DataFrame, keywords: DataFrame, least_cosine: float = 0.6) -> DataFrame:
     """Candidate prerequisite edges src -> dst between objects (id, layer, centrality, vector).
 
     Across layers, from the lower, for two shared keywords; inside a layer, from the higher centrality, for one
     and a cosine of ``least_cosine``. (layer up, centrality down) rises along every edge, so
-    with unique ids there is no cycle. Vectors are fetched only for pairs inside a layer.
+    with unique ids there is no cycle. Objects meet in an inverted index of keywords that carries what orders them, so a pair
+    is made in one direction and only if it may be an edge; adaptive execution splits the join at frequent keywords.
+    Unit vectors are made once and fetched only for pairs inside a layer.
     """
-    brief = objects.select("id", "layer", "centrality")
-    pairs = shared_keywords(keywords).join(brief.select(F.col("id").alias("a"), F.col("layer").alias("la"), F.col("centrality").alias("ca")), "a")
-    pairs = pairs.join(brief.select(F.col("id").alias("b"), F.col("layer").alias("lb"), F.col("centrality").alias("cb")), "b")
-    across = pairs.where("la < lb AND shared >= 2").select("a", "b")
-    inside = pairs.where("la = lb AND ca > cb").select("a", "b")
-    inside = inside.join(objects.select(F.col("id").alias("a"), F.col("vector").alias("va")), "a").join(objects.select(F.col("id").alias("b"), F.col("vector").alias("vb")), "b")
-    inside = inside.where(cosine(F.col("va"), F.col("vb")) >= least_cosine).select("a", "b")
-    return across.unionByName(inside).select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    size = F.sqrt(dot(F.col("vector"), F.col("vector")))
+    unit = F.when(size > 0, F.transform("vector", lambda x: x.cast("double") / size)).otherwise(F.transform("vector", lambda x: F.lit(0.0)))
+    held = written(objects.select("id", "layer", "centrality", unit.alias("unit")), "objects")
+    index = keywords.where("keyword IS NOT NULL").select("id", "keyword").distinct().join(held.select("id", "layer", "centrality"), "id")
+    index = written(index, "keyword-index")
+    side = lambda x: index.select("keyword", F.col("id").alias(x), F.col("layer").alias(f"l{x}"), F.col("centrality").alias(f"c{x}"))
+    pairs = side("a").join(side("b"), "keyword").where("la < lb OR (la = lb AND ca > cb)")
+    pairs = written(pairs.groupBy("a", "b", (F.col("la") < F.col("lb")).alias("across")).agg(F.count(F.lit(1)).alias("shared")), "object-pairs")
+    across = pairs.where("across AND shared >= 2").select("a", "b")
+    inside = pairs.where("NOT across").join(held.select(F.col("id").alias("a"), F.col("unit").alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col("unit").alias("y")), "b")
+    inside = inside.where(dot(F.col("x"), F.col("y")) >= least_cosine).select("a", "b")
+    return across.unionByName(inside).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+def without_cycles(edges: DataFrame, objects: DataFrame) -> DataFrame:
+    """The edges along which (layer up, centrality down, id up) rises: no cycle is left, whatever the edges were."""
+    rank = F.struct("layer", (-F.col("centrality")).alias("c"), F.col("id").alias("i"))
+    side = lambda x: objects.select(F.col("id").alias(x), rank.alias(f"{x}_rank"))
+    return edges.join(side("src"), "src").join(side("dst"), "dst").where("src_rank < dst_rank").select("src", "dst")
+
+
+def nodes_only(nodes: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
+    """The graph of the nodes without any edge: (concept), (src, dst, weight)."""
+    vertex = nodes.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("concept")).distinct()
+    return vertex, vertex.select(F.col("concept").alias("src"), F.col("concept").alias("dst"), F.lit(0).cast("long").alias("weight")).limit(0)
 
 
 def band_edges(pairs: DataFrame, objects: DataFrame, factor: float = 1.2) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from learngraph.functions import statistics as S
 from learngraph.functions import text as T
-from learngraph.operators import export, generation, graph, vectors
+from learngraph.operators import export, generation, graph, quality, vectors
 from learngraph.operators.concepts import normalize
 from learngraph.shared import written
 from learngraph.sources import connectors, documents, tables
@@ -19,11 +19,14 @@ EVALUATION_METRICS = ["faithfulness", "clarity", "question_clarity", "hint_quali
 
 
 def extract_units(files: DataFrame, client, *, threshold: float = 0.82) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Units of files (path, content), their counts (types, raw and normalised concepts), and the files refused."""
+    """Units of files (path, content), their counts (types, raw and normalised concepts), and the files refused.
+
+    ``seq`` numbers them in reading order (file, section, place in the answer); of units alike the first stays.
+    """
     known, refused = dispatch(files)
-    sections = documents.scan(known).withColumn("seq", F.xxhash64("id", "seq"))
-    raw = written(generation.extract_units(sections, client), "units").withColumn("seq", F.xxhash64("seq", "statement"))
-    clean = written(raw.dropDuplicates(["seq"]), "units")
+    sections = written(documents.scan(known).orderBy("id", "seq").withColumn("seq", F.monotonically_increasing_id()), "sections")
+    raw = written(generation.extract_units(sections, client, places=True), "units")
+    clean = written(raw.orderBy("seq", "place").withColumn("seq", F.monotonically_increasing_id()).drop("place"), "units")
     pairs = vectors.similar_pairs(connectors.embed(clean, "statement"), threshold, id_col="seq", vector_col="vector")
     units = normalize(vectors.greedy_keep(clean, pairs, "seq"))
     each = lambda c: units.select(F.explode(c).alias("c")).agg(F.countDistinct("c").alias("n")).select(F.lit(c).alias("what"), "n")
@@ -40,21 +43,22 @@ def evaluate(objects: DataFrame, units: DataFrame, models: list[str], client, **
 
 
 def build_graph(units: DataFrame, objects: DataFrame, client: Callable | None = None, *, least_cosine: float = 0.6) -> dict[str, DataFrame]:
-    """The concept graph, objects with anchor and prerequisites, and the verified edges (all candidates without a client)."""
+    """The concept graph, objects with anchor and prerequisites, and the verified edges (all candidates without a client). Of objects with one id the last counts; edges of a cycle that run against the objects' order go."""
     incidence = units.select(F.monotonically_increasing_id().alias("unit"), F.explode("normalized_concepts").alias("concept")).where("concept != ''")
     incidence = written(incidence, "incidence")
     vertex, edges = graph.vertices(incidence, "concept"), graph.cooccurrence_edges(incidence, "unit", "concept")
-    objects = written(objects.dropDuplicates(["id"]).drop("anchor", "prerequisite_ids"), "objects")
+    objects = written(quality.last_by_key(objects.drop("anchor", "prerequisite_ids"), ["id"], "seq"), "objects")
     keywords = objects.select("id", F.explode("keywords").alias("keyword"))
     anchors = graph.anchors(keywords, graph.degree_centrality(vertex, edges))
     known = connectors.embed(objects.select("id", T.layer(F.col("type")).alias("layer"), T.question_and_answer(F.col("question"), F.col("answer")).alias("text")), "text")
     placed = known.join(anchors, "id", "left").withColumn("centrality", F.coalesce("centrality", F.lit(0.0)))
-    candidates = written(graph.layered_edges(placed, keywords, vectors.cosine, least_cosine), "candidates")
+    candidates = written(graph.layered_edges(placed, keywords, least_cosine), "candidates")
     verified = generation.verify_edges(candidates, objects, client).select("src", "dst") if client else candidates
     verified = written(verified.where("src != dst"), "verified")
     _, acyclic = graph.topological_levels(objects.select("id"), verified)
     if not acyclic:
-        raise ValueError("the prerequisite graph has a cycle")
+        verified = written(graph.without_cycles(verified, placed), "verified")
+        _, acyclic = graph.topological_levels(objects.select("id"), verified)
     full = objects.join(anchors.select("id", "anchor"), "id", "left").join(graph.prerequisites(objects, verified), "id")
     counts = candidates.agg(F.count(F.lit(1)).alias("candidates")).crossJoin(verified.agg(F.count(F.lit(1)).alias("verified"))).withColumn("is_dag", F.lit(acyclic))
     return {"vertices": vertex, "edges": edges, "objects": full, "prerequisites": verified, "summary": graph.graph_summary(vertex, edges), "counts": counts}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from learngraph.operators import graph
 from learngraph.plans.bindings import question_answers, units
 from learngraph.plans.graph_queries import ORACLES as GRAPH_SQL
 from learngraph.plans.graph_queries import layered_edges
-from learngraph.shared import written
+from learngraph.shared import new_path, written
 from learngraph.streaming import incremental
 from learngraph.tables import table
 
@@ -65,8 +63,7 @@ def regenerate_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def incremental_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as a stream, folded batch by batch into the edges."""
-    sc = spark.sparkContext
-    root = f"{(sc.getConf().get('spark.checkpoint.dir') or sc.getCheckpointDir() or tempfile.mkdtemp()).rstrip('/')}/incremental-{spark.range(1).select(F.uuid()).first()[0]}"
+    root = new_path(spark, "incremental")
     schema = table(spark, sf_dir, "lineitem").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
     query = incremental.cooccurrence_stream(stream, "l_orderkey", "l_partkey", f"{root}/state", f"{root}/log")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from learngraph.operators import graph, vectors
+from learngraph.operators import graph
 from learngraph.shared import written
 from learngraph.tables import table
 
@@ -75,7 +75,7 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def layered_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.layered_edges(objects(spark, sf_dir), _keywords(spark, sf_dir), vectors.cosine, COSINE)
+    return graph.layered_edges(objects(spark, sf_dir), _keywords(spark, sf_dir), COSINE)
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,14 +9,20 @@ LAYERS = {"definition": 1, "theorem": 1, "rule": 2, "constraint": 2, "property":
 DEFAULT_LAYER = 3
 CHOICE_TYPES = tuple(t for t in UNIT_TYPES if t not in ("algorithm_step", "example"))
 
-# English function words: what keyword extraction and concept normalisation leave out.
-STOPWORDS = tuple(
-    """a about above after again against ain all am an and any are aren as at be because been before being below between both but by can couldn d did didn
-    do does doesn doing don down during each few for from further had hadn has hasn have haven having he her here hers herself him himself his how i if in
-    into is isn it its itself just ll m ma me mightn more most mustn my myself needn no nor not now o of off on once only or other our ours ourselves out over
-    own re s same shan she should shouldn so some such t than that the their theirs them themselves then there these they this those through to too under
-    until up ve very was wasn we were weren what when where which while who whom why will with won wouldn y you your yours yourself yourselves""".split()
+# English function words, by kind: our own list of what keyword extraction and concept normalisation leave out.
+ARTICLES = "a an the this that these those some any each every either neither both all another such no"
+PRONOUNS = (
+    "i me my mine myself we us our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves "
+    "one oneself who whom whose which what whoever whatever something anything nothing everything someone anyone everyone"
 )
+PREPOSITIONS = (
+    "about above across after against along among around as at before behind below beneath beside between beyond by despite down during except for from in inside into like near of off on onto out "
+    "outside over past per since through throughout to toward towards under until up upon via with within without"
+)
+CONJUNCTIONS = "and or but nor so yet if then else than because while whereas although though unless whether"
+AUXILIARIES = "am is are was were be been being do does did doing done have has had having can could may might must shall should will would ought cannot"
+ADVERBS = "not only just very too also again once here there where when why how now ever never always often more most less least much many few several own same other quite rather almost even still already"
+STOPWORDS = tuple(sorted(set(" ".join((ARTICLES, PRONOUNS, PREPOSITIONS, CONJUNCTIONS, AUXILIARIES, ADVERBS)).split())))
 
 SECTION = "seq BIGINT, page INT, source STRING, content STRING"
 ATOMIC_UNIT = "seq BIGINT, type STRING, statement STRING, concepts ARRAY<STRING>, normalized_concepts ARRAY<STRING>, source_title STRING, source_page INT"

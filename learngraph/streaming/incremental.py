@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from learngraph.operators.graph import cooccurrence_edges
 
-STATE = "src LONG, dst LONG, weight LONG"
+WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
 def _versions(spark: SparkSession, root: str) -> list[int]:
@@ -21,24 +21,44 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(int(n[1:]) for n in found if n.startswith("v") and n[1:].isdigit() and fs.exists(hadoop.Path(f"{root}/{n}/_SUCCESS")))
 
 
-def current(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
-    """The newest committed edges (below a version, if given); none at first."""
+def current(spark: SparkSession, root: str, before: int | None = None, kind: str = "bigint") -> DataFrame:
+    """The newest committed edges (below a version, if given); none at first. ``kind`` is the concepts' type."""
     known = [v for v in _versions(spark, root) if before is None or v < before]
-    return spark.read.schema(STATE).parquet(f"{root}/v{known[-1]}") if known else spark.createDataFrame([], STATE)
+    schema = f"src {kind}, dst {kind}, weight bigint"
+    return spark.read.parquet(f"{root}/v{known[-1]}") if known else spark.createDataFrame([], schema)
+
+
+def _forget(spark: SparkSession, root: str, before: int) -> None:
+    """Remove versions below the newest one before ``before``, which is what a batch that is run again reads."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for v in [v for v in _versions(spark, root) if v < before][:-1]:
+        fs.delete(hadoop.Path(f"{root}/v{v}"), True)
+
+
+def uploads(spark: SparkSession, folder: str, pattern: str = "*"):
+    """A stream of the files that land in a folder: path, modificationTime, length and content."""
+    schema = "path STRING, modificationTime TIMESTAMP, length LONG, content BINARY"
+    return spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).load(folder)
 
 
 def cooccurrence_stream(stream: DataFrame, unit: str, concept: str, state: str, checkpoint: str):
     """Start the query that folds each micro-batch's edges into ``state``.
 
     A unit's concepts must come in one batch. Batch k writes version k from the newest version
-    before it, so a batch that is run again after a failure writes the same rows again.
+    before it, so a batch that is run again after a failure writes the same rows again; older versions go.
+    Concepts are whole numbers or text.
     """
+    kind = dict(stream.dtypes)[concept]
+    kind = "bigint" if kind in WHOLE else kind
 
     def fold(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         new = cooccurrence_edges(batch, unit, concept)
-        both = current(spark, state, epoch).unionByName(new.select([F.col(c).cast("long") for c in ("src", "dst", "weight")]))
+        new = new.select(F.col("src").cast(kind), F.col("dst").cast(kind), F.col("weight").cast("long"))
+        both = current(spark, state, epoch, kind).unionByName(new)
         both.groupBy("src", "dst").agg(F.sum("weight").alias("weight")).write.mode("overwrite").parquet(f"{state}/v{epoch}")
+        _forget(spark, state, epoch)
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -44,7 +44,7 @@ def test_anchor_ties_and_unknown(spark):
 def test_layered_edges_and_prerequisites(spark):
     obj = spark.createDataFrame([("a", 1, 0.5, [1.0, 0.0]), ("b", 2, 0.1, [1.0, 0.0]), ("c", 2, 0.3, [1.0, 0.1]), ("d", 2, 0.3, [0.0, 1.0]), ("e", 3, 0.0, [0.0, 0.0])], "id string, layer int, centrality double, vector array<double>")
     kw = spark.createDataFrame([(i, k) for i, ks in {"a": "xy", "b": "xyz", "c": "xz", "d": "z", "e": "x"}.items() for k in ks], "id string, keyword string")
-    edges = graph.layered_edges(obj, kw, vectors.cosine, 0.6)
+    edges = graph.layered_edges(obj, kw, 0.6)
     assert rows(edges) == [("a", "b"), ("c", "b")]
     assert rows(graph.prerequisites(obj, edges)) == [("a", []), ("b", ["a", "c"]), ("c", []), ("d", []), ("e", [])]
     d = {r["id"]: r for r in graph.in_out_degrees(obj, edges).collect()}
@@ -195,6 +195,20 @@ def test_export(spark):
     assert sorted(made[0]["mc_options"]) == ["a", "x", "y", "z"] and made[0]["mc_options"][made[0]["mc_correct_index"]] == "a" and made[1]["mc_options"] is None
 
 
+def test_cycles_and_graphs_without_edges(spark):
+    obj = spark.createDataFrame([("a", 1, 0.5), ("b", 2, 0.1), ("c", 2, 0.3)], "id string, layer int, centrality double")
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("b", "a"), ("a", "a")], "src string, dst string")
+    assert rows(graph.without_cycles(edges, obj)) == [("a", "b"), ("c", "b")]
+    vertex, none = graph.nodes_only(obj)
+    assert rows(vertex) == [("a",), ("b",), ("c",)] and none.columns == ["src", "dst", "weight"] and none.count() == 0
+
+
+def test_prompts_by_type(spark):
+    units = spark.createDataFrame([(i, t, f"The {t} says {i}.", "s", i) for i, t in enumerate(["fact", "fact", "rule", "example"])], "seq long, type string, statement string, source_title string, source_page int")
+    made = generation.generate_by_type(units, generation.stub_client)
+    assert sorted(r["type"] for r in made.collect()) == ["example", "fact", "fact", "rule"]
+
+
 def test_model_answers():
     assert responses.parse('```json\n{"a": "\\d"}\n```') == {"a": "\\d"}
     with pytest.raises(ValueError):

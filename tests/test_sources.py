@@ -141,6 +141,21 @@ def test_log_buffer():
     assert logs.read("x") == ["s::1", "s::2", "t::3"] and logs.read("x") == [] and logs.frames("y")[0] == "data: s::1\n\n"
 
 
+def test_incremental_graph_of_text_and_landed_uploads(spark, tmp_path):
+    source, state, log = (str(tmp_path / n) for n in ("in", "state", "log"))
+    for rows in ([(1, "b"), (1, "a")], [(2, "a"), (2, "b")], [(3, "b"), (3, "c")]):
+        spark.createDataFrame(rows, "u long, c string").coalesce(1).write.mode("append").parquet(source)
+        incremental.cooccurrence_stream(spark.readStream.schema("u long, c string").parquet(source), "u", "c", state, log).awaitTermination()
+    assert sorted(tuple(r) for r in incremental.current(spark, state).collect()) == [("a", "b", 2), ("b", "c", 1)]
+    assert len(incremental._versions(spark, state)) == 2
+    (tmp_path / "up").mkdir()
+    (tmp_path / "up" / "a.html").write_bytes(b"<p>x")
+    (tmp_path / "up" / "b.txt").write_bytes(b"y")
+    landed = incremental.uploads(spark, str(tmp_path / "up"), "*.html")
+    incremental.append_units(landed, str(tmp_path / "landed"), str(tmp_path / "log3")).awaitTermination()
+    assert [bytes(r["content"]) for r in spark.read.parquet(str(tmp_path / "landed")).collect()] == [b"<p>x"]
+
+
 def test_incremental_graph(spark, tmp_path):
     source, state, log = (str(tmp_path / n) for n in ("in", "state", "log"))
     schema = "u long, c long"
