@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from learngraph.operators import components as stars
-from learngraph.operators.vectors import dot
+from learngraph.operators import overlap
 from learngraph.shared import written
 
 
@@ -88,22 +88,10 @@ def layered_edges(objects: DataFrame, keywords: DataFrame, least_cosine: float =
 
     Across layers, from the lower, for two shared keywords; inside a layer, from the higher centrality, for one
     and a cosine of ``least_cosine``. (layer up, centrality down) rises along every edge, so
-    with unique ids there is no cycle. Objects meet in an inverted index of keywords that carries what orders them, so a pair
-    is made in one direction and only if it may be an edge; adaptive execution splits the join at frequent keywords.
-    Unit vectors are made once and fetched only for pairs inside a layer.
+    with unique ids there is no cycle.
     """
-    size = F.sqrt(dot(F.col("vector"), F.col("vector")))
-    unit = F.when(size > 0, F.transform("vector", lambda x: x.cast("double") / size)).otherwise(F.transform("vector", lambda x: F.lit(0.0)))
-    held = written(objects.select("id", "layer", "centrality", unit.alias("unit")), "objects")
-    index = keywords.where("keyword IS NOT NULL").select("id", "keyword").distinct().join(held.select("id", "layer", "centrality"), "id")
-    index = written(index, "keyword-index")
-    side = lambda x: index.select("keyword", F.col("id").alias(x), F.col("layer").alias(f"l{x}"), F.col("centrality").alias(f"c{x}"))
-    pairs = side("a").join(side("b"), "keyword").where("la < lb OR (la = lb AND ca > cb)")
-    pairs = written(pairs.groupBy("a", "b", (F.col("la") < F.col("lb")).alias("across")).agg(F.count(F.lit(1)).alias("shared")), "object-pairs")
-    across = pairs.where("across AND shared >= 2").select("a", "b")
-    inside = pairs.where("NOT across").join(held.select(F.col("id").alias("a"), F.col("unit").alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col("unit").alias("y")), "b")
-    inside = inside.where(dot(F.col("x"), F.col("y")) >= least_cosine).select("a", "b")
-    return across.unionByName(inside).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    held = written(objects.select("id", "layer", "centrality", "vector"), "objects")
+    return overlap.directed(written(overlap.layered_pairs(held, keywords, least_cosine), "object-pairs"), held)
 
 
 def without_cycles(edges: DataFrame, objects: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Incremental sources: new units are appended and co-occurrence counts, being sums, are brought up to date."""
+"""Incremental sources: each micro-batch brings stored state up to date, at a cost that follows the batch."""
 
 from __future__ import annotations
 
@@ -6,34 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from learngraph.operators.graph import cooccurrence_edges
+from learngraph.streaming.state import BUCKETS, Store, Table
 
 WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    """Versions whose write was committed, rising."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    path = hadoop.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    found = [s.getPath().getName() for s in fs.listStatus(path)]
-    return sorted(int(n[1:]) for n in found if n.startswith("v") and n[1:].isdigit() and fs.exists(hadoop.Path(f"{root}/{n}/_SUCCESS")))
+def _edge_store(spark: SparkSession, root: str, kind: str, buckets: int = BUCKETS) -> Store:
+    return Store(spark, root, {"edges": Table(f"src {kind}, dst {kind}, weight bigint", ("src", "dst"), ("weight",))}, buckets)
 
 
-def current(spark: SparkSession, root: str, before: int | None = None, kind: str = "bigint") -> DataFrame:
-    """The newest committed edges (below a version, if given); none at first. ``kind`` is the concepts' type."""
-    known = [v for v in _versions(spark, root) if before is None or v < before]
-    schema = f"src {kind}, dst {kind}, weight bigint"
-    return spark.read.parquet(f"{root}/v{known[-1]}") if known else spark.createDataFrame([], schema)
-
-
-def _forget(spark: SparkSession, root: str, before: int) -> None:
-    """Remove versions below the newest one before ``before``, which is what a batch that is run again reads."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    fs = hadoop.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for v in [v for v in _versions(spark, root) if v < before][:-1]:
-        fs.delete(hadoop.Path(f"{root}/v{v}"), True)
+def current(spark: SparkSession, root: str, before: int | None = None, kind: str = "bigint", buckets: int = BUCKETS) -> DataFrame:
+    """The newest edges (below a version, if given). At first none, of concepts of this ``kind``."""
+    store = _edge_store(spark, root, kind, buckets)
+    version = store.newest(before)
+    store.tables["edges"] = Table(version.facts.get("columns", {}).get("edges", store.tables["edges"].columns), ("src", "dst"), ("weight",))
+    return store.read(version, "edges")
 
 
 def uploads(spark: SparkSession, folder: str, pattern: str = "*"):
@@ -42,23 +29,20 @@ def uploads(spark: SparkSession, folder: str, pattern: str = "*"):
     return spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).load(folder)
 
 
-def cooccurrence_stream(stream: DataFrame, unit: str, concept: str, state: str, checkpoint: str):
+def cooccurrence_stream(stream: DataFrame, unit: str, concept: str, state: str, checkpoint: str, buckets: int = BUCKETS):
     """Start the query that folds each micro-batch's edges into ``state``.
 
-    A unit's concepts must come in one batch. Batch k writes version k from the newest version
-    before it, so a batch that is run again after a failure writes the same rows again; older versions go.
-    Concepts are whole numbers or text.
+    A unit's concepts must come in one batch. Batch k makes version k from the newest version below it, so a batch that is run
+    again after a failure adds nothing twice. Concepts are whole numbers or text.
     """
     kind = dict(stream.dtypes)[concept]
     kind = "bigint" if kind in WHOLE else kind
 
     def fold(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
+        store = _edge_store(batch.sparkSession, state, kind, buckets)
         new = cooccurrence_edges(batch, unit, concept)
         new = new.select(F.col("src").cast(kind), F.col("dst").cast(kind), F.col("weight").cast("long"))
-        both = current(spark, state, epoch, kind).unionByName(new)
-        both.groupBy("src", "dst").agg(F.sum("weight").alias("weight")).write.mode("overwrite").parquet(f"{state}/v{epoch}")
-        _forget(spark, state, epoch)
+        store.commit(store.newest(epoch), epoch, {"edges": new})
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

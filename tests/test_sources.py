@@ -147,7 +147,7 @@ def test_incremental_graph_of_text_and_landed_uploads(spark, tmp_path):
         spark.createDataFrame(rows, "u long, c string").coalesce(1).write.mode("append").parquet(source)
         incremental.cooccurrence_stream(spark.readStream.schema("u long, c string").parquet(source), "u", "c", state, log).awaitTermination()
     assert sorted(tuple(r) for r in incremental.current(spark, state).collect()) == [("a", "b", 2), ("b", "c", 1)]
-    assert len(incremental._versions(spark, state)) == 2
+    assert len(incremental._edge_store(spark, state, "string").versions()) == 2
     (tmp_path / "up").mkdir()
     (tmp_path / "up" / "a.html").write_bytes(b"<p>x")
     (tmp_path / "up" / "b.txt").write_bytes(b"y")
