@@ -10,9 +10,9 @@ from learngraph.operators import generation as G
 from learngraph.operators import graph
 from learngraph.plans.bindings import question_answers, units
 from learngraph.plans.graph_queries import ORACLES as GRAPH_SQL
-from learngraph.plans.graph_queries import layered_edges
+from learngraph.plans.graph_queries import COSINE, layered_edges
 from learngraph.shared import new_path, written
-from learngraph.streaming import incremental
+from learngraph.streaming import incremental, prerequisites
 from learngraph.tables import table
 
 MODELS = ["stub/a", "stub/b"]
@@ -61,16 +61,42 @@ def regenerate_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("seq", "id", "question", "evaluated", "regen_status")
 
 
-def incremental_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as a stream, folded batch by batch into the edges."""
-    root = new_path(spark, "incremental")
-    schema = table(spark, sf_dir, "lineitem").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
-    query = incremental.cooccurrence_stream(stream, "l_orderkey", "l_partkey", f"{root}/state", f"{root}/log")
+BATCHES, BUCKETS = 3, 8  # micro-batches of the incremental queries (all rows of an order are in one), and cuts of their state
+
+
+def _landed(rows: DataFrame, path: str, key: str) -> DataFrame:
+    """The rows as a stream, one file a micro-batch."""
+    rows.repartition(BATCHES, key).write.parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _finished(query) -> None:
     query.awaitTermination()
     if query.exception():
         raise query.exception()
-    return incremental.current(spark, f"{root}/state")
+
+
+def incremental_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as a stream, folded batch by batch into the edges."""
+    root = new_path(spark, "incremental")
+    stream = _landed(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), f"{root}/in", "l_orderkey")
+    _finished(incremental.cooccurrence_stream(stream, "l_orderkey", "l_partkey", f"{root}/state", f"{root}/log", BUCKETS))
+    return incremental.current(spark, f"{root}/state", buckets=BUCKETS)
+
+
+def incremental_layered_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and their parts as a stream, folded batch by batch into the prerequisite graph: what follows from a batch, not the whole, is made again."""
+    root = new_path(spark, "incremental")
+    parts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_partkey").alias("concepts"))
+    vectors = table(spark, sf_dir, "embeddings")
+    count = vectors.agg((F.max("vec_id") + 1).alias("n"))  # one row
+    orders = table(spark, sf_dir, "orders").crossJoin(F.broadcast(count)).select(F.col("o_orderkey").alias("id"), F.substring("o_orderpriority", 1, 1).cast("int").alias("layer"), (F.col("o_orderkey") % F.col("n")).alias("vec_id"))
+    placed = orders.join(vectors.select("vec_id", F.col("embedding").alias("vector")), "vec_id").select("id", "layer", "vector")
+    rows = parts.join(placed, "id", "left").withColumn("keywords", F.col("concepts"))
+    stream = _landed(rows, f"{root}/in", "id")
+    _finished(prerequisites.prerequisite_stream(stream, f"{root}/state", f"{root}/log", least_cosine=COSINE, buckets=BUCKETS))
+    store = prerequisites.open_store(spark, f"{root}/state", concept="bigint", id_kind="bigint", buckets=BUCKETS)
+    return prerequisites.candidates(store, store.newest())
 
 
 def defines_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,8 +106,9 @@ def defines_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.defines_edges(first, items.select(F.col("l_orderkey").alias("id"), F.col("l_partkey").cast("string").alias("keyword")))
 
 
-QUERIES = {f.__name__: f for f in (stub_extract, stub_generate, stub_evaluate, stub_verify, stub_enrich, regenerate_loop, incremental_graph_edges, defines_edges)}
+QUERIES = {f.__name__: f for f in (stub_extract, stub_generate, stub_evaluate, stub_verify, stub_enrich, regenerate_loop, incremental_graph_edges, incremental_layered_edges, defines_edges)}
 ORACLES = {
     "incremental_graph_edges": GRAPH_SQL["concept_graph_edges"],
+    "incremental_layered_edges": GRAPH_SQL["layered_edges"],
     "defines_edges": "WITH d AS (SELECT l_orderkey AS id, l_partkey AS k FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey DESC) r FROM lineitem) WHERE r = 1) SELECT DISTINCT d.id AS src, l.l_orderkey AS dst FROM d JOIN lineitem l ON l.l_partkey = d.k AND l.l_orderkey <> d.id",
 }

@@ -25,11 +25,16 @@ BUCKETS = 32
 
 @dataclass(frozen=True)
 class Table:
-    """Columns as DDL, the key among them, and the columns that add up."""
+    """Columns as DDL, the key among them, the columns that add up, and those of the key by which rows are dealt and looked up (all, if not given)."""
 
     columns: str
     key: tuple[str, ...]
     sums: tuple[str, ...] = ()
+    by: tuple[str, ...] = ()
+
+    @property
+    def lookup(self) -> tuple[str, ...]:
+        return self.by or self.key
 
 
 @dataclass(frozen=True)
@@ -89,7 +94,7 @@ class Store:
         return Version(facts={"buckets": self.buckets})
 
     def bucket(self, name: str):
-        return F.pmod(F.xxhash64(*self.tables[name].key), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.xxhash64(*self.tables[name].lookup), F.lit(self.buckets)).cast("int")
 
     def _segments(self, name: str, segments: tuple[Segment, ...]) -> DataFrame:
         schema = f"{self.tables[name].columns}, _version long, bucket int"
@@ -108,12 +113,12 @@ class Store:
         return rows.groupBy(*table.key, "bucket").agg(*aggs, F.max("_version").alias("_version"))
 
     def read(self, version: Version, name: str, keys: DataFrame | None = None) -> DataFrame:
-        """The rows of a table; with ``keys`` (the key's columns), those rows alone, read from the buckets that the keys fall in."""
+        """The rows of a table; with ``keys`` (the columns to look up by), those rows alone, read from the buckets that the keys fall in."""
         segments = version.segments.get(name, ())
         rows = self._segments(name, segments)
         if keys is not None:
             hit = [r[0] for r in keys.select(self.bucket(name).alias("b")).distinct().collect()]  # as many as there are buckets at most
-            rows = rows.where(F.col("bucket").isin(hit)).join(keys.select(*self.tables[name].key).distinct(), list(self.tables[name].key), "left_semi")
+            rows = rows.where(F.col("bucket").isin(hit)).join(keys.select(*self.tables[name].lookup).distinct(), list(self.tables[name].lookup), "left_semi")
         whole = self._merged(name, rows) if sum(s.rows > 0 for s in segments) > 1 else rows
         return whole.drop("_version", "bucket")
 
