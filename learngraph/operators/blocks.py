@@ -52,15 +52,16 @@ def ragged(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
 
 
-def unit_rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Vectors as rows of length one in double precision; null and zero vectors, and those of another length than the longest, are zero."""
+def unit_rows(column: pa.ChunkedArray | pa.Array, dim: int | None = None) -> np.ndarray:
+    """Vectors as rows of length one in double precision; null and zero vectors, those with a component that is null or not finite, and those of another length than ``dim`` (the longest's, if not given), are zero."""
     values, at = ragged(column)
     n, lengths = len(at) - 1, np.diff(at)
-    dim = int(lengths.max(initial=0))
+    dim = int(lengths.max(initial=0)) if dim is None else dim
     out = np.zeros((n, dim))
     fits = np.flatnonzero(lengths == dim)
     if dim and len(fits):
-        out[fits] = np.nan_to_num(values.astype(np.float64))[at[fits][:, None] + np.arange(dim)]
+        out[fits] = values.astype(np.float64)[at[fits][:, None] + np.arange(dim)]
+        out[~np.isfinite(out).all(1)] = 0
     norm = np.sqrt((out * out).sum(1, keepdims=True))
     return out / np.where(norm > 0, norm, 1)
 

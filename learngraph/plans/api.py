@@ -27,8 +27,7 @@ def extract_units(files: DataFrame, client, *, threshold: float = 0.82) -> tuple
     sections = written(documents.scan(known).orderBy("id", "seq").withColumn("seq", F.monotonically_increasing_id()), "sections")
     raw = written(generation.extract_units(sections, client, places=True), "units")
     clean = written(raw.orderBy("seq", "place").withColumn("seq", F.monotonically_increasing_id()).drop("place"), "units")
-    pairs = vectors.similar_pairs(connectors.embed(clean, "statement"), threshold, id_col="seq", vector_col="vector")
-    units = normalize(vectors.greedy_keep(clean, pairs, "seq"))
+    units = normalize(vectors.deduplicate(written(connectors.embed(clean, "statement"), "embedded-units"), threshold, id_col="seq", vector_col="vector").drop("vector"))
     each = lambda c: units.select(F.explode(c).alias("c")).agg(F.countDistinct("c").alias("n")).select(F.lit(c).alias("what"), "n")
     types = units.groupBy(F.concat(F.lit("type "), "type").alias("what")).agg(F.count(F.lit(1)).alias("n"))
     return units, types.unionByName(each("concepts")).unionByName(each("normalized_concepts")), refused

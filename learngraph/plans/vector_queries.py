@@ -29,7 +29,7 @@ def vector_band_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def semantic_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.greedy_keep(table(spark, sf_dir, "embeddings").select("vec_id", "label"), _pairs(spark, sf_dir, DEDUP))
+    return vectors.deduplicate(table(spark, sf_dir, "embeddings"), DEDUP).select("vec_id", "label")
 
 
 def merge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
