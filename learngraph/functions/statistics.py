@@ -108,16 +108,43 @@ def spearman(ratings: DataFrame) -> DataFrame:
     return sums.select("m1", "m2", "n", rho.alias("rho")).withColumn("p", _t_two_sided(F.col("rho"), F.col("n")))
 
 
+EXACT = 50  # pairs at most for the exact distribution
+
+
 def wilcoxon(ratings: DataFrame) -> DataFrame:
-    """m1, m2, n (pairs that differ), w = the lesser signed rank sum, and p (two-sided, normal approximation with ties); zero differences are dropped, p null where none is left."""
-    gaps = rater_pairs(ratings).select("m1", "m2", (F.col("a") - F.col("b")).alias("d"), "n").where("d != 0")
+    """m1, m2, n (pairs that differ), w = the lesser signed rank sum, and p (two-sided); zero differences are dropped, p null where none is left.
+
+    p is exact for ``EXACT`` pairs at most of which none are equal and no two differ by the same, else by the normal approximation with ties.
+    """
+    gaps = rater_pairs(ratings).select("m1", "m2", (F.col("a") - F.col("b")).alias("d"), "n")
     sized = gaps.groupBy("m1", "m2", F.abs("d").alias("size")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("n")).otherwise(0)).alias("up"))
-    ranked = _average_ranks(sized, ["m1", "m2"], "size")
+    equal = sized.where("size = 0").select("m1", "m2", F.lit(True).alias("equal"))
+    ranked = _average_ranks(sized.where("size != 0"), ["m1", "m2"], "size")
     sums = ranked.groupBy("m1", "m2").agg(F.sum("n").alias("n"), F.sum(F.col("r") * F.col("up")).alias("plus"), F.sum(F.col("r") * (F.col("n") - F.col("up"))).alias("minus"), F.sum(F.pow("n", 3) - F.col("n")).alias("ties"))
-    n = F.col("n").cast("double")
+    sums = sums.join(equal, ["m1", "m2"], "left")
+    n, w = F.col("n").cast("double"), F.least("plus", "minus")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
-    z = (F.least("plus", "minus") - n * (n + 1) / 4) / F.sqrt(var)
-    return sums.select("m1", "m2", "n", F.least("plus", "minus").alias("w"), F.when(var > 0, _normal_two_sided(z)).alias("p"))
+    z = (w - n * (n + 1) / 4) / F.sqrt(var)
+    exact = (F.col("n") <= EXACT) & (F.col("ties") == 0) & F.col("equal").isNull()
+    p = F.when(exact, _signed_rank_two_sided(F.col("n"), w)).when(var > 0, _normal_two_sided(z))
+    return sums.select("m1", "m2", "n", w.alias("w"), p.alias("p"))
+
+
+def signed_rank_counts(n: int) -> list[int]:
+    """How many of the 2^n choices of signs give each sum of positive ranks 1 to n."""
+    counts = [1] + [0] * (n * (n + 1) // 2)
+    for rank in range(1, n + 1):
+        for s in range(len(counts) - 1, rank - 1, -1):
+            counts[s] += counts[s - rank]
+    return counts
+
+
+@F.udf(DoubleType())
+def _signed_rank_two_sided(n, w):
+    """One row a pair of raters."""
+    if n is None or w is None or not 0 < n <= EXACT:
+        return None
+    return min(1.0, 2 * sum(signed_rank_counts(n)[: int(w) + 1]) / 2**n)
 
 
 @F.udf(DoubleType())

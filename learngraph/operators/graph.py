@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from learngraph.operators import components as stars
-from learngraph.operators import overlap
+from learngraph.operators import cycles, overlap, paths
 from learngraph.shared import written
 
 
@@ -94,11 +94,14 @@ def layered_edges(objects: DataFrame, keywords: DataFrame, least_cosine: float =
     return overlap.directed(written(overlap.layered_pairs(held, keywords, least_cosine), "object-pairs"), held)
 
 
-def without_cycles(edges: DataFrame, objects: DataFrame) -> DataFrame:
-    """The edges along which (layer up, centrality down, id up) rises: no cycle is left, whatever the edges were."""
-    rank = F.struct("layer", (-F.col("centrality")).alias("c"), F.col("id").alias("i"))
-    side = lambda x: objects.select(F.col("id").alias(x), rank.alias(f"{x}_rank"))
-    return edges.join(side("src"), "src").join(side("dst"), "dst").where("src_rank < dst_rank").select("src", "dst")
+def without_cycles(edges: DataFrame, confidence: str | None = None) -> DataFrame:
+    """src, dst of the edges with the least confident ones of each cycle removed, until there is no cycle. Edges outside of cycles stay.
+
+    Self-loops go. Strongly connected components are found (``cycles.strong_components``); in every round each component that is left drops its least edge, by
+    ``confidence`` (a column of numbers, higher is surer; nulls are least), then src, then dst. An edge goes only while it lies
+    inside a component, so on some cycle.
+    """
+    return cycles.broken(edges, confidence)
 
 
 def nodes_only(nodes: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
@@ -139,41 +142,16 @@ def in_out_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def components(vertex: DataFrame, edges: DataFrame) -> DataFrame:
     """concept and component, the least concept it reaches (its own where it has no edge)."""
-    roots = stars.components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))).withColumnRenamed("node", "concept")
+    held = written(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), "edges")  # read several times, by few tasks at last
+    roots = stars.components(held).withColumnRenamed("node", "concept")
     return vertex.select("concept").join(roots, "concept", "left").select("concept", F.coalesce("root", "concept").alias("component"))
 
 
 def topological_levels(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, bool]:
-    """(id, level), the edges of the longest path to each node, and whether the graph has no cycle.
-
-    Rounds peel off the nodes without open predecessors; what is never peeled lies on or behind a cycle.
-    """
-    open_nodes = written(nodes.select("id").distinct(), "nodes")
-    open_edges = written(edges.select("src", "dst").distinct(), "edges")
-    done, level = None, 0
-    while True:
-        free = open_nodes.join(open_edges.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("level", F.lit(level))
-        free = written(free, "level")
-        if free.isEmpty():
-            break
-        done = free if done is None else done.unionByName(free)
-        open_nodes = written(open_nodes.join(free, "id", "left_anti"), "nodes")
-        open_edges = written(open_edges.join(free.select(F.col("id").alias("src")), "src", "left_anti"), "edges")
-        level += 1
-    acyclic = open_nodes.isEmpty()
-    return (done if done is not None else open_nodes.withColumn("level", F.lit(0))), acyclic
+    """(id, level), the edges of the longest path to each node, and whether the graph has no cycle; nodes on or behind a cycle have no row."""
+    return paths.levels(nodes, edges)
 
 
 def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id and depth: the longest, over all roots that reach it, of the shortest paths from a root; null for nodes that none reaches."""
-    roots = nodes.select("id").distinct().join(edges.select(F.col("dst").alias("id")), "id", "left_anti")
-    front = written(roots.select("id", F.col("id").alias("root"), F.lit(0).alias("dist")), "front")
-    seen, step = front, 0
-    while True:
-        step += 1
-        ahead = front.join(edges.select(F.col("src").alias("id"), "dst"), "id").select(F.col("dst").alias("id"), "root").distinct()
-        front = written(ahead.join(seen.select("id", "root"), ["id", "root"], "left_anti").withColumn("dist", F.lit(step)), "front")
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    return nodes.select("id").distinct().join(seen.groupBy("id").agg(F.max("dist").alias("depth")), "id", "left")
+    return paths.depths(nodes, edges)

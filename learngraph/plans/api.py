@@ -42,7 +42,7 @@ def evaluate(objects: DataFrame, units: DataFrame, models: list[str], client, **
 
 
 def build_graph(units: DataFrame, objects: DataFrame, client: Callable | None = None, *, least_cosine: float = 0.6) -> dict[str, DataFrame]:
-    """The concept graph, objects with anchor and prerequisites, and the verified edges (all candidates without a client). Of objects with one id the last counts; edges of a cycle that run against the objects' order go."""
+    """The concept graph, objects with anchor and prerequisites, and the verified edges (all candidates without a client). Of objects with one id the last counts; cycles are broken at their least confident edges, other edges stay."""
     incidence = units.select(F.monotonically_increasing_id().alias("unit"), F.explode("normalized_concepts").alias("concept")).where("concept != ''")
     incidence = written(incidence, "incidence")
     vertex, edges = graph.vertices(incidence, "concept"), graph.cooccurrence_edges(incidence, "unit", "concept")
@@ -52,12 +52,10 @@ def build_graph(units: DataFrame, objects: DataFrame, client: Callable | None =
     known = connectors.embed(objects.select("id", T.layer(F.col("type")).alias("layer"), T.question_and_answer(F.col("question"), F.col("answer")).alias("text")), "text")
     placed = known.join(anchors, "id", "left").withColumn("centrality", F.coalesce("centrality", F.lit(0.0)))
     candidates = written(graph.layered_edges(placed, keywords, least_cosine), "candidates")
-    verified = generation.verify_edges(candidates, objects, client).select("src", "dst") if client else candidates
-    verified = written(verified.where("src != dst"), "verified")
+    sure = F.when(F.col("confidence") == "high", 2).otherwise(1).alias("sure")
+    verified = generation.verify_edges(candidates, objects, client).select("src", "dst", sure) if client else candidates.withColumn("sure", F.lit(0))
+    verified = written(graph.without_cycles(written(verified, "verified"), "sure"), "verified")
     _, acyclic = graph.topological_levels(objects.select("id"), verified)
-    if not acyclic:
-        verified = written(graph.without_cycles(verified, placed), "verified")
-        _, acyclic = graph.topological_levels(objects.select("id"), verified)
     full = objects.join(anchors.select("id", "anchor"), "id", "left").join(graph.prerequisites(objects, verified), "id")
     counts = candidates.agg(F.count(F.lit(1)).alias("candidates")).crossJoin(verified.agg(F.count(F.lit(1)).alias("verified"))).withColumn("is_dag", F.lit(acyclic))
     return {"vertices": vertex, "edges": edges, "objects": full, "prerequisites": verified, "summary": graph.graph_summary(vertex, edges), "counts": counts}

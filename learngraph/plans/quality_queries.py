@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from learngraph.functions import statistics as S
 from learngraph.functions import text as T
 from learngraph.operators import quality as Q
+from learngraph.plans import api
 from learngraph.plans.bindings import EVALS_SQL, QA_SQL, RATINGS_SQL, evaluations, question_answers, ratings
 from learngraph.tables import table
 
@@ -92,6 +93,13 @@ def wilcoxon_w(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.wilcoxon(ratings(spark, sf_dir)).drop("p")
 
 
+def wilcoxon_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Market segments as raters of nations, by their customers' balances in cents: few items, no two differences alike, so p is exact."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("item"), F.col("c_mktsegment").alias("model"), F.round(F.col("c_acctbal") * 100).cast("long").alias("cents"))
+    found = S.wilcoxon(customers.groupBy("item", "model").agg(F.sum("cents").alias("score")))
+    return found.withColumn("p", F.round("p", 12))
+
+
 def boxplot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.five_numbers(evaluations(spark, sf_dir), "model", "clarity")
 
@@ -100,8 +108,7 @@ def add_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Existing and new objects together, the first of each id kept; new ones lack a column."""
     old = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("type"))
     new = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") + 1_000_000_000).alias("seq"))
-    both = old.unionByName(new, allowMissingColumns=True)
-    return both.groupBy("id").agg(F.min("seq").alias("seq"), F.min_by(F.struct("type"), "seq").alias("x")).select("id", "seq", "x.type")
+    return api.add_sources(old, new).select("id", "seq", "type")
 
 
 _AVG_RANKS = "SELECT m1, m2, {0} AS v, count(*) AS n, (min(rk) + max(rk)) / 2.0 AS r FROM (SELECT m1, m2, {0}, row_number() OVER (PARTITION BY m1, m2 ORDER BY {0}) AS rk FROM pairs) GROUP BY m1, m2, {0}"
@@ -122,7 +129,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         overlap_stats, overlap_histogram, eval_numeric_stats, eval_boolean_rate, eval_counts_per_model, consensus, survivors, regenerate_semi, missing_evaluations,
-        last_evaluation, binary_agreement, kappa, kappa_quadratic, kappa_labels, spearman, wilcoxon_w, boxplot, add_sources,
+        last_evaluation, binary_agreement, kappa, kappa_quadratic, kappa_labels, spearman, wilcoxon_w, wilcoxon_exact, boxplot, add_sources,
     )
 }
 ORACLES = {
@@ -142,6 +149,12 @@ ORACLES = {
     "kappa_labels": f"WITH {_LABEL_PAIRS}, {_LABELED}, {_KAPPA.format(_NOMINAL)}",
     "spearman": f"WITH {_PAIRS}, ra AS ({_AVG_RANKS.format('a')}), rb AS ({_AVG_RANKS.format('b')}) SELECT p.m1, p.m2, count(*)::BIGINT AS n, round(corr(ra.r, rb.r), 6) AS rho FROM pairs p JOIN ra ON p.m1 = ra.m1 AND p.m2 = ra.m2 AND p.a = ra.v JOIN rb ON p.m1 = rb.m1 AND p.m2 = rb.m2 AND p.b = rb.v GROUP BY 1, 2",
     "wilcoxon_w": f"WITH {_PAIRS}, d AS (SELECT m1, m2, a - b AS d FROM pairs WHERE a <> b), r AS (SELECT m1, m2, abs(d) AS v, (min(rk) + max(rk)) / 2.0 AS r FROM (SELECT m1, m2, d, row_number() OVER (PARTITION BY m1, m2 ORDER BY abs(d)) AS rk FROM d) GROUP BY 1, 2, 3) SELECT d.m1, d.m2, count(*)::BIGINT AS n, least(sum(CASE WHEN d.d > 0 THEN r.r ELSE 0 END), sum(CASE WHEN d.d < 0 THEN r.r ELSE 0 END))::DOUBLE AS w FROM d JOIN r ON d.m1 = r.m1 AND d.m2 = r.m2 AND abs(d.d) = r.v GROUP BY 1, 2",
+    "wilcoxon_exact": """WITH RECURSIVE r AS (SELECT c_nationkey AS item, c_mktsegment AS model, sum(round(c_acctbal * 100)::BIGINT)::BIGINT AS score FROM customer GROUP BY 1, 2),
+      d AS (SELECT x.model AS m1, y.model AS m2, x.score - y.score AS d FROM r x JOIN r y ON x.item = y.item AND x.model < y.model),
+      k AS (SELECT m1, m2, d, row_number() OVER (PARTITION BY m1, m2 ORDER BY abs(d)) AS rk FROM d WHERE d <> 0),
+      s AS (SELECT m1, m2, count(*)::BIGINT AS n, least(sum(CASE WHEN d > 0 THEN rk ELSE 0 END), sum(CASE WHEN d < 0 THEN rk ELSE 0 END))::DOUBLE AS w FROM k GROUP BY 1, 2),
+      c(n, counts) AS (SELECT 0::BIGINT, list_transform(range(1276), lambda x: CASE WHEN x = 0 THEN 1 ELSE 0 END::BIGINT) UNION ALL SELECT n + 1, list_transform(range(1276), lambda x: counts[x + 1] + CASE WHEN x > n THEN counts[x - n] ELSE 0 END) FROM c WHERE n < 50)
+      SELECT m1, m2, s.n, w, round(least(1, 2 * list_sum(counts[1:w::BIGINT + 1])::DOUBLE / pow(2, s.n)), 12) AS p FROM s JOIN c ON c.n = s.n""",
     "boxplot": f"WITH {EVALS_SQL}, q AS (SELECT model, min(clarity)::DOUBLE AS min, quantile_cont(clarity, 0.25)::DOUBLE AS q1, median(clarity)::DOUBLE AS median, quantile_cont(clarity, 0.75)::DOUBLE AS q3, max(clarity)::DOUBLE AS max FROM evals GROUP BY 1) SELECT q.*, w.low_whisker, w.high_whisker FROM q JOIN (SELECT e.model, min(clarity)::DOUBLE AS low_whisker, max(clarity)::DOUBLE AS high_whisker FROM evals e JOIN q ON e.model = q.model WHERE clarity BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY 1) w USING (model)",
     "add_sources": "WITH b AS (SELECT o_custkey AS id, o_orderkey AS seq, o_orderpriority AS type FROM orders UNION ALL SELECT c_custkey, c_custkey + 1000000000, NULL FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS k FROM b) SELECT id, seq, type FROM r WHERE k = 1",
 }

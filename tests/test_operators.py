@@ -196,9 +196,9 @@ def test_export(spark):
 
 
 def test_cycles_and_graphs_without_edges(spark):
-    obj = spark.createDataFrame([("a", 1, 0.5), ("b", 2, 0.1), ("c", 2, 0.3)], "id string, layer int, centrality double")
-    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("b", "a"), ("a", "a")], "src string, dst string")
-    assert rows(graph.without_cycles(edges, obj)) == [("a", "b"), ("c", "b")]
+    obj = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("c", "b", 2), ("b", "a", None), ("a", "a", 5), ("c", "d", 0)], "src string, dst string, sure int")
+    assert rows(graph.without_cycles(edges, "sure")) == [("a", "b"), ("c", "b"), ("c", "d")]
     vertex, none = graph.nodes_only(obj)
     assert rows(vertex) == [("a",), ("b",), ("c",)] and none.columns == ["src", "dst", "weight"] and none.count() == 0
 
