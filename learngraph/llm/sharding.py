@@ -1,7 +1,7 @@
 """A uniform shuffle into shards of exact sizes by a hypergeometric communication matrix.
 
 Source rows are cut into chunks by their file and place in it, which no split, retry or lost
-executor changes; target blocks have sizes fixed beforehand, consecutive blocks making a shard.
+executor changes (rows that aren't a plain scan of Parquet files are written first, so they have such places); target blocks have sizes fixed beforehand, consecutive blocks making a shard.
 Row v of the communication matrix (how many rows of chunk v go to each block) is multivariate
 hypergeometric given the rows before it; halving the chunks again and again, with a generator
 seeded by the halves, lets every task draw the rows it needs, alike in all tasks, from the chunk
@@ -16,6 +16,7 @@ Nulls travel like other values, repeated rows are separate rows, an empty table
 columns of any names travel along (the added ones replace columns of their names).
 """
 
+import contextlib
 import math
 from collections.abc import Iterator
 
@@ -29,6 +30,7 @@ from pyspark.sql.window import Window
 from learngraph.llm.shared import unused, written
 
 CHUNK_ROWS = 1 << 16
+_BITS = 1 << 15  # places that one bitmap holds
 BLOCK_UNIT = 4096  # blocks a shard: the root of the table's rows over this
 _LIMIT = 1_000_000_000  # of the library's exact draw
 _SINGLY = 16  # draws made one by one beyond it
@@ -98,15 +100,42 @@ class CommunicationMatrix:
         return np.random.default_rng([self.seed, v]).permutation(np.repeat(np.arange(len(self.room)), self.row(v)))
 
 
-def _placed(df: DataFrame, file: str, at: str) -> DataFrame:
-    """Every row with its file and place there; rows that come from no Parquet file are written first."""
-    try:
-        meta = df.metadataColumn("_metadata")
-        return df.select("*", meta["file_path"].alias(file), meta["row_index"].alias(at))
-    except AnalysisException:
-        df = written(df, "to-shuffle")
-        meta = df.metadataColumn("_metadata")
-        return df.select("*", meta["file_path"].alias(file), meta["row_index"].alias(at))
+def _is_scan(df: DataFrame) -> bool:
+    """Whether the DataFrame is one relation under projections and names: its rows are a table's, each once, alike whenever they are read."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "SubqueryAlias", "View"):
+        plan = plan.children().apply(0)
+    return plan.nodeName() == "LogicalRelation"
+
+
+def _named(df: DataFrame, file: str, at: str) -> DataFrame:
+    meta = df.metadataColumn("_metadata")
+    return df.select("*", meta["file_path"].alias(file), meta["row_index"].alias(at))
+
+
+def _spans(rows: DataFrame, file: str, at: str) -> list[tuple[str, int, int]] | None:
+    """(file, chunk, rows) in order; None unless the rows' places are 0, 1, 2 and so on in each file, each once."""
+    part = F.expr(f"`{at}` div {_BITS}")
+    found = rows.groupBy(F.col(file).alias("f"), part.alias("p")).agg(F.count(F.lit(1)).alias("n"), F.bitmap_count(F.bitmap_construct_agg(F.expr(f"`{at}` % {_BITS}"))).alias("d"), F.max(F.expr(f"`{at}` % {_BITS}")).alias("top")).collect()
+    sizes: dict[tuple[str, int], int] = {}
+    known = {(r["f"], r["p"]): r for r in found}
+    for (f, p), r in known.items():
+        if r["n"] != r["d"] or r["top"] != r["n"] - 1 or (p and known.get((f, p - 1), {"n": 0})["n"] != _BITS):
+            return None
+        key = (f, p * _BITS // CHUNK_ROWS)
+        sizes[key] = sizes.get(key, 0) + r["n"]
+    return [(f, c, n) for (f, c), n in sorted(sizes.items())]
+
+
+def _placed(df: DataFrame, file: str, at: str) -> tuple[DataFrame, list[tuple[str, int, int]]]:
+    """Every row with its file and place there, and the chunks. What isn't a plain scan of Parquet files (filtered, exploded, joined, united or limited rows) is written first."""
+    if _is_scan(df):
+        with contextlib.suppress(AnalysisException):  # another format
+            rows = _named(df, file, at)
+            if (chunks := _spans(rows, file, at)) is not None:
+                return rows, chunks
+    rows = _named(written(df, "to-shuffle"), file, at)
+    return rows, _spans(rows, file, at)
 
 
 def shuffle_into_shards(df: DataFrame, shards: int = 8, seed: int = 20240607) -> DataFrame:
@@ -117,9 +146,7 @@ def shuffle_into_shards(df: DataFrame, shards: int = 8, seed: int = 20240607) ->
     spark = df.sparkSession
     df = df.drop("shard", "slot")
     file, at_, to = unused(df.columns, "file", "at", "to")
-    rows = _placed(df, file, at_)
-    found = rows.groupBy(F.col(file).alias("f"), F.expr(f"`{at_}` div {CHUNK_ROWS}").alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
-    chunks = sorted((r["f"], r["c"], r["n"]) for r in found)
+    rows, chunks = _placed(df, file, at_)
     n = sum(r[2] for r in chunks)
     per = max(1, math.ceil(math.sqrt(n / BLOCK_UNIT)))
     sizes = [n // shards + (s < n % shards) for s in range(shards)]
