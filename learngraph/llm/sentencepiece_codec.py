@@ -3,7 +3,7 @@
 The model's protobuf is parsed here (pieces, scores and kinds, trainer and normaliser settings) and
 rebuilt: the precompiled normaliser, removal of extra white space, the metaspace mark for spaces and
 the dummy prefix; then a unigram model with the pieces' scores, or, for models of kind BPE, merges
-ranked by those scores; byte fallback either way. Batches are encoded by the library's threads.
+ranked by those scores; byte fallback either way. Control, unknown, unused and byte pieces never match text that reads like their names. Batches are encoded by the library's threads.
 
 In models whose pieces hold the mark only at their beginning, no piece runs over a space into the
 next word: the ids of a text with lone spaces only are those of its chunks. Each distinct chunk is
@@ -19,6 +19,7 @@ alike, empty tables give no row, other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from dataclasses import dataclass, field
@@ -112,13 +113,34 @@ def parse(data: bytes) -> Spec:
     return spec
 
 
-def build(spec: Spec):
-    """The tokenizers library's tokenizer of the model."""
+def _matching(spec: Spec, bytes_too: bool) -> list[tuple[str, float]]:
+    """The pieces of a unigram model as the library may match them in normalised text: only normal and user-defined ones.
+
+    The others keep their ids under names that no normalised text holds (spaces are marks there). Byte pieces keep their names if the library is
+    to fall back on them (``bytes_too``). User-defined pieces score as the original scores them, to be taken wherever they occur.
+    """
+    best = max((s for _, s, k in spec.pieces if k == NORMAL), default=0.0)
+    out = []
+    for i, (p, s, k) in enumerate(spec.pieces):
+        if k == USER:
+            out.append((p, len(p.encode()) * best - 0.1))
+        elif k == NORMAL or (k == BYTE and bytes_too):
+            out.append((p, s))
+        else:
+            out.append((f"{' ' if spec.escape else chr(0xFFFE) + chr(0xFFFF)}{i}", 0.0))
+    return out
+
+
+def build(spec: Spec, *, decoding: bool = False, strict: bool = False):
+    """The tokenizers library's tokenizer of the model. ``decoding``: of a unigram model with every piece under its own name; ``strict``: one that takes normalised text and leaves what no piece matches unknown."""
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
     vocab = {p: i for i, (p, _, _) in enumerate(spec.pieces)}
     if spec.kind == UNIGRAM:
-        model = models.Unigram([(p, s) for p, s, _ in spec.pieces], unk_id=spec.unk_id, byte_fallback=spec.byte_fallback)
+        pieces = [(p, s) for p, s, _ in spec.pieces] if decoding else _matching(spec, spec.byte_fallback and not strict)
+        model = models.Unigram(pieces, unk_id=spec.unk_id, byte_fallback=spec.byte_fallback and not strict)
+        if strict:
+            return Tokenizer(model)
     elif spec.kind == BPE:
         whole = {p: s for p, s, k in spec.pieces if k in (NORMAL, USER, UNUSED)}
         merges = []
@@ -160,6 +182,12 @@ class Codec:
             data = f.read()
         self.spec = parse(data)
         self.tokenizer = build(self.spec)
+        self.decoder = build(self.spec, decoding=True) if self.spec.kind == UNIGRAM else self.tokenizer
+        # The library would match the names of byte pieces in a text; texts that hold one are encoded without them, and bytes put in here.
+        named = [p for p, _, k in self.spec.pieces if k == BYTE] if self.spec.kind == UNIGRAM and self.spec.byte_fallback else []
+        self.byte_ids = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(self.spec.pieces) if k == BYTE}
+        self.holds_byte = re.compile("|".join(map(re.escape, named))).search if named else None
+        self.strict = build(self.spec, strict=True) if named else None
         self.original = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.memo_size = memo
         self.memo: dict[str, bytes] = {}
@@ -170,11 +198,24 @@ class Codec:
     def _whole(self, texts: list[str]) -> list[tuple[np.ndarray, bool, bool]]:
         """ids, whether they are the original's, whether they decode to the normalised text."""
         got = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        if self.holds_byte:
+            for k, t in enumerate(texts):
+                if self.holds_byte(t):
+                    got[k] = self._strictly(t)
         want = self.original.encode(texts, num_threads=1)
-        back = self.tokenizer.decode_batch(got, skip_special_tokens=False)
+        back = self.decoder.decode_batch(got, skip_special_tokens=False)
         forms = texts if not self.spec.charsmap and not self.spec.remove_extra else [self.normalised(t) for t in texts]
         return [(np.array(g, np.uint32), g == w, b == t) for g, w, b, t in zip(got, want, back, forms, strict=True)]
 
+    def _strictly(self, text: str) -> list[int]:
+        form = self.tokenizer.normalizer.normalize_str(text)
+        found = self.strict.encode(form, add_special_tokens=False)
+        out = []
+        for i, (a, b) in zip(found.ids, found.offsets, strict=True):
+            own = [self.byte_ids.get(x) for x in form[a:b].encode()] if i == self.spec.unk_id else [i]
+            out += [self.spec.unk_id] if None in own else own
+        return out
+
     def normalised(self, text: str) -> str:
         form = self.tokenizer.normalizer.normalize_str(text).replace(MARK, " ") if text else ""
         return form[1:] if self.spec.dummy_prefix and form else form
@@ -212,7 +253,7 @@ class Codec:
         return out
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        return self.decoder.decode_batch(ids, skip_special_tokens=False)
 
 
 def codec(path: str) -> Codec:

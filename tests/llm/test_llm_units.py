@@ -226,6 +226,39 @@ def test_unigram_models_are_rebuilt(tmp_path):
         assert tokenizer.encode(text).ids == original.encode(text)
 
 
+def proto(pieces, settings):
+    out = b""
+    for text, score, kind in pieces:
+        body = b"\x0a" + bytes([len(text.encode())]) + text.encode() + b"\x15" + np.float32(score).tobytes() + b"\x18" + bytes([kind])
+        out += b"\x0a" + bytes([len(body)]) + body
+    return out + settings
+
+
+@pytest.mark.parametrize("fallback", [True, False])
+def test_unigram_ids_equal_the_originals_on_texts_that_read_like_pieces(tmp_path, fallback):
+    """A model written by hand: control, unknown, unused, user-defined and byte pieces beside normal ones of several lengths."""
+    import sentencepiece
+
+    rng = np.random.default_rng(8)
+    words = ["▁", "▁a", "b", "c", "a", "▁ab", "abc", "bc", "<", "0", "x", "4", "1", "s", ">", "▁the", "the", "t", "h", "e", "ca", "cab", "é"]
+    pieces = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), ("unused", -1, 5), ("<user>", 0, 4), ("[mask]", 0, 4)]
+    pieces += [(f"<0x{k:02X}>", 0, 6) for k in range(256)] if fallback else []
+    pieces += [(w, float(np.float32(-2 - 6 * rng.random())), 1) for w in words]
+    data = proto(pieces, b"\x12\x05\x18\x01\x98\x02\x01" + b"\x1a\x04\x18\x01\x20\x00" if fallback else b"\x12\x02\x18\x01" + b"\x1a\x04\x18\x01\x20\x00")
+    path = tmp_path / "m.model"
+    path.write_bytes(data)
+    codec = sentencepiece_codec.Codec(str(path))
+    assert codec.spec.byte_fallback == fallback
+    original = sentencepiece.SentencePieceProcessor(model_proto=data)
+    parts = ["<s>", "</s>", "<unk>", "<0x41>", "<0xE2>", "unused", "<user>", "[mask]", "a", "b", "c", "the", " ", " ", "cab", "<0x4", "x", "€", "日", "é", "0", "<"]
+    texts = ["a <s> b", "<unk> x", "<0x41> y", "</s>", *("".join(parts[k] for k in rng.integers(0, len(parts), rng.integers(1, 12))).strip() for _ in range(1000))]
+    found = codec.encode(texts)
+    assert [f[0].tolist() for f in found] == original.encode(texts) and all(f[1] for f in found)
+    if fallback:
+        plain = [t for t in texts if "  " not in t]
+        assert codec.decode([f[0].tolist() for f in codec.encode(plain)]) == plain
+
+
 def test_a_teaser_in_an_article_leaves_the_story_in_divs():
     story = [f"Paragraph {i} of the story that the page is about, told in plain divs and at some length for its readers." for i in range(6)]
     teaser = "Read next: another piece, told in some ninety characters, that this page only points at today."
