@@ -1,14 +1,16 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines (one per block of text: paragraphs, headings, list items, cells and
-so on); scripts, styles, forms and the regions that markup itself names as menus, headers,
-footers, sidebars, notices, adverts or reader comments give none; inside an article or main
-element, words that its own sections bear too (``AMBIGUOUS``) count only for blocks of which links
+so on); scripts, styles and controls give none. Regions that markup itself names as menus, headers,
+footers, sidebars, notices, adverts, forms or reader comments are suspect, and text density has the last word on them: one that holds most of
+the page's text, in lines that read like text, with no article elsewhere, is no boilerplate whatever its name (a page-wide form, a
+layout with a sidebar's name). Names that say something else too (``newsletter-archive``) and, inside an article or main
+element, words that its own sections bear (``AMBIGUOUS``) count only for regions of which links
 are a third or lines are short. On the lines left, the amount
 of text (links counted against it) is summed over sliding windows of ``WINDOW`` lines: where the
 sum surges over the threshold the main text begins, where it dives to nothing it ends, and the
-stretches between are kept. A surge or dive inside an article or main element is carried out to
-the edges of that element; outside of any, a stretch takes in the heading before it and the
+stretches between are kept. A surge inside an article or main element is carried out to
+the edges of that element, but for dives: ``WINDOW`` lines or more that are nothing but links, with their heading. Outside of any, a stretch takes in the heading before it and the
 lines without links beside it. So no line of the article is lost for being short. Stretches outside
 of such elements go where those inside hold more text, as an article does and a teaser doesn't.
 
@@ -38,9 +40,10 @@ _SPACE = re.compile(r"\s+")
 
 # Elements of HTML by what they mean here.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
-DROPPED = {"nav", "header", "footer", "aside", "form", "button", "select", "svg", "canvas", "object", "audio", "video", "menu", "dialog", "head", "map"}
+SUSPECT = {"nav", "header", "footer", "aside", "form", "menu"}
+DROPPED = {"button", "select", "svg", "canvas", "object", "audio", "video", "dialog", "head", "map"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-BLOCKS = {"address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"} | DROPPED
+BLOCKS = {"address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"} | DROPPED | SUSPECT
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 # Words in class, id or role that name what isn't the article's own text.
 BOILERPLATE = {
@@ -52,23 +55,33 @@ BOILERPLATE = {
 # Of them, words that sections of an article bear too: inside of one they drop a block only if it doesn't read like text.
 AMBIGUOUS = {
     "banner", "complementary", "consent", "copyright", "discussion", "menu", "notice", "notification", "promotion", "recommended", "related",
-    "respond", "search", "share", "sharing", "skip", "social", "subscription",
+    "reply", "respond", "search", "share", "sharing", "skip", "social", "subscription",
 }
 # Of the others, those that a page's outer wrapper bears too: where an article or main element opens inside of it, it is no boilerplate itself.
 WRAPPERS = {"ad", "ads", "banner", "breadcrumb", "breadcrumbs", "complementary", "cookie", "cookies", "header", "menu", "nav", "navbar", "search", "sidebar", "sidebars", "skip", "social", "widget", "widgets"}
+# Words that stand beside these in a name and change nothing of what it says; with others (or numbers) a name may speak of the page's matter.
+COMPANIONS = {
+    "area", "author", "bar", "block", "blog", "body", "bottom", "box", "button", "buttons", "center", "col", "column", "container", "content", "count", "desktop", "entry", "fixed", "form",
+    "global", "google", "group", "heading", "icon", "icons", "id", "inline", "inner", "item", "items", "js", "large", "left", "link", "links", "list", "local", "main", "meta", "mobile", "module",
+    "new", "outer", "page", "panel", "placeholder", "policy", "post", "posts", "primary", "region", "right", "row", "secondary", "section", "site", "slot", "small", "stories", "sticky", "story", "text", "thread",
+    "title", "top", "unit", "user", "wide", "wp", "wrap", "wrapper", "zone",
+}
+COMMENTS = {"comment", "comments", "disqus", "discussion", "reply", "replies", "respond"}  # what readers write can be more than the article
 MODIFIERS = {"has", "is", "no", "not", "with", "without"}  # before a word in a name: it speaks of the page around
 DENSE = 25  # characters outside of links in a line of text, on average
 _PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
 
 
-def _names(attributes: str) -> set[str]:
-    found = set()
+def _names(attributes: str) -> tuple[set[str], set[str]]:
+    """Words of ``BOILERPLATE`` in names that say nothing else, and in names that do."""
+    sure, doubtful = set(), set()
     for m in _NAMES.finditer(attributes):
         for name in (m[1] or m[2] or m[3] or "").split():
             parts = [p.lower() for p in _PARTS.findall(name)]
-            if parts and parts[0] not in MODIFIERS:
-                found.update(parts)
-    return found
+            if parts and parts[0] not in MODIFIERS and (found := BOILERPLATE.intersection(parts)):
+                other = any(len(p) > 1 and not p.isdigit() and p not in COMPANIONS and p not in BOILERPLATE for p in parts)
+                (doubtful if other else sure).update(found)
+    return sure, doubtful
 
 
 def _sparse(chars: int, linked: int, n: int) -> bool:
@@ -80,12 +93,18 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
     """(text, characters inside links, is a heading, number of its article or main element or -1) of every block, in page order."""
     out: list[tuple[str, int, bool, int]] = []
     text: list[tuple[str, int, int]] = []  # piece, characters inside links, doubtful inline element or 0
-    stack: list[tuple[str, bool, int, int, int, bool]] = []  # element, dropped from here on, container, doubtful block, doubtful inline element, a wrapper may be
+    stack: list[tuple[str, bool, int, int, int]] = []  # element, dropped from here on, container, suspect region, doubtful inline element
     opened: Counter[str] = Counter()  # elements on the stack
     last = page.rfind(">")
     token = _TOKEN
-    above = [0]  # doubtful block around each doubtful block, from 1 on
-    marks: list[int] = []  # doubtful block of each line
+    above = [0]  # suspect region around each suspect region, from 1 on
+    kinds = [0]  # of each: 1 if its name counts unless it holds the page's text, 2 if only for what doesn't read like text
+    freed = [False]  # an article stands in it, and all regions around may hold one
+    passable = [True]  # it and all regions around it may hold an article
+    outermost = [0]  # the first region around it (or itself) whose name counts
+    started = [-1]  # its place on the stack
+    commented = [False]  # its name speaks of readers' comments
+    marks: list[int] = []  # suspect region of each line
     containers = inlines = 0
     link_depth, dropped, container = 0, False, -1
     at, size = 0, len(page)
@@ -181,27 +200,37 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
         if name == "body":
             cut(0)
             dropped, container = False, -1
-        elif name in ("article", "main") and dropped:  # a menu or head that was never closed ends here
-            first = next(k for k, x in enumerate(stack) if x[1])
-            if stack[first][0] in ("nav", "menu", "head"):
+        elif name in ("article", "main"):
+            region = stack[-1][3] if stack else 0
+            first = next(k for k, x in enumerate(stack) if x[0] == "head") if opened["head"] else started[outermost[region]]
+            if first >= 0 and stack[first][0] in ("nav", "menu", "head"):  # one that was never closed ends here
                 cut(first)
                 dropped, container = (stack[-1][1], stack[-1][2]) if stack else (False, -1)
-            elif all(x[5] for x in stack[first:]) and not _names(m[3]) & BOILERPLATE:
-                stack[first:] = [(x[0], False, *x[2:]) for x in stack[first:]]
-                dropped = False
-        own, wrapper = dropped, dropped and stack[-1][5]
+                region = stack[-1][3] if stack else 0
+            if passable[region] and not dropped and not any(_names(m[3])):
+                freed[region] = True
+        own = dropped
         block, inline = stack[-1][3:5] if stack else (0, 0)
         if not own:
             inside = opened["article"] + opened["main"] > 0
-            own = name in DROPPED and not (name == "header" and inside)
-            if not own and m[3] and name not in ("html", "body", "article", "main"):
-                named = _names(m[3]) & (BOILERPLATE - {"header"} if inside else BOILERPLATE)
-                hidden = bool(_HIDDEN.search(m[3]))
-                own = bool(named - AMBIGUOUS if inside else named) or hidden
-                wrapper = own and not hidden and not inside and named <= WRAPPERS
-                if named and not own:
-                    if name in BLOCKS:
+            suspect = name in SUSPECT and not (name == "header" and inside)
+            own = name in DROPPED
+            if not own and (suspect or m[3]) and name not in ("html", "body", "article", "main"):
+                sure, doubtful = _names(m[3]) if m[3] else (set(), set())
+                if inside:
+                    sure, doubtful = sure - AMBIGUOUS - {"header"}, (doubtful | sure & AMBIGUOUS) - {"header"}
+                own = bool(m[3] and _HIDDEN.search(m[3]))
+                if not own and (suspect or sure or doubtful):
+                    if name in BLOCKS or sure or suspect:
+                        flush()
                         above.append(block)
+                        kinds.append(1 if suspect or sure else 2)
+                        wraps = name == "form" if suspect else not inside and sure | doubtful <= WRAPPERS
+                        passable.append(passable[block] and (kinds[-1] == 2 or wraps))
+                        outermost.append(outermost[block] or (len(kinds) - 1) * (kinds[-1] == 1))
+                        started.append(len(stack))
+                        commented.append(bool((sure | doubtful) & COMMENTS))
+                        freed.append(False)
                         block = len(above) - 1
                     else:
                         inlines += 1
@@ -213,23 +242,41 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
             container = containers
         if m[3].endswith("/"):
             continue
-        stack.append((name, own, container, block, inline, wrapper))
+        stack.append((name, own, container, block, inline))
         opened[name] += 1
         dropped = own
     flush()
     if len(above) == 1:
         return out
-    held = [[0, 0, 0] for _ in above]  # characters, of them inside links, lines
-    for (t, inside_links, _, _), mark in zip(out, marks, strict=True):
-        held[mark] = [held[mark][0] + len(t), held[mark][1] + inside_links, held[mark][2] + 1]
-    sparse = [False] * len(above)
-    for k in range(len(above) - 1, 0, -1):  # inner ones first; what stays of them counts for the outer ones
-        sparse[k] = _sparse(*held[k])
-        if not sparse[k] and above[k]:
-            held[above[k]] = [a + b for a, b in zip(held[above[k]], held[k], strict=True)]
-    for k in range(1, len(above)):
-        sparse[k] |= sparse[above[k]]
-    return [line for line, mark in zip(out, marks, strict=True) if not sparse[mark]]
+    return [line for line, kept in zip(out, _judged(out, marks, above, kinds, freed, commented), strict=True) if kept]
+
+
+def _judged(found: list[tuple[str, int, bool, int]], marks: list[int], above: list[int], kinds: list[int], freed: list[bool], commented: list[bool]) -> list[bool]:
+    """Which lines stay, by the suspect regions around them; inner regions have larger numbers."""
+    n = len(above)
+    own = np.zeros((n, 4), np.int64)  # characters, of them inside links, lines, of them in articles
+    for (t, linked, _, container), mark in zip(found, marks, strict=True):
+        own[mark] += (len(t), linked, 1, (container >= 0) * max(0, len(t) - 2 * linked))
+    whole = own.copy()
+    for k in range(n - 1, 0, -1):
+        whole[above[k]] += whole[k]
+        freed[above[k]] |= freed[k]
+    total = whole[0]
+    gone = [False] * n
+    for k in range(1, n):
+        if kinds[k] == 1 and not freed[k]:
+            plain, rest = whole[k, 0] - whole[k, 1], total[0] - total[1] - (whole[k, 0] - whole[k, 1])
+            apart = rest == 0 if commented[k] else plain > 2 * rest
+            gone[k] = not (apart and total[3] == whole[k, 3] and not _sparse(*whole[k, :3].tolist()))
+    left = own.copy()
+    for k in range(n - 1, 0, -1):  # what stays of inner regions counts for the outer ones
+        if kinds[k] == 2 and not gone[k]:
+            gone[k] = _sparse(*left[k, :3].tolist())
+        if not gone[k]:
+            left[above[k]] += left[k]
+    for k in range(1, n):
+        gone[k] |= gone[above[k]]
+    return [not gone[mark] for mark in marks]
 
 
 def spans(found: list[tuple[str, int, bool, int]]) -> list[tuple[int, int]]:
@@ -258,6 +305,16 @@ def spans(found: list[tuple[str, int, bool, int]]) -> list[tuple[int, int]]:
     if weight[keep & ~outside].sum() > weight[keep & outside].sum():
         keep &= ~outside  # an article that holds most of the text: what is outside of it isn't the article
     keep |= ~outside & np.isin(owner, owner[keep & ~outside])
+    k = 0
+    while k < n:  # dives inside an element
+        end = k
+        while end < n and not outside[end] and weight[end] == 0 and owner[end] == owner[k]:
+            end += 1
+        if end - k >= WINDOW:
+            keep[k:end] = False
+            if k and found[k - 1][2] and owner[k - 1] == owner[k]:
+                keep[k - 1] = False
+        k = max(end, k + 1)
     plain = [linked == 0 for _, linked, _, _ in found]
     for k in range(1, n):
         keep[k] |= outside[k - 1] and outside[k] and keep[k - 1] and plain[k]
