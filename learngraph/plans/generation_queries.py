@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from learngraph.functions import text as T
 from learngraph.operators import generation as G
 from learngraph.operators import graph
+from learngraph.plans import stub_sql
 from learngraph.plans.bindings import question_answers, units
 from learngraph.plans.graph_queries import ORACLES as GRAPH_SQL
 from learngraph.plans.graph_queries import COSINE, layered_edges
@@ -36,7 +37,7 @@ def stub_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stub_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = G.add_choices(G.generate_objects(_units(spark, sf_dir), G.stub_client), G.stub_client)
-    return made.select("seq", "id", "type", "question", "answer", "hint", F.size("keywords").alias("n_keywords"), F.size("mc_options").alias("n_options"), "mc_correct_index")
+    return made.select("seq", "id", "type", "question", "answer", "hint", F.size("keywords").alias("n_keywords"), F.coalesce(F.size("mc_options"), F.lit(0)).alias("n_options"), F.get("mc_options", "mc_correct_index").alias("right_option"))
 
 
 def stub_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +109,11 @@ def defines_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (stub_extract, stub_generate, stub_evaluate, stub_verify, stub_enrich, regenerate_loop, incremental_graph_edges, incremental_layered_edges, defines_edges)}
 ORACLES = {
+    "stub_extract": stub_sql.EXTRACT,
+    "stub_generate": stub_sql.GENERATE,
+    "stub_evaluate": stub_sql.EVALUATE,
+    "stub_verify": stub_sql.VERIFY,
+    "stub_enrich": stub_sql.ENRICH,
     "incremental_graph_edges": GRAPH_SQL["concept_graph_edges"],
     "incremental_layered_edges": GRAPH_SQL["layered_edges"],
     "defines_edges": "WITH d AS (SELECT l_orderkey AS id, l_partkey AS k FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey DESC) r FROM lineitem) WHERE r = 1) SELECT DISTINCT d.id AS src, l.l_orderkey AS dst FROM d JOIN lineitem l ON l.l_partkey = d.k AND l.l_orderkey <> d.id",
