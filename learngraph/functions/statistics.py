@@ -41,6 +41,15 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) ->
     return out.select("bin", F.round(F.lit(low) + (F.col("bin") - 1) * ((high - low) / bins), 6).alias("low"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def range_histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
+    """``histogram`` between the least and the greatest value; half a unit to either side of a single value, no bin for no value."""
+    ends = df.agg(F.min(F.col(column).cast("double")).alias("low"), F.max(F.col(column).cast("double")).alias("high")).first()
+    if ends["low"] is None:
+        return histogram(df, column, 0.0, 1.0, bins).limit(0)
+    spread = 0.0 if ends["high"] > ends["low"] else 0.5
+    return histogram(df, column, ends["low"] - spread, ends["high"] + spread, bins)
+
+
 def five_numbers(df: DataFrame, group: str, value: str) -> DataFrame:
     """Exact quartiles, the extremes and the whiskers (the furthest values within 1.5 interquartile ranges) by group."""
     counts = df.where(F.col(value).isNotNull()).groupBy(group, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))

@@ -20,6 +20,7 @@ from learngraph.functions.responses import response_rows
 from learngraph.operators import quality
 from learngraph.operators.export import DEFAULTS, shuffled_options
 from learngraph.shared import written
+from learngraph.sources.budget import Budget, call_within
 from learngraph.sources.connectors import call
 
 ITEMS = "ITEMS:\n"
@@ -84,14 +85,16 @@ def answers(raw: DataFrame, task: Task) -> DataFrame:
     return firsts.select("batch", "pos", "s.*")
 
 
-def ask(items: DataFrame, task: Task, client: Callable[[], Callable], payload: list[str], *, order: str = "seq", model: str | None = None, replay: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def ask(items: DataFrame, task: Task, client: Callable[[], Callable], payload: list[str], *, order: str = "seq", model: str | None = None, replay: DataFrame | None = None, budget: Budget | None = None) -> tuple[DataFrame, DataFrame]:
     """Items with the answer's fields and ``answered``, and the raw answers to keep for replays.
 
     Fields of the items that the answer has too are replaced. Raw answers are written before they
-    are parsed, so no task that is run again asks again.
+    are parsed, so no task that is run again asks again. With a ``budget``, calls keep it over the whole cluster.
     """
     dealt = written(quality.batches(items, task.size, order), "dealt")
-    raw = written(call(prompts(dealt, task, payload, model), client, temperature=task.temperature, replay=replay), "raw")
+    asked = prompts(dealt, task, payload, model)
+    told = call_within(asked, client, budget, temperature=task.temperature, replay=replay)[0] if budget else call(asked, client, temperature=task.temperature, replay=replay)
+    raw = written(told, "raw")
     found = answers(raw, task)
     if task.whole:
         sizes = dealt.groupBy("batch").agg(F.count(F.lit(1)).alias("wanted"))

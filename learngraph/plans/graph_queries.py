@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from learngraph.functions import statistics as S
 from learngraph.operators import graph
 from learngraph.shared import written
 from learngraph.tables import table
@@ -125,6 +126,20 @@ def depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.depths(nodes(spark, sf_dir), _layered(spark, sf_dir)).withColumn("depth", F.col("depth").cast("long"))
 
 
+def degree_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.range_histogram(centrality(spark, sf_dir), "degree", 15)
+
+
+def centrality_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of degrees over all concepts but one, as they are, not rounded."""
+    found = graph.degree_centrality(vertices(spark, sf_dir), edges(spark, sf_dir))
+    return S.range_histogram(written(found, "centrality"), "centrality", 30)
+
+
+def depth_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.range_histogram(written(depths(spark, sf_dir), "depths"), "depth", 20)
+
+
 EDGES_SQL = """
 inc AS (SELECT DISTINCT l_orderkey u, l_partkey c FROM lineitem WHERE l_orderkey IS NOT NULL AND l_partkey IS NOT NULL),
 edges AS (SELECT a.c AS src, b.c AS dst, count(*)::BIGINT AS weight FROM inc a JOIN inc b ON a.u = b.u AND a.c < b.c GROUP BY 1, 2),
@@ -141,10 +156,17 @@ lay AS (SELECT a AS src, b AS dst FROM prs WHERE la < lb AND shared >= 2 UNION S
 io AS (SELECT o_orderkey AS id, (SELECT count(*) FROM lay WHERE dst = o_orderkey)::BIGINT AS in_degree, (SELECT count(*) FROM lay WHERE src = o_orderkey)::BIGINT AS out_degree FROM orders)
 """
 
+def _bins(source: str, x: str, n: int) -> str:
+    """SQL of equal bins between the least and the greatest x, the last one closed."""
+    return f"""e AS (SELECT min({x})::DOUBLE AS lo, max({x})::DOUBLE AS hi FROM {source}), b AS (SELECT CASE WHEN {x} = hi THEN {n} ELSE floor({n}::DOUBLE * ({x} - lo) / (hi - lo)) + 1 END::INTEGER AS bin, count(*)::BIGINT AS n FROM {source}, e WHERE {x} IS NOT NULL GROUP BY 1)
+  SELECT i::INTEGER AS bin, round(lo + (i - 1) * ((hi - lo) / {n}), 6) AS low, coalesce(n, 0)::BIGINT AS n FROM range(1, {n + 1}) r(i) CROSS JOIN e LEFT JOIN b ON b.bin = r.i"""
+
+
 QUERIES = {
     "concept_graph_edges": edges, "concept_graph_centrality": centrality, "concept_graph_stats": summary, "edge_weight_at_least": heavy, "without_isolated": not_isolated, "degree_topk": degree_topk,
     "node_sizes": node_sizes, "edge_widths": edge_widths, "in_degree_topk": in_degree_topk, "named_edges": named_edges,
     "anchor": anchor, "layered_edges": layered_edges, "prerequisites": prerequisites, "in_out_degrees": in_out_degrees, "edge_counts": edge_counts, "components": components, "longest_path": longest_path, "depths": depths,
+    "degree_histogram": degree_histogram, "centrality_histogram": centrality_histogram, "depth_histogram": depth_histogram,
 }
 _DEG = "in_degree = 0 AS is_root, in_degree = 0 AND out_degree > 0 AS is_start, in_degree = 0 AND out_degree = 0 AS is_isolated"
 ORACLES = {
@@ -167,3 +189,8 @@ ORACLES = {
     "longest_path": f"WITH RECURSIVE {LAYERED_SQL}, lp(id, len) AS (SELECT o_orderkey, 0 FROM orders UNION SELECT dst, len + 1 FROM lp JOIN lay ON src = lp.id) SELECT max(len)::BIGINT AS longest_path, TRUE AS is_dag FROM lp",
     "depths": f"WITH RECURSIVE {LAYERED_SQL}, bf(id, root, dist) AS (SELECT id, id, 0 FROM io WHERE in_degree = 0 UNION SELECT dst, root, dist + 1 FROM bf JOIN lay ON src = bf.id), sp AS (SELECT id, root, min(dist) AS dist FROM bf GROUP BY 1, 2) SELECT o_orderkey AS id, max(dist)::BIGINT AS depth FROM orders LEFT JOIN sp ON sp.id = o_orderkey GROUP BY 1",
 }
+ORACLES |= {
+    "degree_histogram": f"WITH {EDGES_SQL}, {_bins('cen', 'degree', 15)}",
+    "centrality_histogram": f"WITH {EDGES_SQL}, {_bins('cen', 'centrality', 30)}",
+    "depth_histogram": ORACLES["depths"].replace(" SELECT o_orderkey AS id,", ", dep AS (SELECT o_orderkey AS id,") + "), " + _bins("dep", "depth", 20),
+}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from learngraph.functions import text as T
 from learngraph.operators import export, graph, vectors
-from learngraph.plans.bindings import UNITS_SQL, question_answers, units
+from learngraph.plans.bindings import QA_SQL, UNITS_SQL, question_answers, units
 from learngraph.sources import connectors, documents
 from learngraph.tables import table
 
@@ -67,6 +67,15 @@ def semantic_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qa.select("conv_id", "turn", F.round(vectors.cosine(F.col("q"), F.col("a")), 4).alias("semantic_similarity"))
 
 
+def stored_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine of the stored vectors that stand for a question and its answer."""
+    count = table(spark, sf_dir, "embeddings").agg((F.max("vec_id") + 1).alias("n"))  # one row
+    qa = question_answers(spark, sf_dir).select("conv_id", "turn").crossJoin(F.broadcast(count))
+    stored = lambda out: table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias(f"{out}_id"), F.col("embedding").alias(out))
+    both = qa.withColumns({"q_id": F.col("conv_id") % F.col("n"), "a_id": (F.col("conv_id") + F.col("turn") + 1) % F.col("n")}).join(stored("q"), "q_id").join(stored("a"), "a_id")
+    return both.select("conv_id", "turn", F.round(vectors.cosine(F.col("q"), F.col("a")), 4).alias("semantic_similarity"))
+
+
 def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of the raw pages, by the page's url."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.lit("html").alias("format"), F.col("html").cast("binary").alias("content"), "url")
@@ -80,8 +89,9 @@ _EXPORT = f"""{UNITS_SQL}, t AS (SELECT *, {_TOKS} AS w, CASE WHEN doc_id % 11 <
  o AS (SELECT doc_id, st, w[1] AS answer, len(list_filter(list_distinct(w), lambda x: x <> w[1])) >= 3 AS many, CASE WHEN st IS NULL THEN substr(statement, 1, 30) WHEN source_page <> 0 THEN regexp_replace(substr(statement, 1, 30), '\\.+$', '') || '. [Source: ' || st || ', p. ' || source_page || ']' ELSE regexp_replace(substr(statement, 1, 30), '\\.+$', '') || '. [Source: ' || st || ']' END AS hint, question FROM t),
  h AS (SELECT *, CASE WHEN contains(hint, '[Source:') THEN regexp_replace(trim(split_part(hint, '[Source:', 1), chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)), '\\.+$', '') ELSE trim(hint, chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)) END AS ht, CASE WHEN contains(hint, '[Source:') THEN '[Source:' || st || ']' END AS hs, trim(split_part(coalesce(st, ''), ' - ', 1)) AS prefix FROM o)"""
 
-QUERIES = {f.__name__: f for f in (vector_pairs, vector_band_edges, semantic_dedup, merge_pairs, export_by_source, export_totals, export_single, semantic_similarity, html_sections)}
+QUERIES = {f.__name__: f for f in (vector_pairs, vector_band_edges, semantic_dedup, merge_pairs, export_by_source, export_totals, export_single, semantic_similarity, stored_similarity, html_sections)}
 ORACLES = {
+    "stored_similarity": f"WITH {QA_SQL}, n AS (SELECT max(vec_id) + 1 AS n FROM embeddings) SELECT conv_id, turn, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 4) AS semantic_similarity FROM qa, n JOIN embeddings x ON x.vec_id = conv_id % n.n JOIN embeddings y ON y.vec_id = (conv_id + turn + 1) % n.n",
     "vector_pairs": f"WITH {_PAIR} SELECT a, b, round(cosine, 6) AS cosine FROM prs WHERE cosine >= {DEDUP}",
     "vector_band_edges": f"WITH {_PAIR}, s AS (SELECT a, b FROM prs WHERE cosine BETWEEN {BAND[0]} AND {BAND[1]}), d AS (SELECT a, b FROM s UNION ALL SELECT b, a FROM s), o AS (SELECT vec_id AS id, 1 / (1 + label)::DOUBLE AS c FROM embeddings WHERE label IS NOT NULL) SELECT d.a AS src, d.b AS dst FROM d JOIN o x ON x.id = d.a JOIN o y ON y.id = d.b WHERE x.c > 1.2 * y.c",
     "semantic_dedup": f"""WITH RECURSIVE {_PAIR}, low AS (SELECT b AS id, list(a) AS below FROM prs WHERE cosine >= {DEDUP} GROUP BY 1), n AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS k, coalesce(below, []) AS below FROM embeddings LEFT JOIN low ON low.id = vec_id),

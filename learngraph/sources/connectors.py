@@ -74,8 +74,8 @@ def configuration(env: Mapping[str, str], routed: Mapping[str, str] | None = Non
     return Config(choose_provider(env), routes, delay=float(env.get("LLM_DELAY_SECONDS", "0") or 0))
 
 
-def with_retries(ask: Callable[[], str], config: Config, sleep: Callable[[float], None] = time.sleep) -> str:
-    """``ask`` until it answers: other errors and empty answers wait 1, 2, 4, ... seconds, rate limits longer and longer up to a cap."""
+def with_retries(ask: Callable[[], str], config: Config, sleep: Callable[[float], None] = time.sleep, *, patient: bool = True) -> str:
+    """``ask`` until it answers: other errors and empty answers wait 1, 2, 4, ... seconds, rate limits longer and longer up to a cap (or, if not ``patient``, are raised at once)."""
     wait = config.rate_wait
     if config.delay:
         sleep(config.delay)
@@ -86,7 +86,7 @@ def with_retries(ask: Callable[[], str], config: Config, sleep: Callable[[float]
                 return answer
             raise ValueError("empty answer")
         except RateLimited:
-            if attempt + 1 == config.attempts:
+            if attempt + 1 == config.attempts or not patient:
                 raise
             sleep(wait)
             wait = min(wait * config.rate_growth, config.rate_cap)
@@ -98,10 +98,10 @@ def with_retries(ask: Callable[[], str], config: Config, sleep: Callable[[float]
 
 
 class HttpClient:
-    """Chat completions of an OpenAI-like endpoint by the standard library."""
+    """Chat completions of an OpenAI-like endpoint by the standard library. Not ``patient``: rate limits are left to who calls, as calls within a budget need."""
 
-    def __init__(self, config: Config) -> None:
-        self.config = config
+    def __init__(self, config: Config, *, patient: bool = True) -> None:
+        self.config, self.patient = config, patient
 
     def __call__(self, messages: list[dict], model: str | None, temperature: float) -> str:
         import urllib.error
@@ -120,7 +120,7 @@ class HttpClient:
                     raise RateLimited from e
                 raise
 
-        return with_retries(ask, self.config)
+        return with_retries(ask, self.config, patient=self.patient)
 
 
 def prompt_key(messages: Column, model: Column, temperature: float) -> Column:
