@@ -34,8 +34,8 @@ def tidy(text: str) -> str:
 
 def recover(text: str | None) -> list:
     """The whole objects in a broken array, found by counting braces outside of strings."""
-    out, depth, start, quoted, escaped = [], 0, 0, False, False
-    for i, c in enumerate(bare(text)):
+    out, depth, start, quoted, escaped, body = [], 0, 0, False, False, bare(text)
+    for i, c in enumerate(body):
         if quoted:
             escaped = c == "\\" and not escaped
             if c == '"' and not escaped:
@@ -50,7 +50,7 @@ def recover(text: str | None) -> list:
             depth -= 1
             if depth == 0:
                 try:
-                    out.append(json.loads(bare(text)[start : i + 1]))
+                    out.append(json.loads(body[start : i + 1]))
                 except ValueError:
                     continue
     return out

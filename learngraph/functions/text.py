@@ -9,7 +9,7 @@ from learngraph.schemas import CHOICE_TYPES, DEFAULT_LAYER, DEFAULT_TYPE, LAYERS
 
 # A word character as Python has it; Java's own \w and \b know ASCII only.
 WORD = r"[\p{L}\p{N}_]"
-_LEFT, _RIGHT = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
+LEFT, RIGHT = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
 
 # What a question says when it leans on something outside of itself.
 OUTSIDE = [
@@ -20,6 +20,7 @@ OUTSIDE = [
     r"refer to",
     r"see (?:the|above|below)",
 ]
+# Fixed value: what makes a question hold code.
 CODE = r"`|(?:^|[^\p{L}\p{N}_])(?:def|class|import) (?:$|[\p{L}\p{N}_])|<-\s|(?:^|[^\p{L}\p{N}_])print\("
 
 
@@ -144,7 +145,7 @@ def outside_reference(question: Column) -> Column:
     q = F.coalesce(question, F.lit(""))
     found = []
     for k, p in enumerate(OUTSIDE):
-        words = F.nullif(F.regexp_extract(q, f"(?i){_LEFT}({p}){_RIGHT}", 1), F.lit(""))
+        words = F.nullif(F.regexp_extract(q, f"(?i){LEFT}({p}){RIGHT}", 1), F.lit(""))
         found.append(F.when(~q.rlike(CODE), words) if k == 0 else words)
     return F.coalesce(*found)
 

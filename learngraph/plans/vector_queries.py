@@ -42,7 +42,7 @@ def _objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     wrong = F.slice(F.array_except(F.array_distinct(T.tokens(F.col("statement"))), F.array(answer)), 1, 3)
     options = F.when(F.size(wrong) == 3, F.concat(F.array(answer), wrong))
     title = F.when(F.col("doc_id") % 11 != 0, F.col("source_title"))
-    hint = T.with_provenance(F.substring("statement", 1, 30), title, F.col("source_page"))
+    hint = T.with_provenance(F.col("statement"), title, F.col("source_page"))
     return u.select(F.col("doc_id").alias("seq"), title.alias("source_title"), "question", answer.alias("answer"), options.alias("mc_options"), F.lit(0).alias("mc_correct_index"), hint.alias("hint"))
 
 
@@ -86,7 +86,7 @@ _COS = "list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[])"
 _PAIR = f"prs AS (SELECT x.vec_id AS a, y.vec_id AS b, {_COS} AS cosine FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id)"
 _TOKS = "regexp_extract_all(lower(statement), '[\\p{L}\\p{N}_]+')"
 _EXPORT = f"""{UNITS_SQL}, t AS (SELECT *, {_TOKS} AS w, CASE WHEN doc_id % 11 <> 0 THEN source_title END AS st FROM units),
- o AS (SELECT doc_id, st, w[1] AS answer, len(list_filter(list_distinct(w), lambda x: x <> w[1])) >= 3 AS many, CASE WHEN st IS NULL THEN substr(statement, 1, 30) WHEN source_page <> 0 THEN regexp_replace(substr(statement, 1, 30), '\\.+$', '') || '. [Source: ' || st || ', p. ' || source_page || ']' ELSE regexp_replace(substr(statement, 1, 30), '\\.+$', '') || '. [Source: ' || st || ']' END AS hint, question FROM t),
+ o AS (SELECT doc_id, st, w[1] AS answer, len(list_filter(list_distinct(w), lambda x: x <> w[1])) >= 3 AS many, CASE WHEN st IS NULL THEN statement WHEN source_page <> 0 THEN regexp_replace(statement, '\\.+$', '') || '. [Source: ' || st || ', p. ' || source_page || ']' ELSE regexp_replace(statement, '\\.+$', '') || '. [Source: ' || st || ']' END AS hint, question FROM t),
  h AS (SELECT *, CASE WHEN contains(hint, '[Source:') THEN regexp_replace(trim(split_part(hint, '[Source:', 1), chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)), '\\.+$', '') ELSE trim(hint, chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)) END AS ht, CASE WHEN contains(hint, '[Source:') THEN '[Source:' || st || ']' END AS hs, trim(split_part(coalesce(st, ''), ' - ', 1)) AS prefix FROM o)"""
 
 QUERIES = {f.__name__: f for f in (vector_pairs, vector_band_edges, semantic_dedup, merge_pairs, export_by_source, export_totals, export_single, semantic_similarity, stored_similarity, html_sections)}

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from learngraph.sources import pdf
+
 SCHEMA = "id string, seq long, page int, source string, content string"
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _LEFT_OUT = frozenset(["script", "style", "nav", "footer"])
@@ -178,10 +180,13 @@ def _pdf_string(raw: bytes) -> str:
 
 
 def pdf_pages(data: bytes) -> list[tuple[int, str]]:
-    """(page from 1, text) by the text operators of each content stream that shows text, in file order.
+    """(page from 1, text) of the pages that show text, in the order of the page tree.
 
-    Reads plain and deflated streams with simple encodings. For other files give ``scan`` a reader of your own.
+    Of a file without a page tree, the content streams that show text count as pages, in file order and with simple encodings. Encrypted files
+    can't be read; for them give ``scan`` a reader of your own.
     """
+    if (found := pdf.pages(data)) is not None:
+        return found
     out = []
     for m in _STREAM.finditer(data):
         body = m[1]
