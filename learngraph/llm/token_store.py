@@ -5,7 +5,8 @@ corpus in ascending id order; ties of ids come in the order of their texts, null
 task turns its rows into shards of about ``shard_tokens`` tokens (a document is never split) and
 the blobs are written as rows of a Parquet table by Spark's committer, so a lost executor's task
 is simply run again. Null and empty texts have the end id alone. Places over the whole corpus
-come from two running sums, over parts and over the shards of a part: no task sees all shards.
+come from two running sums, over parts and over the shards of a part: no task sees all shards. Shards carry their rank directories, so tokens are counted and
+located without decoding. Repeated rows are separate documents, an empty table makes no shard, other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -98,3 +99,39 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     shards = read_shards(spark, path)
     found = shards.select("part", "shard", "payload").mapInArrow(run, DOC_SCHEMA)
     return found.join(shard_starts(shards), ["part", "shard"]).select("doc_id", (F.col("corpus_start") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def count_tokens(spark: SparkSession, path: str, tokens: list[int]) -> DataFrame:
+    """token and n, its occurrences in all shards, of each given token (0 for one that nowhere stands). Shards are counted by rank, not decoded."""
+    wanted = sorted(set(tokens))
+
+    def run(batches):
+        total = np.zeros(len(wanted), np.int64)
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                matrix = WaveletMatrix.from_bytes(blob)[0]
+                total += [matrix.count(t) for t in wanted]
+        yield pa.RecordBatch.from_arrays([pa.array(wanted, pa.int64()), pa.array(total)], names=["token", "n"])
+
+    counted = read_shards(spark, path).select("payload").mapInArrow(run, "token long, n long")
+    given = spark.createDataFrame([(int(t), 0) for t in wanted], "token long, n long")
+    return counted.unionByName(given).groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def locate_token(spark: SparkSession, path: str, token: int) -> DataFrame:
+    """doc_id, at (place in the document, from 0) and start (place in the corpus) of every occurrence of a token, by select from the shards that hold it."""
+
+    def run(batches):
+        for batch in batches:
+            for part, shard, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                matrix, starts, doc_ids, known = WaveletMatrix.from_bytes(blob)
+                places = matrix.places(token)
+                if len(places):
+                    doc = np.searchsorted(starts, places, side="right") - 1
+                    n = len(places)
+                    columns = [pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, shard, np.int32)), pa.array(doc_ids[doc], mask=~known[doc])]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(places - starts[doc].astype(np.int64)), pa.array(places)], names=["part", "shard", "doc_id", "at", "place"])
+
+    shards = read_shards(spark, path)
+    found = shards.select("part", "shard", "payload").mapInArrow(run, "part int, shard int, doc_id long, at long, place long")
+    return found.join(shard_starts(shards), ["part", "shard"]).select("doc_id", "at", (F.col("corpus_start") + F.col("place")).alias("start"))

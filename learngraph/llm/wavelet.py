@@ -7,20 +7,45 @@ import struct
 import numpy as np
 import zstandard
 
-MAGIC = b"WVM1"
+MAGIC = b"WVM2"
 _HEAD = struct.Struct("<4sBQQ")  # magic, planes, tokens, documents
+_PART = struct.Struct("<BQQ")  # whether it is compressed, its bytes and those in the file
 _STEP = 512  # bits between two counts of the rank directory
+_MANY = 64  # occurrences from which whole planes are unpacked to place them
+
+
+def _directory(plane: np.ndarray) -> np.ndarray:
+    """1s before every ``_STEP`` bits of a plane, and in all of it."""
+    step = _STEP // 8
+    sums = np.add.reduceat(np.bitwise_count(plane).astype(np.int64), np.arange(0, len(plane), step)) if len(plane) else np.zeros(0, np.int64)
+    return np.concatenate([[0], np.cumsum(sums)])
 
 
 class WaveletMatrix:
     """Random access, counting and occurrence lookup over a sequence of unsigned ids.
 
     Plane l holds bit (planes - 1 - l) of the ids in that plane's order; from one plane to the
-    next, ids with a 0 go before those with a 1, each in their order. ``zeros[l]`` counts the 0s.
+    next, ids with a 0 go before those with a 1, each in their order. ``zeros[l]`` counts the 0s. A plane and its rank directory are
+    given as values or as functions that load them when they are needed.
     """
 
-    def __init__(self, planes: list[np.ndarray], zeros: list[int], n: int) -> None:
-        self.planes, self.zeros, self.n, self._ranks = planes, zeros, n, [None] * len(planes)
+    def __init__(self, planes: list, zeros: list[int], n: int, ranks: list | None = None) -> None:
+        self.planes, self.zeros, self.n = planes, zeros, n
+        self._ranks = ranks or [lambda k=k: _directory(self.plane(k)) for k in range(len(planes))]
+
+    def plane(self, level: int) -> np.ndarray:
+        if callable(self.planes[level]):
+            self.planes[level] = self.planes[level]()
+        return self.planes[level]
+
+    def directory(self, level: int) -> np.ndarray:
+        if callable(self._ranks[level]):
+            self._ranks[level] = self._ranks[level]()
+        return self._ranks[level]
+
+    def loaded(self) -> int:
+        """Planes that have been unpacked so far."""
+        return sum(not callable(p) for p in self.planes)
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
@@ -39,7 +64,7 @@ class WaveletMatrix:
         bits = len(self.planes)
         v = np.zeros(self.n, np.uint16 if bits <= 16 else np.uint32)
         for level in range(bits - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level], count=self.n).view(np.bool_)
+            bit = np.unpackbits(self.plane(level), count=self.n).view(np.bool_)
             z = self.zeros[level]
             w = np.empty_like(v)
             w[np.flatnonzero(~bit)] = v[:z]
@@ -49,21 +74,29 @@ class WaveletMatrix:
 
     def _rank1(self, level: int, i: int) -> int:
         """1s of a plane before place i."""
-        if self._ranks[level] is None:
-            per = np.bitwise_count(self.planes[level]).astype(np.int64)
-            step = _STEP // 8
-            sums = np.add.reduceat(per, np.arange(0, max(1, len(per)), step)) if len(per) else np.zeros(0, np.int64)
-            self._ranks[level] = np.concatenate([[0], np.cumsum(sums)])
-        plane, full = self.planes[level], i // 8
-        done = int(self._ranks[level][i // _STEP]) + int(np.bitwise_count(plane[(i // _STEP) * (_STEP // 8) : full]).sum())
-        return done + (int(plane[full] >> (8 - i % 8)).bit_count() if i % 8 else 0)
+        if i >= self.n:
+            return int(self.directory(level)[-1])
+        done = int(self.directory(level)[i // _STEP])
+        if i % _STEP:
+            plane, full = self.plane(level), i // 8
+            done += int(np.bitwise_count(plane[(i // _STEP) * (_STEP // 8) : full]).sum())
+            done += int(plane[full] >> (8 - i % 8)).bit_count() if i % 8 else 0
+        return done
+
+    def _select(self, level: int, one: bool, k: int) -> int:
+        """Place of a plane's k-th 1 (or 0): the directory names its ``_STEP`` bits, which alone are looked at."""
+        ones = self.directory(level)
+        before = ones if one else np.minimum(np.arange(len(ones)) * _STEP, self.n) - ones
+        block = int(np.searchsorted(before, k, side="right")) - 1
+        bits = np.unpackbits(self.plane(level)[block * (_STEP // 8) : (block + 1) * (_STEP // 8)])
+        return block * _STEP + int(np.flatnonzero(bits == one)[k - int(before[block])])
 
     def access(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)
         value = 0
         for level in range(len(self.planes)):
-            bit = self.planes[level][i // 8] >> (7 - i % 8) & 1
+            bit = self.plane(level)[i // 8] >> (7 - i % 8) & 1
             ones = self._rank1(level, i)
             i = self.zeros[level] + ones if bit else i - ones
             value = value << 1 | int(bit)
@@ -75,6 +108,8 @@ class WaveletMatrix:
         if symbol < 0 or symbol >> bits:
             return 0, 0
         for level in range(bits):
+            if a == b:
+                return 0, 0  # no plane below is looked at
             ra, rb = self._rank1(level, a), self._rank1(level, b)
             a, b = (self.zeros[level] + ra, self.zeros[level] + rb) if symbol >> (bits - 1 - level) & 1 else (a - ra, b - rb)
         return a, b
@@ -95,26 +130,29 @@ class WaveletMatrix:
         at, bits = a + k, len(self.planes)
         for level in range(bits - 1, -1, -1):
             one = symbol >> (bits - 1 - level) & 1
-            want = at - self.zeros[level] if one else at
-            low, high = 0, self.n  # the least place with want + 1 such bits before it
-            while low < high:
-                mid = (low + high) // 2
-                have = self._rank1(level, mid)
-                if (have if one else mid - have) > want:
-                    high = mid
-                else:
-                    low = mid + 1
-            at = low - 1
+            at = self._select(level, bool(one), at - self.zeros[level] if one else at)
+        return at
+
+    def places(self, symbol: int) -> np.ndarray:
+        """All places of the symbol, rising."""
+        a, b = self._range(symbol, self.n)
+        if b - a < _MANY:
+            return np.array([self.select(symbol, k) for k in range(b - a)], np.int64)
+        at, bits = np.arange(a, b), len(self.planes)
+        for level in range(bits - 1, -1, -1):
+            one = symbol >> (bits - 1 - level) & 1
+            at = np.flatnonzero(np.unpackbits(self.plane(level), count=self.n) == one)[at - self.zeros[level] if one else at]
         return at
 
     def to_bytes(self, starts: np.ndarray, doc_ids: np.ndarray, known: np.ndarray) -> bytes:
-        """The blob: head, document table (starts, ids, which ids aren't null), planes; each part compressed only where that helps."""
+        """The blob: head, document table (starts, ids, which ids aren't null), then each plane after its rank directory; each part compressed only where that helps."""
         out = [_HEAD.pack(MAGIC, len(self.planes), self.n, len(doc_ids))]
         table = [starts.astype("<u8").tobytes(), doc_ids.astype("<i8").tobytes(), np.packbits(known.astype(bool)).tobytes()]
         table.append(np.array(self.zeros, "<u8").tobytes())
-        for raw in [*table, *(p.tobytes() for p in self.planes)]:
+        planes = [x for k in range(len(self.planes)) for x in (self.directory(k).astype("<u8").tobytes(), self.plane(k).tobytes())]
+        for raw in [*table, *planes]:
             small = _squeezed(raw)
-            out += [struct.pack("<BQQ", small is not raw, len(raw), len(small)), small]
+            out += [_PART.pack(small is not raw, len(raw), len(small)), small]
         return b"".join(out)
 
     @classmethod
@@ -124,18 +162,26 @@ class WaveletMatrix:
         if magic != MAGIC:
             raise ValueError("not a wavelet shard")
         at, parts = _HEAD.size, []
-        for _ in range(4 + bits):
-            small, whole, size = struct.unpack_from("<BQQ", blob, at)
-            at += 17
-            raw = blob[at : at + size]
-            at += size
-            parts.append(zstandard.decompress(raw, max_output_size=whole) if small else raw)
-            if len(parts[-1]) != whole:
+        for _ in range(4 + 2 * bits):
+            small, whole, size = _PART.unpack_from(blob, at)
+            parts.append((small, whole, at + _PART.size, size))
+            at += _PART.size + size
+        if at > len(blob):
+            raise ValueError("truncated shard")
+
+        def load(k: int, kind) -> np.ndarray:
+            small, whole, start, size = parts[k]
+            raw = blob[start : start + size]
+            raw = zstandard.decompress(raw, max_output_size=whole) if small else raw
+            if len(raw) != whole:
                 raise ValueError("truncated shard")
-        starts, ids = np.frombuffer(parts[0], "<u8"), np.frombuffer(parts[1], "<i8")
-        known = np.unpackbits(np.frombuffer(parts[2], np.uint8), count=docs).astype(bool)
-        zeros = np.frombuffer(parts[3], "<u8").astype(int).tolist()
-        return cls([np.frombuffer(p, np.uint8) for p in parts[4:]], zeros, n), starts, ids, known
+            return np.frombuffer(raw, kind)
+
+        starts, ids, zeros = load(0, "<u8"), load(1, "<i8"), load(3, "<u8").astype(int).tolist()
+        known = np.unpackbits(load(2, np.uint8), count=docs).astype(bool)
+        ranks = [lambda k=k: load(4 + 2 * k, "<u8").astype(np.int64) for k in range(bits)]
+        planes = [lambda k=k: load(5 + 2 * k, np.uint8) for k in range(bits)]
+        return cls(planes, zeros, n, ranks), starts, ids, known
 
 
 def _squeezed(raw: bytes) -> bytes:
