@@ -45,6 +45,32 @@ def write_key_values(df: DataFrame, path: str) -> None:
     key_values(df).select("line").write.mode("overwrite").text(path)
 
 
+def summary(reports: dict[str, DataFrame]) -> DataFrame:
+    """One row, ``json``: an object with each report's rows under its name, an object for a report of one row. For statistics, whose rows don't grow with the data."""
+    parts = None
+    for place, (name, df) in enumerate(reports.items()):
+        rows = df.agg(F.array_sort(F.collect_list(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))).alias("r"))
+        many = F.concat(F.lit("["), F.array_join("r", ","), F.lit("]"))
+        part = rows.select(F.lit(place).alias("k"), F.concat(F.to_json(F.array(F.lit(name))), F.lit(": "), F.when(F.size("r") == 1, F.col("r")[0]).otherwise(many)).alias("j"))
+        parts = part if parts is None else parts.unionByName(part)
+    named = F.transform(F.array_sort(F.collect_list(F.struct("k", "j"))), lambda x: F.regexp_replace(x["j"], r'^\["(.*?)"\]: ', '"$1": '))
+    return parts.agg(F.concat(F.lit("{"), F.array_join(named, ", "), F.lit("}")).alias("json"))
+
+
+def write_summary(reports: dict[str, DataFrame], path: str) -> None:
+    summary(reports).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_download(df: DataFrame, path: str, kind: str = "csv") -> None:
+    """Rows for people: CSV with a header and nested columns as JSON, or JSON lines."""
+    if kind == "csv":
+        csv_ready(df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    elif kind == "json":
+        write_json_lines(df, path)
+    else:
+        raise ValueError(f"no such kind of download: {kind}")
+
+
 def csv_ready(df: DataFrame) -> DataFrame:
     """Nested columns as JSON texts, so that the rows can be written as CSV."""
     nested = [c for c, t in df.dtypes if t.startswith(("array", "map", "struct"))]

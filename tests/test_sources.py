@@ -95,6 +95,21 @@ def test_tables(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "jl")).count() == 2
 
 
+def test_summaries_and_downloads(spark, tmp_path):
+    one, many = spark.createDataFrame([(1, None)], "n int, m double"), spark.createDataFrame([("b", 2), ("a", 1)], 'k string, "v w" int'.replace('"', "`"))
+    tables.write_summary({"scores": one, 'by "type"': many, "none": many.limit(0)}, str(tmp_path / "s"))
+    (text,) = (r["value"] for r in spark.read.text(str(tmp_path / "s")).collect())
+    assert json.loads(text) == {"scores": {"n": 1, "m": None}, 'by "type"': [{"k": "a", "v w": 1}, {"k": "b", "v w": 2}], "none": []}
+    df = spark.createDataFrame([(1, ['x "q"', "y"], "a,b\nc"), (2, None, None)], "i int, xs array<string>, t string")
+    tables.write_download(df, str(tmp_path / "c"))
+    back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(str(tmp_path / "c"))
+    assert sorted((r["i"], r["xs"], r["t"]) for r in back.collect()) == [("1", '["x \\"q\\"","y"]', "a,b\nc"), ("2", None, None)]
+    tables.write_download(df, str(tmp_path / "j"), "json")
+    assert spark.read.json(str(tmp_path / "j")).count() == 2
+    with pytest.raises(ValueError, match="kind"):
+        tables.write_download(df, str(tmp_path / "x"), "xls")
+
+
 def test_retries():
     waits = []
     config = connectors.Config(delay=0.5)
