@@ -23,10 +23,10 @@ def current(spark: SparkSession, root: str, before: int | None = None, kind: str
     return store.read(version, "edges")
 
 
-def uploads(spark: SparkSession, folder: str, pattern: str = "*"):
-    """A stream of the files that land in a folder: path, modificationTime, length and content."""
+def uploads(spark: SparkSession, folder: str, pattern: str = "*", files_a_batch: int = 1000):
+    """A stream of the files that land in a folder: path, modificationTime, length and content; so many files a micro-batch at most."""
     schema = "path STRING, modificationTime TIMESTAMP, length LONG, content BINARY"
-    return spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).load(folder)
+    return spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_a_batch).load(folder)
 
 
 def cooccurrence_stream(stream: DataFrame, unit: str, concept: str, state: str, checkpoint: str, buckets: int = BUCKETS):
