@@ -59,6 +59,13 @@ def _hasher(dim: int, tables: int, projections: int):
     return keys
 
 
+def _matrix_of(raws: list[bytes], dim: int) -> np.ndarray:
+    """Vectors as they travel, in single precision where that holds them exactly, as one double-precision matrix."""
+    if all(len(r) == 4 * dim for r in raws):
+        return np.frombuffer(b"".join(raws), np.float32).reshape(-1, dim).astype(np.float64)
+    return np.stack([np.frombuffer(r, np.float32 if len(r) == 4 * dim else np.float64) for r in raws]).astype(np.float64)
+
+
 def _most_common_length(rows: DataFrame) -> int:
     found = rows.where(F.col("v").isNotNull()).groupBy(F.size("v").alias("k")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "k").first()
     return int(found["k"]) if found else 0
@@ -93,8 +100,11 @@ def link(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embed
         for batch in batches:
             x, good = matrix(batch.column(1), dim)
             x = x + 0.0  # no negative zeros
-            raw = [r.tobytes() if g else None for r, g in zip(x, good, strict=True)]
-            name = [hashlib.blake2b(r, digest_size=16).digest() if r is not None else None for r in raw]
+            name = [hashlib.blake2b(r.tobytes(), digest_size=16).digest() if g else None for r, g in zip(x, good, strict=True)]
+            with np.errstate(over="ignore"):
+                small = x.astype(np.float32)
+            exact = (small == x).all(1)
+            raw = [(small[k] if exact[k] else x[k]).tobytes() if g else None for k, g in enumerate(good.tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(name, pa.binary()), pa.array(raw, pa.binary())], names=["vec_id", "digest", "raw"])
 
     named = rows.mapInArrow(names, "vec_id long, digest binary, raw binary")
@@ -106,8 +116,7 @@ def link(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embed
         keys = _hasher(dim, tables, projections)
         for batch in batches:
             if batch.num_rows:
-                x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float64).reshape(-1, dim)
-                k = keys(unit(x)).view(np.int64)
+                k = keys(unit(_matrix_of(batch.column(1).to_pylist(), dim))).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(k) + 1, dtype=np.int32) * tables), pa.array(k.ravel()))], names=["digest", "keys"])
 
     keyed = classes.select("digest", "raw").mapInArrow(hashed, "digest binary, keys array<long>").select("digest", F.posexplode("keys").alias("table", "key"))
@@ -147,7 +156,7 @@ def link(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embed
         for g in groups():
             if g.num_rows < 2:
                 continue
-            u = unit(np.frombuffer(b"".join(g.column("raw").to_pylist()), np.float64).reshape(-1, dim))
+            u = unit(_matrix_of(g.column("raw").to_pylist(), dim))
             pairs, fresh = _links_of(u, g.column("chunk").to_numpy(), keys, g.column("table")[0].as_py(), cosine)
             if len(pairs):
                 count, digests = g.column("n").to_numpy(), g.column("digest").to_pylist()

@@ -253,3 +253,14 @@ def test_secrets_random_texts(spark):
     rows = [(i, "".join(parts[k] for k in rng.integers(0, len(parts), rng.integers(0, 40))), f"s{i % 6}", "en") for i in range(600)]
     got = secret_scan.scan(frame(spark, rows), owner=F.col("source"), repository=F.col("lang")).collect()
     assert sorted(repr(tuple(r)) for r in got) == plain_secrets(rows)
+
+
+def test_duplicates_of_vectors_in_either_precision(spark):
+    """Values that single precision holds travel so, others don't, and both meet."""
+    from learngraph.llm import embedding_duplicates
+
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(30, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(base)] + [(100 + i, v.astype(np.float32).astype(float).tolist()) for i, v in enumerate(base)] + [(200, [1e300] * 16), (201, [5e299] * 16)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_duplicates.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cosine=0.999).collect()}
+    assert all(got[i] == got[100 + i] == (1, i) for i in range(30)) and got[201] == (1, 200)
