@@ -6,26 +6,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from learngraph.functions.lemmas import lemma
 from learngraph.schemas import STOPWORDS
 
-# Plurals and forms that no ending gives away.
-IRREGULAR = {"children": "child", "data": "datum", "feet": "foot", "geese": "goose", "indices": "index", "matrices": "matrix", "men": "man", "mice": "mouse", "people": "person", "teeth": "tooth", "vertices": "vertex", "women": "woman"}
 _STOP = frozenset(STOPWORDS)
 
 
-def lemma(word: str) -> str:
-    """The singular of an English noun, by its ending."""
-    if word in IRREGULAR:
-        return IRREGULAR[word]
-    if len(word) > 4 and word.endswith("ies"):
-        return word[:-3] + "y"
-    if len(word) > 4 and word.endswith(("sses", "shes", "ches", "xes", "zes")):
-        return word[:-2]
-    if len(word) > 3 and word.endswith("s") and not word.endswith(("ss", "us", "is")):
-        return word[:-1]
-    return word
-
-
 def rule_lemmatizer() -> Callable[[str], str]:
     return lemma
 
