@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
+from learngraph.shared import written
+
 
 def numeric_stats(df: DataFrame, metrics: list[str], digits: int = 3) -> DataFrame:
     """metric, n, mean, std (sample; 0 for one value), min and max of each metric's non-null values; nulls where there are none or no such column."""
@@ -78,23 +80,30 @@ def rater_pairs(ratings: DataFrame, item: str = "item", model: str = "model", sc
 
 
 def _marginals(pairs: DataFrame) -> DataFrame:
-    """m1, m2, label, its index among the pair's labels in order, and its counts on either side."""
+    """m1, m2, label and its counts na and nb on either side."""
     ends = pairs.select("m1", "m2", F.explode(F.array(F.struct(F.col("a").alias("label"), F.col("n").alias("na"), F.lit(0).cast("long").alias("nb")), F.struct(F.col("b").alias("label"), F.lit(0).cast("long").alias("na"), F.col("n").alias("nb")))).alias("e"))
-    per = ends.groupBy("m1", "m2", "e.label").agg(F.sum("e.na").alias("na"), F.sum("e.nb").alias("nb"))
-    return per.withColumn("k", F.row_number().over(Window.partitionBy("m1", "m2").orderBy("label")) - 1)
+    return ends.groupBy("m1", "m2", "e.label").agg(F.sum("e.na").cast("double").alias("na"), F.sum("e.nb").cast("double").alias("nb"))
 
 
 def cohens_kappa(ratings: DataFrame, weighted: bool = False) -> DataFrame:
-    """m1, m2, n and kappa by pair of raters; with quadratic weights on the labels' indexes if ``weighted``. Null where chance agreement is whole."""
-    pairs = rater_pairs(ratings)
+    """m1, m2, n and kappa by pair of raters; with quadratic weights on the labels' indexes if ``weighted``. Null where chance agreement is whole.
+
+    The counts of score pairs are written once. What chance would have them differ by follows from sums over labels, since
+    sum na nb [a != b] = n^2 - sum na nb and sum na nb (a - b)^2 = n (sum na a^2 + sum nb b^2) - 2 (sum na a) (sum nb b): labels never meet labels.
+    """
+    pairs = written(rater_pairs(ratings), "score-pairs")
     labels = _marginals(pairs)
-    index = lambda side: labels.select("m1", "m2", F.col("label").alias(side), F.col("k").alias(f"k{side}"))
-    seen = pairs.join(index("a"), ["m1", "m2", "a"]).join(index("b"), ["m1", "m2", "b"])
-    gap = (lambda x, y: F.pow(F.col(x) - F.col(y), 2)) if weighted else (lambda x, y: (F.col(x) != F.col(y)).cast("double"))
-    observed = seen.groupBy("m1", "m2").agg(F.sum("n").alias("n"), F.sum(F.col("n") * gap("ka", "kb")).alias("observed"))
-    rows, columns = labels.select("m1", "m2", F.col("k").alias("ka"), "na"), labels.select("m1", "m2", F.col("k").alias("kb"), "nb")
-    expected = rows.join(columns, ["m1", "m2"]).groupBy("m1", "m2").agg(F.sum(F.col("na") * F.col("nb") * gap("ka", "kb")).alias("expected"))
-    both = observed.join(expected, ["m1", "m2"])
+    if weighted:
+        labels = labels.withColumn("k", (F.row_number().over(Window.partitionBy("m1", "m2").orderBy("label")) - 1).cast("double"))
+        index = lambda side: labels.select("m1", "m2", F.col("label").alias(side), F.col("k").alias(f"k{side}"))
+        seen = pairs.join(index("a"), ["m1", "m2", "a"]).join(index("b"), ["m1", "m2", "b"])
+        gap = F.pow(F.col("ka") - F.col("kb"), 2)
+        chance = F.sum("na") * F.sum((F.col("na") + F.col("nb")) * F.pow("k", 2)) - 2 * F.sum(F.col("na") * F.col("k")) * F.sum(F.col("nb") * F.col("k"))
+    else:
+        seen, gap = pairs, (F.col("a") != F.col("b")).cast("double")
+        chance = F.sum("na") * F.sum("nb") - F.sum(F.col("na") * F.col("nb"))
+    observed = seen.groupBy("m1", "m2").agg(F.sum("n").alias("n"), F.sum(F.col("n") * gap).alias("observed"))
+    both = observed.join(labels.groupBy("m1", "m2").agg(chance.alias("expected")), ["m1", "m2"])
     return both.select("m1", "m2", "n", F.when(F.col("expected") > 0, 1 - F.col("observed") * F.col("n") / F.col("expected")).alias("kappa"))
 
 
@@ -106,7 +115,7 @@ def _average_ranks(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def spearman(ratings: DataFrame) -> DataFrame:
     """m1, m2, n, rho and p (two-sided, by the t distribution) of average ranks; rho null for a constant rater or fewer than two items."""
-    pairs = rater_pairs(ratings)
+    pairs = written(rater_pairs(ratings), "score-pairs")
     ranks = [_average_ranks(pairs.groupBy("m1", "m2", s).agg(F.sum("n").alias("n")), ["m1", "m2"], s).select("m1", "m2", s, F.col("r").alias(f"r{s}")) for s in "ab"]
     seen = pairs.join(ranks[0], ["m1", "m2", "a"]).join(ranks[1], ["m1", "m2", "b"])
     w, x, y = F.col("n"), F.col("ra"), F.col("rb")
