@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from learngraph.functions import text as T
+from learngraph.shared import written
 
+# Fixed values of the format; so are the names of the fields below.
 DEFAULTS = {"generated_name": "Learning Object", "time_to_handle": 90, "time_to_explain": 45}
+NO_SOURCE = "Unknown Source"
 
 
 def _pair(name: str, text: Column) -> Column:
@@ -44,13 +48,34 @@ def shuffled_options(df: DataFrame, id_col: str = "id") -> DataFrame:
     return out.withColumn("mc_correct_index", F.when(enough, (F.array_position("mc_options", F.col("answer")) - 1).cast("int")))
 
 
+def _titled(df: DataFrame, *columns: Column) -> DataFrame:
+    return df.select(F.when(T.truthy(F.col("source_title")), F.col("source_title")).otherwise(NO_SOURCE).alias("title"), *columns)
+
+
 def by_source(df: DataFrame, order: str = "seq") -> DataFrame:
-    """title, seq (of the first question) and questions in order, by source; objects without one under ``Unknown Source``."""
-    titled = df.select(F.when(T.truthy(F.col("source_title")), F.col("source_title")).otherwise("Unknown Source").alias("title"), F.col(order).alias("_o"), question(df).alias("_q"))
-    packed = titled.groupBy("title").agg(F.min("_o").alias("seq"), F.array_sort(F.collect_list(F.struct("_o", "_q"))).alias("_all"))
+    """title, seq (of the first question) and questions in order, by source; objects without one under ``Unknown Source``.
+
+    A row is one unit of an export file. Where a source's questions are too many for a row, ``question_rows`` has them.
+    """
+    packed = _titled(df, F.col(order).alias("_o"), question(df).alias("_q")).groupBy("title").agg(F.min("_o").alias("seq"), F.array_sort(F.collect_list(F.struct("_o", "_q"))).alias("_all"))
     return packed.select("title", "seq", F.lit("").alias("description"), F.transform("_all", lambda x: x["_q"]).alias("questions"))
 
 
+def question_rows(df: DataFrame, order: str = "seq") -> DataFrame:
+    """title, place (from 0) and question: what ``by_source`` holds, a row a question, without a source ever standing in one task.
+
+    Rows are dealt by ranges of source and order and sorted there; a place is that in the range and what the source's
+    ranges before it hold, of which there is a row per source and range.
+    """
+    ordered = _titled(df, F.col(order).alias("_o"), question(df).alias("question")).repartitionByRange("title", "_o").sortWithinPartitions("title", "_o", "question")
+    local = F.monotonically_increasing_id()  # the partition above 33 bits of the place in it
+    placed = written(ordered.select("title", "question", F.shiftright(local, 33).alias("_part"), local.bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")), "question-rows")
+    runs = placed.groupBy("title", "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("title").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = runs.select("title", "_part", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_start"))
+    return placed.join(starts, ["title", "_part"]).select("title", (F.col("_at") + F.col("_start")).alias("place"), "question")
+
+
 def as_one_unit(df: DataFrame, title: str, order: str = "seq") -> DataFrame:
     """One unit of all questions in order: for one export file's objects."""
     packed = df.agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), question(df).alias("_q")))).alias("_all"))
@@ -59,3 +84,9 @@ def as_one_unit(df: DataFrame, title: str, order: str = "seq") -> DataFrame:
 
 def total_questions(units: DataFrame) -> DataFrame:
     return units.agg(F.count(F.lit(1)).alias("units"), F.coalesce(F.sum(F.size("questions")), F.lit(0)).alias("questions"))
+
+
+def source_totals(df: DataFrame) -> DataFrame:
+    """``total_questions`` of the units by source, counted without making them."""
+    sizes = _titled(df).groupBy("title").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.count(F.lit(1)).alias("units"), F.coalesce(F.sum("n"), F.lit(0)).alias("questions"))

@@ -48,12 +48,12 @@ def _objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def export_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a question of the export, with its place in its unit."""
-    found = export.by_source(_objects(spark, sf_dir)).select("title", F.posexplode("questions").alias("place", "q"))
+    found = export.question_rows(_objects(spark, sf_dir)).withColumnRenamed("question", "q")
     return found.select("title", F.col("place").cast("long").alias("place"), "q.name", "q.type", "q.time_to_handle", F.size("q.choices").cast("long").alias("n_choices"), F.size(F.filter("q.choices", lambda c: c["is_correct"])).cast("long").alias("n_correct"), F.array_join(F.transform("q.hints", lambda h: F.concat(h["name"], F.lit("="), h["url"])), "|").alias("hints"))
 
 
 def export_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.total_questions(export.by_source(_objects(spark, sf_dir)))
+    return export.source_totals(_objects(spark, sf_dir))
 
 
 def export_single(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,6 +196,28 @@ def test_export(spark):
     assert sorted(made[0]["mc_options"]) == ["a", "x", "y", "z"] and made[0]["mc_options"][made[0]["mc_correct_index"]] == "a" and made[1]["mc_options"] is None
 
 
+def test_export_rows_without_groups(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(rng.integers(0, 400)), None if rng.random() < 0.4 else "" if rng.random() < 0.1 else f"S{rng.integers(0, 5)} - x", f"q{rng.integers(0, 50)}", "a", None) for _ in range(1500)]
+    lo = spark.createDataFrame(rows, "seq long, source_title string, question string, answer string, hint string").repartition(7)
+    packed = export.by_source(lo).select("title", F.posexplode("questions").alias("place", "question"))
+    key = lambda df: sorted((r["title"], r["place"], r["question"]["description"], r["question"]["name"]) for r in df.collect())
+    assert key(export.question_rows(lo)) == key(packed)
+    assert export.question_rows(lo.limit(0)).count() == 0
+    assert export.source_totals(lo).first() == export.total_questions(export.by_source(lo)).first()
+    assert export.source_totals(lo.limit(0)).first()["questions"] == 0
+
+
+def test_kappa_of_many_labels(spark):
+    rng = np.random.default_rng(6)
+    pairs = [(int(a), int(a + rng.integers(0, 12))) for a in rng.integers(0, 60, 300)]
+    long = spark.createDataFrame([(i, m, s) for i, (a, b) in enumerate(pairs) for m, s in (("x", a), ("y", b))], "item long, model string, score long")
+    place = {v: k for k, v in enumerate(sorted({v for p in pairs for v in p}))}
+    placed = [(place[a], place[b]) for a, b in pairs]
+    assert abs(S.cohens_kappa(long).first()["kappa"] - kappa(placed, lambda x, y: x != y)) < 1e-12
+    assert abs(S.cohens_kappa(long, weighted=True).first()["kappa"] - kappa(placed, lambda x, y: (x - y) ** 2)) < 1e-12
+
+
 def test_cycles_and_graphs_without_edges(spark):
     obj = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
     edges = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("c", "b", 2), ("b", "a", None), ("a", "a", 5), ("c", "d", 0)], "src string, dst string, sure int")
