@@ -281,40 +281,57 @@ def _partners(rows: DataFrame, brief: DataFrame, percent: int, nearest: bool) ->
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _forest(block: np.ndarray, part: np.ndarray, name: np.ndarray, items: list[np.ndarray], percent: int) -> tuple[list[int], list[int]]:
+    """(i, j) of a forest of the links across roots in each block; ``items`` are the sets, rising.
+
+    Each row meets those after it that bitmaps leave open, all at once: first one of each component, then two, four and so on
+    of those not yet linked to the row. Bitmaps have two bits an item on average, so they still tell long sets apart.
+    """
+    size = np.array([len(x) for x in items], np.int64)
+    bits = 1 << min(14, max(BITS.bit_length() - 1, int(2 * size.mean()).bit_length()))
+    on = np.zeros((len(items), bits), bool)
+    on[np.repeat(np.arange(len(items)), size), (np.concatenate(items) & np.uint64(bits - 1)).astype(np.int64)] = True
+    maps = list(np.packbits(on, axis=1, bitorder="little").view(np.uint64).T.copy())
+    del on
+    _, root = np.unique(np.stack([block, name]), axis=1, return_inverse=True)
+    root = root.ravel()
+    a: list[int] = []
+    b: list[int] = []
+    for left, right, _ in _open_pairs(block, part, name, size, maps, percent):
+        for rest in np.split(np.arange(len(left)), np.flatnonzero(left[1:] != left[:-1]) + 1):
+            if not len(rest):
+                continue
+            i, rest, most = int(left[rest[0]]), right[rest], 1
+            while len(rest := rest[root[rest] != root[i]]):
+                own = root[rest]
+                order = np.argsort(own, kind="stable")
+                begins = np.flatnonzero(np.concatenate([[True], own[order][1:] != own[order][:-1]]))
+                place = np.arange(len(rest)) - np.repeat(begins, np.diff(np.concatenate([begins, [len(rest)]])))
+                met, rest = rest[order[place < most]], rest[order[place >= most]]
+                found = np.concatenate([items[j] for j in met])
+                at = np.searchsorted(items[i], found)
+                at[at == size[i]] = 0
+                ends = np.cumsum(size[met])
+                shared = np.diff(np.concatenate([[0], np.cumsum(items[i][at] == found)[ends - 1]]))
+                for j in met[(100 + percent) * shared >= percent * (size[i] + size[met])].tolist():
+                    if root[j] != root[i]:
+                        a.append(i)
+                        b.append(j)
+                        root[root == root[j]] = root[i]
+                most *= 2
+    return a, b
+
+
 def _exactly(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): a forest of the links across roots in each block of the groups in ``rows`` (group, digest, root, main, size)."""
 
     def run(batches):
         for table in _whole_blocks(batches, rows=500):
             block, part, name = (table.column(c).to_numpy() for c in ("block", "part", "name"))
-            digests = table.column("digest").to_pylist()
-            items = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
-            size = np.array([len(x) for x in items])
-            on = np.zeros((len(items), BITS), bool)
-            for k, x in enumerate(items):
-                on[k, (x & np.uint64(BITS - 1)).astype(np.int64)] = True
-            maps = list(np.packbits(on, axis=1, bitorder="little").view(np.uint64).T.copy())
-            root = list(range(len(block)))
-
-            def find(i):
-                while root[i] != i:
-                    root[i] = root[root[i]]
-                    i = root[i]
-                return i
-
-            first: dict[tuple[int, int], int] = {}
-            for k, key in enumerate(zip(block.tolist(), name.tolist(), strict=True)):
-                root[k] = first.setdefault(key, k)
-            a, b = [], []
-            for left, right, _ in _open_pairs(block, part, name, size, maps, percent):
-                for i, j in zip(left.tolist(), right.tolist(), strict=True):
-                    x, y = find(i), find(j)
-                    if x != y and _shared(items[i], items[j]) * (100 + percent) >= percent * (len(items[i]) + len(items[j])):
-                        root[max(x, y)] = min(x, y)
-                        a.append(digests[i])
-                        b.append(digests[j])
+            digests = table.column("digest").combine_chunks()
+            a, b = _forest(block, part, name, [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()], percent)
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([digests.take(pa.array(a)), digests.take(pa.array(b))], names=["a", "b"])
 
     met = _dealt(rows, "group").select("block", "digest", "part", "name")
     full = met.join(_few(sets, rows.select("digest").distinct()), "digest").select("block", "part", "name", "digest", "items")
