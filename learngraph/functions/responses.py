@@ -8,8 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-_FENCE = re.compile(r"\A```(?:json)?\s*|\s*```\Z")
-_BAD_ESCAPE = re.compile(r'\\(?!["\\/bfnrtu])')
+from learngraph.functions.text import BAD_ESCAPE, COMMENT, FENCE_CLOSES, FENCE_OPENS, TRAILING_COMMA
+
+_FENCE = re.compile(f"{FENCE_OPENS}|{FENCE_CLOSES}")
+_BAD_ESCAPE = re.compile(BAD_ESCAPE)
 
 
 def bare(text: str | None) -> str:
@@ -29,7 +31,7 @@ def parse(text: str | None):
 
 def tidy(text: str) -> str:
     """Without commas before a closing bracket and // comments."""
-    return re.sub(r"//[^\n]*", "", re.sub(r",\s*([}\]])", r"\1", text))
+    return re.sub(COMMENT, "", re.sub(TRAILING_COMMA, r"\1", text))
 
 
 def recover(text: str | None) -> list:

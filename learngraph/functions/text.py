@@ -23,6 +23,12 @@ OUTSIDE = [
 # Fixed value: what makes a question hold code.
 CODE = r"`|(?:^|[^\p{L}\p{N}_])(?:def|class|import) (?:$|[\p{L}\p{N}_])|<-\s|(?:^|[^\p{L}\p{N}_])print\("
 
+# How a question, and failing it an answer, names what it defines.
+ASKED = [r"what (?:is|are) (?:a |an |the )?([^\n]+?)\??$", r"unique to ([^\n]+?)\??$"]
+TOLD = r"^([^,.]+?)\s+(?:is|are)(?:$|[^\p{L}\p{N}_])"
+# A model's answer inside a code fence, commas before a closing bracket, comments, and backslashes that begin no JSON escape.
+FENCE_OPENS, FENCE_CLOSES = r"\A```(?:json)?\s*", r"\s*```(?![\s\S])"
+TRAILING_COMMA, COMMENT, BAD_ESCAPE = r",\s*([}\]])", r"//[^\n]*", r'\\(?!["\\/bfnrtu])'
 
 _BLANK = " \t\n\r\f\v"
 
@@ -73,7 +79,7 @@ def keywords(text: Column) -> Column:
 def defined_concept(question: Column, answer: Column) -> Column:
     """What a question asks to define: from its own wording, else from the answer's subject; null if neither tells."""
     q, a = F.lower(F.coalesce(question, F.lit(""))), F.lower(F.coalesce(answer, F.lit("")))
-    found = [F.regexp_extract(q, r"what (?:is|are) (?:a |an |the )?([^\n]+?)\??$", 1), F.regexp_extract(q, r"unique to ([^\n]+?)\??$", 1), F.regexp_extract(a, r"^([^,.]+?)\s+(?:is|are)(?:$|[^\p{L}\p{N}_])", 1)]
+    found = [*(F.regexp_extract(q, p, 1) for p in ASKED), F.regexp_extract(a, TOLD, 1)]
     return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in found])
 
 
@@ -156,18 +162,17 @@ def html_paragraph(text: Column) -> Column:
 
 def strip_fences(text: Column) -> Column:
     """A model's answer without the code fence around it."""
-    bare = F.regexp_replace(strip(F.coalesce(text, F.lit(""))), r"\A```(?:json)?\s*", "")
-    return F.regexp_replace(bare, r"\s*```\z", "")
+    return F.regexp_replace(F.regexp_replace(strip(F.coalesce(text, F.lit(""))), FENCE_OPENS, ""), FENCE_CLOSES, "")
 
 
 def tidy_json(text: Column) -> Column:
     """Without commas before a closing bracket and without // comments (in texts too, as the rule has it)."""
-    return F.regexp_replace(F.regexp_replace(text, r",\s*([}\]])", "$1"), r"//[^\n]*", "")
+    return F.regexp_replace(F.regexp_replace(text, TRAILING_COMMA, "$1"), COMMENT, "")
 
 
 def repair_escapes(text: Column) -> Column:
     """Backslashes that begin no JSON escape are doubled."""
-    return F.regexp_replace(text, r'\\(?!["\\/bfnrtu])', r"\\\\")
+    return F.regexp_replace(text, BAD_ESCAPE, r"\\\\")
 
 
 def file_name(path: Column) -> Column:

@@ -94,6 +94,7 @@ def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_sections(docs.select("doc_id", F.concat(header, F.lit("\n--- Page x | Source: a | b ---\nrest")).alias("text")), "doc_id", "text")
 
 
+_NAMED = ", ".join(f"nullif(trim(regexp_extract({c}, '{p}', 1)), '')" for c, p in [*(("q", p) for p in T.ASKED), ("a", T.TOLD)])
 _FOUND = [f"nullif(regexp_extract(question, '(?i){T.LEFT}({p}){T.RIGHT}', 1), '')" for p in T.OUTSIDE]
 
 QUERIES = {
@@ -113,7 +114,7 @@ ORACLES = {
     "unit_projection": f"WITH {UNITS_SQL}, c AS (SELECT *, CASE WHEN type IN ({_IN(UNIT_TYPES)}) THEN type ELSE 'fact' END AS t FROM units) SELECT doc_id, substr(md5(statement), 1, 8) AS id, t AS type, CASE type {' '.join(f"WHEN '{k}' THEN {v}" for k, v in LAYERS.items())} ELSE 3 END::INTEGER AS layer, t IN ({_IN(CHOICE_TYPES)}) AS allows_choices, trim(split_part(source_title, ' - ', 1)) AS prefix, CASE WHEN length(statement) > 400 THEN substr(statement, 1, 400) || '…' ELSE statement END AS statement FROM c",
     "hints": f"WITH {UNITS_SQL}, h AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN statement || '...' WHEN source_page <> 0 THEN regexp_replace(statement || '...', '\\.+$', '') || '. [Source: ' || source_title || ', p. ' || source_page || ']' ELSE regexp_replace(statement || '...', '\\.+$', '') || '. [Source: ' || source_title || ']' END AS hint FROM units) SELECT doc_id, hint, CASE WHEN contains(hint, '[Source:') THEN regexp_replace(trim(split_part(hint, '[Source:', 1), chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)), '\\.+$', '') ELSE trim(hint, chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)) END AS hint_text, CASE WHEN contains(hint, '[Source:') THEN trim(regexp_replace('[Source:' || trim(split_part(hint, '[Source:', 2), chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)), ',\\s*p\\.\\s*\\d+', '', 'g')) END AS hint_source FROM h",
     "external_reference": f"WITH {UNITS_SQL}, r AS (SELECT doc_id, coalesce(CASE WHEN NOT regexp_matches(question, '{T.CODE}') THEN {_FOUND[0]} END, {', '.join(_FOUND[1:])}) AS reason FROM units) SELECT doc_id, reason IS NULL AS self_contained, reason FROM r",
-    "defined_concepts": f"WITH {QA_SQL}, q AS (SELECT conv_id, turn, lower(CASE WHEN conv_id % 2 = 0 THEN 'What is the ' || {_TOK.format('question')}[1] || '?' ELSE question END) q, lower('It is ' || answer) a FROM qa) SELECT conv_id, turn, coalesce(nullif(trim(regexp_extract(q, 'what (?:is|are) (?:a |an |the )?([^\\n]+?)\\??$', 1)), ''), nullif(trim(regexp_extract(q, 'unique to ([^\\n]+?)\\??$', 1)), ''), nullif(trim(regexp_extract(a, '^([^,.]+?)\\s+(?:is|are)(?:$|[^\\p{{L}}\\p{{N}}_])', 1)), '')) AS concept FROM q",
+    "defined_concepts": f"WITH {QA_SQL}, q AS (SELECT conv_id, turn, lower(CASE WHEN conv_id % 2 = 0 THEN 'What is the ' || {_TOK.format('question')}[1] || '?' ELSE question END) q, lower('It is ' || answer) a FROM qa) SELECT conv_id, turn, coalesce({_NAMED}) AS concept FROM q",
     "section_split": """WITH t AS (SELECT doc_id, '--- Page ' || (doc_id % 50) || ' | Source: ' || source || ' ---' || chr(10) || text || chr(10) || '--- Page x | Source: a | b ---' || chr(10) || 'rest' AS text FROM documents),
       p AS (SELECT doc_id, unnest(string_split(text, '--- Page')) AS part, generate_subscripts(string_split(text, '--- Page'), 1) AS i FROM t),
       c AS (SELECT doc_id, i, trim(part, chr(32) || chr(9) || chr(10) || chr(13)) AS part FROM p),

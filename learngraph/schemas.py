@@ -22,8 +22,9 @@ PREPOSITIONS = (
 CONJUNCTIONS = "and or but nor so yet if then else than because while whereas although though unless whether"
 AUXILIARIES = "am is are was were be been being do does did doing done have has had having can could may might must shall should will would ought cannot"
 ADVERBS = "not only just very too also again once here there where when why how now ever never always often more most less least much many few several own same other quite rather almost even still already"
-# Contractions fall into two tokens at the apostrophe: an auxiliary with the n of "not", and what stands behind it.
-CONTRACTIONS = "don doesn didn isn aren wasn weren hasn haven hadn couldn mightn mustn shouldn wouldn needn won shan ain d ll m re s t ve"
+# Contractions fall into two tokens at the apostrophe: an auxiliary with the n of "not" (three change before it), and what stands behind it.
+NEGATED = "is are was were has have had do does did could might must should would need"
+CONTRACTIONS = " ".join([*(w + "n" for w in NEGATED.split()), "ain shan won", "d ll m re s t ve"])
 STOPWORDS = tuple(sorted(set(" ".join((ARTICLES, PRONOUNS, PREPOSITIONS, CONJUNCTIONS, AUXILIARIES, ADVERBS, CONTRACTIONS)).split())))
 
 SECTION = "seq BIGINT, page INT, source STRING, content STRING"
