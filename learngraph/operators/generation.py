@@ -244,6 +244,13 @@ def enrich(objects: DataFrame, client, **how) -> DataFrame:
     return found.withColumns({c: F.coalesce(F.col(c), F.lit(d)) for c, d in DEFAULTS.items()}).drop("answered")
 
 
+def _titled(text: str) -> str:
+    """Each run of letters, or of other characters, with its first one large and the rest small, one for one (``str.title`` makes two of some)."""
+    upper = lambda c: c.upper() if len(c.upper()) == 1 else "\u1e9e" if c == "\u00df" else c.title() if len(c.title()) == 1 else c
+    lower = lambda c: c.lower() if len(c.lower()) == 1 else c.lower()[0]
+    return "".join((lower if k and text[k - 1].isalpha() == c.isalpha() else upper)(c) for k, c in enumerate(text))
+
+
 def stub_client() -> Callable[[list[dict], str | None, float], str]:
     """A deterministic client: its answers follow from the items alone."""
 
@@ -261,7 +268,7 @@ def stub_client() -> Callable[[list[dict], str | None, float], str]:
                 "distract": {"distractors": [f"{w} not" for w in (words * 3)[:3 + weight % 2]]},
                 "verify": {"is_prerequisite": weight > 1, "confidence": ["high", "medium", "low"][weight % 3]},
                 "evaluate": {"faithfulness": 1 + weight, "question_clarity": 4, "hint_quality": 1 + weight % 4, "distractor_plausibility": 3, "atomic": "no" if weight == 0 else "yes", "self_contained": "yes"},
-                "enrich": {"generated_name": " ".join(words[:3]).title(), "time_to_handle": 30 + weight, "time_to_explain": 20},
+                "enrich": {"generated_name": _titled(" ".join(words[:3])), "time_to_handle": 30 + weight, "time_to_explain": 20},
                 "merge": {"type": "fact", "statement": " ".join(words[:20])},
             }[task]
             out.append({"index": x["index"], **made})
