@@ -12,12 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from learngraph.operators.blocks import unit_rows, whole_blocks
-from learngraph.shared import written
+from learngraph.shared import new_path, written
 
 BLOCK = 4096  # rows of one side of a block
 MOST_PIVOTS = 1024
 SLACK = 1e-6  # of angles, for the rounding of cosines
 TILE = 1024  # rows and columns of a product
+MATCHED = 1 << 21  # pairs of a range of a greedy matching
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -233,15 +234,40 @@ def greedy_keep(ids: DataFrame, pairs: DataFrame, id_col: str = "vec_id") -> Dat
 def greedy_matching(pairs: DataFrame) -> DataFrame:
     """Pairs (a < b) that a pass in ascending order takes: each a, unless taken, with the first b that isn't.
 
-    In rounds: a pair that comes first among those of either end is taken, and the pairs of its ends go.
+    The order is what makes the result, and waiting for it in rounds takes as many as the longest chain of pairs that exclude one another. So
+    pairs are dealt into ranges of a of about ``MATCHED`` pairs; range by range, those with an end that was taken go in a join, and one task
+    passes over what is left, in order, holding the ids it took.
     """
-    open_ = written(pairs.select("a", "b").distinct(), "open")
-    taken = None
-    while not open_.isEmpty():
-        ends = open_.select(F.col("a").alias("id"), "a", "b").unionByName(open_.select(F.col("b").alias("id"), "a", "b"))
-        first = ends.groupBy("id").agg(F.min(F.struct("a", "b")).alias("f")).select("id", "f.a", "f.b")
-        now = first.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("a", "b")
-        taken = written(now if taken is None else taken.unionByName(now), "taken")
-        gone = taken.select(F.col("a").alias("id")).unionByName(taken.select(F.col("b").alias("id")))
-        open_ = written(open_.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti"), "open")
-    return taken if taken is not None else open_
+    spark, kind = pairs.sparkSession, dict(pairs.dtypes)["a"]
+    held = written(pairs.select("a", "b").distinct(), "pairs")
+    ranges = math.ceil(held.count() / MATCHED)
+    if ranges <= 1:
+        return written(_passed(held), "taken")
+    path = new_path(spark, "ranges")
+    held.repartitionByRange(ranges, "a").withColumn("range", F.spark_partition_id()).write.partitionBy("range").parquet(path)
+    dealt, taken = spark.read.schema(f"a {kind}, b {kind}, range int").parquet(path), []
+    for k in range(ranges):
+        open_ = dealt.where(F.col("range") == k).select("a", "b")
+        if taken:
+            gone = spark.read.schema(held.schema).parquet(*taken).select(F.explode(F.array("a", "b")).alias("id"))
+            open_ = open_.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b")
+        taken.append(new_path(spark, "taken"))
+        _passed(open_).write.parquet(taken[-1])
+    return spark.read.schema(held.schema).parquet(*taken)
+
+
+def _passed(pairs: DataFrame) -> DataFrame:
+    """The (a, b) that one pass in order takes, in one task."""
+
+    def run(batches):
+        gone = set()
+        for batch in batches:
+            at = []
+            for k, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if a not in gone and b not in gone:
+                    gone.update((a, b))
+                    at.append(k)
+            if at:
+                yield batch.take(pa.array(at))
+
+    return pairs.repartition(1).sortWithinPartitions("a", "b").mapInArrow(run, pairs.schema)
