@@ -83,15 +83,15 @@ def anchors(objects: DataFrame, centrality: DataFrame, id_col: str = "id") -> Da
     return best.select(id_col, F.col("best.k").alias("anchor"), (-F.col("best.c")).alias("centrality"))
 
 
-def layered_edges(objects: DataFrame, keywords: DataFrame, least_cosine: float = 0.6) -> DataFrame:
-    """Candidate prerequisite edges src -> dst between objects (id, layer, centrality, vector).
+def layered_edges(objects: DataFrame, keywords: DataFrame, least_cosine: float = 0.6, vectors: DataFrame | None = None) -> DataFrame:
+    """Candidate prerequisite edges src -> dst between objects (id, layer, centrality, vector; or ref, which names one of ``vectors``).
 
     Across layers, from the lower, for two shared keywords; inside a layer, from the higher centrality, for one
     and a cosine of ``least_cosine``. (layer up, centrality down) rises along every edge, so
     with unique ids there is no cycle.
     """
-    held = written(objects.select("id", "layer", "centrality", "vector"), "objects")
-    return overlap.directed(written(overlap.layered_pairs(held, keywords, least_cosine), "object-pairs"), held)
+    held = written(objects.select("id", "layer", "centrality", "vector" if vectors is None else "ref"), "objects")
+    return overlap.directed(written(overlap.layered_pairs(held, keywords, least_cosine, vectors=vectors), "object-pairs"), held)
 
 
 def without_cycles(edges: DataFrame, confidence: str | None = None) -> DataFrame:

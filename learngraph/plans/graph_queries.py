@@ -66,17 +66,21 @@ def anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "anchor", F.round("centrality", 6).alias("centrality"))
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ref"), F.col("embedding").alias("vector"))
+
+
 def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders: layer by priority, centrality of their anchor and a vector of the embeddings."""
+    """Orders: layer by priority, centrality of their anchor and which vector of the embeddings is theirs."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.substring("o_orderpriority", 1, 1).cast("int").alias("layer"))
-    count = table(spark, sf_dir, "embeddings").agg((F.max("vec_id") + 1).alias("n"))
-    placed = orders.crossJoin(F.broadcast(count)).withColumn("vec_id", F.col("id") % F.col("n")).drop("n")  # one row
-    known = placed.join(anchor(spark, sf_dir), "id").join(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector")), "vec_id")
-    return known.select("id", "layer", "centrality", "vector")
+    count = table(spark, sf_dir, "embeddings").agg((F.max("vec_id") + 1).alias("n"))  # one row
+    placed = orders.crossJoin(F.broadcast(count)).withColumn("ref", F.col("id") % F.col("n")).drop("n")
+    known = placed.join(vectors(spark, sf_dir).select("ref"), "ref", "left_semi").join(anchor(spark, sf_dir), "id")
+    return known.select("id", "layer", "centrality", "ref")
 
 
 def layered_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.layered_edges(objects(spark, sf_dir), _keywords(spark, sf_dir), COSINE)
+    return graph.layered_edges(objects(spark, sf_dir), _keywords(spark, sf_dir), COSINE, vectors(spark, sf_dir))
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

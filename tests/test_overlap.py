@@ -75,3 +75,19 @@ def test_common_of_short_and_long_sets():
         n, least = blocks.common(np.concatenate(sets), at, i, j)
         want = [set(sets[a].tolist()) & set(sets[b].tolist()) for a, b in zip(i, j, strict=True)]
         assert n.tolist() == [len(w) for w in want] and least.tolist() == [min(w, default=np.iinfo(np.int64).max) for w in want]
+
+
+def test_layered_pairs_of_shared_vectors_near_the_least_cosine(spark):
+    """Vectors that objects name, some at the least cosine but for less than a byte's step, some of other lengths: what travels is the name and a byte a component."""
+    turn = [0.3 + d for d in (-1e-2, -1e-4, -1e-7, 1e-7, 1e-4, 1e-2)]
+    vectors = [("z", [1.0, 0.0, 0.0]), *((f"v{k}", [c, float(np.sqrt(1 - c * c)), 0.0]) for k, c in enumerate(turn)), ("short", [1.0, 0.0]), ("none", None), ("zero", [0.0, 0.0, 0.0])]
+    objects = [(k, 1, ref) for k, (ref, _) in enumerate(vectors)] + [(50, 1, "z"), (51, 1, "unknown"), (52, 2, None)]
+    o, v = spark.createDataFrame(objects, "id long, layer int, ref string"), spark.createDataFrame(vectors, "ref string, vector array<double>")
+    k = spark.createDataFrame([(i, w) for i, _, _ in objects for w in (["hot", "warm"] if i in (0, 52) else ["hot"])], "id long, keyword string")
+    got = {tuple(r) for r in overlap.layered_pairs(o, k, 0.3, vectors=v).collect()}
+    full = dict(vectors)
+    plainly = [(i, layer, full.get(ref)) for i, layer, ref in objects]
+    cosine = lambda x, y: 0.0 if x is None or y is None or len(x) != len(y) or not any(x) or not any(y) else float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y))
+    want = {(a, b, False) for a, la, x in plainly for b, lb, y in plainly if a < b and la == lb and cosine(x, y) >= 0.3}
+    assert got == want | {(0, 52, True)}
+    assert {tuple(r) for r in overlap.layered_pairs(o, k, -1.0, vectors=v).where("NOT across").collect()} == {(a, b, False) for a, la, _ in plainly for b, lb, _ in plainly if a < b and la == lb}
