@@ -6,11 +6,11 @@ SIDE^2 tables; at similarity 0.8 a pair shares no table with probability 6e-4, a
 expanded only where a first key is shared, which leaves out texts like no other.
 
 Texts of equal shingle sets are one class, named by a 128-bit digest, and only classes are
-compared. Buckets of the same classes count once. In each bucket every class is compared to the least one: rows in
+compared. Buckets of the same classes count once, and those of one least class are met as one where that is no more work. In each bucket every class is compared to the least one: rows in
 proportion to the bucket's size. Components of confirmed links follow. Buckets whose classes
 then lie in more than one component may hide links that miss the least class. Their pairs across
 components are met inside tasks, in blocks, by sizes and set bitmaps that rule out no link; what leaves a
-block is one row a class, first its most promising partner (confirmed, most groups are whole after
+block is one row a class (a class is in 16 blocks of a group at most, until blocks reach a size that memory sets), first its most promising partner (confirmed, most groups are whole after
 that), then, where components still face each other, its group of classes that bitmaps leave open. Such a
 group's full sets are compared exactly, again in blocks, and what leaves a block is a forest of links.
 So no pairs of a group are ever rows, nothing is capped and a bucket or group of any size is met in full.
@@ -40,7 +40,9 @@ from learngraph.llm.shingles import digest, minima, mix, shingle_sets
 from learngraph.operators.components import components, labels
 
 SIDE, TIE = 8, 2
-BLOCK, BLOCK_ITEMS = 512, 400_000  # classes, and items of their sets, of one side of a block at most on average
+BLOCK, BLOCK_ITEMS = 512, 400_000  # classes, and items of their sets, of one side of a block on average
+CHUNKS = 8  # of a side of a group; from there on blocks grow with the group instead
+MOST, MOST_ITEMS = 65_536, 4_000_000  # classes, and items where sets travel, of one side of a block at most on average
 PAIRS = 200_000  # looked at at once
 BITS = 512  # of a set's bitmap
 _MAPS = [f"m{k}" for k in range(BITS // 64)]
@@ -183,18 +185,34 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, brief: DataFrame, percent: int
     return written(counted.where(F.expr(f"100 * c >= {percent} * (na + nb - c)")).select("a", "b"), "links")
 
 
-def _dealt(rows: DataFrame, group: str) -> DataFrame:
-    """The rows of groups with more than one root, with the ``block`` in which each is met and its ``part`` there.
+def _merged(buckets: DataFrame) -> DataFrame:
+    """bucket, digest, least of all but the least classes, where buckets of one least class are one if its pairs are at most twice those of the buckets.
+
+    Near copies share most of their tables, so the same classes, with the same least one, stand in dozens of buckets.
+    """
+    each = buckets.where(F.col("digest") == F.col("least")).groupBy("least").agg(F.count(F.lit(1)).alias("k"), F.sum(F.pow("n", F.lit(2))).alias("apart")).where("k > 1")
+    met = written(buckets.where(F.col("digest") != F.col("least")).select("least", "digest", "bucket"), "bucket-rows")
+    sizes = met.select("least", "digest").distinct().groupBy("least").agg(F.count(F.lit(1)).alias("u"))
+    joint = written(each.join(sizes, "least").where("pow(u + 1, 2) <= 2 * apart").select("least", F.lit(True).alias("joint")), "joint")
+    bucket = F.when(F.col("joint"), F.xxhash64("least")).otherwise(F.col("bucket"))
+    return written(met.join(joint, "least", "left").select(bucket.alias("bucket"), "digest", "least").distinct(), "merged-buckets")
+
+
+def _dealt(rows: DataFrame, group: str, *, items: bool) -> DataFrame:
+    """The rows of groups with more than one root, with the ``block`` in which each is met and its ``part`` there. ``items``: sets will travel with the rows.
 
     ``rows`` have group, digest, root, main (the root is that of the group's least class) and size. Where a
     group is more than a block, both its main and its other classes are dealt in chunks, and each pair of chunks is a block
-    but for pairs of main chunks, which have one root. In a block of several parts only pairs across parts are open.
+    but for pairs of main chunks, which have one root. In a block of several parts only pairs across parts are open. There are ``CHUNKS`` chunks
+    of a kind at most, so rows grow with the group and not its square, until chunks hold ``MOST`` rows.
     """
     other = F.col("main").cast("int") == 0
     sums = [F.count_if(other).alias("others"), F.count_if("main").alias("mains"), F.sum(F.when(other, F.col("size")).otherwise(0)).alias("other_items"), F.sum(F.when(other, 0).otherwise(F.col("size"))).alias("main_items")]
     sizes = rows.groupBy(group).agg(*sums).where("others > 0")
-    chunks = lambda n, items: F.expr(f"cast(greatest(ceil({n} / {BLOCK}), ceil({items} / {BLOCK_ITEMS})) as int)")
-    sizes = sizes.select(group, chunks("others", "other_items").alias("o"), chunks("mains", "main_items").alias("m"), F.expr(f"others + mains <= {BLOCK} AND other_items + main_items <= {BLOCK_ITEMS}").alias("whole"))
+    over = lambda n, size, rows, most: f"ceil({n} / {rows})" if not items else f"greatest(ceil({n} / {rows}), ceil({size} / {most}))"
+    chunks = lambda n, size: F.expr(f"cast(greatest(least({over(n, size, BLOCK, BLOCK_ITEMS)}, {CHUNKS}), {over(n, size, MOST, MOST_ITEMS)}) as int)")
+    whole = F.expr(f"others + mains <= {BLOCK}" + (f" AND other_items + main_items <= {BLOCK_ITEMS}" if items else ""))
+    sizes = sizes.select(group, chunks("others", "other_items").alias("o"), chunks("mains", "main_items").alias("m"), whole.alias("whole"))
     held = rows.join(written(sizes, "block-sizes"), group).withColumn("chunk", F.pmod(F.xxhash64("digest"), F.when(F.col("main"), F.col("m")).otherwise(F.col("o"))).cast("int"))
     places = F.expr("""CASE WHEN whole THEN array(struct(0 AS kind, 0 AS x, 0 AS y))
         WHEN main THEN transform(sequence(0, o - 1), k -> struct(2 AS kind, chunk AS x, k AS y))
@@ -230,11 +248,12 @@ def _open_pairs(block: np.ndarray, part: np.ndarray, name: np.ndarray, size: np.
     end = np.repeat(edge[1:], np.diff(edge))
     several = np.repeat(np.maximum.reduceat(part, edge[:-1]) != np.minimum.reduceat(part, edge[:-1]), np.diff(edge))
     after = end - np.arange(len(block)) - 1
+    total = np.concatenate([[0], np.cumsum(after)])
     a = 0
     while a < len(block):
-        b = max(a + 1, int(np.searchsorted(np.cumsum(after[a:]), PAIRS, side="right")) + a)
+        b = max(a + 1, int(np.searchsorted(total, total[a] + PAIRS, side="right")) - 1)
         i = np.repeat(np.arange(a, b), after[a:b])
-        j = np.arange(len(i)) - np.repeat(np.cumsum(after[a:b]) - after[a:b], after[a:b]) + i + 1
+        j = np.arange(len(i)) - np.repeat(total[a:b] - total[a], after[a:b]) + i + 1
         a = b
         open_ones = (name[i] != name[j]) & (~several[i] | (part[i] != part[j])) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
         i, j = i[open_ones], j[open_ones]
@@ -249,6 +268,14 @@ def _open_pairs(block: np.ndarray, part: np.ndarray, name: np.ndarray, size: np.
         yield i[fits], j[fits], shared[fits]
 
 
+def _folded(label: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Each row's least row by its label and the pairs."""
+    if not pairs:
+        return label
+    i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    return labels(len(label), np.concatenate([i, np.arange(len(label))]), np.concatenate([j, label]))
+
+
 def _partners(rows: DataFrame, brief: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """(a, b), one row a class and block at most. ``nearest``: an open pair, the one that may share most; else b stands for all that open pairs lead to in the block."""
     columns = ["digest", "part", "name", "size", *_MAPS]
@@ -259,6 +286,7 @@ def _partners(rows: DataFrame, brief: DataFrame, percent: int, nearest: bool) ->
             maps = [table.column(m).to_numpy().view(np.uint64) for m in _MAPS]
             digests = table.column("digest").combine_chunks()
             label, best, most = np.arange(len(block)), np.full(len(block), -1), np.zeros(len(block))
+            joined: list[tuple[np.ndarray, np.ndarray]] = []  # open pairs, folded into the labels when they outnumber the rows
             for i, j, shared in _open_pairs(block, part, name, size, maps, percent):
                 if nearest:
                     close = shared / (size[i] + size[j] - shared)
@@ -269,14 +297,17 @@ def _partners(rows: DataFrame, brief: DataFrame, percent: int, nearest: bool) ->
                     top = top[z[top] > most[x[top]]]
                     best[x[top]], most[x[top]] = y[top], z[top]
                 elif len(i):
-                    joined = labels(len(block), np.concatenate([i, np.arange(len(block))]), np.concatenate([j, label]))
-                    label = joined
+                    joined.append((i, j))
+                    if sum(len(x) for x, _ in joined) > max(PAIRS, len(block)):
+                        label = _folded(label, joined)
+                        joined = []
+            label = _folded(label, joined)
             to = best if nearest else np.where(label == np.arange(len(block)), -1, label)
             at = np.flatnonzero(to >= 0)
             if len(at):
                 yield pa.RecordBatch.from_arrays([digests.take(pa.array(at)), digests.take(pa.array(to[at]))], names=["a", "b"])
 
-    met = _dealt(rows.join(brief, "digest"), "bucket").select("block", *columns)
+    met = _dealt(rows.join(brief, "digest"), "bucket", items=False).select("block", *columns)
     found = met.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a binary, b binary")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -333,7 +364,7 @@ def _exactly(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if a:
                 yield pa.RecordBatch.from_arrays([digests.take(pa.array(a)), digests.take(pa.array(b))], names=["a", "b"])
 
-    met = _dealt(rows, "group").select("block", "digest", "part", "name")
+    met = _dealt(rows, "group", items=True).select("block", "digest", "part", "name")
     full = met.join(_few(sets, rows.select("digest").distinct()), "digest").select("block", "part", "name", "digest", "items")
     return full.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a binary, b binary").distinct()
 
@@ -360,7 +391,7 @@ def link(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "d
     brief = written(sets.drop("items").dropDuplicates(["digest"]), "set-bitmaps")
     stars = buckets.where(F.col("digest") != F.col("least")).select(F.col("least").alias("a"), F.col("digest").alias("b")).distinct()
     links = _confirmed(stars, sets, brief, percent)
-    rest = buckets.where("n > 2").where(F.col("digest") != F.col("least"))  # the least class has met all
+    rest = _merged(buckets.where("n > 2"))  # without the least class, which has met all
     tied = links.select(F.col("a").alias("least"), F.col("b").alias("digest"), F.lit(True).alias("main"))
     tied = rest.join(tied, ["least", "digest"], "left").withColumn("main", F.coalesce("main", F.lit(False)))
     tied = tied.select("bucket", "digest", F.when(F.col("main"), F.col("least")).otherwise(F.col("digest")).alias("root"), "main")
