@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from learngraph.operators import components as stars
 from learngraph.operators import cycles, overlap, paths
-from learngraph.shared import written
+from learngraph.shared import enough_partitions, written
 
 
 def cooccurrence_edges(incidence: DataFrame, unit: str, concept: str) -> DataFrame:
@@ -126,9 +126,15 @@ def prerequisites(objects: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def defines_edges(objects: DataFrame, keywords: DataFrame) -> DataFrame:
-    """src -> dst where dst has the concept that src defines among its keywords."""
-    defining = objects.where("defines IS NOT NULL AND defines != ''").select(F.col("id").alias("src"), F.col("defines").alias("keyword"))
-    return defining.join(keywords.select(F.col("id").alias("dst"), "keyword").distinct(), "keyword").where("src != dst").select("src", "dst").distinct()
+    """src -> dst where dst has the concept that src defines among its keywords.
+
+    Only edges of objects with several concepts can come twice, so only those are looked through for it.
+    """
+    enough_partitions(keywords)
+    defining = objects.where("defines IS NOT NULL AND defines != ''").groupBy(F.col("id").alias("src")).agg(F.collect_set("defines").alias("k"))
+    having = keywords.select(F.col("id").alias("dst"), "keyword").distinct()
+    met = lambda some: defining.where(some).select("src", F.explode("k").alias("keyword")).join(having, "keyword").where("src != dst").select("src", "dst")
+    return met("size(k) = 1").unionByName(met("size(k) > 1").distinct())
 
 
 def in_out_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
