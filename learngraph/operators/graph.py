@@ -15,13 +15,16 @@ def cooccurrence_edges(incidence: DataFrame, unit: str, concept: str) -> DataFra
 
     ``incidence`` has one row per (unit, concept); repeated rows and nulls count for nothing.
     The pairs are made inside each unit's own sorted array, so the only shuffles are the one on
-    the unit and the one on the pair, the latter after map-side partial counts.
+    the unit and the one on the pair, the latter after map-side partial counts. Tables of many rows are dealt into as many
+    partitions as their rows ask for, which adaptive execution does not put together again, and without the partial counts: pairs that come once fill memory there.
     """
+    many = enough_partitions(incidence)
+    dealt = lambda rows, *keys: rows.repartition(many, *keys) if many else rows
     clean = incidence.where(F.col(unit).isNotNull() & F.col(concept).isNotNull())
-    sets = clean.groupBy(F.col(unit).alias("_u")).agg(F.array_sort(F.collect_set(concept)).alias("_c"))
+    sets = dealt(clean, unit).groupBy(F.col(unit).alias("_u")).agg(F.array_sort(F.collect_set(concept)).alias("_c"))
     firsts = sets.where(F.size("_c") > 1).select("_c", F.posexplode("_c").alias("_i", "src"))
     pairs = firsts.select("src", F.explode(F.expr("slice(_c, _i + 2, size(_c))")).alias("dst"))
-    return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
+    return dealt(pairs, "src", "dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
 
 
 def vertices(incidence: DataFrame, concept: str) -> DataFrame:

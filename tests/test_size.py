@@ -22,6 +22,18 @@ def plan(df, which="optimizedPlan"):
     return getattr(df._jdf.queryExecution(), which)().toString()
 
 
+def test_edges_of_many_rows_are_dealt_by_their_number(spark, few_rows):
+    rows = [(u, (u * 7 + k * 3) % 50) for u in range(60) for k in range(4)]
+    found = graph.cooccurrence_edges(spark.createDataFrame(rows, "u long, c long"), "u", "c")
+    want = {}
+    for u in range(60):
+        for pair in combinations(sorted({c for v, c in rows if v == u}), 2):
+            want[pair] = want.get(pair, 0) + 1
+    assert {(r["src"], r["dst"]): r["weight"] for r in found.collect()} == want
+    assert found.rdd.getNumPartitions() == 12  # 240 rows, 20 a partition
+    assert graph.cooccurrence_edges(spark.createDataFrame(rows[:8], "u long, c long"), "u", "c").count() and spark.conf.get("spark.sql.shuffle.partitions") == "12"
+
+
 def test_defined_edges_without_a_distinct_over_all(spark):
     objects = [(1, "a"), (1, "a"), (2, "b"), (3, "a"), (3, "b"), (4, ""), (5, None), (6, "c")]
     keywords = [(1, "a"), (2, "a"), (2, "a"), (3, "a"), (3, "b"), (7, "a"), (7, "b"), (6, "d")]
