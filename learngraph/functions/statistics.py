@@ -136,6 +136,7 @@ def wilcoxon(ratings: DataFrame) -> DataFrame:
     """
     gaps = rater_pairs(ratings).select("m1", "m2", (F.col("a") - F.col("b")).alias("d"), "n")
     sized = gaps.groupBy("m1", "m2", F.abs("d").alias("size")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("n")).otherwise(0)).alias("up"))
+    sized = written(sized, "gaps")
     equal = sized.where("size = 0").select("m1", "m2", F.lit(True).alias("equal"))
     ranked = _average_ranks(sized.where("size != 0"), ["m1", "m2"], "size")
     sums = ranked.groupBy("m1", "m2").agg(F.sum("n").alias("n"), F.sum(F.col("r") * F.col("up")).alias("plus"), F.sum(F.col("r") * (F.col("n") - F.col("up"))).alias("minus"), F.sum(F.pow("n", 3) - F.col("n")).alias("ties"))

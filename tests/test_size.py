@@ -41,3 +41,8 @@ def test_defined_edges_without_a_distinct_over_all(spark):
     want = {(i, j) for i, k in objects if k for j, x in keywords if x == k and i != j}
     assert sorted((r["src"], r["dst"]) for r in found.collect()) == sorted(want)
     assert plan(found).startswith("Union")
+
+
+def test_raters_meet_once_for_signed_ranks(spark):
+    ratings = spark.createDataFrame([(i, m, (i * k) % 5) for i in range(30) for k, m in enumerate("abc", 1)], "item long, model string, score long")
+    assert "Generate" not in plan(S.wilcoxon(ratings))
