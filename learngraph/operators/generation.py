@@ -203,11 +203,14 @@ def filter_and_regenerate(objects: DataFrame, units: DataFrame, models: list[str
         losers = held.join(failed, "id", "left_semi")
         matched = losers.select(F.col("source_statement").alias("statement")).distinct()
         again = generate_objects(sources.join(matched, "statement", "left_semi"), client)
+        again = again if "statement" in held.columns else again.drop("statement")  # source_statement says the same
         again = written(add_choices(again, client), "again").withColumns({"evaluated": F.lit(False), "regen_status": F.lit("regenerated")})
-        kept = held.join(failed, "id", "left_anti")
-        unmatched = losers.join(again.select("id"), "id", "left_anti").withColumn("regen_status", F.lit("unmatched"))
         fresh = again.join(failed, "id", "left_semi")
-        held = written(kept.unionByName(unmatched, allowMissingColumns=True).unionByName(fresh, allowMissingColumns=True).select(held.columns), "objects")
+        unmatched = failed.join(again.select("id"), "id", "left_anti").withColumn("_unmatched", F.lit(True))
+        kept = held.join(fresh.select("id"), "id", "left_anti").join(unmatched, "id", "left")
+        kept = kept.withColumn("regen_status", F.when(F.col("_unmatched"), "unmatched").otherwise(F.col("regen_status")))
+        # Not written: what is written are the objects at first, and each round's failures and new ones.
+        held = kept.drop("_unmatched").unionByName(fresh, allowMissingColumns=True).select(held.columns)
         todo = quality.to_evaluate_again(held, fresh, "id")
     return held, scores
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def latest(evaluations: DataFrame, accumulate: bool = False) -> DataFrame:
@@ -59,7 +58,6 @@ def last_by_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def batches(rows: DataFrame, size: int, order: str) -> DataFrame:
     """batch and pos of rows dealt into batches of ``size`` in order, inside each partition of a range of the order (batches don't cross ranges)."""
-    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
-    numbered = ranged.withColumn("_row", inside)
-    return numbered.withColumns({"batch": F.concat_ws("-", "_part", F.floor(F.col("_row") / size)), "pos": (F.col("_row") % size).cast("int")}).drop("_part", "_row")
+    place = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_place", F.monotonically_increasing_id())  # the partition, then 33 bits of the row in it
+    numbered = place.withColumns({"_part": F.shiftright("_place", 33), "_row": F.col("_place").bitwiseAND((1 << 33) - 1)})
+    return numbered.withColumns({"batch": F.concat_ws("-", "_part", F.floor(F.col("_row") / size)), "pos": (F.col("_row") % size).cast("int")}).drop("_place", "_part", "_row")

@@ -46,3 +46,24 @@ def test_defined_edges_without_a_distinct_over_all(spark):
 def test_raters_meet_once_for_signed_ranks(spark):
     ratings = spark.createDataFrame([(i, m, (i * k) % 5) for i in range(30) for k, m in enumerate("abc", 1)], "item long, model string, score long")
     assert "Generate" not in plan(S.wilcoxon(ratings))
+
+
+def test_batches_take_one_shuffle(spark):
+    dealt = quality.batches(spark.range(100).select((99 - F.col("id")).alias("seq")), 8, "seq")
+    assert plan(dealt, "executedPlan").count("Exchange") == 1
+    rows = sorted(dealt.collect(), key=lambda r: r["seq"])
+    for x, y in zip(rows, rows[1:], strict=False):
+        assert (y["batch"] == x["batch"] and y["pos"] == x["pos"] + 1) or (y["pos"] == 0 and y["batch"] != x["batch"])
+    assert max(r["pos"] for r in rows) == 7
+
+
+def test_regeneration_writes_no_object_twice(spark, monkeypatch):
+    from learngraph.operators import generation as G
+
+    names, write = [], G.written
+    monkeypatch.setattr(G, "written", lambda df, name: names.append(name) or write(df, name))
+    units = spark.createDataFrame([(k, "fact", f"unit number {k} of several words", "t", 1) for k in range(12)], "seq long, type string, statement string, source_title string, source_page int")
+    objects = G.add_choices(G.generate_objects(units, G.stub_client).drop("statement"), G.stub_client)
+    held, _ = G.filter_and_regenerate(objects, units, ["stub/a", "stub/b"], G.stub_client)
+    assert sorted(r["seq"] for r in held.collect()) == list(range(12)) and "statement" not in held.columns
+    assert names.count("objects") == 1 and "again" in names
