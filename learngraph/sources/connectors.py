@@ -14,9 +14,10 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 # Providers in order of precedence and the variables that name their keys and models.
 PROVIDERS = (
@@ -171,14 +172,36 @@ def hashing_embedder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
     return embed
 
 
-def embed(df: DataFrame, text_col: str, out_col: str = "vector", model: Callable[[], Callable[[list[str]], np.ndarray]] = hashing_embedder) -> DataFrame:
-    """``df`` with the embedding of a text column as array<float>; the model is made once per partition, null texts embed as empty."""
+TEXTS, TEXT_BYTES = 256, 1 << 20  # that a worker makes Python strings of at once
+
+
+def embed_texts(df: DataFrame, texts: Mapping[str, str], model: Callable[[], Callable[[list[str]], np.ndarray]] = hashing_embedder) -> DataFrame:
+    """``df`` with embeddings (array<float>) of text columns, given as {new column: text column}, all by one worker a task. The model is made once per partition, null texts embed as empty.
+
+    A worker holds the batch that comes and, of it, the strings and vectors of at most ``TEXTS`` rows, of fewer where texts are long (``TEXT_BYTES`` by the batch's average).
+    """
     from collections.abc import Iterator
 
-    def run(parts):
+    outs = list(texts)
+
+    def run(batches):
         encode = model()
-        for s in parts:
-            yield pd.Series(list(encode([t or "" for t in s])))
+        for batch in batches:
+            rows = max(1, min(TEXTS, len(batch) * TEXT_BYTES // max(1, batch.nbytes)))
+            for at in range(0, len(batch), rows):
+                part = batch.slice(at, rows)
+                yield pa.StructArray.from_arrays([as_lists(encode([t or "" for t in part.field(k).to_pylist()])) for k in range(len(outs))], names=outs)
+
+    def as_lists(vectors) -> pa.ListArray:
+        found = np.asarray(vectors, np.float32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * found.shape[1]), pa.array(found.ravel()))
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    kind = StructType([StructField(out, ArrayType(FloatType())) for out in outs])
+    made = F.arrow_udf(run, kind)(F.struct(*[F.col(c).alias(f"t{k}") for k, c in enumerate(texts.values())]))
+    return df.withColumns({out: made.getField(out) for out in outs})
 
-    run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return df.withColumn(out_col, F.pandas_udf(run, "array<float>")(F.col(text_col)))
+
+def embed(df: DataFrame, text_col: str, out_col: str = "vector", model: Callable[[], Callable[[list[str]], np.ndarray]] = hashing_embedder) -> DataFrame:
+    """``df`` with the embedding of one text column (``embed_texts``)."""
+    return embed_texts(df, {out_col: text_col}, model)

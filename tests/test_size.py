@@ -67,3 +67,33 @@ def test_regeneration_writes_no_object_twice(spark, monkeypatch):
     held, _ = G.filter_and_regenerate(objects, units, ["stub/a", "stub/b"], G.stub_client)
     assert sorted(r["seq"] for r in held.collect()) == list(range(12)) and "statement" not in held.columns
     assert names.count("objects") == 1 and "again" in names
+
+
+def test_question_and_answer_are_embedded_by_one_worker(spark):
+    from learngraph.plans.bindings import question_answers
+    from learngraph.plans.vector_queries import semantic_similarity
+    from learngraph.sources.connectors import hashing_embedder
+
+    sf = "/root/testdata/sf0.001"
+    found = semantic_similarity(spark, sf)
+    assert plan(found).count("ArrowEvalPython") == 1
+    embed, got = hashing_embedder(), {(r["conv_id"], r["turn"]): r["semantic_similarity"] for r in found.collect()}
+    rows = question_answers(spark, sf).collect()
+    assert len(rows) == len(got) > 10
+    for r in rows:
+        q, a = embed([r["question"], r["answer"]]).astype(float)
+        assert abs(got[r["conv_id"], r["turn"]] - q @ a) < 1e-4
+
+
+def test_embedding_takes_few_texts_at_once(spark):
+    from learngraph.sources import connectors
+
+    def told():  # how many texts and characters came with each
+        return lambda texts: [[len(texts), sum(map(len, texts)), len(t), float(t.split("-")[0] or -1)] for t in texts]
+
+    long = F.concat(F.col("id").cast("string"), F.lit("-"), F.repeat(F.lit("x"), 30_000))
+    texts = spark.range(0, 700, 1, 1).select("id", F.when(F.col("id") % 7 != 0, F.concat(F.col("id").cast("string"), F.lit("-"))).alias("short"), long.alias("long"))
+    for out in (connectors.embed(texts, "short", "v", told).collect(), connectors.embed(texts, "long", "v", told).collect()):
+        assert [r["id"] for r in out] == list(range(700))
+        assert max(r["v"][0] for r in out) <= 256 and max(r["v"][1] for r in out) <= 1 << 21
+        assert all(r["v"][3] in (r["id"], -1) for r in out)
