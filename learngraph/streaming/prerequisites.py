@@ -26,6 +26,7 @@ from learngraph.shared import passing, written
 from learngraph.streaming.state import BUCKETS, Store, Table, Version
 
 _OBJECT = ("id", "layer", "ref", "keywords", "anchor", "score")
+FULL = 64  # keys to a bucket of the state, from which on buckets aren't picked by key
 
 
 def open_store(spark: SparkSession, root: str, *, concept: str = "string", id_kind: str = "string", ref_kind: str | None = None, buckets: int = BUCKETS) -> Store:
@@ -61,45 +62,53 @@ def fold(store: Store, units: DataFrame, objects: DataFrame, number: int, *, lea
 def _folded(store: Store, units: DataFrame, objects: DataFrame, number: int, least_cosine: float, verify: Callable[[DataFrame], DataFrame] | None, vectors: DataFrame | None) -> Version:
     base = store.newest(number)
     delta = written(cooccurrence_edges(units, "unit", "concept"), "delta-edges")
-    added = written(delta.join(store.read(base, "edges", delta), ["src", "dst"], "left_anti").select("src", "dst"), "new-edges")
+    deltas = delta.count()
+    near_all = deltas >= FULL * store.buckets  # so many keys leave hardly a bucket out
+    asks = lambda keys: None if near_all else keys
+    added = written(delta.join(store.present(base, "edges", asks(delta)), ["src", "dst"], "left_anti").select("src", "dst"), "new-edges")
     own = units.where("unit IS NOT NULL AND concept IS NOT NULL").select("concept").distinct()
-    known = store.read(base, "concepts", own)
-    born = own.join(known, "concept", "left_anti").withColumn("degree", F.lit(0).cast("long"))
-    ends = added.select(F.explode(F.array("src", "dst")).alias("concept"), F.lit(1).cast("long").alias("degree"))
-    grown = written(born.unionByName(ends).groupBy("concept").agg(F.sum("degree").alias("degree")), "degree-changes")
+    born = own.join(store.present(base, "concepts", asks(own)), "concept", "left_anti").select("concept", F.lit(0).cast("long").alias("degree"), F.lit(True).alias("born"))
+    ends = added.select(F.explode(F.array("src", "dst")).alias("concept"), F.lit(1).cast("long").alias("degree"), F.lit(False).alias("born"))
+    grown = written(born.unionByName(ends).groupBy("concept").agg(F.sum("degree").alias("degree"), F.max("born").alias("born")), "degree-changes")
+    counted = grown.agg(F.count(F.lit(1)).alias("touched"), F.count_if("born").alias("born")).first()
+    grown = grown.drop("born")
     before = base.facts.get("concepts", 0)
-    concepts = before + born.count()
+    concepts = before + counted["born"]
+    most = near_all and 2 * counted["touched"] >= concepts  # then whole tables are cheaper to go through than to look up: what isn't touched comes out as it was
     touched = grown.select("concept") if before != 1 else grown.select("concept").unionByName(store.read(base, "concepts").select("concept")).distinct()
 
     new = _first(objects).where(F.col("id").isNotNull())
     own = [F.col("id").alias("ref"), F.col("vector").cast("array<float>").alias("vector")] if vectors is None else ["ref"]
-    new = written(new.join(store.read(base, "objects", new.select("id")), "id", "left_anti").select("id", F.col("layer").cast("int").alias("layer"), *own, F.array_distinct(F.array_compact("keywords")).alias("keywords")), "new-objects")
+    new = written(new.join(store.present(base, "objects", asks(new.select("id"))), "id", "left_anti").select("id", F.col("layer").cast("int").alias("layer"), *own, F.array_distinct(F.array_compact("keywords")).alias("keywords")), "new-objects")
     brought = new.select("ref", "vector") if vectors is None else None
-    reached = store.read(base, "keywords", touched.withColumnRenamed("concept", "keyword")).select("id").distinct()
-    met = written(store.read(base, "objects", reached), "met-objects")
+    met = store.read(base, "objects", None if most else store.read(base, "keywords", touched.withColumnRenamed("concept", "keyword")).select("id").distinct())
+    met = met if most and len(base.segments.get("objects", ())) < 2 else written(met, "met-objects")
     every = met.select(*_OBJECT).unionByName(new.withColumns({"anchor": F.lit(None).cast(dict(met.dtypes)["anchor"]), "score": F.lit(None).cast("long")}).select(*_OBJECT))
-    rescored = written(_rescored(store, base, every, grown, concepts), "rescored-objects")
+    rescored = written(_rescored(store, base, every, grown, concepts, most), "rescored-objects")
     changed = rescored.where("NOT (score <=> old_score AND anchor <=> old_anchor)")
     moved = rescored.where("NOT score <=> old_score")
 
     words = new.select("id", F.explode("keywords").alias("keyword"))
-    near = store.read(base, "keywords", words.select("keyword"))
-    others = store.read(base, "objects", near.select("id").distinct()).select("id", "layer", "ref")
-    met = written(others.unionByName(new.select("id", "layer", "ref")), "pair-objects")
-    known = written(store.read(base, "vectors", others.select("ref")).unionByName(brought), "pair-vectors") if vectors is None else vectors
-    pairs = overlap.layered_pairs(met, near.select("id", "keyword").unionByName(words), least_cosine, new.select("id"), known)
+    near = store.present(base, "keywords") if most else store.read(base, "keywords", words.select("keyword"))
+    others = (met if most else store.read(base, "objects", near.select("id").distinct())).select("id", "layer", "ref")
+    placed = others.unionByName(new.select("id", "layer", "ref"))
+    placed = placed if most else written(placed, "pair-objects")
+    known = written(store.read(base, "vectors", None if most else others.select("ref")).unionByName(brought), "pair-vectors") if vectors is None else vectors
+    pairs = overlap.layered_pairs(placed, near.select("id", "keyword").unionByName(words), least_cosine, new.select("id"), known)
     pairs = written(pairs, "new-pairs")
     fresh = pairs.where("NOT across").select("a", "b")
     both = lambda p: p.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(p.select(F.col("b").alias("id"), F.col("a").alias("other")))
-    turned = store.read(base, "alike", moved.select("id")).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    changes = _links(store, base, turned, fresh, moved).unionByName(pairs.where("across").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1).cast("long").alias("alive")))
+    turned = store.read(base, "alike", None if most else moved.select("id")).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    changes = _links(store, base, turned, fresh, rescored, most).unionByName(pairs.where("across").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1).cast("long").alias("alive")))
     links = written(changes.groupBy("src", "dst").agg(F.sum("alive").alias("alive")).where("alive != 0"), "link-changes")
     gained = links.where("alive > 0").select("src", "dst")
-    asked = written(gained.join(store.read(base, "verdicts", gained), ["src", "dst"], "left_anti"), "new-candidates")
+    asked = written(gained.join(store.present(base, "verdicts", asks(gained)), ["src", "dst"], "left_anti"), "new-candidates")
     accepted = verify(asked).select("src", "dst").distinct().withColumn("accepted", F.lit(True)) if verify else asked.withColumn("accepted", F.lit(True))
-    verdicts = asked.join(accepted, ["src", "dst"], "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+    verdicts = asked.join(accepted, ["src", "dst"], "left").withColumn("accepted", F.coalesce("accepted", F.lit(False))) if verify else accepted
     tables = {"edges": delta, "concepts": grown, "objects": changed.select(*_OBJECT), **({} if brought is None else {"vectors": brought}), "keywords": words.select("keyword", "id"), "alike": both(fresh), "links": links, "verdicts": verdicts}
-    return store.commit(base, number, tables, {"concepts": concepts})
+    rows = lambda df: df.count()
+    sizes = {"edges": deltas, "concepts": counted["touched"], "objects": rows(changed), "keywords": rows(words), "alike": 2 * rows(fresh), "links": rows(links), "verdicts": rows(asked)}
+    return store.commit(base, number, tables, {"concepts": concepts}, sizes)
 
 
 def _first(objects: DataFrame) -> DataFrame:
@@ -110,23 +119,26 @@ def _first(objects: DataFrame) -> DataFrame:
     return objects.groupBy("id").agg(F.min_by(F.struct(*rest), "seq").alias("s")).select("id", *[F.col("s")[c].alias(c) for c in rest])
 
 
-def _rescored(store: Store, base: Version, objects: DataFrame, grown: DataFrame, concepts: int) -> DataFrame:
+def _rescored(store: Store, base: Version, objects: DataFrame, grown: DataFrame, concepts: int, most: bool) -> DataFrame:
     """The objects with anchor and score of now, and those of before as old_anchor and old_score (null for new ones)."""
-    words = written(objects.select("id", F.explode("keywords").alias("concept")), "met-keywords")
-    degree = store.read(base, "concepts", words.select("concept")).unionByName(grown).groupBy("concept").agg(F.sum("degree").alias("degree"))
+    words = objects.select("id", F.explode("keywords").alias("concept"))
+    words = words if most else written(words, "met-keywords")
+    degree = store.read(base, "concepts", None if most else words.select("concept")).unionByName(grown).groupBy("concept").agg(F.sum("degree").alias("degree"))
     ranked = words.join(degree, "concept", "left").select("id", F.struct((-_score(F.col("degree"), concepts)).alias("s"), F.col("concept").alias("k")).alias("x"))
     best = ranked.groupBy("id").agg(F.min("x").alias("x")).select("id", F.col("x.k").alias("anchor"), (-F.col("x.s")).cast("long").alias("score"))
     old = objects.withColumnsRenamed({"anchor": "old_anchor", "score": "old_score"})
     return old.join(best, "id", "left").withColumn("score", F.coalesce("score", F.lit(0)))
 
 
-def _links(store: Store, base: Version, turned: DataFrame, fresh: DataFrame, moved: DataFrame) -> DataFrame:
+def _links(store: Store, base: Version, turned: DataFrame, fresh: DataFrame, rescored: DataFrame, most: bool) -> DataFrame:
     """src, dst, alive: -1 where an edge inside a layer was, 1 where it is, for pairs kept before (``turned``) and new ones (``fresh``)."""
     pairs = written(turned.withColumn("was", F.lit(True)).unionByName(fresh.withColumn("was", F.lit(False))), "inside-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    now = moved.select("id", "score", "old_score")
-    still = store.read(base, "objects", ids).join(now, "id", "left_anti").select("id", "score", F.col("score").alias("old_score"))
-    scores = written(still.unionByName(now), "pair-scores")
+    scores = rescored.select("id", "score", "old_score")
+    if not most:  # else all objects are among them
+        now = scores.where("NOT score <=> old_score")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        still = store.read(base, "objects", ids).join(now, "id", "left_anti").select("id", "score", F.col("score").alias("old_score"))
+        scores = written(still.unionByName(now), "pair-scores")
     side = lambda x: scores.select(F.col("id").alias(x), F.col("score").alias(f"n{x}"), F.col("old_score").alias(f"o{x}"))
     full = pairs.join(side("a"), "a").join(side("b"), "b")
     edge = lambda x, y, when, n: F.when(when & (x != y), F.struct(F.when(x > y, F.col("a")).otherwise(F.col("b")).alias("src"), F.when(x > y, F.col("b")).otherwise(F.col("a")).alias("dst"), F.lit(n).cast("long").alias("alive")))

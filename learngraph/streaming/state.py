@@ -20,6 +20,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from learngraph.shared import ROWS
+
 BUCKETS = 32
 
 
@@ -100,7 +102,7 @@ class Store:
         schema = f"{self.tables[name].columns}, _version long, bucket int"
         frames = [self.spark.read.schema(schema).parquet(s.path) for s in segments if s.rows]
         if not frames:
-            return self.spark.createDataFrame([], schema)
+            return self.spark.createDataFrame([], schema).where(F.lit(False))  # which the optimizer knows to be empty, and what is joined to it too
         out = frames[0]
         for f in frames[1:]:
             out = out.unionByName(f)
@@ -112,36 +114,55 @@ class Store:
         aggs = [F.sum(c).alias(c) for c in table.sums] + [F.max_by(c, "_version").alias(c) for c in last]
         return rows.groupBy(*table.key, "bucket").agg(*aggs, F.max("_version").alias("_version"))
 
-    def read(self, version: Version, name: str, keys: DataFrame | None = None) -> DataFrame:
-        """The rows of a table; with ``keys`` (the columns to look up by), those rows alone, read from the buckets that the keys fall in."""
+    def _found(self, version: Version, name: str, keys: DataFrame | None) -> DataFrame:
+        """Rows of all segments, as they are, of the buckets that the keys fall in."""
         segments = version.segments.get(name, ())
         rows = self._segments(name, segments)
+        if keys is None or not any(s.rows for s in segments):
+            return rows
+        hit = [r[0] for r in keys.select(self.bucket(name).alias("b")).distinct().collect()]  # as many as there are buckets at most
+        return rows.where(F.col("bucket").isin(hit))
+
+    def read(self, version: Version, name: str, keys: DataFrame | None = None) -> DataFrame:
+        """The rows of a table; with ``keys`` (the columns to look up by), those rows alone, read from the buckets that the keys fall in."""
+        rows = self._found(version, name, keys)
         if keys is not None:
-            hit = [r[0] for r in keys.select(self.bucket(name).alias("b")).distinct().collect()]  # as many as there are buckets at most
-            rows = rows.where(F.col("bucket").isin(hit)).join(keys.select(*self.tables[name].lookup).distinct(), list(self.tables[name].lookup), "left_semi")
-        whole = self._merged(name, rows) if sum(s.rows > 0 for s in segments) > 1 else rows
+            rows = rows.join(keys.select(*self.tables[name].lookup).distinct(), list(self.tables[name].lookup), "left_semi")
+        whole = self._merged(name, rows) if sum(s.rows > 0 for s in version.segments.get(name, ())) > 1 else rows
         return whole.drop("_version", "bucket")
 
-    def _write(self, name: str, rows: DataFrame, number: int) -> Segment:
-        path = f"{self.root}/segments/{name}-{number}-{uuid.uuid4().hex}"
-        rows.repartition("bucket").write.partitionBy("bucket").parquet(path)
-        n = self.spark.read.schema(f"{self.tables[name].columns}, _version long, bucket int").parquet(path).count() if any(x.startswith("bucket=") for x in self._names("segments", path.rsplit("/", 1)[1])) else 0
-        return Segment(path, n)
+    def present(self, version: Version, name: str, keys: DataFrame | None = None) -> DataFrame:
+        """The keys that a table has (with ``keys``: of their buckets), maybe several times: for joins that ask for no more."""
+        return self._found(version, name, keys).select(*self.tables[name].key)
 
-    def commit(self, base: Version, number: int, changes: dict[str, DataFrame], facts: dict | None = None) -> Version:
-        """Version ``number``: ``base`` with the changes (amounts to add, newest values; one row a key) and the facts."""
+    def _write(self, name: str, rows: DataFrame, number: int, size: int | None = None, most: int = 0) -> Segment:
+        """The rows as a segment, of ``size`` rows if that is known, and of ``most`` at most: a bucket of many is written by several tasks."""
+        path = f"{self.root}/segments/{name}-{number}-{uuid.uuid4().hex}"
+        tasks = -(-2 * max(size or 0, most) // (self.buckets * ROWS))
+        dealt = rows.repartition("bucket", F.pmod(F.xxhash64(*self.tables[name].key, F.lit(1)), F.lit(tasks))) if tasks > 1 else rows.repartition("bucket")
+        dealt.write.partitionBy("bucket").parquet(path)
+        if size is None:
+            size = self.spark.read.schema(f"{self.tables[name].columns}, _version long, bucket int").parquet(path).count() if any(x.startswith("bucket=") for x in self._names("segments", path.rsplit("/", 1)[1])) else 0
+        return Segment(path, size)
+
+    def commit(self, base: Version, number: int, changes: dict[str, DataFrame], facts: dict | None = None, sizes: dict[str, int] | None = None) -> Version:
+        """Version ``number``: ``base`` with the changes (amounts to add, newest values; one row a key) and the facts. Changes whose ``sizes`` are known, being written already, join their neighbours at once."""
         segments = dict(base.segments)
         for name, rows in changes.items():
-            rows = rows.select(*[F.col(f.name) for f in self._segments(name, ()).schema if f.name not in ("_version", "bucket")])
-            new = self._write(name, rows.withColumns({"_version": F.lit(number).cast("long"), "bucket": self.bucket(name)}), number)
-            held = list(segments.get(name, ()))
-            joined, total = [new], new.rows
+            rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in self._segments(name, ()).schema if f.name not in ("_version", "bucket")])
+            rows = rows.withColumns({"_version": F.lit(number).cast("long"), "bucket": self.bucket(name)})
+            new = self._write(name, rows, number) if sizes is None or name not in sizes else None
+            held, joined, total = list(segments.get(name, ())), [], new.rows if new else sizes[name]
+            size = total
             while held and held[-1].rows < 2 * total:
                 joined.insert(0, held.pop())
                 total += joined[0].rows
             joined = [s for s in joined if s.rows]
-            if len(joined) > 1:
-                joined = [self._write(name, self._merged(name, self._segments(name, tuple(joined))), number)]
+            if joined:
+                old = self._segments(name, tuple(joined))
+                joined = [self._write(name, self._merged(name, old.unionByName(self._segments(name, (new,)) if new else rows)), number, None, total)]
+            elif size:
+                joined = [new or self._write(name, rows, number, size)]
             segments[name] = tuple(held + joined)
         out = Version(number, segments, {**base.facts, **(facts or {}), "columns": {t: x.columns for t, x in self.tables.items()}})
         body = json.dumps({"segments": {t: [[s.path, s.rows] for s in found] for t, found in segments.items()}, "facts": out.facts})
