@@ -123,10 +123,11 @@ def generate_by_type(units: DataFrame, client, **how) -> DataFrame:
 
 def generate_objects(units: DataFrame, client, *, task: Task = GENERATE, **how) -> DataFrame:
     """Learning objects of units (seq, type, statement, source_title, source_page): with id, keywords and provenance in the hint; only those that were answered."""
-    found, _ = ask(units, task, client, ["type", "statement"], **how)
+    named = units.withColumn("id", T.object_id(F.col("statement")))  # before the answers come, so that statements only travel to them where they are read afterwards
+    found, _ = ask(named, task, client, ["type", "statement"], **how)
     made = found.where("answered").drop("answered")
     hint = T.with_provenance(F.col("hint"), F.col("source_title"), F.col("source_page"))
-    return made.withColumns({"id": T.object_id(F.col("statement")), "source_statement": F.col("statement"), "keywords": T.keywords(T.question_and_answer(F.col("question"), F.col("answer"))), "hint": hint})
+    return made.withColumns({"source_statement": F.col("statement"), "keywords": T.keywords(T.question_and_answer(F.col("question"), F.col("answer"))), "hint": hint})
 
 
 def add_choices(objects: DataFrame, client, **how) -> DataFrame:
@@ -187,11 +188,16 @@ def filter_and_regenerate(objects: DataFrame, units: DataFrame, models: list[str
     unit, or no answer; such objects are kept as they are). Choices are made again for regenerated objects.
     ``accumulate`` judges by all attempts' scores instead of the last's.
     """
-    held = written(objects.drop("evaluated", "regen_status").withColumns({"evaluated": F.lit(False), "regen_status": F.lit(None).cast("string")}), "objects")
-    sources = written(quality.last_by_key(units, ["statement"], "seq"), "units")
+    # Statements stay where they are written; objects carry their names and what of them is shown to judges.
+    named = lambda df, c: df.withColumn("_named", F.unhex(F.sha2(F.col(c).cast("binary"), 256)))
+    brief = lambda df, c: df.withColumn("_shown", T.truncate(F.col(c)))
+    first = written(named(objects.drop("evaluated", "regen_status").withColumns({"evaluated": F.lit(False), "regen_status": F.lit(None).cast("string")}), "source_statement"), "objects")
+    sources = written(named(units, "statement"), "units")
+    columns = [c for c in first.columns if c != "_named"]
+    held = brief(first, "source_statement").drop("source_statement")
     todo, scores = held, None
     for attempt in range(attempts):
-        new = written(evaluate(todo, models, client, attempt=attempt), "evaluations")
+        new = written(evaluate(todo.withColumnRenamed("_shown", "source_statement"), models, client, attempt=attempt), "evaluations")
         scores = new if scores is None else scores.unionByName(new)
         judged = quality.consensus(quality.latest(scores, accumulate), faithfulness, hint_quality)
         bad = quality.failing(judged).select(F.col("lo_id").alias("id"))
@@ -200,10 +206,10 @@ def filter_and_regenerate(objects: DataFrame, units: DataFrame, models: list[str
         held = held.withColumn("evaluated", F.lit(True))
         if failed.isEmpty():
             break
-        losers = held.join(failed, "id", "left_semi")
-        matched = losers.select(F.col("source_statement").alias("statement")).distinct()
-        again = generate_objects(sources.join(matched, "statement", "left_semi"), client)
-        again = again if "statement" in held.columns else again.drop("statement")  # source_statement says the same
+        matched = held.join(failed, "id", "left_semi").select("_named").distinct()
+        lost = quality.last_by_key(sources.where("statement IS NOT NULL").join(matched, "_named", "left_semi"), ["_named"], "seq")
+        again = generate_objects(brief(lost, "statement"), client).drop("source_statement")
+        again = again if "statement" in columns else again.drop("statement")
         again = written(add_choices(again, client), "again").withColumns({"evaluated": F.lit(False), "regen_status": F.lit("regenerated")})
         fresh = again.join(failed, "id", "left_semi")
         unmatched = failed.join(again.select("id"), "id", "left_anti").withColumn("_unmatched", F.lit(True))
@@ -212,7 +218,8 @@ def filter_and_regenerate(objects: DataFrame, units: DataFrame, models: list[str
         # Not written: what is written are the objects at first, and each round's failures and new ones.
         held = kept.drop("_unmatched").unionByName(fresh, allowMissingColumns=True).select(held.columns)
         todo = quality.to_evaluate_again(held, fresh, "id")
-    return held, scores
+    texts = first.groupBy("_named").agg(F.first("source_statement").alias("source_statement"))
+    return held.join(texts, "_named", "left").select(columns), scores
 
 
 def merge_units(pairs: DataFrame, units: DataFrame, client, **how) -> DataFrame:

@@ -69,6 +69,23 @@ def test_regeneration_writes_no_object_twice(spark, monkeypatch):
     assert names.count("objects") == 1 and "again" in names
 
 
+def test_regeneration_names_statements(spark, monkeypatch):
+    """Statements are with the objects at first, the units and what is asked to write anew, not with objects written anew; they come back at the end."""
+    from learngraph.operators import generation as G
+
+    made, write = [], G.written
+    monkeypatch.setattr(G, "written", lambda df, name: made.append((name, df.columns)) or write(df, name))
+    units = spark.createDataFrame([(k, "fact", f"unit number {k} " + "of several words " * 40, "t", 1) for k in range(12)], "seq long, type string, statement string, source_title string, source_page int")
+    objects = G.add_choices(G.generate_objects(units, G.stub_client).drop("statement"), G.stub_client)
+    lost = objects.limit(1).withColumns({"seq": F.lit(99).cast("long"), "id": F.lit("lost"), "source_statement": F.lit(None).cast("string"), "question": F.lit("See the table below.")})
+    made.clear()
+    held, _ = G.filter_and_regenerate(objects.unionByName(lost), units, ["stub/a", "stub/b"], G.stub_client)
+    again = [c for name, c in made if name == "again"]
+    assert again and not any({"statement", "source_statement"} & set(c) for c in again)
+    statements = {r["seq"]: r["statement"] for r in units.collect()} | {99: None}
+    assert {r["seq"]: r["source_statement"] for r in held.collect()} == statements and {r["regen_status"] for r in held.where("seq = 99").collect()} == {"unmatched"}
+
+
 def test_question_and_answer_are_embedded_by_one_worker(spark):
     from learngraph.plans.bindings import question_answers
     from learngraph.plans.vector_queries import semantic_similarity
